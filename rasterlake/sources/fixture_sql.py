@@ -111,7 +111,7 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
                l_discount * 3 AS p95_px, l_discount * 3 + l_tax AS p99_px,
                l_discount * 3 + l_tax + l_tax AS max_px,
                (10 + l_partkey % 90)::BIGINT AS samples,
-               l_extendedprice / l_quantity / 1000 AS bits_per_block,
+               l_extendedprice / l_quantity / 997 AS bits_per_block,
                o_orderpriority AS class, o_orderstatus AS status,
                CASE WHEN l_partkey % 7 = 0 THEN NULL ELSE 'reason_' || (l_partkey % 4) END AS reason,
                (l_discount * 100)::BIGINT AS palette_delta,

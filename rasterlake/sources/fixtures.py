@@ -179,7 +179,7 @@ class Lake:
             (F.col("l_discount") * 3 + F.col("l_tax")).alias("p99_px"),
             (F.col("l_discount") * 3 + F.col("l_tax") + F.col("l_tax")).alias("max_px"),
             (p % 90 + 10).alias("samples"),
-            (F.col("l_extendedprice") / F.col("l_quantity") / 1000).alias("bits_per_block"),
+            (F.col("l_extendedprice") / F.col("l_quantity") / 997).alias("bits_per_block"),
             F.col("o_orderpriority").alias("class"),
             F.col("o_orderstatus").alias("status"),
             F.when(p % 7 != 0, F.concat(F.lit("reason_"), p % 4)).alias("reason"),
