@@ -22,7 +22,7 @@ FOUR = EIGHT[:4]
 LINE = "(CASE WHEN {v} / 255.0::DOUBLE <= 0.04045 THEN {v} / 255.0::DOUBLE / 12.92 ELSE pow(({v} / 255.0::DOUBLE + 0.055) / 1.055, 2.4) END)"
 
 
-def obs_sql() -> str:
+def obs_sql(src: str = "rgba8") -> str:
     """CTE ``ob``: encoded observation vector and cells of ``rgba8``."""
     c = 1 / 255
     step = f"{c!r}::DOUBLE"
@@ -30,7 +30,7 @@ def obs_sql() -> str:
     cols = [f"{val(ch)} * (a * {step}) AS p{ch}" for ch in "rgb"] + [f"a * {step} AS pa"]
     st = lambda ch: f"greatest(abs({val(ch)} - {val(f'greatest({ch} - 1, 0)')}), abs({val(f'least({ch} + 1, 255)')} - {val(ch)}))"
     cols += [f"{st(ch)} * 0.5 * (a * {step}) + {val(ch)} * {0.5 * c!r}::DOUBLE AS q{ch}" for ch in "rgb"] + [f"{0.5 * c!r}::DOUBLE AS qa"]
-    return f"ob AS (SELECT *, {', '.join(cols)} FROM rgba8)"
+    return f"ob AS (SELECT *, {', '.join(cols)} FROM {src})"
 
 
 def norm(parts: list[str]) -> str:
@@ -40,7 +40,7 @@ def norm(parts: list[str]) -> str:
 P = ["pr", "pg", "pb", "pa"]
 
 
-def interior_sql() -> str:
+def interior_sql(src: str = "rgba8") -> str:
     """CTE ``it`` with gradient, spread, alpha_variation, mixed, weight."""
     unit = f"greatest({norm(['qr', 'qg', 'qb', 'qa'])}, {0.5 / 255!r}::DOUBLE)"
     gx, gy = norm([f"e_{p} - w_{p}" for p in P]), norm([f"s_{p} - n_{p}" for p in P])
@@ -48,7 +48,7 @@ def interior_sql() -> str:
     var = "greatest(" + ", ".join(f"abs({d}_pa - pa)" for d in EIGHT) + ") * 255"
     near = lambda ds: " OR ".join(f"coalesce({d}_mixed, false)" for d in ds)
     soft = lambda x, s: f"(1 / (1 + pow({x} / {s}, 2)))"
-    return f"""{obs_sql()}, {nb('ob', 'nb1', P)},
+    return f"""{obs_sql(src)}, {nb('ob', 'nb1', P)},
     i1 AS (SELECT image_id, x, y, r, g, b, a, pr, pg, pb, pa, qr, qg, qb, qa, sqrt(pow({gx}, 2) + pow({gy}, 2)) * 0.5 / {unit} AS gradient, {spread} / {unit} AS spread, {var} AS alpha_variation FROM nb1),
     i2 AS (SELECT *, (pa > {1 / 255!r}::DOUBLE AND pa < 1 - {1 / 255!r}::DOUBLE) OR gradient > 8 AS mixed FROM i1), {nb('i2', 'nb2', ['mixed'], clamp=False)},
     i3 AS (SELECT *, CASE WHEN mixed THEN 0.0 WHEN {near(FOUR)} THEN 1.0 WHEN {near(EIGHT[4:])} THEN sqrt(2.0::DOUBLE) ELSE 1.5 END::DOUBLE AS edge_distance, pa > {1 / 255!r}::DOUBLE AS gives_rgb FROM nb2),

@@ -37,6 +37,16 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
                least(255, 2 * max(CASE WHEN image_id % 4 = 3 THEN code END)) AS a
         FROM px8 GROUP BY image_id // 4, x, y""",
     ),
+    "flat32": (
+        ("rgba8",),
+        """
+        SELECT image_id, (x * 4 + i)::INT AS x, (y * 4 + j)::INT AS y,
+               CASE WHEN r > 127 THEN 200 ELSE 40 END AS r,
+               CASE WHEN image_id % 3 > 0 AND g > 127 THEN 190 ELSE 60 END AS g,
+               CASE WHEN image_id % 3 = 2 AND b > 127 THEN 220 ELSE 30 END AS b,
+               CASE WHEN image_id % 2 = 0 THEN 255 WHEN a < 200 THEN 0 WHEN image_id % 4 = 1 THEN 255 ELSE 128 END AS a
+        FROM rgba8 CROSS JOIN (SELECT range AS i FROM range(0, 4)) CROSS JOIN (SELECT range AS j FROM range(0, 4))""",
+    ),
     "mosaic": (
         ("px8",),
         """

@@ -64,6 +64,27 @@ class Lake:
             )
         )
 
+    def flat32(self) -> DataFrame:
+        """Posterised 32x32 rasters with flat 4x4 cells, some with an exterior."""
+        img = F.col("image_id")
+        up = F.explode(F.sequence(F.lit(0), F.lit(3)))
+        level = lambda c, hi, lo, on: F.when(on & (F.col(c) > 127), hi).otherwise(lo)
+        alpha = F.when(img % 2 == 0, 255).when(F.col("a") < 200, 0).when(img % 4 == 1, 255).otherwise(128)
+        return (
+            self.rgba8()
+            .withColumn("i", up)
+            .withColumn("j", up)
+            .select(
+                "image_id",
+                (F.col("x") * 4 + F.col("i")).alias("x"),
+                (F.col("y") * 4 + F.col("j")).alias("y"),
+                level("r", 200, 40, F.lit(True)).alias("r"),
+                level("g", 190, 60, img % 3 > 0).alias("g"),
+                level("b", 220, 30, img % 3 == 2).alias("b"),
+                alpha.alias("a"),
+            )
+        )
+
     def mosaic(self) -> DataFrame:
         """All rasters of a label tiled eight per row."""
         slots = ordered_index(
