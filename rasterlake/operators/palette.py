@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from rasterlake.functions.color import CODE, clamp, code_to_linear, linear_to_code, vec_norm, vec_sub
 from rasterlake.operators.stencil import FOUR, neighbours
+from rasterlake.session import cut
 
 KEYS = ["image_id"]
 CORE_WEIGHT = 0.5
@@ -58,15 +59,19 @@ def colour_histogram(px: DataFrame, cfg: PaletteConfig = PaletteConfig()) -> Dat
     )
 
 
-def _codes(c: Column) -> list[Column]:
-    return [linear_to_code(c[k]) for k in "rgb"]
-
-
 def separation(a: list[Column], b: list[Column]) -> Column:
     """Largest channel difference in 8-bit codes."""
     return F.greatest(*[F.abs(p - q) for p, q in zip(a, b)])
 
 
+def let(value: Column, body) -> Column:
+    """Bind ``value`` once inside a lambda instead of repeating its expression."""
+    return F.transform(F.array(value), body)[0]
+
+
+MODE_TYPE = "array<struct<r:double,g:double,b:double,cr:int,cg:int,cb:int,fx:bigint,pixels:bigint,border_pixels:bigint>>"
+
+
 def merge_modes(hist: DataFrame, cfg: PaletteConfig = PaletteConfig()) -> DataFrame:
     """Greedy merge of the bins of each image into modes.
 
@@ -74,33 +79,35 @@ def merge_modes(hist: DataFrame, cfg: PaletteConfig = PaletteConfig()) -> DataFr
     the sorted bins of an image, at most 64^3 of them, as one SQL aggregate.
     Adds ``modes`` and ``assigned`` (mode number of each bin, from 1).
     """
-    item = F.struct((-F.col("fx")).alias("order"), "bin", "fx", "pixels", "border_pixels")
-    lists = hist.groupBy(*KEYS).agg(F.array_sort(F.collect_list(item)).alias("bins"), F.sum("core_fx").alias("core_fx"))
-    mode_type = "array<struct<r:double,g:double,b:double,fx:bigint,pixels:bigint,border_pixels:bigint>>"
-    start = F.struct(F.array().cast(mode_type).alias("modes"), F.array().cast("array<int>").alias("to"))
-
-    def centre(k: str, e: Column) -> Column:
-        mid = F.floor(F.least(e["bin"][k] * cfg.bin_codes + cfg.bin_codes / 2.0, F.lit(255.0)))
-        return code_to_linear(mid)
+    mid = lambda k: F.floor(F.least(F.col(f"bin.{k}") * cfg.bin_codes + cfg.bin_codes / 2.0, F.lit(255.0)))
+    d = hist.withColumns({k: code_to_linear(mid(k)) for k in "rgb"}).withColumns({f"c{k}": mid(k).cast("int") for k in "rgb"})
+    sums = ["fx", "pixels", "border_pixels"]
+    item = F.struct((-F.col("fx")).alias("order"), "bin", *[*"rgb"], "cr", "cg", "cb", *sums)
+    lists = d.groupBy(*KEYS).agg(F.array_sort(F.collect_list(item)).alias("bins"), F.sum("core_fx").alias("core_fx"))
+    start = F.struct(F.array().cast(MODE_TYPE).alias("modes"), F.array().cast("array<int>").alias("to"))
+    codes = lambda m: [m[f"c{k}"] for k in "rgb"]
+
+    def merged(m: Column, e: Column) -> Column:
+        total = m["fx"] + e["fx"]
+        mean = F.struct(*[((m[k] * m["fx"] + e[k] * e["fx"]) / total).alias(k) for k in "rgb"])
+        return let(
+            mean,
+            lambda c: F.struct(
+                *[c[k].alias(k) for k in "rgb"], *[linear_to_code(c[k]).alias(f"c{k}") for k in "rgb"], *[(m[n] + e[n]).alias(n) for n in sums]
+            ),
+        )
 
     def step(s: Column, e: Column) -> Column:
-        colour = F.struct(*[centre(k, e).alias(k) for k in "rgb"])
-        near = F.transform(s["modes"], lambda m: separation(_codes(m), _codes(colour)) < cfg.min_separation_codes)
-        at = F.array_position(near, F.lit(True))
-        fresh = F.struct(*[colour[k].alias(k) for k in "rgb"], e["fx"].alias("fx"), e["pixels"].alias("pixels"), e["border_pixels"].alias("border_pixels"))
-
-        def joined(m: Column, i: Column) -> Column:
-            total = m["fx"] + e["fx"]
-            mean = lambda k: ((m[k] * m["fx"] + colour[k] * e["fx"]) / total).alias(k)
-            both = F.struct(
-                mean("r"), mean("g"), mean("b"), total.alias("fx"), (m["pixels"] + e["pixels"]).alias("pixels"),
-                (m["border_pixels"] + e["border_pixels"]).alias("border_pixels"),
-            )
-            return F.when(i + 1 == at, both).otherwise(m)
-
-        modes = F.when(at == 0, F.concat(s["modes"], F.array(fresh))).otherwise(F.transform(s["modes"], joined))
-        to = F.when(at == 0, F.size(s["modes"]) + 1).otherwise(at).cast("int")
-        return F.struct(modes.alias("modes"), F.concat(s["to"], F.array(to)).alias("to"))
+        near = F.transform(s["modes"], lambda m: separation(codes(m), codes(e)) < cfg.min_separation_codes)
+
+        def apply(at: Column) -> Column:
+            fresh = F.struct(*[e[k].alias(k) for k in [*"rgb", "cr", "cg", "cb", *sums]])
+            replaced = F.transform(s["modes"], lambda m, i: F.when(i + 1 == at, merged(m, e)).otherwise(m))
+            modes = F.when(at == 0, F.concat(s["modes"], F.array(fresh))).otherwise(replaced)
+            to = F.when(at == 0, F.size(s["modes"]) + 1).otherwise(at).cast("int")
+            return F.struct(modes.alias("modes"), F.concat(s["to"], F.array(to)).alias("to"))
+
+        return let(F.array_position(near, F.lit(True)), apply)
 
     folded = lists.withColumn("f", F.aggregate("bins", start, step))
     assigned = F.zip_with("bins", "f.to", lambda b, m: F.struct(b["bin"].alias("bin"), m.alias("mode")))
@@ -113,7 +120,7 @@ def find_modes(px: DataFrame, cfg: PaletteConfig = PaletteConfig()) -> DataFrame
     A mode stays with a large enough share of the weight, or when its members
     that touch another member carry enough weight.
     """
-    merged = merge_modes(colour_histogram(px, cfg), cfg)
+    merged = cut(merge_modes(colour_histogram(px, cfg), cfg))  # read three times below
     total = F.aggregate("modes", F.lit(0).cast("bigint"), lambda a, m: a + m["fx"])
     listed = merged.select(*KEYS, total.alias("total"), F.posexplode("modes").alias("i", "m")).select(
         *KEYS, "total", (F.col("i") + 1).alias("mode"), "m.*"
@@ -125,7 +132,7 @@ def find_modes(px: DataFrame, cfg: PaletteConfig = PaletteConfig()) -> DataFrame
     support = near.filter(touches).groupBy(*KEYS, "mode").agg(F.sum(F.round(F.col("weight") * WEIGHT_UNIT).cast("bigint")).alias("coherent"))
     d = listed.join(support, [*KEYS, "mode"], "left")
     keep = (F.col("fx") / F.col("total") >= cfg.min_mode_share) | (F.coalesce("coherent", F.lit(0)) >= cfg.min_core_weight * WEIGHT_UNIT)
-    d = d.filter(keep).withColumns({f"c{k}": linear_to_code(F.col(k)) for k in "rgb"})
+    d = d.filter(keep)
     # modes of one image: bounded by the bins that were merged
     rank = F.row_number().over(Window.partitionBy(*KEYS).orderBy(F.desc("fx"), "cr", "cg", "cb", "mode"))
     return d.withColumn("rank", rank)
@@ -215,7 +222,9 @@ def propose_two_colour(px: DataFrame, cfg: PaletteConfig = PaletteConfig()) -> D
     Decided by (has exterior, number of modes). Columns in: those of the interior
     field plus ``border``. One row per hypothesis, or one refusal row.
     """
-    modes = find_modes(px, cfg).filter(F.col("rank") <= 3)
+    keep = [*KEYS, "x", "y", "r", "g", "b", "a", "weight", "border", *[f"{k}{c}" for k in "pq" for c in "rgba"]]
+    px = cut(px.select(*keep))  # six branches read it
+    modes = cut(find_modes(px, cfg).filter(F.col("rank") <= 3))
     core = colour_histogram(px, cfg).groupBy(*KEYS).agg((F.sum("core_fx") / WEIGHT_UNIT).alias("core_weight"))
     facts = px.groupBy(*KEYS).agg(F.avg(is_transparent(cfg).cast("double")).alias("exterior_share"))
     pick = lambda k, n: F.max(F.when(F.col("rank") == k, F.col(n)))

@@ -66,11 +66,8 @@ def modes_sql(hist: str = HIST_SQL) -> str:
 
 @query("a03_merged_modes", "flat32", f"RECURSIVE {modes_sql()} SELECT image_id, mode::INT AS mode, {ENC.format(v='m.r')} AS cr, {ENC.format(v='m.g')} AS cg, {ENC.format(v='m.b')} AS cb, m.px AS pixels, m.bpx AS border_pixels FROM ml")
 def a03(t):
-    from rasterlake.functions.color import linear_to_code
-
     d = P.merge_modes(P.colour_histogram(evidence(t))).select("image_id", F.posexplode("modes").alias("i", "m"))
-    codes = [linear_to_code(F.col(f"m.{c}")).alias(f"c{c}") for c in "rgb"]
-    return d.select("image_id", (F.col("i") + 1).alias("mode"), *codes, "m.pixels", "m.border_pixels")
+    return d.select("image_id", (F.col("i") + 1).alias("mode"), "m.cr", "m.cg", "m.cb", "m.pixels", "m.border_pixels")
 
 
 @query("a04_supported_modes", "flat32", f"RECURSIVE {modes_sql()} SELECT image_id, rank, cr, cg, cb, px AS pixels, round(fx / 1048576.0, 4) AS weight FROM md")
