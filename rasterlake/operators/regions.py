@@ -389,7 +389,7 @@ def split_regions(px: DataFrame, moves: DataFrame, label: str = "label", exterio
         F.count_if(F.col(label) == F.col("new_label")).alias("present"),
         F.bool_or((F.col("region") == F.col("target")) & (F.col(label) == F.lit(exterior))).alias("ext"),
     )
-    parts = regions(inside.withColumn("__s", F.col("moved").cast("int")).select(*KEYS, "x", "y", "__s"), "__s", 4)
+    parts = regions(inside.withColumn("side", F.col("moved").cast("int")).select(*KEYS, "x", "y", "side"), "side", 4)
     pieces = parts.groupBy(*KEYS).agg(F.countDistinct("region").alias("pieces"))
     e = edit.join(facts, KEYS, "left").join(pieces, KEYS, "left")
     refusal = (

@@ -241,13 +241,13 @@ def r13b(t):
 
 
 LATTICE = f"""{cc('labels4', 'rg', 'label', 4)}, lb AS (SELECT DISTINCT * FROM (
-   SELECT a.image_id, a.x + 1 AS sx, a.y + 1 AS sy, a.x + 1 AS ex, a.y AS ey, b.region AS left, a.region AS right FROM rg a JOIN rg b ON b.image_id = a.image_id AND b.y = a.y AND b.x = a.x + 1 AND b.region <> a.region
+   SELECT a.image_id, a.x + 1 AS sx, a.y + 1 AS sy, a.x + 1 AS ex, a.y AS ey, b.region AS "left", a.region AS "right" FROM rg a JOIN rg b ON b.image_id = a.image_id AND b.y = a.y AND b.x = a.x + 1 AND b.region <> a.region
    UNION ALL SELECT a.image_id, a.x, a.y + 1, a.x + 1, a.y + 1, b.region, a.region FROM rg a JOIN rg b ON b.image_id = a.image_id AND b.x = a.x AND b.y = a.y + 1 AND b.region <> a.region
    UNION ALL SELECT image_id, x + 1, 0, x, 0, -1, region FROM rg WHERE y = 0 UNION ALL SELECT image_id, x, 8, x + 1, 8, -1, region FROM rg WHERE y = 7
    UNION ALL SELECT image_id, 0, y, 0, y + 1, -1, region FROM rg WHERE x = 0 UNION ALL SELECT image_id, 8, y + 1, 8, y, -1, region FROM rg WHERE x = 7))"""
 
 
-@query("r14_lattice_boundaries", "labels4", f"RECURSIVE {LATTICE} SELECT image_id, sx, sy, ex, ey, left, right FROM lb")
+@query("r14_lattice_boundaries", "labels4", f"RECURSIVE {LATTICE} SELECT image_id, sx, sy, ex, ey, lb.left, lb.right FROM lb")
 def r14(t):
     return R.lattice_boundaries(t.labels4())
 
@@ -257,7 +257,7 @@ def r15(t):
     return R.junctions(R.lattice_boundaries(t.labels4()))
 
 
-LOOPS = f"""{LATTICE}, he AS (SELECT *, CASE WHEN ex - sx = 1 THEN 0 WHEN ey - sy = -1 THEN 1 WHEN ex - sx = -1 THEN 2 ELSE 3 END AS hd FROM (SELECT image_id, sx, sy, ex, ey, left AS face FROM lb UNION ALL SELECT image_id, ex, ey, sx, sy, right FROM lb)),
+LOOPS = f"""{LATTICE}, he AS (SELECT *, CASE WHEN ex - sx = 1 THEN 0 WHEN ey - sy = -1 THEN 1 WHEN ex - sx = -1 THEN 2 ELSE 3 END AS hd FROM (SELECT image_id, sx, sy, ex, ey, lb.left AS face FROM lb UNION ALL SELECT image_id, ex, ey, sx, sy, lb.right FROM lb)),
   hi AS (SELECT *, (sy::BIGINT * 1048576 + sx) * 4 + hd AS id FROM he), nx AS (SELECT a.image_id, a.face, a.id, arg_min(b.id, ((b.hd + 4 - a.hd) % 4, b.id)) AS nid FROM hi a JOIN hi b ON b.image_id = a.image_id AND b.face = a.face AND b.sx = a.ex AND b.sy = a.ey GROUP BY ALL),
   wk(image_id, face, st, id) AS (SELECT image_id, face, id, id FROM nx UNION SELECT w.image_id, w.face, w.st, n.nid FROM wk w JOIN nx n ON n.image_id = w.image_id AND n.face = w.face AND n.id = w.id),
   lp AS (SELECT image_id, face, st AS id, min(id) AS loop FROM wk GROUP BY image_id, face, st)"""
@@ -271,9 +271,9 @@ def r16(t):
 @query(
     "r17_integrity_audit",
     "labels4",
-    f"""RECURSIVE {LATTICE}, bad AS (SELECT image_id, sx, sy, ex, ey, left, CASE WHEN (sx + 3 * sy + image_id) % 41 = 0 THEN left WHEN (sx + sy + image_id) % 53 = 0 THEN 777 ELSE right END AS right FROM lb WHERE (sx * 5 + sy * 7 + ex + image_id) % 61 <> 0),
-    fc AS (SELECT image_id, region AS face FROM rg GROUP BY ALL UNION SELECT DISTINCT image_id, -1 FROM rg), us AS (SELECT DISTINCT image_id, unnest([left, right]) AS face FROM bad)
-    SELECT image_id, 'same_face_both_sides' AS rule, count(*) AS violations FROM bad WHERE left = right GROUP BY 1 UNION ALL SELECT image_id, 'unknown_face', count(*) FROM us ANTI JOIN fc USING (image_id, face) GROUP BY 1
+    f"""RECURSIVE {LATTICE}, bad AS (SELECT image_id, sx, sy, ex, ey, lb.left, CASE WHEN (sx + 3 * sy + image_id) % 41 = 0 THEN lb.left WHEN (sx + sy + image_id) % 53 = 0 THEN 777 ELSE lb.right END AS "right" FROM lb WHERE (sx * 5 + sy * 7 + ex + image_id) % 61 <> 0),
+    fc AS (SELECT image_id, region AS face FROM rg GROUP BY ALL UNION SELECT DISTINCT image_id, -1 FROM rg), us AS (SELECT DISTINCT image_id, unnest([bad.left, bad.right]) AS face FROM bad)
+    SELECT image_id, 'same_face_both_sides' AS rule, count(*) AS violations FROM bad WHERE bad.left = bad.right GROUP BY 1 UNION ALL SELECT image_id, 'unknown_face', count(*) FROM us ANTI JOIN fc USING (image_id, face) GROUP BY 1
     UNION ALL SELECT image_id, 'face_without_loop', count(*) FROM fc ANTI JOIN us USING (image_id, face) GROUP BY 1
     UNION ALL SELECT image_id, 'open_vertex', count(*) FROM (SELECT image_id, x, y FROM (SELECT image_id, sx AS x, sy AS y FROM bad UNION ALL SELECT image_id, ex, ey FROM bad) GROUP BY ALL HAVING count(*) % 2 = 1) GROUP BY 1""",
 )
@@ -291,7 +291,7 @@ def r17(t):
 @query(
     "r18_rebuilt_regions",
     "labels4",
-    f"""RECURSIVE {LATTICE}, v AS (SELECT image_id, sx AS x, least(sy, ey) AS y, CASE WHEN ey < sy THEN left ELSE right END AS east, CASE WHEN ey < sy THEN right ELSE left END AS west FROM lb WHERE sx = ex AND (sx + 3 * sy + image_id) % 37 <> 0),
+    f"""RECURSIVE {LATTICE}, v AS (SELECT image_id, sx AS x, least(sy, ey) AS y, CASE WHEN ey < sy THEN lb.left ELSE lb.right END AS east, CASE WHEN ey < sy THEN lb.right ELSE lb.left END AS west FROM lb WHERE sx = ex AND (sx + 3 * sy + image_id) % 37 <> 0),
     d AS (SELECT rg.*, east, west, last_value(east IGNORE NULLS) OVER (PARTITION BY rg.image_id, rg.y ORDER BY rg.x ROWS UNBOUNDED PRECEDING) AS carried, last_value(east IGNORE NULLS) OVER (PARTITION BY rg.image_id, rg.y ORDER BY rg.x ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM rg LEFT JOIN v USING (image_id, x, y))
     SELECT image_id, x, y, carried IS DISTINCT FROM region AS region_differs, west IS NOT NULL AND before IS NOT NULL AND west <> before AS owner_differs FROM d""",
 )
