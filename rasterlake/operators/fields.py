@@ -268,7 +268,7 @@ def _thin_rule(d: DataFrame, phase: int) -> DataFrame:
 
 def thin(px: DataFrame, max_rounds: int = 10_000) -> DataFrame:
     """Thin foreground to its centre line: two alternating parallel rules until
-    neither removes a pixel. Each round is checkpointed, so the plan stays short."""
+    neither removes a pixel. Each round is written out, so the plan stays short."""
     d = cut(px.select("image_id", "x", "y", "inside"))
     for _ in range(max_rounds):
         removed = 0

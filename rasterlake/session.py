@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,24 +26,28 @@ def local_session(cpus: str = "*", partitions: int = 8) -> SparkSession:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the folder named by ``spark.checkpoint.dir``; only where the setting
-    is absent (a test on one machine) make a temporary one."""
-    sc = spark.sparkContext
-    current = sc._jsc.sc().getCheckpointDir()
+    """The shared folder named by ``spark.checkpoint.dir``; only where the
+    setting is absent (a test on one machine) a temporary one."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    sc.setCheckpointDir(folder)
+    folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    spark.sparkContext.setCheckpointDir(folder)
     return folder
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder and cut its lineage.
+    """Write ``df`` as a table in the shared checkpoint folder and read it back.
 
-    Unlike a local checkpoint the files outlive any executor, so a later stage
-    never recomputes a sampled range partitioning or an iteration.
+    The files outlive any executor, so a later stage never recomputes a sampled
+    range partitioning or an iteration. A written table also carries its true
+    size; a checkpointed RDD keeps the estimate of the plan it came from, which
+    grows as the product of all joins of an iteration.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/rasterlake-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
