@@ -21,11 +21,16 @@ def follow(pointers: DataFrame, keys: list[str]) -> DataFrame:
     """
     p = cut(pointers.select(*keys, "id", "to"))
     for _ in range(MAX_ROUNDS):
-        nxt = p.select(*keys, F.col("id").alias("to"), F.col("to").alias("__t"))
-        p = cut(p.join(nxt, [*keys, "to"], "left").select(*keys, "id", F.coalesce("__t", "to").alias("to"), F.col("__t").isNotNull().alias("__moved")))
-        if p.filter("__moved").isEmpty():
-            return p.drop("__moved")
-        p = p.drop("__moved")
+        q = p.withColumn("__moved", F.lit(False))
+        for hop in range(2):  # two doublings per written table
+            nxt = p.select(*keys, F.col("id").alias("to"), F.col("to").alias(f"__t{hop}"))
+            q = q.join(nxt, [*keys, "to"], "left")
+            moved = F.col("__moved") | F.col(f"__t{hop}").isNotNull()
+            q = q.select(*keys, "id", F.coalesce(f"__t{hop}", "to").alias("to"), moved.alias("__moved"))
+        q = cut(q)
+        p = q.drop("__moved")
+        if q.filter("__moved").isEmpty():
+            return p
     raise RuntimeError("pointer chains did not settle")
 
 
