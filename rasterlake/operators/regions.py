@@ -556,8 +556,8 @@ def audit(boundaries: DataFrame, loops: DataFrame, faces: DataFrame) -> DataFram
     """
     b = boundaries
     ends = F.explode(F.array(F.struct("sx", "sy"), F.struct(F.col("ex").alias("sx"), F.col("ey").alias("sy")))).alias("v")
-    flip = F.struct("ex", "ey") < F.struct("sx", "sy")
-    und = b.select(*KEYS, F.when(flip, F.struct("ex", "ey", "sx", "sy")).otherwise(F.struct("sx", "sy", "ex", "ey")).alias("u"))
+    here, there = F.array("sy", "sx"), F.array("ey", "ex")
+    und = b.select(*KEYS, F.struct(F.least(here, there).alias("low"), F.greatest(here, there).alias("high")).alias("u"))
     used = b.select(*KEYS, F.explode(F.array("left", "right")).alias("face")).distinct()
     rules = {
         "same_face_both_sides": b.filter(F.col("left") == F.col("right")).select(*KEYS),

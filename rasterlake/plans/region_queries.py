@@ -301,8 +301,8 @@ def r18(t):
 
 
 def skeleton_sql() -> str:
-    thin = thin_sql(5).replace("SELECT image_id, x, y, (v >= 0.45)::INT AS i FROM grid", "SELECT image_id, x, y, inside::INT AS i FROM bin8")
-    return f"""{thin}, sk AS (SELECT image_id, x, y FROM u10 WHERE i = 1), dg AS (SELECT a.image_id, a.x, a.y, count(b.x) AS degree FROM sk a LEFT JOIN sk b ON b.image_id = a.image_id AND greatest(abs(a.x - b.x), abs(a.y - b.y)) = 1 GROUP BY ALL),
+    thin = thin_sql(10).replace("SELECT image_id, x, y, (v >= 0.45)::INT AS i FROM grid", "SELECT image_id, x, y, inside::INT AS i FROM bin8")
+    return f"""{thin}, sk AS (SELECT image_id, x, y FROM u20 WHERE i = 1), dg AS (SELECT a.image_id, a.x, a.y, count(b.x) AS degree FROM sk a LEFT JOIN sk b ON b.image_id = a.image_id AND greatest(abs(a.x - b.x), abs(a.y - b.y)) = 1 GROUP BY ALL),
     dl AS (SELECT *, (degree <> 2)::INT AS label FROM dg), {cc('dl', 'rg', 'label', 8)}, pt AS (SELECT rg.*, degree FROM rg JOIN dg USING (image_id, x, y))"""
 
 

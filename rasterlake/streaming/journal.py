@@ -51,16 +51,15 @@ def ingest(stream: DataFrame, store: str, quarantine: str, state: str) -> None:
     different one goes to quarantine. Keys are reduced inside the batch before
     they meet the stored table, so a key that fills a batch costs one row.
     """
+    # an empty batch makes a new store readable and changes nothing in an old one
+    stream.sparkSession.createDataFrame([], _store_schema()).write.mode("overwrite").parquet(f"{store}/batch=-1")
 
     def sink(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         rows = batch.persist()
         first = rows.groupBy("key").agg(F.min_by("payload", F.struct("at", "id")).alias("first"))
-        try:
-            known = read_batches(spark, store, _store_schema()).filter(F.col("batch") != batch_id)
-            known = known.select("key", F.col("payload").alias("stored"))
-        except Exception:  # nothing stored yet
-            known = spark.createDataFrame([], "key string, stored double")
+        known = read_batches(spark, store, _store_schema()).filter(F.col("batch") != batch_id)
+        known = known.select("key", F.col("payload").alias("stored"))
         judged = first.join(known, "key", "left")
         fresh = judged.filter("stored is null").select("key", F.col("first").alias("payload"))
         fresh.write.mode("overwrite").parquet(f"{store}/batch={batch_id}")
