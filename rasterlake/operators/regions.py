@@ -605,15 +605,15 @@ def skeleton_graph(px: DataFrame, distances: DataFrame) -> tuple[DataFrame, Data
     node. The rest splits into edges (one component each); an edge that touches
     no node is a cycle. Edge width is the exact median of 2*sqrt(d2) - 1.
     """
-    fg = px.filter("inside").select(*KEYS, "x", "y")
-    near = neighbours(fg.withColumn("m", F.lit(1)), KEYS, ["m"], clamp=False)
+    near = neighbours(px.select(*KEYS, "x", "y", F.col("inside").cast("int").alias("m")), KEYS, ["m"], clamp=False).filter("m = 1")
     degree = F.coalesce(F.col(f"{EIGHT[0]}.m"), F.lit(0))
     for n in EIGHT[1:]:
         degree = degree + F.coalesce(F.col(f"{n}.m"), F.lit(0))
     d = cut(near.select(*KEYS, "x", "y", degree.alias("degree")).withColumn("is_node", F.col("degree") != 2))
     part = cut(regions(d.withColumn("label", F.col("is_node").cast("int")), "label", 8))
     nodes = part.filter("is_node").groupBy(*KEYS, F.col("region").alias("node")).agg(F.count("*").alias("pixels"), F.max("degree").alias("max_degree"))
-    side = neighbours(part.select(*KEYS, "x", "y", "region", "is_node"), KEYS, ["region", "is_node"], clamp=False)
+    dense = px.select(*KEYS, "x", "y").join(part.select(*KEYS, "x", "y", "region", "is_node"), [*KEYS, "x", "y"], "left")
+    side = neighbours(dense, KEYS, ["region", "is_node"], clamp=False)
     ends = F.explode(F.array(*[F.when(F.col(f"{n}.is_node"), F.col(f"{n}.region")) for n in EIGHT])).alias("node")
     touch = side.filter("not is_node").select(*KEYS, "region", ends).filter("node is not null")
     ends_of = touch.groupBy(*KEYS, "region").agg(F.countDistinct("node").alias("end_nodes"))

@@ -47,8 +47,8 @@ def around(df: DataFrame, keys: list[str], cols: list[str], prefix: str = "", cl
     """Add a struct of ``cols`` for each neighbour of a tiled table.
 
     The structs are named by direction after ``prefix``. A missing neighbour
-    takes the own value (``clamp``) or NULL. Pixels may be absent: only true
-    neighbours count.
+    takes the own value (``clamp``) or NULL. Pixels may be absent from the table
+    only without diagonals, which are reached through the pixel above or below.
     """
     wr, wc = row_window(keys), column_window(keys)
     own = F.struct(*cols)
