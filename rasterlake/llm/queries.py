@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
-from rasterlake.llm import packing
+from rasterlake.llm import exact_blocks, imatch, mixing, packing, sanitise
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -21,6 +21,29 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@_query
+def op2_exact_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_blocks.exact_copies(_table(spark, sf_dir, "documents"))
+
+
 @_query
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
+
+
+@_query
+def op5_sanitise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sanitise.personal_data(_table(spark, sf_dir, "documents"))
+
+
+@_query
+def op7_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.fingerprints(_table(spark, sf_dir, "documents"))
+
+
+@_query
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf_dir, "documents"))
+
+
+ORACLES |= {"op2_exact_blocks": exact_blocks.SQL, "op9_mixing": mixing.SQL}
