@@ -26,3 +26,10 @@ def bitmap(ids: DataFrame, name: str) -> DataFrame:
 def holds(words: Column, i: Column) -> Column:
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), i.bitwiseAND(63))
     return F.get(words, F.shiftrightunsigned(i, 6)).bitwiseAND(bit) != 0
+
+
+def only_rows(base: DataFrame, rows: DataFrame) -> DataFrame:
+    """Base rows whose ``row`` stands in ``rows`` (distinct); most others are left out before the join."""
+    wanted = F.broadcast(bitmap(rows.select(bucket(F.col("row")).alias("id")), "wanted"))  # one row of fixed size
+    near = base.crossJoin(wanted).filter(holds(F.col("wanted"), bucket(F.col("row")))).drop("wanted")
+    return near.join(rows.hint("merge"), "row", "left_semi")

@@ -18,6 +18,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from rasterlake.llm.bitmap import only_rows
 from rasterlake.llm.rows import numbered, sorted_names, unpack
 from rasterlake.session import cut
 
@@ -37,7 +38,7 @@ def _identities(rows: DataFrame, tied: DataFrame) -> DataFrame:
     """(row, first, rest): equal pairs mean equal texts, for rows whose first names are shared."""
     long = tied.filter(F.col("n") > HEAD)
     blocks = F.regexp_extract_all(F.substr("flat", F.lit(HEAD + 1)), F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
-    parts = rows.join(long.select("row"), "row").select("row", F.posexplode(blocks).alias("i", "block"))
+    parts = only_rows(rows, long.select("row")).select("row", F.posexplode(blocks).alias("i", "block"))
     names = sorted_names(parts.select("block").distinct(), ["block"])
     level = cut(parts.join(names, "block").select("row", "i", "name"))
     most = long.agg(F.max("n")).first()[0] or 0
@@ -66,7 +67,8 @@ def _resolve(base: DataFrame, id_col: str, text_col: str) -> DataFrame:
     same = cut(_identities(rows, tied))
     ranked = tied.select("row", F.struct("chars", (-F.col("doc_id")).alias("d"), (-F.col("row")).alias("r"), "doc_id", "row").alias("rank"))
     groups = same.join(ranked, "row").groupBy("first", "rest").agg(F.max("rank").alias("best"), F.count(F.lit(1)).alias("group_size"))
-    found = same.join(groups.filter("group_size > 1"), ["first", "rest"]).select(
+    groups = cut(groups.filter("group_size > 1"))  # so that the join below may split a hot group
+    found = same.join(groups, ["first", "rest"]).select(
         "row", F.col("best.row").alias("keep_row"), F.col("best.doc_id").alias("keep_id"), "group_size"
     )
     joined = facts.join(found, "row", "left")
