@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rasterlake.llm import exact_blocks, imatch, mixing, packing, sanitise
+import corpus_pipeline
+from rasterlake.llm import exact_blocks, imatch, jaccard_join, language_id, mixing, packing, sanitise
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -31,6 +32,11 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
+@_query
+def op4_string_kernels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.languages(_table(spark, sf_dir, "documents"))
+
+
 @_query
 def op5_sanitise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sanitise.personal_data(_table(spark, sf_dir, "documents"))
@@ -41,9 +47,16 @@ def op7_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imatch.fingerprints(_table(spark, sf_dir, "documents"))
 
 
+@_query
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_copies(_table(spark, sf_dir, "documents"))
+
+
 @_query
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
 
+QUERIES["pipeline"] = corpus_pipeline.run
+
 ORACLES |= {"op2_exact_blocks": exact_blocks.SQL, "op9_mixing": mixing.SQL}
