@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from rasterlake.llm import exact_blocks, imatch, jaccard_join, language_id, mixing, packing, sanitise
+from rasterlake.llm import exact_blocks, imatch, jaccard_join, language_id, mixing, packing, sanitise, warc_zip, wrapper
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -22,6 +22,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@_query
+def op1_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_zip.round_trip(_table(spark, sf_dir, "pages"))
+
+
 @_query
 def op2_exact_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_blocks.exact_copies(_table(spark, sf_dir, "documents"))
@@ -42,6 +47,11 @@ def op5_sanitise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sanitise.personal_data(_table(spark, sf_dir, "documents"))
 
 
+@_query
+def op6_wrapper(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrapper.extract(_table(spark, sf_dir, "pages"))
+
+
 @_query
 def op7_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imatch.fingerprints(_table(spark, sf_dir, "documents"))
@@ -59,4 +69,4 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["pipeline"] = corpus_pipeline.run
 
-ORACLES |= {"op2_exact_blocks": exact_blocks.SQL, "op9_mixing": mixing.SQL}
+ORACLES |= {"op1_warc_zip": warc_zip.SQL, "op2_exact_blocks": exact_blocks.SQL, "op9_mixing": mixing.SQL}
