@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from rasterlake.session import cut
 
-BITS = 22
+BITS = 20
 
 
 def bucket(value: Column) -> Column:

@@ -1,6 +1,6 @@
 """I-Match fingerprints.
 
-Terms are the runs of letters and digits of the lower-case text, each known by 22 bits of its hash. Document
+Terms are the runs of letters and digits of the lower-case text, each known by 20 bits of its hash. Document
 frequencies are counted over all documents; the lexicon keeps the terms whose share of documents lies in a band, so of
 inverse document frequency between ``-log2(HIGH)`` and ``-log2(LOW)``. A document's distinct lexicon terms are sorted and
 hashed once for each of several randomised sub-lexicons. The fingerprint is the list of these hashes; the likeness of two
@@ -26,8 +26,8 @@ from rasterlake.llm.rows import partitions
 from rasterlake.session import cut
 
 LOW, HIGH = 0.002, 0.6
-#: of 2**k lexicon terms, sub-lexicon i keeps one
-KEEP_ONE_OF = (3, 4, 5, 5, 6, 6, 6, 6, 7, 7, 7, 7, 8, 8, 8, 8)
+#: (k, n): the lexicon is dealt by a seeded hash into 2**k parts, and n of them are sub-lexicons
+SUB_LEXICONS = ((4, 4), (6, 6), (8, 6))
 NONE = "--------"
 
 
@@ -53,18 +53,27 @@ def lexicon_terms(text: Column, lexicon: Column) -> Column:
     return F.array_sort(F.filter(term_ids(text), lambda i: holds(lexicon, i)))
 
 
-def _in_part(k: int, mask: int, i: Column) -> Column:
-    return F.hash(i, F.lit(k)).bitwiseAND(mask) == 0
+def _part(k: int, i: Column) -> Column:
+    return F.hash(i, F.lit(k)).bitwiseAND((1 << k) - 1)
 
 
-def _hashes(terms: Column) -> Column:
-    """One hash for each sub-lexicon, ``NONE`` where the text has no term of it."""
-    out = []
-    for k, e in enumerate(KEEP_ONE_OF):
-        mine = F.filter(terms, partial(_in_part, k, (1 << e) - 1))
-        text = F.array_join(mine, ",")
-        out.append(F.when(F.size(mine) == 0, NONE).otherwise(F.substring(F.sha2(text, 256), 1, 8)))
-    return F.array(*out)
+def _in_used(k: int, n: int, i: Column) -> Column:
+    return _part(k, i) < n
+
+
+def _in_part(k: int, part: int, i: Column) -> Column:
+    return _part(k, i) == part
+
+
+def _hashes(texts: DataFrame, terms: str, name: str) -> DataFrame:
+    """Replaces the column of terms by the hashes of the sub-lexicons, ``NONE`` where the text has no term of one.
+
+    The terms of the sub-lexicons of one size are a column of their own, so that each step is taken once.
+    """
+    used = texts.withColumns({f"{name}_{k}": F.filter(terms, partial(_in_used, k, n)) for k, n in SUB_LEXICONS})
+    parts = [F.array_join(F.filter(f"{name}_{k}", partial(_in_part, k, p)), ",") for k, n in SUB_LEXICONS for p in range(n)]
+    hashed = F.transform(F.array(*parts), lambda t: F.when(t == "", NONE).otherwise(F.substring(F.sha2(t, 256), 1, 8)))
+    return used.withColumn(name, hashed).drop(terms, *[f"{name}_{k}" for k, _ in SUB_LEXICONS])
 
 
 def _likeness(a: Column, b: Column) -> Column:
@@ -104,7 +113,9 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     both = placed.join(F.broadcast(ghosts), hit, "left")
     where = F.array_compact(F.array(F.struct(F.col("bucket").alias("at"), F.lit(False).alias("ghost")), F.when(F.col("to").isNotNull(), F.struct(F.col("to").alias("at"), F.lit(True).alias("ghost")))))
     lexicon = F.broadcast(lexicon_bits(texts, low, high))  # one row of fixed size
-    own = both.crossJoin(lexicon).select("doc_id", "text", "h", F.explode(where).alias("w"), _hashes(lexicon_terms(F.col("text"), F.col("lexicon"))).alias("mine"))
+    # the terms are a column of their own, so that they are found once and not for each sub-lexicon
+    own = both.crossJoin(lexicon).select("doc_id", "text", "h", where.alias("where"), lexicon_terms(F.col("text"), F.col("lexicon")).alias("terms"))
+    own = _hashes(own, "terms", "mine").withColumn("w", F.explode("where"))
     w = Window.partitionBy("at").orderBy("ghost", F.desc_nulls_last("doc_id"), F.desc("h"))
     following = own.select("doc_id", "text", "mine", "h", "w.at", "w.ghost").select(
         "doc_id", "text", "mine", "ghost", F.lead("text").over(w).alias("next"), F.lead("mine").over(w).alias("next_mine")
@@ -112,7 +123,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     half = F.floor(F.length("text") / 2).cast("int")
     edited = F.concat(F.substr("text", F.lit(1), F.length("text") - half), F.substr("next", F.lit(1), half))
     rows = following.filter("not ghost").select("doc_id", F.length("text").cast("long").alias("n_chars"), edited.alias("edited"), "mine", "next_mine")
-    done = rows.crossJoin(lexicon).select("*", _hashes(lexicon_terms(F.col("edited"), F.col("lexicon"))).alias("theirs"))
+    done = rows.crossJoin(lexicon).select("*", lexicon_terms(F.col("edited"), F.col("lexicon")).alias("terms"))
+    done = _hashes(done, "terms", "theirs")
     return done.select(
         "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
         F.array_join("mine", "").alias("fingerprint"), F.array_join("theirs", "").alias("edited_fingerprint"),
