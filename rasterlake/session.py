@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -10,7 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: str = "*", partitions: int = 8) -> SparkSession:
-    """A session for tests and the bench; a cluster passes in its own."""
+    """A session for tests and the bench; a cluster passes in its own.
+
+    Workers of a local session import the package from here; a cluster ships it (see the README).
+    """
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    paths = os.environ.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in paths:
+        os.environ["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
     return (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName("rasterlake")
@@ -26,19 +34,30 @@ def local_session(cpus: str = "*", partitions: int = 8) -> SparkSession:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; only where the
-    setting is absent (a test on one machine) a temporary one."""
+    """The shared folder named by ``spark.checkpoint.dir``.
+
+    Where the setting is absent a session on one machine gets a temporary folder; a cluster is refused, because each
+    executor would write to a disk of its own.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
+    master = spark.conf.get("spark.master", spark.sparkContext.master)
+    if not one_machine(master):
+        raise RuntimeError(f"name a folder that all executors share in spark.checkpoint.dir (master {master})")
     folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     spark.sparkContext.setCheckpointDir(folder)
     return folder
 
 
+def one_machine(master: str) -> bool:
+    """Whether executors run in the driver's process."""
+    return re.fullmatch(r"local(\[.*\])?", master) is not None
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared checkpoint folder and read it back.
 

@@ -176,3 +176,24 @@ def test_stencil_is_independent_of_tiles(spark):
     df = spark.createDataFrame(rows, "image_id long, x int, y int, v double")
     pick = lambda tile: sorted(map(tuple, neighbours(df, ["image_id"], ["v"], tile=tile).select("x", "y", "e.v", "nw.v", "s.v").collect()))
     assert pick(64) == pick(4)
+
+
+def test_a_cluster_must_name_a_shared_folder():
+    from rasterlake import session
+
+    class Conf:
+        def get(self, key, default=None):
+            return {"spark.master": "spark://host:7077"}.get(key, default)
+
+    class Unset:
+        def isDefined(self):
+            return False
+
+    class Context:
+        master = "spark://host:7077"
+        _jsc = type("J", (), {"sc": lambda self: type("S", (), {"getCheckpointDir": lambda self: Unset()})()})()
+
+    fake = type("Session", (), {"conf": Conf(), "sparkContext": Context()})()
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.ensure_checkpoint_dir(fake)
+    assert session.one_machine("local[8]") and not session.one_machine("local-cluster[3,2,1024]")
