@@ -2,8 +2,8 @@
 
 White space never lies inside a pre-token, so a text is the concatenation of its chunks between white space. Chunks are
 encoded once per worker and kept; all new chunks of a block of texts are encoded together with numpy: in each step every
-chunk merges its pair of lowest rank, as the library does one chunk at a time. Texts with characters that the two lower
-case rules treat differently, or with a special token, go to the library as they are. Tests compare both on all kinds.
+chunk merges its pair of lowest rank, as the library does one chunk at a time. Texts with rarer characters, which the two
+lower case rules or Unicode tables may treat differently, or with a special token go to the library as they are.
 """
 
 from __future__ import annotations
@@ -21,7 +21,8 @@ NONE = np.int64(1) << 40
 
 # fixed value: the vocabulary's own pre-token pattern, plus the space between chunks
 _PRE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+| ")
-_ODD = re.compile("[\x1c-\x1fΣİ]|<\\|")
+# what the two lower case rules or Unicode tables may treat differently, and special tokens
+_ODD = re.compile("[\x1c-\x1fΣİ]|<\\||[^\\x00-\u02ff\u0370-\u052f\u2010-\u2060\u20a0-\u20bf\u3001-\u30ff\u4e00-\u9fff\uac00-\ud7a3]")
 
 
 class WordIds:
