@@ -16,18 +16,34 @@ _lgamma = np.vectorize(math.lgamma, otypes=[float])
 
 
 def _lower_fraction(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Continued fraction of the incomplete beta function, evaluated from the
-    tail backwards so that every row needs the same number of steps."""
-    depth = int(min(20000, 200 + 4 * math.sqrt(float(np.max(a + b, initial=1.0)))))
-    tail = np.zeros_like(x)
-    for i in range(depth, 0, -1):
-        m = i // 2
-        if i % 2 == 0:
-            d = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
+    """Continued fraction of the incomplete beta function.
+
+    Numerators and denominators are followed forwards as ratios, each row until
+    its own value stands still; rows that have settled leave the loop.
+    """
+    out = np.empty_like(x)
+    left = np.arange(len(x))
+    up, down = np.ones(len(x)), np.zeros(len(x))  # ratios of neighbouring numerators and denominators
+    value = np.ones(len(x))
+    step = 0
+    while len(left):
+        step += 1
+        m = step // 2
+        p, q, t = a[left], b[left], x[left]
+        if step % 2 == 0:
+            d = m * (q - m) * t / ((p + 2 * m - 1) * (p + 2 * m))
         else:
-            d = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
-        tail = d / (1.0 + tail)
-    return 1.0 / (1.0 + tail)
+            d = -(p + m) * (p + q + m) * t / ((p + 2 * m) * (p + 2 * m + 1))
+        up = 1.0 + d / np.where(up == 0, 1e-300, up)
+        down = 1.0 / np.where((now := 1.0 + d * down) == 0, 1e-300, now)
+        factor = up * down
+        value = value * factor
+        settled = np.abs(factor - 1.0) < 1e-16
+        settled |= (np.abs(factor - 1.0) < 4e-16) & (step > 8)
+        out[left[settled]] = value[settled]
+        keep = ~settled
+        left, up, down, value = left[keep], up[keep], down[keep], value[keep]
+    return 1.0 / out
 
 
 def incomplete_beta(a, b, x) -> np.ndarray:
@@ -65,11 +81,17 @@ def upper_bound(failures, trials, confidence: float) -> np.ndarray:
 
 
 def clopper_pearson_upper(failures: Column, trials: Column, confidence: float) -> Column:
+    """The bound of aggregated counts: a closed form without failures, and the
+    search once for each distinct pair of the others."""
+
     @F.pandas_udf("double")
     def bound(k: pd.Series, n: pd.Series) -> pd.Series:
-        return pd.Series(upper_bound(k.to_numpy(), n.to_numpy(), confidence))
+        pairs, back = np.unique(np.stack([k.fillna(0).to_numpy(), n.fillna(0).to_numpy()]), axis=1, return_inverse=True)
+        return pd.Series(upper_bound(pairs[0], pairs[1], confidence)[back.ravel()])
 
-    return bound(failures.cast("double"), trials.cast("double"))
+    some = failures > 0
+    searched = bound(F.when(some, failures).cast("double"), F.when(some, trials).cast("double"))
+    return F.when(some, searched).otherwise(zero_failure_bound(trials, confidence))
 
 
 def incomplete_beta_column(a: Column, b: Column, x: Column) -> Column:

@@ -109,20 +109,34 @@ def local_maxima(rows: DataFrame, value: str, half: int) -> DataFrame:
     return d.filter(top).select(*KEYS, "k", value)
 
 
-def correlation_length(points: DataFrame, value: str, max_lag: int) -> DataFrame:
-    """First lag whose normalised autocovariance falls below 1/e.
+def correlation_length(points: DataFrame, value: str, step: float = 1.0) -> DataFrame:
+    """First lag whose normalised autocovariance falls below 1/e, and its length.
 
-    Lags are looked at up to ``max_lag``; NULL means none of them was below.
+    Lags go up to half of the chain; if none is below, that is the answer. Chains
+    of fewer than four points or of one value have lag 1. Lags are searched in
+    blocks that double, for the chains that have not been decided yet.
     """
-    m = points.groupBy(*KEYS).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.var_pop(value).alias("var"))
-    d = points.select(*KEYS, "k", F.col(value).alias("v")).join(m, KEYS).withColumn("v", F.col("v") - F.col("mean"))
-    d = chunked(d, KEYS, "k", max_lag)
-    lagged = {f"l{i}": F.lead("v", i).over(chunk_window()) for i in range(1, max_lag + 1)}
-    d = d.withColumns(lagged).filter("__core")
-    s = d.groupBy(*KEYS, "n", "var").agg(*[F.sum(F.col("v") * F.col(f"l{i}")).alias(f"c{i}") for i in range(1, max_lag + 1)])
-    usable = lambda i: F.lit(i) < F.floor(F.col("n") / 2)
-    hit = [F.when(usable(i) & (F.col(f"c{i}") / (F.col("n") * F.col("var")) < 1 / math.e), F.lit(i)) for i in range(1, max_lag + 1)]
-    return s.filter((F.col("n") >= 4) & (F.col("var") > 0)).select(*KEYS, "n", F.least(*hit).alias("lag"))
+    v = F.col(value)
+    m = points.groupBy(*KEYS).agg(F.count("*").alias("n"), F.avg(v).alias("__mean"), F.var_pop(v).alias("__var"))
+    half = F.floor(F.col("n") / 2).cast("int")
+    m = cut(m.withColumn("__half", F.when((F.col("n") >= 4) & (F.col("__var") > 0), half).otherwise(1)))
+    d = points.select(*KEYS, "k", v.alias("__v")).join(m, KEYS)
+    d = cut(d.select(*KEYS, "k", (F.col("__v") - F.col("__mean")).alias("__v"), "__half", (F.col("n") * F.col("__var")).alias("__total")))
+    longest = m.agg(F.max("__half")).first()[0] or 0
+    other = d.select(*KEYS, F.col("k").alias("__at"), F.col("__v").alias("__w"))
+    open_, found, low, high = d, None, 1, 9
+    while low < longest:
+        lag = F.explode(F.sequence(F.lit(low), F.least(F.lit(high), F.col("__half")) - 1)).alias("lag")
+        pairs = open_.filter(F.col("__half") > low).select(*KEYS, "k", "__v", "__total", lag).withColumn("__at", F.col("k") + F.col("lag"))
+        sums = pairs.join(other, [*KEYS, "__at"]).groupBy(*KEYS, "lag", "__total").agg(F.sum(F.col("__v") * F.col("__w")).alias("__c"))
+        hits = cut(sums.filter(F.col("__c") / F.col("__total") < 1 / math.e).groupBy(*KEYS).agg(F.min("lag").alias("lag")))
+        found = hits if found is None else found.unionByName(hits)
+        open_ = cut(open_.filter(F.col("__half") > high).join(hits, KEYS, "left_anti"))
+        if open_.isEmpty():
+            break
+        low, high = high, 2 * high
+    out = m.withColumn("lag", F.col("__half")) if found is None else m.join(found, KEYS, "left").withColumn("lag", F.coalesce("lag", "__half"))
+    return out.select(*KEYS, "n", F.col("lag").cast("int").alias("lag"), (F.col("lag") * step).alias("length"))
 
 
 # ---- spatial joins ----------------------------------------------------------

@@ -27,7 +27,13 @@ def formations(palettes: DataFrame) -> DataFrame:
 def cell_id(size: Column, profile: Column, psf: Column, sigma: Column, blend: Column, resize: Column, dx: Column, dy: Column, contrast: Column) -> Column:
     kernel = F.when(psf == "gaussian", F.format_string("gauss%.2f", sigma)).otherwise(psf)
     short = F.when(blend == "linear_light", "lin").otherwise("srgb")
-    return F.format_string("s%d_p%s_%s_%s_%s_dx%.2fdy%.2f_c%.2f", size, profile, kernel, short, resize, dx, dy, contrast)
+    return F.format_string("s%d_p%s_%s_%s_%s_dx%sdy%s_c%.2f", size, profile, kernel, short, resize, _hundredths(dx), _hundredths(dy), contrast)
+
+
+def _hundredths(v: Column) -> Column:
+    """Two digits, ties to the even one: phases are eighths, which engines print differently."""
+    h = F.bround(v * 100, 0).cast("bigint")
+    return F.format_string("%s%d.%02d", F.when(h < 0, "-").otherwise(""), F.floor(F.abs(h) / 100), F.abs(h) % 100)
 
 
 def identifiability(

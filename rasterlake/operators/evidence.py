@@ -245,7 +245,8 @@ def autocorrelation(res: DataFrame, max_lag: int) -> DataFrame:
     m = res.filter(active).groupBy(*KEYS).agg(F.count("*").alias("n"), F.avg("r").alias("mean"), F.var_pop("r").alias("var"))
     t = tiled(res.select(*KEYS, "x", "y", F.when(active, F.col("r")).alias("r")), KEYS, halo=max_lag)
     names = [(a, k) for a in "xy" for k in range(1, max_lag + 1)]
-    t = core(t.withColumns({f"{a}{k}": shifted(t, KEYS, "r", k, a) for a, k in names})).join(m, KEYS)
+    # an image without active pixels has an effective size of 1
+    t = core(t.withColumns({f"{a}{k}": shifted(t, KEYS, "r", k, a) for a, k in names})).join(m, KEYS, "left").na.fill(0, ["n"])
     acc = [F.avg((F.col("r") - F.col("mean")) * (F.col(f"{a}{k}") - F.col("mean"))).alias(f"{a}{k}") for a, k in names]
     d = t.groupBy(*KEYS, "n", "var").agg(*acc)
     rho = lambda a, k: F.when(F.col("var") > 0, F.coalesce(F.col(f"{a}{k}") / F.nullif(F.col("var"), F.lit(0.0)), F.lit(0.0))).otherwise(F.lit(0.0))

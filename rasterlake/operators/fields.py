@@ -262,20 +262,23 @@ def _thin_rule(d: DataFrame, phase: int) -> DataFrame:
         turns = turns + F.when((a == 0) & (b == 1), 1).otherwise(0)
     n, e, s, w = p[0], p[2], p[4], p[6]
     sides = ((n * e * s == 0) & (e * s * w == 0)) if phase == 0 else ((n * e * w == 0) & (n * s * w == 0))
-    gone = F.col("inside") & (count >= 2) & (count <= 6) & (turns == 1) & sides
+    gone = F.col("inside") & F.col("__inner") & (count >= 2) & (count <= 6) & (turns == 1) & sides
     return core(forget(d.withColumns({"__gone": gone, "__left": F.col("inside") & ~gone})))
 
 
 def thin(px: DataFrame, max_rounds: int = 10_000) -> DataFrame:
     """Thin foreground to its centre line: two alternating parallel rules until
-    neither removes a pixel. Each round is written out, so the plan stays short."""
-    d = cut(px.select("image_id", "x", "y", "inside"))
+    neither removes a pixel. The frame is never touched, so rasters under three
+    pixels stay as they are. Each round is written out, so the plan stays short."""
+    size = px.groupBy("image_id").agg(F.max("x").alias("__mx"), F.max("y").alias("__my"))
+    inner = F.col("x").between(1, F.col("__mx") - 1) & F.col("y").between(1, F.col("__my") - 1)
+    d = cut(px.join(size, "image_id").select("image_id", "x", "y", "inside", inner.alias("__inner")))
     for _ in range(max_rounds):
         removed = 0
         for phase in (0, 1):
             t = cut(_thin_rule(d, phase))
             removed += t.filter("__gone").limit(1).count()
-            d = t.select("image_id", "x", "y", F.col("__left").alias("inside"))
+            d = t.select("image_id", "x", "y", F.col("__left").alias("inside"), "__inner")
         if removed == 0:
-            return d
+            return d.drop("__inner")
     raise RuntimeError("thinning did not settle")

@@ -134,7 +134,7 @@ def quota_keep(rows: DataFrame, image: str, classes: Column, cost: str, digest:
 
 
 def memory_scan(
-    rows: DataFrame, image: str, order: list[str], memory: str, max_bytes: int, max_count: int, fold_limit: int = 4096
+    rows: DataFrame, image: str, order: list[str], memory: str, max_bytes: int, max_count: int
 ) -> DataFrame:
     """Admit candidates in order while they fit the memory budget.
 
@@ -142,47 +142,12 @@ def memory_scan(
     ``max_count`` admissions the rest is cut by the candidate budget. Adds
     ``scan`` = considered / memory_budget / candidate_budget.
 
-    Images of up to ``fold_limit`` candidates are folded as one sorted array.
-    Larger ones are resolved in rounds over the whole table: what no longer fits
+    All images are resolved in rounds over the whole table: what no longer fits
     can never fit later, so each round drops it and admits the longest prefix of
-    the rest, found by a sliced running sum. A round admits at least one row, so
-    there are at most ``max_count`` rounds, and no large image is ever collected.
+    the rest, found by a sliced running sum. A round admits at least one row of
+    every open image, so there are at most ``max_count`` rounds, and no image is
+    ever collected.
     """
-    sizes = rows.groupBy(image).agg(F.count("*").alias("__n"))
-    tagged = rows.join(sizes, image)
-    small = _scan_fold(tagged.filter(F.col("__n") <= fold_limit).drop("__n"), image, order, memory, max_bytes, max_count)
-    if sizes.filter(F.col("__n") > fold_limit).isEmpty():
-        return small
-    large = _scan_rounds(tagged.filter(F.col("__n") > fold_limit).drop("__n"), image, order, memory, max_bytes, max_count)
-    return small.unionByName(large)
-
-
-def _scan_fold(rows: DataFrame, image: str, order: list[str], memory: str, max_bytes: int, max_count: int) -> DataFrame:
-    cols = [c for c in rows.columns if c != image]
-    item = F.struct(*order, *[c for c in cols if c not in order])
-    lists = rows.groupBy(image).agg(F.sort_array(F.collect_list(item)).alias("__items"))
-    start = F.struct(
-        F.lit(0).cast("bigint").alias("used"), F.lit(0).cast("bigint").alias("taken"), F.array().cast("array<string>").alias("out")
-    )
-
-    def admit(state: Column, row: Column) -> Column:
-        need = row[memory].cast("bigint")
-        full = state["taken"] >= max_count
-        fits = ~full & (state["used"] + need <= max_bytes)
-        mark = F.when(full, "candidate_budget").when(fits, "considered").otherwise("memory_budget")
-        return F.struct(
-            (state["used"] + F.when(fits, need).otherwise(F.lit(0).cast("bigint"))).alias("used"),
-            (state["taken"] + F.when(fits, F.lit(1).cast("bigint")).otherwise(F.lit(0).cast("bigint"))).alias("taken"),
-            F.concat(state["out"], F.array(mark)).alias("out"),
-        )
-
-    flags = F.aggregate("__items", start, admit, lambda s: s["out"])
-    zipped = F.arrays_zip(F.col("__items").alias("row"), flags.alias("scan"))
-    out = lists.select(image, F.explode(zipped).alias("z"))
-    return out.select(image, *[F.col(f"z.row.{c}").alias(c) for c in cols], F.col("z.scan").alias("scan"))
-
-
-def _scan_rounds(rows: DataFrame, image: str, order: list[str], memory: str, max_bytes: int, max_count: int) -> DataFrame:
     spot = F.struct(*order)
     left = cut(rows.select(image, *order, F.col(memory).cast("bigint").alias("__m")).withColumn("__used", F.lit(0).cast("bigint")).withColumn("__taken", F.lit(0).cast("bigint")))
     admitted = None
@@ -220,7 +185,7 @@ class BeamConfig:
     max_bytes: int = 120
 
 
-def diverse_beam(hyp: DataFrame, cfg: BeamConfig = BeamConfig(), fold_limit: int = 4096) -> DataFrame:
+def diverse_beam(hyp: DataFrame, cfg: BeamConfig = BeamConfig()) -> DataFrame:
     """Status of every hypothesis after beam selection.
 
     Deliveries are collapsed to their best member (a combining min), then the
@@ -230,7 +195,7 @@ def diverse_beam(hyp: DataFrame, cfg: BeamConfig = BeamConfig(), fold_limit: int
     order = ["total_bits", "hypothesis_id"]
     best = F.min(F.struct(*order, "topology_class", "formation_class", "memory_bytes"))
     unique = hyp.groupBy("image_id", "delivery").agg(best.alias("b")).select("image_id", "delivery", "b.*")
-    scanned = memory_scan(unique, "image_id", order, "memory_bytes", cfg.max_bytes, cfg.max_candidates, fold_limit)
+    scanned = memory_scan(unique, "image_id", order, "memory_bytes", cfg.max_bytes, cfg.max_candidates)
     w = Window.partitionBy("image_id").orderBy(*order)
     considered = scanned.filter("scan = 'considered'")
     eligible = considered.withColumn("__best", F.first("total_bits").over(w)).withColumn(

@@ -224,7 +224,7 @@ def propose_two_colour(px: DataFrame, cfg: PaletteConfig = PaletteConfig()) -> D
     """
     keep = [*KEYS, "x", "y", "r", "g", "b", "a", "weight", "border", *[f"{k}{c}" for k in "pq" for c in "rgba"]]
     px = cut(px.select(*keep))  # six branches read it
-    modes = cut(find_modes(px, cfg).filter(F.col("rank") <= 3))
+    modes = cut(find_modes(px, cfg))
     core = colour_histogram(px, cfg).groupBy(*KEYS).agg((F.sum("core_fx") / WEIGHT_UNIT).alias("core_weight"))
     facts = px.groupBy(*KEYS).agg(F.avg(is_transparent(cfg).cast("double")).alias("exterior_share"))
     pick = lambda k, n: F.max(F.when(F.col("rank") == k, F.col(n)))
@@ -286,7 +286,7 @@ def propose_two_colour(px: DataFrame, cfg: PaletteConfig = PaletteConfig()) -> D
     )
     rows = d.select(*KEYS, "exterior_share", F.col("modes").alias("mode_count"), refusal.alias("refusal"), F.explode_outer(found).alias("h"))
     out = rows.select(
-        *KEYS, "exterior_share", F.least("mode_count", F.lit(3)).alias("modes_seen"), "refusal", "h.hypothesis",
+        *KEYS, "exterior_share", F.col("mode_count").alias("modes_seen"), "refusal", "h.hypothesis",
         *[F.col(f"h.fg.c{c}").alias(f"fg_{c}") for c in "rgb"], *[F.col(f"h.bg.c{c}").alias(f"bg_{c}") for c in "rgb"],
         F.col("h.bg.share").alias("border_background"), F.col("h.fg.share").alias("border_foreground"),
     )

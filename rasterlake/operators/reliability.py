@@ -74,10 +74,13 @@ def certificate(counts: DataFrame, target: RiskTarget, refusal: Column) -> DataF
     )
 
 
-def risk_coverage(
-    rows: DataFrame, keys: list[str], target: RiskTarget = RiskTarget(), refusal: Column | None = None
-) -> DataFrame:
-    """Risk-coverage certificate of every bucket named by ``keys``."""
+def risk_coverage(rows: DataFrame, keys: list[str], model: Column, calibrated: Column, target: RiskTarget = RiskTarget()) -> DataFrame:
+    """Risk-coverage certificate of every bucket named by ``keys``.
+
+    ``model`` is the declared residual model (NULL: none declared) and
+    ``calibrated`` whether it was calibrated; what the guard refuses gets no
+    certificate, whatever the counts say.
+    """
     flags = group_flags(rows, keys, target)
     counts = flags.groupBy(*keys).agg(
         F.count_if("seen").alias("groups_total"),
@@ -86,7 +89,7 @@ def risk_coverage(
         F.sum("renders").alias("renders_total"),
         F.sum("renders_accepted").alias("renders_accepted"),
     )
-    return certificate(counts, target, F.lit(None).cast("string") if refusal is None else refusal)
+    return certificate(counts, target, confidence_guard(model, calibrated))
 
 
 # Residual models that may carry a confidence claim, and the
@@ -108,8 +111,6 @@ def confidence_guard(model: Column, calibrated: Column) -> Column:
 class SweepGates:
     min_source_coverage: float
     min_render_coverage: float
-    p95_px: float
-    p99_px: float
     max_px: float
 
 
@@ -119,9 +120,12 @@ def threshold_sweep(rows: DataFrame, score: str, gates: SweepGates, target: Risk
     Every distinct score is a threshold. Each row, and each group at its best
     score, contributes once, at the score where it becomes accepted; running sums
     over the scores then give all thresholds in one pass. ``selected`` marks the
-    smallest eligible threshold.
+    smallest eligible threshold. Rows without a score are never accepted but count
+    in the totals. ``at95`` and ``at99`` are the row's measured samples within the
+    two gates.
     """
-    use = scored(rows, target).withColumn("__s", F.col(score).cast("double")).filter("__s is not null")
+    every = scored(rows, target).withColumn("__s", F.col(score).cast("double"))
+    use = every.filter("__s is not null")
     must = F.col("mandatory")
     groups = use.groupBy("group_id").agg(
         F.bool_or(must).alias("seen"),
@@ -135,10 +139,9 @@ def threshold_sweep(rows: DataFrame, score: str, gates: SweepGates, target: Risk
         return df.filter(at.isNotNull()).groupBy(at.alias("__s")).agg(*[F.sum(given.get(n, zero)).alias(n) for n in sums])
 
     one = F.lit(1).cast("bigint")
-    below = lambda gate: F.floor(F.col("samples") * F.least(F.lit(1.0), F.lit(gate) / F.greatest(F.col("max_px"), F.lit(1e-9))))
     rows_at = step(
-        use, F.col("__s"), renders_accepted=one, samples=F.col("samples"), at95=below(gates.p95_px),
-        at99=below(gates.p99_px), over=(F.col("max_px") > gates.max_px).cast("bigint"),
+        use, F.col("__s"), renders_accepted=one, samples=F.col("samples"), at95=F.col("at95"), at99=F.col("at99"),
+        over=(F.col("max_px") > gates.max_px).cast("bigint"),
     )
     steps = (
         rows_at.unionByName(step(groups, F.col("from"), groups_accepted=one))
@@ -148,8 +151,10 @@ def threshold_sweep(rows: DataFrame, score: str, gates: SweepGates, target: Risk
         .withColumn("__desc", -F.col("__s"))
     )
     swept = running(steps, [], ["__desc"], {n: f"d_{n}" for n in sums})
-    totals = use.agg(F.count("*").alias("renders_total")).crossJoin(groups.agg(F.count_if("seen").alias("groups_total")))
-    cert = certificate(swept.crossJoin(F.broadcast(totals)), target, F.lit(None).cast("string"))  # totals is one row
+    by_group = every.groupBy("group_id").agg(F.bool_or(must).alias("seen"), F.count("*").alias("n"))
+    totals = by_group.agg(F.sum("n").alias("renders_total"), F.count_if("seen").alias("groups_total"))
+    guard = confidence_guard(F.lit("block"), F.lit(True))  # the sweep runs under the calibrated block model
+    cert = certificate(swept.crossJoin(F.broadcast(totals)), target, guard)  # totals is one row
     need = lambda q: F.ceil((F.col("samples") - 1) * q) + 1
     eligible = (
         F.col("contract_met")

@@ -80,11 +80,13 @@ def w06(t):
 @query(
     "a30_chain_correlation",
     "chain",
-    """c AS (SELECT chain_id, k, px - avg(px) OVER w AS v, count(*) OVER w AS n, var_pop(px) OVER w AS var FROM chain WINDOW w AS (PARTITION BY chain_id)), l AS (SELECT a.chain_id, lag, a.n, sum(a.v * b.v) / (a.n * any_value(a.var)) AS rho FROM c a CROSS JOIN (SELECT range + 1 AS lag FROM range(0, 8)) JOIN c b ON b.chain_id = a.chain_id AND b.k = a.k + lag WHERE a.var > 0 GROUP BY a.chain_id, lag, a.n)
-    SELECT z.chain_id, z.n, min(CASE WHEN lag < z.n // 2 AND rho < exp(-1.0::DOUBLE) THEN lag END)::INT AS lag FROM (SELECT DISTINCT chain_id, n FROM c WHERE n >= 4 AND var > 0) z LEFT JOIN l USING (chain_id) GROUP BY z.chain_id, z.n""",
+    """c AS (SELECT chain_id, k, px - avg(px) OVER w AS v, count(*) OVER w AS n, var_pop(px) OVER w AS var FROM chain WINDOW w AS (PARTITION BY chain_id)),
+    h AS (SELECT chain_id, n, CASE WHEN n >= 4 AND any_value(var) > 0 THEN n // 2 ELSE 1 END AS half FROM c GROUP BY chain_id, n),
+    l AS (SELECT a.chain_id, b.k - a.k AS lag, sum(a.v * b.v) / (any_value(a.n) * any_value(a.var)) AS rho FROM c a JOIN h USING (chain_id) JOIN c b ON b.chain_id = a.chain_id AND b.k > a.k AND b.k - a.k < h.half GROUP BY a.chain_id, b.k - a.k)
+    SELECT h.chain_id, h.n, coalesce(min(CASE WHEN rho < exp(-1.0::DOUBLE) THEN lag END), any_value(half))::INT AS lag, coalesce(min(CASE WHEN rho < exp(-1.0::DOUBLE) THEN lag END), any_value(half)) * 0.5::DOUBLE AS length FROM h LEFT JOIN l USING (chain_id) GROUP BY h.chain_id, h.n""",
 )
 def a30(t):
-    return H.correlation_length(t.chain(), "px", 8)
+    return H.correlation_length(t.chain(), "px", 0.5)
 
 
 PT = "pt AS (SELECT chain_id, k, px + 0.4 AS px, py + 0.3 AS py, 2.5::DOUBLE AS halfwidth FROM chain), pd AS (SELECT pt.chain_id, pt.k, sid, halfwidth, least(1.0, greatest(0.0, coalesce(((px - x1) * (x2 - x1) + (py - y1) * (y2 - y1)) / nullif(pow(x2 - x1, 2) + pow(y2 - y1, 2), 0), 0))) AS t, px, py, x1, y1, x2, y2 FROM pt JOIN segments s ON s.chain_id = pt.chain_id), dd AS (SELECT chain_id, k, halfwidth, sid, sqrt(pow(x1 + t * (x2 - x1) - px, 2) + pow(y1 + t * (y2 - y1) - py, 2)) AS d FROM pd), nr AS (SELECT chain_id, k, any_value(halfwidth) AS halfwidth, arg_min(sid, (d, sid)) AS sid, min(d) AS d FROM dd GROUP BY ALL)"

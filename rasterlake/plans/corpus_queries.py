@@ -211,9 +211,9 @@ def g04b(t):
 @query(
     "g05_seal_state",
     "",
-    """l AS (SELECT conv_id AS generation, turn AS seq, CASE WHEN role = 'user' THEN 'open' WHEN length(text) % 5 = 0 THEN 'burn' ELSE 'seal' END AS action, sha256(substr(text, 1, 3)) AS ch, CASE WHEN length(text) % 7 = 0 THEN '' ELSE 'p1' END AS ph, 'g' || (conv_id % 3) AS gh FROM conversations),
+    """l AS (SELECT conv_id AS generation, turn AS seq, CASE WHEN role = 'user' THEN 'open' WHEN length(text) % 5 = 0 THEN 'burn' ELSE 'seal' END AS action, sha256(text) AS ch, CASE WHEN length(text) % 7 = 0 THEN '' ELSE 'p1' END AS ph, 'g' || (conv_id % 3) AS gh FROM conversations),
     a AS (SELECT generation, arg_max(action, seq) AS action, arg_max(ch, seq) AS ch, arg_max(ph, seq) AS ph, arg_max(gh, seq) AS gh FROM l GROUP BY 1),
-    c AS (SELECT conv_id AS generation, sha256(substr(arg_max(text, turn), 1, 3)) AS ch, 'p1' AS ph, 'g' || (conv_id % 4) AS gh FROM conversations GROUP BY conv_id),
+    c AS (SELECT conv_id AS generation, sha256(arg_max(text, turn) || CASE WHEN conv_id % 3 = 0 THEN '!' ELSE '' END) AS ch, 'p1' AS ph, 'g' || (conv_id % 4) AS gh FROM conversations GROUP BY conv_id),
     f AS (SELECT a.generation, action, CASE WHEN a.ch = '' THEN 'incomplete:corpus_hash' WHEN a.ch <> c.ch THEN 'changed:corpus_hash' WHEN a.ph = '' THEN 'incomplete:prereg_hash' WHEN a.ph <> c.ph THEN 'changed:prereg_hash'
        WHEN a.gh = '' THEN 'incomplete:gates_hash' WHEN a.gh <> c.gh THEN 'changed:gates_hash' END AS fin FROM a JOIN c USING (generation))
     SELECT generation, CASE WHEN action = 'burn' OR (action = 'open' AND fin LIKE 'changed%') THEN 'burned' WHEN action = 'open' THEN 'opened' ELSE 'sealed' END AS state,
@@ -225,11 +225,11 @@ def g05(t):
     log = c.select(
         F.col("conv_id").alias("generation"), F.col("turn").alias("seq"),
         F.when(F.col("role") == "user", "open").when(n % 5 == 0, "burn").otherwise("seal").alias("action"),
-        F.sha2(F.substring("text", 1, 3), 256).alias("corpus_hash"), F.when(n % 7 == 0, "").otherwise("p1").alias("prereg_hash"),
+        F.sha2("text", 256).alias("corpus_hash"), F.when(n % 7 == 0, "").otherwise("p1").alias("prereg_hash"),
         F.concat(F.lit("g"), F.col("conv_id") % 3).alias("gates_hash"),
     )
     current = c.groupBy(F.col("conv_id").alias("generation")).agg(F.max_by("text", "turn").alias("last")).select(
-        "generation", F.sha2(F.substring("last", 1, 3), 256).alias("corpus_hash"), F.lit("p1").alias("prereg_hash"),
+        "generation", F.sha2(F.concat("last", F.when(F.col("generation") % 3 == 0, "!").otherwise("")), 256).alias("corpus_hash"), F.lit("p1").alias("prereg_hash"),
         F.concat(F.lit("g"), F.col("generation") % 4).alias("gates_hash"),
     )
     return K.seal_states(log, current)

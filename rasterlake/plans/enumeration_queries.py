@@ -31,12 +31,16 @@ CELLS = """c AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, 16 * (1
   ['linear_light', 'encoded_srgb'][1 + l_partkey % 2] AS blend, ['none', 'down-from-2x', 'up-from-half'][1 + l_linenumber % 3] AS resize, l_linenumber * 0.125::DOUBLE AS dx, l_partkey % 5 * 0.25::DOUBLE AS dy, [1.0, 0.5, 0.001][1 + l_partkey % 3]::DOUBLE AS contrast, l_discount * 40 AS scale, l_tax * 5 + 0.05 AS sep, l_partkey % 3 AS members FROM lineitem)"""
 
 
-@query("f24_cell_id", "", f"{CELLS} SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, 's' || size || '_p' || profile || '_' || CASE WHEN psf = 'gaussian' THEN 'gauss' || format('{{:.2f}}', sigma) ELSE psf END || '_' || CASE WHEN blend = 'linear_light' THEN 'lin' ELSE 'srgb' END || '_' || resize || '_c' || format('{{:.2f}}', contrast) AS cell_id FROM c")
+def two(v: str) -> str:
+    h = f"round_even({v} * 100, 0)::BIGINT"
+    return f"({h} // 100) || '.' || lpad(({h} % 100)::VARCHAR, 2, '0')"
+
+
+@query("f24_cell_id", "", f"{CELLS} SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, 's' || size || '_p' || profile || '_' || CASE WHEN psf = 'gaussian' THEN 'gauss' || format('{{:.2f}}', sigma) ELSE psf END || '_' || CASE WHEN blend = 'linear_light' THEN 'lin' ELSE 'srgb' END || '_' || resize || '_dx' || {two('dx')} || 'dy' || {two('dy')} || '_c' || format('{{:.2f}}', contrast) AS cell_id FROM c")
 def f24(t):
     c = F.col
     full = N.cell_id(c("size"), c("profile"), c("psf"), c("sigma"), c("blend"), c("resize"), c("dx"), c("dy"), c("contrast"))
-    # the phase has half-way third digits, which the engines round differently
-    return cells(t).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.regexp_replace(full, "_dx[0-9.]+dy[0-9.]+", "").alias("cell_id"))
+    return cells(t).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", full.alias("cell_id"))
 
 
 ENC = "(CASE WHEN {v} <= 0.0031308 THEN {v} * 12.92 ELSE 1.055 * pow({v}, 1.0::DOUBLE / 2.4) - 0.055 END)"

@@ -177,7 +177,8 @@ LAGS = 4
     l AS (SELECT a.image_id, k, avg((a.r - mu) * (bx.r - mu)) / nullif(any_value(var), 0) AS cx, avg((a.r - mu) * (bb.r - mu)) / nullif(any_value(var), 0) AS cy FROM ac a JOIN m USING (image_id) CROSS JOIN (SELECT range + 1 AS k FROM range(0, {LAGS})) LEFT JOIN ac bx ON bx.image_id = a.image_id AND bx.y = a.y AND bx.x = a.x + k
        LEFT JOIN ac bb ON bb.image_id = a.image_id AND bb.x = a.x AND bb.y = a.y + k GROUP BY ALL),
     z AS (SELECT image_id, min(CASE WHEN coalesce(cx, 0) < exp(-1.0::DOUBLE) THEN k END)::INT AS length_x, min(CASE WHEN coalesce(cy, 0) < exp(-1.0::DOUBLE) THEN k END)::INT AS length_y FROM l GROUP BY 1),
-    e AS (SELECT m.image_id, n, length_x, length_y, greatest(n / ((2 * coalesce(length_x, {LAGS}) - 1) * (2 * coalesce(length_y, {LAGS}) - 1))::DOUBLE, 1.0) AS eff FROM m JOIN z USING (image_id))
+    e AS (SELECT m.image_id, n, length_x, length_y, greatest(n / ((2 * coalesce(length_x, {LAGS}) - 1) * (2 * coalesce(length_y, {LAGS}) - 1))::DOUBLE, 1.0) AS eff FROM m JOIN z USING (image_id)
+      UNION ALL SELECT DISTINCT image_id, 0, 1, 1, 1.0 FROM dz WHERE image_id NOT IN (SELECT image_id FROM m))
     SELECT image_id, n AS active, length_x, length_y, round(eff, 6) AS effective, round(n / eff, 6) AS overcount FROM e""",
 )
 def a29(t):

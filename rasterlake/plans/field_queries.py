@@ -142,12 +142,12 @@ def thin_sql(rounds: int) -> str:
     p = {d: f"coalesce({d}_i, 0)" for d in ring}
     count = " + ".join(p.values())
     turns = " + ".join(f"(CASE WHEN {p[a]} = 0 AND {p[b]} = 1 THEN 1 ELSE 0 END)" for a, b in zip(ring, ring[1:] + ring[:1]))
-    out = ["u0 AS (SELECT image_id, x, y, (v >= 0.45)::INT AS i FROM grid)"]
+    out = ["u0 AS (SELECT image_id, x, y, (v >= 0.45)::INT AS i FROM grid)", "dm AS (SELECT image_id, max(x) AS mx, max(y) AS my FROM u0 GROUP BY 1)"]
     for k in range(2 * rounds):
         n, e, s, w = (p[d] for d in "nesw")
         sides = f"{n} * {e} * {s} = 0 AND {e} * {s} * {w} = 0" if k % 2 == 0 else f"{n} * {e} * {w} = 0 AND {n} * {s} * {w} = 0"
         out.append(nb(f"u{k}", f"t{k}", ["i"], clamp=False))
-        out.append(f"u{k + 1} AS (SELECT image_id, x, y, CASE WHEN i = 1 AND {count} BETWEEN 2 AND 6 AND {turns} = 1 AND {sides} THEN 0 ELSE i END AS i FROM t{k})")
+        out.append(f"u{k + 1} AS (SELECT image_id, x, y, CASE WHEN i = 1 AND {count} BETWEEN 2 AND 6 AND {turns} = 1 AND {sides} AND x BETWEEN 1 AND mx - 1 AND y BETWEEN 1 AND my - 1 THEN 0 ELSE i END AS i FROM t{k} JOIN dm USING (image_id))")
     return ", ".join(out)
 
 

@@ -163,15 +163,15 @@ def w12(t):
     return H.quota_keep(rows, "image_id", cls, "lower", "digest", 2)
 
 
-EV_SQL = "ev AS (SELECT l_suppkey * 10 + l_linenumber AS image_id, l_returnflag AS kind, (l_partkey % 103 * 5 % 513) / 512.0::DOUBLE AS level, l_discount AS persistence FROM lineitem WHERE l_partkey % 9 < 4)"
+EV_SQL = "ev AS (SELECT l_suppkey * 10 + l_linenumber AS image_id, l_returnflag AS kind, (l_partkey % 23 * 22 % 513) / 512.0::DOUBLE AS level, l_discount AS persistence FROM lineitem)"
 PL_SQL = "mk AS (SELECT DISTINCT image_id, floor(level * 512 + 0.5)::INT AS q FROM ev UNION SELECT image_id, 0 FROM ev UNION SELECT image_id, 512 FROM ev), nx AS (SELECT *, lead(q) OVER (PARTITION BY image_id ORDER BY q) AS hi FROM mk), pl AS (SELECT image_id, q / 512.0::DOUBLE AS lo, hi / 512.0::DOUBLE AS hi, floor((q + hi) / 2.0 + 0.5)::INT AS representative FROM nx WHERE hi > q + 1)"
 
 
 def crit_events(t):
     p = F.col("l_partkey")
-    return t.table("lineitem").filter(p % 9 < 4).select(
+    return t.table("lineitem").select(
         (F.col("l_suppkey") * 10 + F.col("l_linenumber")).alias("image_id"), F.col("l_returnflag").alias("kind"),
-        (p % 103 * 5 % 513 / 512.0).alias("level"), F.col("l_discount").alias("persistence"),
+        (p % 23 * 22 % 513 / 512.0).alias("level"), F.col("l_discount").alias("persistence"),
     )
 
 

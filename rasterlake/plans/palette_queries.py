@@ -179,7 +179,7 @@ def proposals_sql() -> str:
        0.2126 * m1_r + 0.7152 * m1_g + 0.0722 * m1_b AS l1, 0.2126 * m2_r + 0.7152 * m2_g + 0.0722 * m2_b AS l2
       FROM im LEFT JOIN mc USING (image_id) LEFT JOIN co USING (image_id) LEFT JOIN rc USING (image_id) LEFT JOIN ci USING (image_id) LEFT JOIN g1 USING (image_id) LEFT JOIN g2 USING (image_id)),
     g AS (SELECT f.*, {', '.join(bsh(n) for n in named)} FROM f), hy AS ({hyps})
-    SELECT g.image_id, round(share, 6) AS exterior_share, least(n, 3) AS modes_seen, CASE WHEN hy.image_id IS NOT NULL THEN NULL WHEN n = 0 THEN 'empty' WHEN NOT ext AND n = 1 THEN 'single_uniform_face' ELSE 'more_than_two_faces' END AS refusal, hypothesis,
+    SELECT g.image_id, round(share, 6) AS exterior_share, n AS modes_seen, CASE WHEN hy.image_id IS NOT NULL THEN NULL WHEN n = 0 THEN 'empty' WHEN NOT ext AND n = 1 THEN 'single_uniform_face' ELSE 'more_than_two_faces' END AS refusal, hypothesis,
       hy.fg.r AS fg_r, hy.fg.g AS fg_g, hy.fg.b AS fg_b, hy.bg.r AS bg_r, hy.bg.g AS bg_g, hy.bg.b AS bg_b, round(sb, 6) AS border_background, round(sf, 6) AS border_foreground FROM g LEFT JOIN hy USING (image_id)"""
 
 

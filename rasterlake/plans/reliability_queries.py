@@ -17,10 +17,12 @@ CERT = """groups_total, groups_accepted, groups_catastrophic, renders_total, ren
     round(CASE WHEN groups_total > 0 THEN groups_accepted / groups_total::DOUBLE ELSE 0 END, 6) AS coverage_per_source,
     round(CASE WHEN renders_total > 0 THEN renders_accepted / renders_total::DOUBLE ELSE 0 END, 6) AS coverage_per_render,
     round(cp.upper, 6) AS catastrophic_risk_upper, 459::BIGINT AS required_groups, greatest(459 - groups_accepted, 0)::BIGINT AS group_deficit,
-    greatest(459 - groups_accepted, 0) = 0 AND cp.upper < 0.01 AS contract_met"""
+    greatest(459 - groups_accepted, 0) = 0 AND cp.upper < 0.01 AS contract_met, NULL::VARCHAR AS likelihood_refusal"""
+# without a declared residual model nothing is certified
+CERT_NONE = CERT.replace("greatest(459 - groups_accepted, 0) = 0 AND cp.upper < 0.01 AS", "false AS").replace("NULL::VARCHAR", "'no residual model declared'")
 CERT_COLS = [
     "groups_total", "groups_accepted", "groups_catastrophic", "renders_total", "renders_accepted", "required_groups",
-    "group_deficit", "contract_met",
+    "group_deficit", "contract_met", "likelihood_refusal",
 ]
 
 
@@ -62,7 +64,7 @@ def a34(t):
     SELECT family, size_px, {CERT} FROM s JOIN cp USING (id)""",
 )
 def a35(t):
-    return cert_select(R.risk_coverage(t.meas(), ["family", "size_px"]), "family", "size_px")
+    return cert_select(R.risk_coverage(t.meas(), ["family", "size_px"], F.lit("block"), F.lit(True)), "family", "size_px")
 
 
 @query(
@@ -73,7 +75,7 @@ def a35(t):
     m AS (SELECT b.bucket, meas.* FROM meas JOIN b ON size_px BETWEEN lo AND hi AND list_contains(classes, identifiability)),
     g AS (SELECT bucket, group_id, {FLAGS} FROM m WHERE profile <> 'R' GROUP BY ALL), s AS (SELECT bucket, bucket AS id, {COUNTS} FROM g GROUP BY ALL),
     trials AS (SELECT id, groups_catastrophic AS k, groups_accepted AS n FROM s), {cp_sql(0.99)}
-    SELECT bucket, {CERT} FROM s JOIN cp USING (id)""",
+    SELECT bucket, {CERT_NONE} FROM s JOIN cp USING (id)""",
 )
 def j12(t):
     from rasterlake.sources.config import BUCKETS, bucket_table
@@ -83,7 +85,7 @@ def j12(t):
         F.col("size_px").between(F.col("min_size_px"), F.col("max_size_px"))
         & F.array_contains("identifiability_in", F.col("identifiability")),
     )
-    return cert_select(R.risk_coverage(rows, ["bucket"]), "bucket")
+    return cert_select(R.risk_coverage(rows, ["bucket"], F.lit(None).cast("string"), F.lit(False)), "bucket")
 
 
 @query(
@@ -101,24 +103,24 @@ def a36(t):
 @query(
     "w09_threshold_sweep",
     "meas",
-    f"""RECURSIVE u AS (SELECT *, quantity::DOUBLE AS s FROM meas WHERE profile <> 'R'), th AS (SELECT DISTINCT s AS threshold FROM u),
+    f"""RECURSIVE u AS (SELECT *, CASE WHEN quantity % 5 <> 3 THEN quantity::DOUBLE END AS s FROM meas WHERE profile <> 'R'), th AS (SELECT DISTINCT s AS threshold FROM u WHERE s IS NOT NULL),
     tot AS (SELECT count(*) AS renders_total, count(DISTINCT CASE WHEN mandatory THEN group_id END) AS groups_total FROM u),
     sw AS (SELECT threshold, threshold AS id, count(DISTINCT CASE WHEN mandatory THEN group_id END) AS groups_accepted,
         count(DISTINCT CASE WHEN mandatory AND catastrophic THEN group_id END) AS groups_catastrophic, count(*) AS renders_accepted,
-        sum(samples)::BIGINT AS samples, sum(floor(samples * least(1.0, 0.35 / greatest(max_px, 1e-9))))::BIGINT AS at95,
-        sum(floor(samples * least(1.0, 0.45 / greatest(max_px, 1e-9))))::BIGINT AS at99, count(*) FILTER (WHERE max_px > 0.5) AS over
+        sum(samples)::BIGINT AS samples, sum(at95)::BIGINT AS at95, sum(at99)::BIGINT AS at99, count(*) FILTER (WHERE max_px > 0.5) AS over
       FROM th JOIN u ON s >= threshold GROUP BY threshold),
     trials AS (SELECT id, groups_catastrophic AS k, groups_accepted AS n FROM sw), {cp_sql(0.99)},
     j AS (SELECT sw.*, tot.*, cp.upper, greatest(459 - groups_accepted, 0) = 0 AND cp.upper < 0.01 AS contract_met FROM sw CROSS JOIN tot JOIN cp USING (id)),
     e AS (SELECT *, contract_met AND groups_accepted / groups_total::DOUBLE >= 0.5 AND renders_accepted / renders_total::DOUBLE >= 0.05
        AND at95 >= ceil((samples - 1) * 0.95) + 1 AND at99 >= ceil((samples - 1) * 0.99) + 1 AND over = 0 AND groups_catastrophic = 0 AS eligible FROM j)
     SELECT threshold, groups_accepted, groups_catastrophic, renders_accepted, samples, at95, at99, over, round(upper, 6) AS catastrophic_risk_upper,
-      contract_met, eligible, coalesce(threshold = (SELECT min(threshold) FROM e WHERE eligible), false) AS selected FROM e""",
+      round(groups_accepted / groups_total::DOUBLE, 6) AS coverage_per_source, contract_met, eligible, coalesce(threshold = (SELECT min(threshold) FROM e WHERE eligible), false) AS selected FROM e""",
 )
 def w09(t):
-    gates = R.SweepGates(0.5, 0.05, 0.35, 0.45, 0.5)
-    d = R.threshold_sweep(t.meas(), "quantity", gates)
+    gates = R.SweepGates(0.5, 0.05, 0.5)
+    rows = t.meas().withColumn("score", F.when(F.col("quantity") % 5 != 3, F.col("quantity")))
+    d = R.threshold_sweep(rows, "score", gates)
     return d.select(
         "threshold", "groups_accepted", "groups_catastrophic", "renders_accepted", "samples", "at95", "at99", "over",
-        r6(F.col("catastrophic_risk_upper"), "catastrophic_risk_upper"), "contract_met", "eligible", "selected",
+        r6(F.col("catastrophic_risk_upper"), "catastrophic_risk_upper"), r6(F.col("coverage_per_source"), "coverage_per_source"), "contract_met", "eligible", "selected",
     )

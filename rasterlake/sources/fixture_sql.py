@@ -121,6 +121,8 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
                l_discount * 3 AS p95_px, l_discount * 3 + l_tax AS p99_px,
                l_discount * 3 + l_tax + l_tax AS max_px,
                (10 + l_partkey % 90)::BIGINT AS samples,
+               floor((10 + l_partkey % 90) * least(1.0, 0.35 / greatest(l_discount * 3 + l_tax + l_tax, 1e-9)))::BIGINT AS at95,
+               floor((10 + l_partkey % 90) * least(1.0, 0.45 / greatest(l_discount * 3 + l_tax + l_tax, 1e-9)))::BIGINT AS at99,
                l_extendedprice / l_quantity / 997 AS bits_per_block,
                o_orderpriority AS class, o_orderstatus AS status,
                CASE WHEN l_partkey % 7 = 0 THEN NULL ELSE 'reason_' || (l_partkey % 4) END AS reason,

@@ -184,6 +184,8 @@ class Lake:
         """Measurement rows; (group, scene, cell) is not unique."""
         line = self.table("lineitem")
         p = F.col("l_partkey")
+        worst = F.col("l_discount") * 3 + F.col("l_tax") + F.col("l_tax")
+        within = lambda gate: F.floor((p % 90 + 10) * F.least(F.lit(1.0), F.lit(gate) / F.greatest(worst, F.lit(1e-9))))
         return line.join(self._orders_customers(), line.l_orderkey == F.col("o_orderkey")).select(
             F.col("o_orderkey").alias("group_id"),
             F.col("l_suppkey").alias("scene_id"),
@@ -200,6 +202,8 @@ class Lake:
             (F.col("l_discount") * 3 + F.col("l_tax")).alias("p99_px"),
             (F.col("l_discount") * 3 + F.col("l_tax") + F.col("l_tax")).alias("max_px"),
             (p % 90 + 10).alias("samples"),
+            within(0.35).alias("at95"),
+            within(0.45).alias("at99"),
             (F.col("l_extendedprice") / F.col("l_quantity") / 997).alias("bits_per_block"),
             F.col("o_orderpriority").alias("class"),
             F.col("o_orderstatus").alias("status"),

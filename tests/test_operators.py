@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import itertools
 import random
 
@@ -10,10 +11,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from rasterlake.functions import hashing, stats
-from rasterlake.operators import fields as W, hypotheses as H, regions as R
+from rasterlake.operators import chains as C, fields as W, hypotheses as H, regions as R
 from rasterlake.operators.prefix import running
 from rasterlake.operators.quantiles import index_quantiles
-from rasterlake.operators.reliability import RiskTarget, risk_coverage
+from rasterlake.operators.digests import ordered_digest
+from rasterlake.operators.reliability import SweepGates, risk_coverage, threshold_sweep
 from rasterlake.session import cut
 
 
@@ -57,7 +59,7 @@ def test_contract_needs_459_clean_groups(spark, groups, deficit, met):
     rows = spark.range(groups).select(
         F.col("id").alias("group_id"), F.lit("A").alias("profile"), F.lit(True).alias("mandatory"), F.lit(True).alias("accepted"), F.lit(False).alias("catastrophic"), F.lit("b").alias("bucket")
     )
-    row = risk_coverage(rows, ["bucket"], RiskTarget()).first()
+    row = risk_coverage(rows, ["bucket"], F.lit("block"), F.lit(True)).first()
     assert (row.group_deficit, row.contract_met) == (deficit, met)
 
 
@@ -139,12 +141,71 @@ def test_persistence_equals_union_find(spark):
         assert down == merge_tree(512 - v, 8)
 
 
-def test_scan_rounds_equal_fold(spark):
+def test_scan_rounds_equal_a_walk(spark):
     rng = random.Random(5)
-    rows = [(k, float(i), f"h{i}", rng.randrange(1, 60)) for k in range(6) for i in range(40)]
+    rows = [(k, float(i), f"h{i}", rng.randrange(1, 60)) for k in range(6) for i in range(40)] + [(9, float(i), f"h{i}", 10 + i % 7) for i in range(4500)]
     df = spark.createDataFrame(rows, "image_id long, total_bits double, hypothesis_id string, memory_bytes long")
-    run = lambda limit: sorted(map(tuple, H.memory_scan(df, "image_id", ["total_bits", "hypothesis_id"], "memory_bytes", 150, 7, fold_limit=limit).select("image_id", "hypothesis_id", "scan").collect()))
-    assert run(10_000) == run(0)
+    got = {(r.image_id, r.hypothesis_id): r.scan for r in H.memory_scan(df, "image_id", ["total_bits", "hypothesis_id"], "memory_bytes", 150, 7).collect()}
+    for image in {r[0] for r in rows}:
+        used = taken = 0
+        for _, _, h, need in (r for r in rows if r[0] == image):
+            fits = taken < 7 and used + need <= 150
+            assert got[image, h] == ("candidate_budget" if taken >= 7 else "considered" if fits else "memory_budget")
+            used, taken = used + need * fits, taken + fits
+
+
+def test_certificate_needs_a_calibrated_model(spark):
+    rows = spark.range(600).select(F.col("id").alias("group_id"), F.lit("A").alias("profile"), F.lit(True).alias("mandatory"), F.lit(True).alias("accepted"), F.lit(False).alias("catastrophic"))
+    cases = [(F.lit(None).cast("string"), True, False), (F.lit("iid"), True, False), (F.lit("block"), False, False), (F.lit("block"), True, True)]
+    for model, calibrated, met in cases:
+        row = risk_coverage(rows, [], model, F.lit(calibrated)).first()
+        assert row.contract_met is met and (row.likelihood_refusal is None) is met
+
+
+def test_rows_without_a_score_stay_in_the_totals(spark):
+    rows = spark.range(1000).select(
+        F.col("id").alias("group_id"), F.lit("A").alias("profile"), F.lit(True).alias("mandatory"), F.lit(False).alias("catastrophic"),
+        F.when(F.col("id") % 2 == 0, F.lit(1.0)).alias("score"), F.lit(10).alias("samples"), F.lit(10).alias("at95"), F.lit(10).alias("at99"), F.lit(0.1).alias("max_px"), F.lit(True).alias("accepted"),
+    )
+    row = threshold_sweep(rows, "score", SweepGates(0.4, 0.4, 0.5)).first()
+    assert (row.groups_total, row.renders_total, row.coverage_per_source, row.eligible) == (1000, 1000, 0.5, True)
+
+
+def test_thinning_leaves_the_frame(spark):
+    full = grid_rows(1, ["#####"] * 5) + grid_rows(2, ["##", "##"])
+    left = {(r.image_id, r.x, r.y) for r in W.thin(spark.createDataFrame(full, SCHEMA)).collect() if r.inside}
+    frame = {(1, x, y) for x in range(5) for y in range(5) if x in (0, 4) or y in (0, 4)}
+    assert frame <= left and {p for p in left if p[0] == 2} == {(2, x, y) for x in (0, 1) for y in (0, 1)}
+
+
+def test_correlation_length_beyond_one_block(spark):
+    rows = [("slow", k, float(k)) for k in range(100)] + [("flat", k, 1.0) for k in range(9)] + [("short", k, float(k)) for k in range(3)] + [("saw", k, float(k % 2)) for k in range(40)]
+    chain = spark.createDataFrame(rows, "chain_id string, k long, px double")
+    got = {r.chain_id: (r.lag, r.length) for r in C.correlation_length(chain, "px", 0.5).collect()}
+    v = np.arange(100) - 49.5
+    want = next(lag for lag in range(1, 50) if (v[: 100 - lag] * v[lag:]).sum() / (v * v).sum() < 1 / np.e)
+    assert want > 8 and got == {"slow": (want, want * 0.5), "flat": (1, 0.5), "short": (1, 0.5), "saw": (1, 0.5)}
+
+
+def test_digest_tree_of_four_levels(spark):
+    def fold(texts, width):
+        level = [f"{len(t)}:{t}" for t in texts]
+        while True:
+            level = [hashlib.sha256("\n".join(level[i : i + width]).encode()).hexdigest() for i in range(0, len(level), width)]
+            if len(level) == 1:
+                return level[0]
+
+    groups = {"a": [f"t{i:04d}" for i in range(200)], "b": ["only"], "c": [f"u{i}" for i in range(5)]}
+    rows = spark.createDataFrame([(g, t) for g, ts in groups.items() for t in ts], "g string, t string")
+    got = {r.g: r.digest for r in ordered_digest(rows, ["g"], ["t"], F.col("t"), fan_out=4).collect()}
+    assert got == {g: fold(sorted(ts), 4) for g, ts in groups.items()}
+
+
+def test_beta_function_of_large_counts():
+    # a coin thrown 4e8 times: the normal limit with continuity correction
+    n, k = 4e8, 2e8 + 10_000
+    assert abs(stats.incomplete_beta([k], [n - k + 1], [0.5])[0] - 0.1586673524) < 1e-7
+    assert np.allclose(stats.incomplete_beta([2.0, 0.5, 30.0], [3.0, 0.5, 4.0], [0.3, 0.2, 0.95]), [0.3483, 0.2951672353, 0.9283866216], atol=1e-4)
 
 
 def test_running_total_and_quantiles_on_one_hot_key(spark):
