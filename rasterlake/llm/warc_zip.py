@@ -106,7 +106,7 @@ def directory(f) -> list[Member]:
     span = min(total, 22 + 0xFFFF + 20)
     tail = _range(f, total - span, span)
     at = tail.rfind(b"PK\x05\x06")
-    while at >= 0 and at + 22 + struct.unpack_from("<H", tail, at + 20)[0] != len(tail):
+    while at >= 0 and (at + 22 > len(tail) or at + 22 + struct.unpack_from("<H", tail, at + 20)[0] != len(tail)):
         at = tail.rfind(b"PK\x05\x06", 0, at)
     if at < 0:
         raise ValueError("no end record of a package")

@@ -57,13 +57,9 @@ def test_foreign_packages(spark, tmp_path):
     assert sorted(r.page_id for r in Z.read_packages(plain).collect()) == list(range(5))
     with zipfile.ZipFile(tmp_path / "packed.zip", "w", zipfile.ZIP_DEFLATED) as out:
         out.writestr(Z.ARCHIVE, b"x" * 100)
-    with open(tmp_path / "packed.zip", "rb") as f:
-        import pyarrow as pa
-
-        source = pa.PythonFile(f)
-        source.size = lambda: (tmp_path / "packed.zip").stat().st_size
-        with pytest.raises(ValueError, match="not stored"):
-            Z.data_start(source, Z.directory(source)[0])
+    store, name = Z.open_store(str(tmp_path / "packed.zip"))
+    with store.open_input_file(name) as f, pytest.raises(ValueError, match="not stored"):
+        Z.data_start(f, Z.directory(f)[0])
     with pytest.raises(ValueError, match="digest"):
         Z.parse(Z._record({"page_id": 1, "url": None, "payload": b"abc", "payload_digest": "0" * 40, "record_type": "response", "refers_to": None}))
 
