@@ -29,6 +29,11 @@ def unpack(rows: DataFrame) -> DataFrame:
 
 
 def sorted_names(values: DataFrame, cols: list[str], name: str = "name") -> DataFrame:
-    """Distinct ``values`` with integers in their sort order; written, so a name never changes."""
-    ranged = values.repartitionByRange(partitions(values), *cols).sortWithinPartitions(*cols)
-    return cut(ranged.withColumn(name, F.monotonically_increasing_id()))
+    """Distinct ``values`` with integers in their sort order; written, so a name never changes.
+
+    The order is that of a hash, then of the values themselves: ranges are then found from a sample of hashes, not of
+    long values, and values that begin alike are spread.
+    """
+    keyed = values.withColumn("__h", F.xxhash64(*cols))
+    ranged = keyed.repartitionByRange(partitions(values), "__h").sortWithinPartitions("__h", *cols)
+    return cut(ranged.drop("__h").withColumn(name, F.monotonically_increasing_id()))
