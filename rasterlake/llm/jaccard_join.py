@@ -226,7 +226,7 @@ def _classes(base: DataFrame) -> DataFrame:
         .join(base.select("row", "doc_id"), "row")
     )
     best = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row"))
-    groups = out.groupBy("class_row").agg(best.alias("best"), F.count(F.lit(1)).alias("class_size"))
+    groups = cut(out.groupBy("class_row").agg(best.alias("best"), F.count(F.lit(1)).alias("class_size")))  # so that the join may split a hot class
     return out.join(groups, "class_row").select(
         "row", "doc_id", F.col("best.doc_id").alias("class_id"), F.col("best.row").alias("keep_row"), "class_size", "links"
     )
