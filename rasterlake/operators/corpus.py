@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from rasterlake.session import cut
+
 from rasterlake.functions.hashing import sha_bucket, split_of_family
 
 KEY = ["group_id", "scene_id", "cell_id"]
@@ -173,24 +175,35 @@ def labelling_difference(a: DataFrame, b: DataFrame) -> DataFrame:
     return d.filter(~F.col("before").eqNullSafe(F.col("after")))
 
 
-def document_rows(docs: DataFrame, key: str, column: str, subtree: str) -> DataFrame:
-    """(key, path, value) rows of the ``subtree`` object of a JSON column."""
-    top = docs.select(key, F.get_json_object(column, f"$.{subtree}").alias("__j"))
-    m = F.from_json("__j", "map<string,string>")
-    first = top.select(key, F.explode(m).alias("p", "v"))
-    inner = F.when(F.substring("v", 1, 1) == "{", F.from_json("v", "map<string,string>"))
-    deep = first.select(key, "p", "v", F.explode_outer(inner).alias("p2", "v2"))
-    path = F.concat_ws("/", F.lit(f"/{subtree}"), "p", "p2")
-    return deep.select(key, path.alias("path"), F.coalesce("v2", "v").alias("val"))
-
-
-def document_drift(a: DataFrame, b: DataFrame, key: str, column: str, subtree: str) -> DataFrame:
-    """Differing paths of two documents per key, absent sides marked."""
-    left = document_rows(a, key, column, subtree).withColumnRenamed("val", "before").withColumn("__a", F.lit(True))
-    right = document_rows(b, key, column, subtree).withColumnRenamed("val", "after").withColumn("__b", F.lit(True))
-    d = left.join(right, [key, "path"], "full").filter(~F.col("before").eqNullSafe(F.col("after")) | F.col("__a").isNull() | F.col("__b").isNull())
-    text = lambda there, v: F.when(F.col(there).isNull(), F.lit("<absent>")).otherwise(F.coalesce(F.col(v), F.lit("null")))
-    return d.select(key, "path", text("__a", "before").alias("before"), text("__b", "after").alias("after"))
+def document_drift(a: DataFrame, b: DataFrame, key: str, column: str, subtrees: tuple[str, ...] = ("schema", "normative")) -> DataFrame:
+    """Differing paths of two JSON documents per key, absent sides marked.
+
+    Two objects are compared member by member, to any depth; anything else is one
+    value. A key without a document on one side has that side absent. One round
+    per level, each over the pairs of differing objects that are left.
+    """
+    sides = a.select(key, F.col(column).alias("a")).join(b.select(key, F.col(column).alias("b")), key, "full")
+    top = [F.struct(F.lit(f"/{t}").alias("path"), *[F.get_json_object(c, f"$.{t}").alias(c) for c in "ab"]) for t in subtrees]
+    pairs = sides.select(key, F.explode(F.array(*top)).alias("p")).select(key, "p.path", "p.a", "p.b")
+    pairs = pairs.withColumns({"in_a": F.col("a").isNotNull(), "in_b": F.col("b").isNotNull()})
+    found: DataFrame | None = None
+    while True:
+        differing = pairs.filter(~F.col("a").eqNullSafe(F.col("b")) | (F.col("in_a") != F.col("in_b")))
+        members = {f"m{c}": F.when(F.col(c).startswith("{"), F.from_json(c, "map<string,string>")) for c in "ab"}
+        level = cut(differing.withColumns(members))
+        both = F.col("ma").isNotNull() & F.col("mb").isNotNull()
+        text = lambda c: F.when(~F.col(f"in_{c}"), "<absent>").when(F.col(f"m{c}").isNotNull(), "<object>").otherwise(F.coalesce(F.col(c), F.lit("null")))
+        leaves = level.filter(~both).select(key, "path", text("a").alias("before"), text("b").alias("after"))
+        found = leaves if found is None else found.unionByName(leaves)
+        objects = level.filter(both)
+        if objects.isEmpty():
+            return found
+        names = F.explode(F.array_union(F.map_keys("ma"), F.map_keys("mb"))).alias("name")
+        inner = objects.select(key, "path", "ma", "mb", names)
+        pairs = inner.select(
+            key, F.concat_ws("/", "path", "name").alias("path"), F.col("ma")[F.col("name")].alias("a"), F.col("mb")[F.col("name")].alias("b"),
+            F.map_contains_key("ma", F.col("name")).alias("in_a"), F.map_contains_key("mb", F.col("name")).alias("in_b"),
+        )
 
 
 def co_change_violations(changes: DataFrame, gate_prefix: str, code_prefix: str) -> DataFrame:

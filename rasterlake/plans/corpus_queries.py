@@ -314,20 +314,29 @@ def u05(t):
 @query(
     "u06_document_drift",
     "runs",
-    """a AS (SELECT input, artifact || '/' || repeat AS path, digest FROM runs WHERE repeat < 2 AND (input, artifact) NOT IN (SELECT (source, lang) FROM documents WHERE doc_id % 97 = 0)), b AS (SELECT input, artifact || '/' || (repeat - 1) AS path, digest FROM runs WHERE repeat > 0)
-    SELECT coalesce(a.input, b.input) AS input, '/normative/' || coalesce(a.path, b.path) AS path, coalesce(a.digest, '<absent>') AS before, coalesce(b.digest, '<absent>') AS after
-    FROM a FULL JOIN b ON a.input = b.input AND a.path = b.path WHERE a.digest IS DISTINCT FROM b.digest""",
+    """a AS (SELECT input, artifact, repeat AS r, digest FROM runs WHERE repeat < 2 AND (input, artifact) NOT IN (SELECT (source, lang) FROM documents WHERE doc_id % 97 = 0)), b AS (SELECT input, artifact, repeat - 1 AS r, digest FROM runs WHERE repeat > 0),
+    i AS (SELECT coalesce(a.input, b.input) AS input, a.input IS NOT NULL AS ia, b.input IS NOT NULL AS ib FROM (SELECT DISTINCT input FROM a) a FULL JOIN (SELECT DISTINCT input FROM b) b USING (input)),
+    l AS (SELECT coalesce(a.input, b.input) AS input, coalesce(a.artifact, b.artifact) AS artifact, a.input IS NOT NULL AS ia, b.input IS NOT NULL AS ib FROM (SELECT DISTINCT input, artifact FROM a) a FULL JOIN (SELECT DISTINCT input, artifact FROM b) b ON a.input = b.input AND a.artifact = b.artifact),
+    d AS (SELECT coalesce(a.input, b.input) AS input, coalesce(a.artifact, b.artifact) AS artifact, coalesce(a.r, b.r) AS r, a.digest AS da, b.digest AS db FROM a FULL JOIN b ON a.input = b.input AND a.artifact = b.artifact AND a.r = b.r)
+    SELECT input, p.path, CASE WHEN ia THEN '<object>' ELSE '<absent>' END AS before, CASE WHEN ib THEN '<object>' ELSE '<absent>' END AS after FROM i CROSS JOIN (SELECT unnest(['/normative', '/schema']) AS path) p WHERE ia <> ib
+    UNION ALL SELECT input, '/schema/v', '1', '2' FROM i WHERE ia AND ib AND length(input) % 2 = 1
+    UNION ALL SELECT l.input, '/normative/' || artifact, CASE WHEN l.ia THEN '<object>' ELSE '<absent>' END, CASE WHEN l.ib THEN '<object>' ELSE '<absent>' END FROM l JOIN i USING (input) WHERE i.ia AND i.ib AND l.ia <> l.ib
+    UNION ALL SELECT d.input, '/normative/' || d.artifact || '/' || r || CASE WHEN da IS NULL OR db IS NULL THEN '' ELSE '/files/digest' END,
+       CASE WHEN da IS NULL THEN '<absent>' WHEN db IS NULL THEN '<object>' ELSE da END, CASE WHEN db IS NULL THEN '<absent>' WHEN da IS NULL THEN '<object>' ELSE db END
+     FROM d JOIN l ON l.input = d.input AND l.artifact = d.artifact WHERE l.ia AND l.ib AND da IS DISTINCT FROM db""",
 )
 def u06(t):
-    def docs(runs):
-        inner = runs.groupBy("input", "artifact").agg(F.map_from_entries(F.collect_list(F.struct(F.col("rep").cast("string"), "digest"))).alias("m"))
+    def docs(runs, version):
+        leaf = F.struct(F.struct("digest").alias("files"))
+        inner = runs.groupBy("input", "artifact").agg(F.map_from_entries(F.collect_list(F.struct(F.col("rep").cast("string"), leaf))).alias("m"))
         tree = inner.groupBy("input").agg(F.map_from_entries(F.collect_list(F.struct("artifact", "m"))).alias("m"))
-        return tree.select("input", F.to_json(F.struct(F.col("m").alias("normative"), F.lit("noise").alias("informational"))).alias("doc"))
+        parts = [F.struct(version.alias("v")).alias("schema"), F.col("m").alias("normative"), F.lit("noise").alias("informational")]
+        return tree.select("input", F.to_json(F.struct(*parts)).alias("doc"))
 
     gone = t.table("documents").filter("doc_id % 97 = 0").select(F.col("source").alias("input"), F.col("lang").alias("artifact")).distinct()
     first = t.runs().filter("repeat < 2").withColumn("rep", F.col("repeat")).join(gone, ["input", "artifact"], "left_anti")
     second = t.runs().filter("repeat > 0").withColumn("rep", F.col("repeat") - 1)
-    return K.document_drift(docs(first), docs(second), "input", "doc", "normative")
+    return K.document_drift(docs(first, F.lit(1)), docs(second, F.length("input") % 2 + 1), "input", "doc")
 
 
 @query(

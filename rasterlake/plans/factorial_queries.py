@@ -219,7 +219,7 @@ def a57(t):
 @query(
     "a58_run_determinism",
     "meas",
-    """r AS (SELECT family || '/' || (quantity % 10) AS preset, (cell_id % 3)::INT AS run, CASE WHEN cell_id % 3 = 2 THEN 4 ELSE 1 END AS workers, sha256((max(palette_delta) // 11)::BIGINT::VARCHAR) AS digest FROM meas WHERE group_id % 5 > 0 OR cell_id < 7 GROUP BY ALL)
+    """r AS (SELECT family || '/' || (quantity % 10) AS preset, (cell_id % 3)::INT AS run, CASE WHEN cell_id % 3 = 2 THEN 4 ELSE 1 END AS workers, sha256(CASE WHEN (quantity % 10) % 2 = 0 THEN max(quantity)::VARCHAR ELSE string_agg(DISTINCT palette_delta::VARCHAR, ',' ORDER BY palette_delta::VARCHAR) END) AS digest FROM meas WHERE group_id % 5 > 0 OR cell_id < 7 GROUP BY family, quantity % 10, cell_id % 3)
     SELECT preset, count(*) FILTER (WHERE workers = 1) AS isolated_repeats, count(*) FILTER (WHERE workers > 1) AS parallel_runs, count(DISTINCT digest) = 1 AS all_equal,
       count(*) FILTER (WHERE workers = 1) = 2 AND count(*) FILTER (WHERE workers > 1) = 1 AND count(DISTINCT digest) = 1 AS gate_met FROM r GROUP BY preset""",
 )
@@ -228,7 +228,7 @@ def a58(t):
         t.meas()
         .filter((F.col("group_id") % 5 > 0) | (F.col("cell_id") < 7))
         .groupBy(F.concat_ws("/", "family", F.col("quantity") % 10).alias("preset"), (F.col("cell_id") % 3).alias("run"))
-        .agg(F.sha2(F.expr("cast(max(palette_delta) div 11 as string)"), 256).alias("digest"))
+        .agg(F.sha2(F.when(F.max("quantity") % 2 == 0, F.max("quantity").cast("string")).otherwise(F.array_join(F.array_sort(F.collect_set(F.col("palette_delta").cast("string"))), ",")), 256).alias("digest"))
         .withColumn("workers", F.when(F.col("run") == 2, 4).otherwise(1))
     )
     return run_determinism(d)

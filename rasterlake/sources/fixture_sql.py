@@ -171,9 +171,9 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
     "runs": (
         (),
         """
-        SELECT source AS input, lang AS artifact, doc_id % 3 AS repeat,
-               sha256((min(n_chars) // 4000)::BIGINT::VARCHAR) AS digest
-        FROM documents GROUP BY 1, 2, 3""",
+        SELECT input, artifact, repeat,
+               CASE WHEN (length(input) + ascii(artifact)) % 2 = 0 THEN min(own) OVER (PARTITION BY input, artifact) ELSE own END AS digest
+        FROM (SELECT source AS input, lang AS artifact, doc_id % 3 AS repeat, min(sha256(text)) AS own FROM documents GROUP BY 1, 2, 3)""",
     ),
     "manifest": (
         (),

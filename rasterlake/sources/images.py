@@ -8,42 +8,43 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from rasterlake.operators.digests import ordered_digest
 
+# What may be decoded at all.
+@dataclass(frozen=True)
+class DecodeLimits:
+    max_dimension_px: int = 8192
+    max_pixels: int = 32_000_000
+    max_encoded_bytes: int = 64 * 1024 * 1024
+
+
 # ---- S-1 ---------------------------------------------------------------
 
 
-def scan_images(spark: SparkSession, path: str) -> DataFrame:
+def scan_images(spark: SparkSession, path: str, limits: DecodeLimits | None = None) -> DataFrame:
     """Pixel table of a folder of images, decoded by Spark's image source.
 
     The decoder stores rows of BGR or BGRA bytes. One row per scanline is made
-    first, so no array is longer than the image is wide.
+    first, so no array is longer than the image is wide. An image that cannot be
+    decoded or is over the limits is one row without pixel, with a ``refusal``.
     """
-    img = spark.read.format("image").option("dropInvalid", True).load(path).select("image.*")
+    img = spark.read.format("image").load(path).select("image.*")
+    broken = F.col("height").isNull() | (F.col("height") < 0)
+    undecodable = F.struct(F.lit("undecodable").alias("kind"), F.lit("no pixels").alias("detail"))
+    over = ingest_refusal(limits or DecodeLimits(), F.col("width"), F.col("height"), F.length("data"))
+    img = img.withColumn("refusal", F.when(broken, undecodable).otherwise(over))
     ch, stride = F.col("nChannels"), F.col("width") * F.col("nChannels")
-    lines = img.withColumn("y", F.explode(F.sequence(F.lit(0), F.col("height") - 1))).select(
-        F.col("origin").alias("image_id"),
-        "width",
-        "height",
-        "y",
-        ch.alias("n"),
-        F.hex(F.substring("data", F.col("y") * stride + 1, stride)).alias("hex"),
-    )
+    lines = img.filter("refusal is null").withColumn("y", F.explode(F.sequence(F.lit(0), F.col("height") - 1))).select(
+        F.col("origin").alias("image_id"), "width", "y", ch.alias("n"), F.substring("data", F.col("y") * stride + 1, stride).alias("line"), "refusal",
+    )
     px = lines.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("width") - 1)))
 
-    def byte(i: Column) -> Column:
-        at = (F.col("x") * F.col("n") + i) * 2 + 1
-        return F.conv(F.substring(F.col("hex"), at, F.lit(2)), 16, 10).cast("int")
-
-    grey = F.col("n") == 1
-    pick = lambda k: F.when(grey, byte(F.lit(0))).otherwise(byte(F.lit(k)))
-    return px.select(
-        "image_id",
-        "x",
-        "y",
-        pick(2).alias("r"),
-        pick(1).alias("g"),
-        pick(0).alias("b"),
-        F.when(F.col("n") == 4, byte(F.lit(3))).otherwise(F.lit(255)).alias("a"),
-    )
+    def byte(i: int) -> Column:  # a slice of a BINARY, wherever it lies in the line, costs the same
+        return F.conv(F.hex(F.substring("line", F.col("x") * F.col("n") + i + 1, F.lit(1))), 16, 10).cast("int")
+
+    pick = lambda k: F.when(F.col("n") == 1, byte(0)).otherwise(byte(k))
+    alpha = F.when(F.col("n") == 4, byte(3)).otherwise(F.lit(255))
+    pixels = px.select("image_id", "x", "y", pick(2).alias("r"), pick(1).alias("g"), pick(0).alias("b"), alpha.alias("a"), "refusal")
+    none = [F.lit(None).cast("int").alias(c) for c in ("x", "y", "r", "g", "b", "a")]
+    return pixels.unionByName(img.filter("refusal is not null").select(F.col("origin").alias("image_id"), *none, "refusal"))
 
 
 def pixels_from_array(rows: DataFrame, image_id: str, values: str, width: int) -> DataFrame:
@@ -55,13 +56,6 @@ def pixels_from_array(rows: DataFrame, image_id: str, values: str, width: int) -
 # ---- S-2 ---------------------------------------------------------------
 
 
-@dataclass(frozen=True)
-class DecodeLimits:
-    max_dimension_px: int = 8192
-    max_pixels: int = 32_000_000
-    max_encoded_bytes: int = 64 * 1024 * 1024
-
-
 def ingest_refusal(limits: DecodeLimits, width: Column, height: Column, encoded: Column) -> Column:
     """Typed refusal STRUCT<kind, detail>, NULL when the image may be decoded."""
     say = lambda kind, fmt, *cols: F.struct(F.lit(kind).alias("kind"), F.format_string(fmt, *cols).alias("detail"))
@@ -159,15 +153,17 @@ def write_report(rows: DataFrame, path: str, partitions: list[str], order: list[
 # ---- S-6 ---------------------------------------------------------------
 
 
-def artifact_inventory(spark: SparkSession, path: str, declared: list[str], max_bytes: int = 1 << 30) -> DataFrame:
-    """Recursive listing with size, digest and whether the file was declared.
+def artifact_inventory(spark: SparkSession, path: str, declared: list[str]) -> DataFrame:
+    """Recursive listing: name below the folder, size, digest, whether the file was declared.
 
-    Content is only read below ``max_bytes`` (the filter is pushed to the source);
-    larger files are listed without a digest.
+    A file over the source's own limit for one value is listed with the refusal
+    ``too_large`` and no digest; its content is not read.
     """
+    most = int(spark.conf.get("spark.sql.sources.binaryFile.maxLength", str(2**31 - 1)))
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    name = F.element_at(F.split("path", "/"), -1)
-    small = files.filter(F.col("length") <= max_bytes).select(name.alias("name"), "length", F.sha2("content", 256).alias("sha256"))
-    large = files.filter(F.col("length") > max_bytes).select(name.alias("name"), "length", F.lit(None).cast("string").alias("sha256"))
-    known = F.col("name").isin(*declared)
-    return small.unionByName(large).withColumn("declared", known)
+    root = path.split(":", 1)[-1].strip("/")
+    name = F.expr(f"ltrim('/', substring(path, instr(path, '{root}') + {len(root)}))")
+    fits = F.col("length") <= most
+    small = files.filter(fits).select(name.alias("name"), "length", F.sha2("content", 256).alias("sha256"), F.lit(None).cast("string").alias("refusal"))
+    large = files.filter(~fits).select(name.alias("name"), "length", F.lit(None).cast("string").alias("sha256"), F.lit("too_large").alias("refusal"))
+    return small.unionByName(large).withColumn("declared", F.col("name").isin(*declared))

@@ -4,19 +4,23 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+import math
 import random
+import struct
+import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from rasterlake.functions import hashing, stats
-from rasterlake.operators import chains as C, fields as W, hypotheses as H, regions as R
+from rasterlake.operators import chains as C, corpus as K, fields as W, hypotheses as H, regions as R
 from rasterlake.operators.prefix import running
 from rasterlake.operators.quantiles import index_quantiles
 from rasterlake.operators.digests import ordered_digest
 from rasterlake.operators.reliability import SweepGates, risk_coverage, threshold_sweep
 from rasterlake.session import cut
+from rasterlake.sources import images as I
 
 
 def grid_rows(image, rows, on="#"):
@@ -205,7 +209,10 @@ def test_beta_function_of_large_counts():
     # a coin thrown 4e8 times: the normal limit with continuity correction
     n, k = 4e8, 2e8 + 10_000
     assert abs(stats.incomplete_beta([k], [n - k + 1], [0.5])[0] - 0.1586673524) < 1e-7
-    assert np.allclose(stats.incomplete_beta([2.0, 0.5, 30.0], [3.0, 0.5, 4.0], [0.3, 0.2, 0.95]), [0.3483, 0.2951672353, 0.9283866216], atol=1e-4)
+    for a, b, x in ((2, 3, 0.3), (30, 4, 0.95), (1, 60, 0.01)):  # the chance of at least a successes in a + b - 1 trials
+        n = a + b - 1
+        want = sum(math.comb(n, j) * x**j * (1 - x) ** (n - j) for j in range(a, n + 1))
+        assert abs(stats.incomplete_beta([a], [b], [x])[0] - want) < 1e-12
 
 
 def test_running_total_and_quantiles_on_one_hot_key(spark):
@@ -258,3 +265,34 @@ def test_a_cluster_must_name_a_shared_folder():
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         session.ensure_checkpoint_dir(fake)
     assert session.one_machine("local[8]") and not session.one_machine("local-cluster[3,2,1024]")
+
+
+def test_documents_differ_at_any_depth(spark):
+    a = '{"schema":{"v":1},"normative":{"x":{"y":{"z":{"w":1,"u":[1,2]}}},"same":{"q":1},"gone":{"k":1},"kind":{"o":1}},"informational":{"t":5}}'
+    b = '{"schema":{"v":2},"normative":{"x":{"y":{"z":{"w":2,"u":[1,2]}}},"same":{"q":1},"kind":7,"new":null},"informational":{"t":6}}'
+    rows = lambda j: spark.createDataFrame([("d", j)], "id string, doc string")
+    got = {r.path: (r.before, r.after) for r in K.document_drift(rows(a), rows(b), "id", "doc").collect()}
+    assert got == {
+        "/schema/v": ("1", "2"), "/normative/x/y/z/w": ("1", "2"), "/normative/gone": ("<object>", "<absent>"),
+        "/normative/kind": ("<object>", "7"), "/normative/new": ("<absent>", "null"),
+    }
+
+
+def test_image_scan_keeps_what_it_refuses(spark, tmp_path):
+    def chunk(tag, data):
+        return struct.pack(">I", len(data)) + tag + data + struct.pack(">I", zlib.crc32(tag + data))
+
+    def png(width, height, pixels):
+        lines = b"".join(b"\0" + bytes(v for p in pixels[y * width : (y + 1) * width] for v in p) for y in range(height))
+        return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(lines)) + chunk(b"IEND", b"")
+
+    pixels = [(10 * i, 255 - i, i) for i in range(6)]
+    (tmp_path / "good.png").write_bytes(png(3, 2, pixels))
+    (tmp_path / "wide.png").write_bytes(png(40, 1, [(0, 0, 0)] * 40))
+    (tmp_path / "bad.png").write_bytes(b"no image")
+    got = I.scan_images(spark, str(tmp_path), I.DecodeLimits(max_dimension_px=20)).collect()
+    good = sorted((r.y, r.x, r.r, r.g, r.b, r.a) for r in got if r.image_id.endswith("good.png"))
+    assert good == [(i // 3, i % 3, *pixels[i], 255) for i in range(6)]
+    assert {r.image_id.rsplit("/", 1)[-1]: r.refusal.kind for r in got if r.refusal} == {"wide.png": "dimension_too_large", "bad.png": "undecodable"}
+    files = {r.name: (r.length, r.sha256, r.declared) for r in I.artifact_inventory(spark, str(tmp_path), ["bad.png"]).collect()}
+    assert files["bad.png"] == (8, hashlib.sha256(b"no image").hexdigest(), True) and not files["good.png"][2]
