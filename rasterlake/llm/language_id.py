@@ -17,6 +17,7 @@ empty result; further columns are not looked at and come back unchanged from ``k
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from dataclasses import dataclass
@@ -26,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from rasterlake.llm.rows import numbered, unpack
+from rasterlake.session import cut
 
 PER_LANGUAGE = 300
 SAMPLE_CHARS = 8192
@@ -104,13 +106,29 @@ def fit(sample: list[tuple[str, str]]) -> Model:
     return model
 
 
+def seeded_share(counts: DataFrame, per_label: int) -> DataFrame:
+    """(label, share) of (label, n): a share of hashes that holds ``per_label`` rows of the label all but surely."""
+    wanted = per_label + 8 * math.sqrt(per_label) + 8
+    return cut(counts.select("label", (F.lit(wanted) / F.col("n")).alias("share")))
+
+
+def below(h: Column, share: Column) -> Column:
+    """Whether a 64-bit hash lies in the lowest ``share`` of all."""
+    return F.pmod(h, F.lit(1 << 31)) <= share * float(1 << 31)
+
+
 def bounded_sample(docs: DataFrame, learn: Column, label: str, id_col: str, text_col: str, per_label: int, chars: int) -> list[tuple]:
-    """At most ``per_label`` (label, text) rows of each label, in the order of a seeded hash of the id."""
+    """At most ``per_label`` (label, text) rows of each label, in the order of a seeded hash of the id.
+
+    Labels are counted first, so that only the rows with the lowest hashes are ranked, however many there are.
+    """
     text = F.col(text_col).cast("string")
     rows = docs.filter(learn & F.col(label).isNotNull() & F.col(id_col).isNotNull() & text.rlike(r"\p{L}") & (F.length(text) <= chars))
     rows = rows.select(F.col(label).alias("label"), text.alias("text"), F.xxhash64(F.col(id_col).cast("string"), F.lit("sample")).alias("h"), F.col(id_col).cast("string").alias("i"))
-    first = F.row_number().over(Window.partitionBy("label").orderBy("h", "i", "text"))  # the group limit runs before the shuffle
-    chosen = rows.withColumn("n", first).filter(F.col("n") <= per_label)
+    shares = seeded_share(rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")), per_label)
+    low = rows.join(shares, "label").filter(below(F.col("h"), F.col("share")))
+    first = F.row_number().over(Window.partitionBy("label").orderBy(F.pmod("h", F.lit(1 << 31)), "h", "i", "text"))
+    chosen = low.withColumn("n", first).filter(F.col("n") <= per_label)
     return [(r["label"], r["text"]) for r in sorted(chosen.collect(), key=lambda r: (r["label"], r["n"]))]
 
 
