@@ -206,6 +206,22 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
 }
 
 
+# the wide rasters under the names of the small ones
+WIDE = """
+        SELECT d.image_id, d.x, d.y, least(1.0, greatest(0.0, coalesce(c.v, 0.0) + (d.x * 7 + d.y * 13) % 5 * 0.002::DOUBLE)) AS v
+        FROM (SELECT image_id, (k % 256)::INT AS x, (k // 256)::INT AS y FROM (SELECT DISTINCT l_suppkey % 4 AS image_id FROM lineitem) CROSS JOIN range(0, 53248) t(k)) d
+        LEFT JOIN (SELECT l_suppkey % 4 AS image_id, l_partkey % 32 AS cx, l_orderkey % 26 AS cy, sum(round(l_discount * 100)::BIGINT) % 11 / 10.0::DOUBLE AS v FROM lineitem GROUP BY ALL) c
+        ON c.image_id = d.image_id AND c.cx = d.x // 8 AND c.cy = d.y // 8"""
+WIDE_CTES = {"grid": WIDE, "px8": f"SELECT image_id, x, y, v AS alpha, floor(v * 255 + 0.5)::INT AS code FROM ({WIDE})"}
+
+
+def widened(sql: str) -> str:
+    """The same query over the wide rasters."""
+    for name, body in WIDE_CTES.items():
+        sql = sql.replace(f"{name} AS ({CTES[name][1].strip()})", f"{name} AS ({body.strip()})", 1)
+    return sql
+
+
 def with_fixtures(names: list[str], body: str) -> str:
     """Prefix ``body`` with the CTEs of ``names`` and what they build on."""
     ordered: list[str] = []

@@ -120,6 +120,18 @@ class Lake:
             "image_id", "x", "y", F.coalesce(_clamp01(F.col("v")), F.lit(0.0)).alias("v")
         )
 
+    def wide(self) -> DataFrame:
+        """Four rasters of 256x208: flat cells of 8x8 with a slight texture, so regions and stencils cross tiles."""
+        line = self.table("lineitem")
+        cells = line.groupBy((F.col("l_suppkey") % 4).alias("image_id"), (F.col("l_partkey") % 32).alias("cx"), (F.col("l_orderkey") % 26).alias("cy")).agg(
+            (F.sum(F.round(F.col("l_discount") * 100).cast("bigint")) % 11 / F.lit(10.0)).alias("v")
+        )
+        every = line.select((F.col("l_suppkey") % 4).alias("image_id")).distinct().withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(256 * 208 - 1))))
+        dots = every.select("image_id", (F.col("k") % 256).alias("x"), F.expr("cast(k div 256 as int)").alias("y"))
+        dots = dots.withColumns({"cx": F.expr("cast(x div 8 as bigint)"), "cy": F.expr("cast(y div 8 as bigint)")})
+        v = _clamp01(F.coalesce("v", F.lit(0.0)) + (F.col("x") * 7 + F.col("y") * 13) % 5 * 0.002)
+        return dots.join(cells, ["image_id", "cx", "cy"], "left").select("image_id", "x", "y", v.alias("v"))
+
     def labels4(self) -> DataFrame:
         lab = F.least(F.lit(3), F.floor(F.col("alpha") * 4).cast("int"))
         return self.px8().select("image_id", "x", "y", lab.alias("label"))
@@ -336,3 +348,14 @@ class Lake:
             ((F.col("conv_id") % 2 == 0) & (F.col("turn") < 2)).alias("at_base"),
             "turn",
         )
+
+
+class WideLake(Lake):
+    """The same tables with the wide rasters in place of the small ones."""
+
+    def grid(self) -> DataFrame:
+        return self.wide()
+
+    def px8(self) -> DataFrame:
+        a = F.col("v")
+        return self.wide().select("image_id", "x", "y", a.alias("alpha"), F.floor(a * 255 + 0.5).cast("int").alias("code"))
