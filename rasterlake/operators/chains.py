@@ -10,6 +10,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from rasterlake.functions.codes import residual_bits, rho
 from rasterlake.operators.prefix import chunked, neighbour, running
 from rasterlake.session import cut
 
@@ -157,28 +158,127 @@ def segment_distance() -> Column:
     return F.sqrt(ex * ex + ey * ey)
 
 
+def _touched(px: Column, py: Column, dx: Column, dy: Column, pieces: Column, cell: Column) -> Column:
+    """Cells met by the line from (px, py) by (dx, dy): those of the box of each of ``pieces`` equal parts."""
+    slack = 1e-9
+
+    def part(i: Column) -> Column:
+        ax, ay = px + dx * (i / pieces), py + dy * (i / pieces)
+        bx, by = px + dx * ((i + 1) / pieces), py + dy * ((i + 1) / pieces)
+        span = lambda u, v: F.sequence(F.floor(F.least(u, v) / cell - slack), F.floor(F.greatest(u, v) / cell + slack))
+        return F.flatten(F.transform(span(ax, bx), lambda cx: F.transform(span(ay, by), lambda cy: F.struct(cx.alias("cx"), cy.alias("cy")))))
+
+    return F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(0), pieces - 1), part)))
+
+
+def _segment_cells(segs: DataFrame, cell: float) -> DataFrame:
+    """Every segment in the cells that it runs through (not those of its bounding box)."""
+    dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
+    pieces = F.greatest(F.ceil(F.sqrt(dx * dx + dy * dy) / cell), F.lit(1)).cast("int")
+    cells = F.explode(_touched(F.col("x1"), F.col("y1"), dx, dy, pieces, F.lit(cell))).alias("c")
+    return segs.select(*KEYS, "sid", "x1", "y1", "x2", "y2", cells).select(*KEYS, "sid", "x1", "y1", "x2", "y2", "c.cx", "c.cy")
+
+
 def nearest_segment(points: DataFrame, segs: DataFrame, cell: float = CELL) -> DataFrame:
-    """Closest segment of the same chain, exactly, by a growing cell ring.
+    """Closest segment of the same chain, exactly, by growing cells.
 
-    A candidate found in ring r is final when it is no farther than r cells.
-    Points left over search again in a wider ring; the ring doubles only for them.
+    A point looks at its own cell and the eight around it; a candidate within one
+    cell is final. Cells double for the points that are left, and the segments are
+    laid out anew in them, so a level never looks at more than nine cells.
     """
-    grid = cut(cells_of_segments(segs, cell))
-    left = points.select(*KEYS, "k", "px", "py")
-    out, ring = None, 1
+    left = cut(points.select(*KEYS, "k", "px", "py").join(segs.select(*KEYS).distinct(), KEYS, "left_semi"))
+    out = None
+    near = F.sequence(F.lit(-1), F.lit(1))
     while True:
-        near = F.sequence(F.lit(-ring), F.lit(ring))
         q = left.withColumn("__dx", F.explode(near)).withColumn("__dy", F.explode(near))
         q = q.withColumns({"cx": F.floor(F.col("px") / cell) + F.col("__dx"), "cy": F.floor(F.col("py") / cell) + F.col("__dy")})
-        cand = q.join(grid, [*KEYS, "cx", "cy"]).withColumn("d", segment_distance())
+        cand = q.join(_segment_cells(segs, cell), [*KEYS, "cx", "cy"]).withColumn("d", segment_distance())
         best = cand.groupBy(*KEYS, "k").agg(F.min(F.struct("d", "sid")).alias("b"))
-        got = cut(left.join(best, [*KEYS, "k"], "left").withColumn("__ok", F.coalesce(F.col("b.d") <= ring * cell, F.lit(False))))
+        got = cut(left.join(best, [*KEYS, "k"], "left").withColumn("__ok", F.coalesce(F.col("b.d") <= cell, F.lit(False))))
         done = got.filter("__ok").select(*KEYS, "k", F.col("b.sid").alias("sid"), F.col("b.d").alias("distance"))
         out = done if out is None else out.unionByName(done)
-        left = got.filter("not __ok").join(segs.select(*KEYS).distinct(), KEYS, "left_semi").select(*KEYS, "k", "px", "py")
+        left = got.filter("not __ok").select(*KEYS, "k", "px", "py")
         if left.isEmpty():
             return out
-        ring *= 2
+        cell *= 2
+
+
+def normal_crossing(points: DataFrame, segs: DataFrame, reach: float = CELL) -> DataFrame:
+    """Signed distance ``t`` along the normal to the nearest crossing with the own chain's segments.
+
+    The normal line runs both ways without end; ``t`` is NULL where it meets no
+    segment. A crossing within ``reach`` lies in a cell that both the line and the
+    segment run through; reach and cells double for the points that are left,
+    until a line has left the box of its chain.
+    """
+    box = segs.groupBy(*KEYS).agg(
+        *[f(f"{a}{i}").alias(f"__{n}{a}{i}") for a in "xy" for i in (1, 2) for f, n in ((F.min, "lo"), (F.max, "hi"))]
+    )
+    far = [F.greatest(F.abs(F.col(f"p{a}") - F.least(f"__lo{a}1", f"__lo{a}2")), F.abs(F.col(f"p{a}") - F.greatest(f"__hi{a}1", f"__hi{a}2"))) for a in "xy"]
+    base = points.select(*KEYS, "k", "px", "py", "nx", "ny").join(box, KEYS, "left")
+    left = cut(base.select(*KEYS, "k", "px", "py", "nx", "ny", F.sqrt(far[0] * far[0] + far[1] * far[1]).alias("__far")))
+    none = F.lit(None).cast("bigint").alias("sid"), F.lit(None).cast("double").alias("t")
+    out = left.filter("__far is null").select(*KEYS, "k", *none)
+    left = left.filter("__far is not null")
+    c = F.col
+    det = c("nx") * (c("y2") - c("y1")) - c("ny") * (c("x2") - c("x1"))
+    mx, my = c("px") - c("x1"), c("py") - c("y1")
+    at = (c("nx") * my - c("ny") * mx) / F.nullif(det, F.lit(0.0))
+    t = ((c("x2") - c("x1")) * my - (c("y2") - c("y1")) * mx) / F.nullif(det, F.lit(0.0))
+    while True:
+        cell = reach / 4
+        ray = _touched(c("px") - c("nx") * reach, c("py") - c("ny") * reach, c("nx") * (2 * reach), c("ny") * (2 * reach), F.lit(8), F.lit(cell))
+        q = left.withColumn("__c", F.explode(ray)).withColumns({"cx": c("__c.cx"), "cy": c("__c.cy")})
+        cand = q.join(_segment_cells(segs, cell), [*KEYS, "cx", "cy"]).withColumns({"s": at, "t": t}).filter("s between 0 and 1 and t is not null")
+        best = cand.groupBy(*KEYS, "k").agg(F.min(F.struct(F.abs("t").alias("d"), "sid", "t")).alias("b"))
+        got = left.join(best, [*KEYS, "k"], "left")
+        hit = F.coalesce(c("b.d") <= reach, F.lit(False))
+        got = cut(got.withColumn("__ok", hit | (c("__far") <= reach)).withColumn("b", F.when(hit, c("b"))))
+        out = out.unionByName(got.filter("__ok").select(*KEYS, "k", c("b.sid").alias("sid"), c("b.t").alias("t")))
+        left = got.filter("not __ok").drop("b", "__ok")
+        if left.isEmpty():
+            return out
+        reach *= 2
+
+
+# Fixed value: a sample counts for the ratio of both deviations from this share of its half-width on.
+MATERIAL_SHARE = 0.25
+
+
+def deviation_cost(points: DataFrame, segs: DataFrame) -> DataFrame:
+    """Proposal cost of each chain: robust normal deviations times arclength, the largest of both deviations, and the
+    worst ratio among material samples with the deviation at which it stands (the first of equals).
+
+    Samples of no arclength say nothing. A normal line that meets no segment refuses the chain.
+    """
+    real = points.filter(F.col("weight_ds") != 0)
+    d = real.select(*KEYS, "k", "halfwidth", "weight_ds").join(normal_crossing(real, segs).select(*KEYS, "k", "t"), [*KEYS, "k"])
+    d = d.join(nearest_segment(real, segs).select(*KEYS, "k", F.col("distance").alias("de")), [*KEYS, "k"], "left").withColumn("dn", F.abs("t"))
+    material = (F.col("de") >= F.col("halfwidth") * MATERIAL_SHARE) & (F.col("de") > 0)
+    worst = F.max(F.when(material & F.col("dn").isNotNull(), F.struct((F.col("dn") / F.col("de")).alias("ratio"), (-F.col("k")).alias("first"), "de")))
+    found = d.groupBy(*KEYS).agg(
+        F.sum(rho(F.col("t") / F.col("halfwidth")) * F.col("weight_ds")).alias("cost"), F.max("dn").alias("max_normal"), F.max("de").alias("max_euclidean"),
+        worst.alias("w"), F.count_if(material).alias("material"), F.count_if(F.col("t").isNull()).alias("__missed"),
+    )
+    ok = F.col("__missed") == 0
+    values = [F.when(ok, F.col(c)).alias(c) for c in ("cost", "max_normal", "max_euclidean")]
+    ratio = [F.when(ok, F.col("w.ratio")).alias("worst_ratio"), F.when(ok, F.col("w.de")).alias("ratio_at")]
+    return found.select(*KEYS, *values, *ratio, F.when(ok, F.col("material")).alias("material"), F.when(~ok, "normal_line_misses").alias("refusal"))
+
+
+def residual_code(points: DataFrame, segs: DataFrame) -> DataFrame:
+    """Residual code length of each chain: independent observations times the code of each deviation.
+
+    The deviation runs along the normal, or straight where the normal meets
+    nothing. A correlation length that is not positive, or a negative arclength,
+    makes the code infinite.
+    """
+    d = points.select(*KEYS, "k", "halfwidth", "weight_ds", "corr_length").join(normal_crossing(points, segs).select(*KEYS, "k", "t"), [*KEYS, "k"], "left")
+    d = d.join(nearest_segment(points, segs).select(*KEYS, "k", "distance"), [*KEYS, "k"], "left")
+    off = F.coalesce(F.abs("t"), F.col("distance"))
+    count = F.when((F.col("corr_length") > 0) & (F.col("weight_ds") >= 0), F.col("weight_ds") / F.col("corr_length"))
+    bits = F.coalesce(count * residual_bits(off, F.col("halfwidth")), F.lit(float("inf")))
+    return d.groupBy(*KEYS).agg(F.count("*").alias("samples"), F.sum(bits).alias("bits"))
 
 
 def corridor_containment(samples: DataFrame, poly: DataFrame) -> DataFrame:

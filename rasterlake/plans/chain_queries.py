@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rasterlake.operators import chains as H
+from rasterlake.functions.codes import COORDINATE_PRECISION_PX
 from rasterlake.plans.functions_queries import r6
 from rasterlake.registry import query
 
@@ -96,9 +97,59 @@ def moved(t):
     return t.chain().withColumns({"px": F.col("px") + 0.4, "py": F.col("py") + 0.3, "halfwidth": F.lit(2.5)})
 
 
-@query("j03_nearest_segment", "segments", f"{PT.replace('GROUP BY ALL', 'GROUP BY chain_id, k')} SELECT chain_id, k, round(d, 6) AS distance FROM nr")
+@query("j03_nearest_segment", "segments", f"{PT.replace('GROUP BY ALL', 'GROUP BY chain_id, k')} SELECT chain_id, k, sid, round(d, 6) AS distance FROM nr")
 def j03(t):
-    return H.nearest_segment(moved(t), t.segments()).select("chain_id", "k", r6(F.col("distance"), "distance"))
+    return H.nearest_segment(moved(t), t.segments()).select("chain_id", "k", "sid", r6(F.col("distance"), "distance"))
+
+
+# even chains look across their axis, where every line meets something; the others in twelve directions
+RAY = PT.replace("GROUP BY ALL", "GROUP BY chain_id, k").replace(
+    "px + 0.4 AS px, py + 0.3 AS py", "px + CASE WHEN chain_id % 2 = 0 THEN 1.7 ELSE 0.4 END AS px, py + CASE WHEN chain_id % 2 = 1 THEN 0.3 WHEN k > 0 THEN -0.3 ELSE 0 END AS py"
+).replace(
+    "2.5::DOUBLE AS halfwidth FROM chain)",
+    "2.5::DOUBLE AS halfwidth, CASE WHEN chain_id % 2 = 0 THEN 1.0 ELSE cos(pi() * (k % 12) / 6) END AS nx, CASE WHEN chain_id % 2 = 0 THEN 0.0 ELSE sin(pi() * (k % 12) / 6) END AS ny, CASE WHEN k % 9 = 4 THEN 0.0 ELSE 0.5 + (k % 4) * 0.25 END::DOUBLE AS weight_ds, CASE WHEN chain_id % 11 = 3 AND k = 5 THEN 0.0 ELSE 2.0 END::DOUBLE AS corr_length FROM chain)",
+) + """, cr AS (SELECT pt.chain_id, pt.k, sid, ((x2 - x1) * (py - y1) - (y2 - y1) * (px - x1)) / nullif(nx * (y2 - y1) - ny * (x2 - x1), 0) AS t, (nx * (py - y1) - ny * (px - x1)) / nullif(nx * (y2 - y1) - ny * (x2 - x1), 0) AS s FROM pt JOIN segments USING (chain_id)),
+    rc AS (SELECT chain_id, k, arg_min({'sid': sid, 't': t}, (abs(t), sid)) AS b FROM cr WHERE s BETWEEN 0 AND 1 AND t IS NOT NULL GROUP BY chain_id, k),
+    ry AS (SELECT pt.*, rc.b.sid AS sid, rc.b.t AS t, nr.d AS de FROM pt LEFT JOIN rc USING (chain_id, k) LEFT JOIN nr USING (chain_id, k))"""
+
+
+def rays(t):
+    k, even = F.col("k"), F.col("chain_id") % 2 == 0
+    return t.chain().withColumns({
+        "px": F.col("px") + F.when(even, 1.7).otherwise(0.4), "py": F.col("py") + F.when(~even, 0.3).when(k > 0, -0.3).otherwise(0.0), "halfwidth": F.lit(2.5),
+        "nx": F.when(even, 1.0).otherwise(F.cos(F.pi() * (k % 12) / 6)), "ny": F.when(even, 0.0).otherwise(F.sin(F.pi() * (k % 12) / 6)), "weight_ds": F.when(k % 9 == 4, 0.0).otherwise(k % 4 * 0.25 + 0.5),
+        "corr_length": F.when((F.col("chain_id") % 11 == 3) & (k == 5), 0.0).otherwise(2.0),
+    })
+
+
+@query("j04_normal_crossing", "segments", f"{RAY} SELECT chain_id, k, round(t, 4) AS t FROM ry")
+def j04(t):
+    return H.normal_crossing(rays(t), t.segments()).select("chain_id", "k", F.round("t", 4).alias("t"))
+
+
+HUBER = "(CASE WHEN abs(t / halfwidth) <= 1 THEN pow(t / halfwidth, 2) ELSE 2 * abs(t / halfwidth) - 1 END)"
+
+
+@query(
+    "a65_deviation_cost",
+    "segments",
+    f"""{RAY}, m AS (SELECT *, de >= 0.25 * halfwidth AND de > 0 AS mat FROM ry WHERE weight_ds <> 0), g AS (SELECT chain_id, sum({HUBER} * weight_ds) AS cost, max(abs(t)) AS max_normal, max(de) AS max_euclidean, arg_max({{'r': abs(t) / de, 'd': de}}, (abs(t) / de, -k)) FILTER (WHERE mat AND t IS NOT NULL) AS w, count(*) FILTER (WHERE mat) AS material, bool_or(t IS NULL) AS missed FROM m GROUP BY chain_id)
+    SELECT chain_id, CASE WHEN NOT missed THEN round(cost, 4) END AS cost, CASE WHEN NOT missed THEN round(max_normal, 4) END AS max_normal, CASE WHEN NOT missed THEN round(max_euclidean, 4) END AS max_euclidean, CASE WHEN NOT missed THEN round(w.r, 4) END AS worst_ratio, CASE WHEN NOT missed THEN round(w.d, 4) END AS ratio_at, CASE WHEN NOT missed THEN material END AS material, CASE WHEN missed THEN 'normal_line_misses' END AS refusal FROM g""",
+)
+def a65(t):
+    d = H.deviation_cost(rays(t), t.segments())
+    return d.withColumns({c: F.round(c, 4) for c in ("cost", "max_normal", "max_euclidean", "worst_ratio", "ratio_at")})
+
+
+@query(
+    "a66_residual_code",
+    "segments",
+    f"""{RAY}, b AS (SELECT chain_id, CASE WHEN corr_length > 0 AND weight_ds >= 0 THEN weight_ds / corr_length * greatest(0.0, {HUBER.replace('t / halfwidth', 'coalesce(t, de) / halfwidth')} / (2 * ln(2.0::DOUBLE)) + log2(halfwidth * sqrt(2 * pi()) / {COORDINATE_PRECISION_PX!r}::DOUBLE)) ELSE 'inf'::DOUBLE END AS bits FROM ry)
+    SELECT chain_id, count(*) AS samples, CASE WHEN isinf(sum(bits)) THEN NULL ELSE round(sum(bits), 4) END AS bits FROM b GROUP BY chain_id""",
+)
+def a66(t):
+    d = H.residual_code(rays(t), t.segments())
+    return d.withColumn("bits", F.when(F.col("bits") < float("inf"), F.round("bits", 4)))
 
 
 @query("a67_corridor_containment", "segments", f"{PT.replace('GROUP BY ALL', 'GROUP BY chain_id, k')} SELECT chain_id, count(*) AS samples, round(max(round(d / halfwidth, 9)), 6) AS worst_ratio, max(round(d / halfwidth, 9)) <= 1 AS feasible FROM nr GROUP BY chain_id")
