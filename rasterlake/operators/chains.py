@@ -149,11 +149,17 @@ def cells_of_segments(segs: DataFrame, cell: float) -> DataFrame:
     return d.withColumn("cy", F.explode(span(F.col("y1"), F.col("y2"))))
 
 
-def segment_distance() -> Column:
+def projection() -> Column:
+    """Place on the segment that is closest to the point, 0 to 1."""
     dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
     len2 = dx * dx + dy * dy
     t = F.coalesce(((F.col("px") - F.col("x1")) * dx + (F.col("py") - F.col("y1")) * dy) / F.nullif(len2, F.lit(0.0)), F.lit(0.0))
-    t = F.least(F.lit(1.0), F.greatest(F.lit(0.0), t))
+    return F.least(F.lit(1.0), F.greatest(F.lit(0.0), t))
+
+
+def segment_distance() -> Column:
+    dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
+    t = projection()
     ex, ey = F.col("x1") + t * dx - F.col("px"), F.col("y1") + t * dy - F.col("py")
     return F.sqrt(ex * ex + ey * ey)
 
@@ -171,17 +177,22 @@ def _touched(px: Column, py: Column, dx: Column, dy: Column, pieces: Column, cel
     return F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(0), pieces - 1), part)))
 
 
-def _segment_cells(segs: DataFrame, cell: float) -> DataFrame:
+def _segment_cells(segs: DataFrame, cell: float, more: tuple[str, ...] = ()) -> DataFrame:
     """Every segment in the cells that it runs through (not those of its bounding box)."""
     dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
     pieces = F.greatest(F.ceil(F.sqrt(dx * dx + dy * dy) / cell), F.lit(1)).cast("int")
     cells = F.explode(_touched(F.col("x1"), F.col("y1"), dx, dy, pieces, F.lit(cell))).alias("c")
-    return segs.select(*KEYS, "sid", "x1", "y1", "x2", "y2", cells).select(*KEYS, "sid", "x1", "y1", "x2", "y2", "c.cx", "c.cy")
+    cols = [*KEYS, "sid", "x1", "y1", "x2", "y2", *more]
+    return segs.select(*cols, cells).select(*cols, "c.cx", "c.cy")
 
 
-def nearest_segment(points: DataFrame, segs: DataFrame, cell: float = CELL) -> DataFrame:
+def nearest_segment(points: DataFrame, segs: DataFrame, cell: float = CELL, ends: tuple[str, str] | None = None) -> DataFrame:
     """Closest segment of the same chain, exactly, by growing cells.
 
+    ``ends`` names a value at both ends of the segments: it is then returned as
+    ``value``, interpolated at the closest place, and of equally close segments
+    that with the least value wins.
+
     A point looks at its own cell and the eight around it; a candidate within one
     cell is final. Cells double for the points that are left, and the segments are
     laid out anew in them, so a level never looks at more than nine cells.
@@ -192,10 +203,12 @@ def nearest_segment(points: DataFrame, segs: DataFrame, cell: float = CELL) -> D
     while True:
         q = left.withColumn("__dx", F.explode(near)).withColumn("__dy", F.explode(near))
         q = q.withColumns({"cx": F.floor(F.col("px") / cell) + F.col("__dx"), "cy": F.floor(F.col("py") / cell) + F.col("__dy")})
-        cand = q.join(_segment_cells(segs, cell), [*KEYS, "cx", "cy"]).withColumn("d", segment_distance())
-        best = cand.groupBy(*KEYS, "k").agg(F.min(F.struct("d", "sid")).alias("b"))
+        cand = q.join(_segment_cells(segs, cell, ends or ()), [*KEYS, "cx", "cy"]).withColumn("d", segment_distance())
+        value = F.lit(None).cast("double") if ends is None else F.col(ends[0]) + projection() * (F.col(ends[1]) - F.col(ends[0]))
+        best = cand.withColumn("v", value).groupBy(*KEYS, "k").agg(F.min(F.struct("d", "v", "sid")).alias("b"))
         got = cut(left.join(best, [*KEYS, "k"], "left").withColumn("__ok", F.coalesce(F.col("b.d") <= cell, F.lit(False))))
-        done = got.filter("__ok").select(*KEYS, "k", F.col("b.sid").alias("sid"), F.col("b.d").alias("distance"))
+        more = [] if ends is None else [F.col("b.v").alias("value")]
+        done = got.filter("__ok").select(*KEYS, "k", F.col("b.sid").alias("sid"), F.col("b.d").alias("distance"), *more)
         out = done if out is None else out.unionByName(done)
         left = got.filter("not __ok").select(*KEYS, "k", "px", "py")
         if left.isEmpty():
@@ -281,12 +294,40 @@ def residual_code(points: DataFrame, segs: DataFrame) -> DataFrame:
     return d.groupBy(*KEYS).agg(F.count("*").alias("samples"), F.sum(bits).alias("bits"))
 
 
+# Fixed value: half-widths within which a model counts as explaining a sample.
+FEASIBLE_HALFWIDTHS = 3.0
+
+
 def corridor_containment(samples: DataFrame, poly: DataFrame) -> DataFrame:
-    """Worst deviation of samples from a polyline relative to their half-width."""
-    d = nearest_segment(samples, poly).join(samples.select(*KEYS, "k", "halfwidth"), [*KEYS, "k"])
-    d = d.withColumn("ratio", F.col("distance") / F.col("halfwidth"))
-    w = d.groupBy(*KEYS).agg(F.max(F.struct(F.round("ratio", 9).alias("r"), (-F.col("k")).alias("nk"))).alias("w"), F.count("*").alias("samples"))
-    return w.select(*KEYS, "samples", F.col("w.r").alias("worst_ratio"), (-F.col("w.nk")).alias("worst_at"), (F.col("w.r") <= 1).alias("feasible"))
+    """Worst ratio of deviation to allowance between samples and a polyline, both ways.
+
+    Samples deviate along their normal (straight, where that meets nothing) against their own half-width; vertices of
+    the polyline deviate from the chain of samples against the half-width interpolated at the closest place. The first
+    of equal ratios counts, samples before vertices. Without two samples or a segment a chain is not feasible.
+    """
+    few = samples.groupBy(*KEYS).agg(F.count("*").alias("samples"))
+    direct = samples.select(*KEYS, "k", "halfwidth").join(normal_crossing(samples, poly).select(*KEYS, "k", "t"), [*KEYS, "k"])
+    direct = direct.join(nearest_segment(samples, poly).select(*KEYS, "k", "distance"), [*KEYS, "k"])
+    forward = direct.select(*KEYS, F.lit(0).alias("way"), "k", F.coalesce(F.abs("t"), F.col("distance")).alias("dev"), (F.col("halfwidth") * FEASIBLE_HALFWIDTHS).alias("allowed"))
+
+    sides = neighbour(samples.select(*KEYS, "k", "px", "py", "halfwidth"), KEYS, "k", ["px", "py", "halfwidth"], 1, "_n").filter("px_n is not null")
+    chain = sides.select(*KEYS, F.col("k").alias("sid"), F.col("px").alias("x1"), F.col("py").alias("y1"), F.col("px_n").alias("x2"), F.col("py_n").alias("y2"), F.col("halfwidth").alias("h1"), F.col("halfwidth_n").alias("h2"))
+    ends = poly.groupBy(*KEYS).agg(*[f(c, "sid").alias(n) for f, c, n in ((F.min_by, "x1", "fx"), (F.min_by, "y1", "fy"), (F.max_by, "x2", "lx"), (F.max_by, "y2", "ly"), (F.max_by, "sid", "last"))])
+    first = samples.groupBy(*KEYS).agg(*[f(c, "k").alias(n) for f, c, n in ((F.min_by, "px", "x2"), (F.min_by, "py", "y2"), (F.min_by, "halfwidth", "h2"), (F.max_by, "px", "x1"), (F.max_by, "py", "y1"), (F.max_by, "halfwidth", "h1"), (F.max_by, "k", "sid"))])
+    seam = first.join(ends.filter("fx = lx and fy = ly").select(*KEYS), KEYS, "left_semi")  # a closed polyline closes the evidence
+    chain = chain.unionByName(seam.select(*chain.columns))
+    dots = poly.select(*KEYS, F.col("sid").alias("k"), F.col("x1").alias("px"), F.col("y1").alias("py"))
+    dots = dots.unionByName(ends.select(*KEYS, (F.col("last") + 1).alias("k"), F.col("lx").alias("px"), F.col("ly").alias("py")))
+    back = nearest_segment(dots, chain, ends=("h1", "h2"))
+    reverse = back.select(*KEYS, F.lit(1).alias("way"), "k", F.col("distance").alias("dev"), (F.col("value") * FEASIBLE_HALFWIDTHS).alias("allowed"))
+    both = forward.unionByName(reverse).withColumn("ratio", F.round(F.col("dev") / F.col("allowed"), 9))
+    worst = both.groupBy(*KEYS).agg(F.max(F.struct("ratio", (-F.col("way")).alias("w"), (-F.col("k")).alias("n"), "dev", "allowed")).alias("b"))
+    d = few.join(worst, KEYS, "left")
+    valid = (F.col("samples") >= 2) & F.col("b").isNotNull()
+    return d.select(
+        *KEYS, "samples", F.when(valid, F.col("b.ratio")).alias("worst_ratio"), F.when(valid, F.when(F.col("b.w") == 0, "sample").otherwise("vertex")).alias("worst_side"),
+        F.when(valid, -F.col("b.n")).alias("worst_at"), F.when(valid, F.col("b.dev")).alias("deviation"), F.coalesce(valid & (F.col("b.ratio") <= 1), F.lit(False)).alias("feasible"),
+    )
 
 
 def interference(segs: DataFrame, cell: int) -> DataFrame:

@@ -97,11 +97,6 @@ def moved(t):
     return t.chain().withColumns({"px": F.col("px") + 0.4, "py": F.col("py") + 0.3, "halfwidth": F.lit(2.5)})
 
 
-@query("j03_nearest_segment", "segments", f"{PT.replace('GROUP BY ALL', 'GROUP BY chain_id, k')} SELECT chain_id, k, sid, round(d, 6) AS distance FROM nr")
-def j03(t):
-    return H.nearest_segment(moved(t), t.segments()).select("chain_id", "k", "sid", r6(F.col("distance"), "distance"))
-
-
 # even chains look across their axis, where every line meets something; the others in twelve directions
 RAY = PT.replace("GROUP BY ALL", "GROUP BY chain_id, k").replace(
     "px + 0.4 AS px, py + 0.3 AS py", "px + CASE WHEN chain_id % 2 = 0 THEN 1.7 ELSE 0.4 END AS px, py + CASE WHEN chain_id % 2 = 1 THEN 0.3 WHEN k > 0 THEN -0.3 ELSE 0 END AS py"
@@ -122,6 +117,11 @@ def rays(t):
     })
 
 
+@query("j03_nearest_segment", "segments", f"{PT.replace('GROUP BY ALL', 'GROUP BY chain_id, k')} SELECT chain_id, k, sid, round(d, 6) AS distance FROM nr")
+def j03(t):
+    return H.nearest_segment(moved(t), t.segments()).select("chain_id", "k", "sid", r6(F.col("distance"), "distance"))
+
+
 @query("j04_normal_crossing", "segments", f"{RAY} SELECT chain_id, k, round(t, 4) AS t FROM ry")
 def j04(t):
     return H.normal_crossing(rays(t), t.segments()).select("chain_id", "k", F.round("t", 4).alias("t"))
@@ -152,9 +152,21 @@ def a66(t):
     return d.withColumn("bits", F.when(F.col("bits") < float("inf"), F.round("bits", 4)))
 
 
-@query("a67_corridor_containment", "segments", f"{PT.replace('GROUP BY ALL', 'GROUP BY chain_id, k')} SELECT chain_id, count(*) AS samples, round(max(round(d / halfwidth, 9)), 6) AS worst_ratio, max(round(d / halfwidth, 9)) <= 1 AS feasible FROM nr GROUP BY chain_id")
+@query(
+    "a67_corridor_containment",
+    "segments",
+    f"""{RAY}, pn AS (SELECT chain_id, k, px AS x1, py AS y1, halfwidth * (1 + k % 3) AS h1, lead(px) OVER w AS x2, lead(py) OVER w AS y2, lead(halfwidth * (1 + k % 3)) OVER w AS h2 FROM pt WINDOW w AS (PARTITION BY chain_id ORDER BY k)),
+    vx AS (SELECT chain_id, sid AS k, x1 AS px, y1 AS py FROM segments UNION ALL SELECT chain_id, max(sid) + 1, arg_max(x2, sid), arg_max(y2, sid) FROM segments GROUP BY chain_id),
+    vq AS (SELECT vx.chain_id, vx.k, px, py, x1, y1, x2, y2, h1, h2, least(1.0, greatest(0.0, coalesce(((px - x1) * (x2 - x1) + (py - y1) * (y2 - y1)) / nullif(pow(x2 - x1, 2) + pow(y2 - y1, 2), 0), 0))) AS q FROM vx JOIN pn USING (chain_id) WHERE x2 IS NOT NULL),
+    vd AS (SELECT chain_id, k, sqrt(pow(x1 + q * (x2 - x1) - px, 2) + pow(y1 + q * (y2 - y1) - py, 2)) AS d, h1 + q * (h2 - h1) AS h FROM vq), vb AS (SELECT chain_id, k, min({{'d': d, 'h': h}}) AS b FROM vd GROUP BY chain_id, k),
+    rt AS (SELECT chain_id, 'sample' AS side, k, coalesce(abs(t), de) AS dev, 3.0::DOUBLE * halfwidth * (1 + k % 3) AS al FROM ry UNION ALL SELECT chain_id, 'vertex', k, b.d, 3.0::DOUBLE * b.h FROM vb),
+    ws AS (SELECT chain_id, arg_min({{'r': round(dev / al, 9), 's': side, 'k': k, 'd': dev}}, (-round(dev / al, 9), side, k)) AS w FROM rt GROUP BY chain_id)
+    SELECT chain_id, n AS samples, round(w.r, 6) AS worst_ratio, w.s AS worst_side, w.k AS worst_at, round(w.d, 4) AS deviation, w.r <= 1 AS feasible FROM ws JOIN (SELECT chain_id, count(*) AS n FROM pt GROUP BY 1) USING (chain_id)""",
+)
 def a67(t):
-    return H.corridor_containment(moved(t), t.segments()).select("chain_id", "samples", r6(F.col("worst_ratio"), "worst_ratio"), "feasible")
+    samples = rays(t).withColumn("halfwidth", F.col("halfwidth") * (F.col("k") % 3 + 1))
+    d = H.corridor_containment(samples, t.segments())
+    return d.withColumns({"worst_ratio": F.round("worst_ratio", 6), "deviation": F.round("deviation", 4)})
 
 
 ZIG = "zs AS (SELECT chain_id, sid, round(x1 * 1000)::BIGINT AS x1, ((sid % 3) * 2000 + (sid // 12) * 9000)::BIGINT AS y1, round(x2 * 1000)::BIGINT AS x2, (((sid + 1) % 3) * 2000 + ((sid + 1) // 12) * 9000)::BIGINT AS y2 FROM segments)"
