@@ -6,6 +6,7 @@ import os
 import re
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -58,6 +59,28 @@ def one_machine(master: str) -> bool:
     return re.fullmatch(r"local(\[.*\])?", master) is not None
 
 
+_RECORDS: list[list[str]] = []
+
+
+@contextmanager
+def recorded():
+    """The folders that ``cut`` writes inside the block, for a later ``release``."""
+    paths: list[str] = []
+    _RECORDS.append(paths)
+    try:
+        yield paths
+    finally:
+        _RECORDS.remove(paths)
+
+
+def release(spark: SparkSession, paths: list[str]) -> None:
+    """Delete written tables that nothing will read again."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    for path in paths:
+        p = hadoop(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared checkpoint folder and read it back.
 
@@ -68,5 +91,7 @@ def cut(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/rasterlake-{uuid.uuid4().hex}"
+    for paths in _RECORDS:
+        paths.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
