@@ -33,3 +33,11 @@ def only_rows(base: DataFrame, rows: DataFrame) -> DataFrame:
     wanted = F.broadcast(bitmap(rows.select(bucket(F.col("row")).alias("id")), "wanted"))  # one row of fixed size
     near = base.crossJoin(wanted).filter(holds(F.col("wanted"), bucket(F.col("row")))).drop("wanted")
     return near.join(rows.hint("merge"), "row", "left_semi")
+
+
+def without_rows(base: DataFrame, dropped: DataFrame) -> DataFrame:
+    """Base rows whose ``row`` does not stand in ``dropped`` (distinct): all but a few pass without being moved."""
+    wanted = F.broadcast(bitmap(dropped.select(bucket(F.col("row")).alias("id")), "wanted"))  # one row of fixed size
+    marked = base.crossJoin(wanted).withColumn("maybe", holds(F.col("wanted"), bucket(F.col("row")))).drop("wanted")
+    sure = marked.filter("not maybe").drop("maybe")
+    return sure.unionByName(marked.filter("maybe").drop("maybe").join(dropped.hint("merge"), "row", "left_anti"))

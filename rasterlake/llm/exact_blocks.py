@@ -18,7 +18,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from rasterlake.llm.bitmap import only_rows
+from rasterlake.llm.bitmap import only_rows, without_rows
 from rasterlake.llm.rows import numbered, sorted_names, unpack
 from rasterlake.session import cut
 
@@ -90,8 +90,8 @@ def exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows that stay, with all their columns."""
     base = numbered(docs)
-    kept = _resolve(base, id_col, text_col).filter("kept").select("row")
-    return unpack(base.join(kept, "row", "left_semi"))
+    dropped = cut(_resolve(base, id_col, text_col).filter("not kept").select("row"))
+    return unpack(without_rows(base, dropped))
 
 
 SQL = r"""

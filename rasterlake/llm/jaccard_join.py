@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from rasterlake.llm.bitmap import only_rows
+from rasterlake.llm.bitmap import only_rows, without_rows
 from rasterlake.llm.rows import numbered, unpack
 from rasterlake.operators.graphs import components
 from rasterlake.session import cut
@@ -242,5 +242,5 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """One document of each class (that with the smallest id), with all columns."""
     base = numbered(docs)
     rows = base.select("row", F.col(f"doc.`{id_col}`").cast("long").alias("doc_id"), F.col(f"doc.`{text_col}`").cast("string").alias("text"))
-    kept = _classes(rows).filter(F.col("row") == F.col("keep_row")).select("row")
-    return unpack(base.join(kept, "row", "left_semi"))
+    dropped = cut(_classes(rows).filter(F.col("row") != F.col("keep_row")).select("row"))
+    return unpack(without_rows(base, dropped))

@@ -26,7 +26,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from rasterlake.llm.rows import numbered, unpack
 from rasterlake.session import cut
 
 PER_LANGUAGE = 300
@@ -140,29 +139,42 @@ def held_out(id_col: str) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
+def _predict(model: Model | None, column: pa.Array) -> tuple[list[str], list[float]]:
+    """Language and score of each text of a batch."""
+    preds, scores = [], []
+    for start in range(0, len(column), BATCH):
+        texts = [t or "" for t in column.slice(start, BATCH).to_pylist()]
+        good = [i for i, t in enumerate(texts) if model and _LETTER.search(t)]
+        pred, score = [UNKNOWN] * len(texts), [0.0] * len(texts)
+        if good:
+            s = model.scores([texts[i] for i in good])
+            best = s.argmax(axis=1)
+            value = np.clip((s[np.arange(len(good)), best] + 1) / 2, 0, 1)
+            for i, b, v in zip(good, best.tolist(), value.tolist()):
+                pred[i], score[i] = model.classes[b], float(v)
+        preds += pred
+        scores += score
+    return preds, scores
+
+
 def _predictor(shared):
     def run(batches):
-        model: Model | None = shared.value
         for batch in batches:
-            column = batch.column(1)
-            preds, scores = [], []
-            for start in range(0, batch.num_rows, BATCH):
-                texts = [t or "" for t in column.slice(start, BATCH).to_pylist()]
-                good = [i for i, t in enumerate(texts) if model and _LETTER.search(t)]
-                pred, score = [UNKNOWN] * len(texts), [0.0] * len(texts)
-                if good:
-                    s = model.scores([texts[i] for i in good])
-                    best = s.argmax(axis=1)
-                    value = np.clip((s[np.arange(len(good)), best] + 1) / 2, 0, 1)
-                    for i, b, v in zip(good, best.tolist(), value.tolist()):
-                        pred[i], score[i] = model.classes[b], float(v)
-                preds += pred
-                scores += score
+            preds, scores = _predict(shared.value, batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(preds, pa.string()), pa.array(scores, pa.float64())], ["key", "lang_pred", "score"])
 
     return run
 
 
+def _keeper(shared, text_at: int):
+    def run(batches):
+        for batch in batches:
+            preds, _ = _predict(shared.value, batch.column(text_at))
+            yield batch.filter(pa.array([p != UNKNOWN for p in preds], pa.bool_()))
+
+    return run
+
+
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang"):
     """The model of the rows that may be learned from, shared with all tasks (None without any)."""
     sample = bounded_sample(docs, not_held_out(id_col), lang_col, id_col, text_col, PER_LANGUAGE, SAMPLE_CHARS)
@@ -180,7 +192,4 @@ def languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
 def keep_known(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows whose text is in some language, with all their columns; those that are ``und`` go."""
     model = train(docs, id_col, text_col, lang_col)
-    base = numbered(docs)
-    found = base.select("row", F.col(f"doc.`{text_col}`").cast("string").alias("text")).mapInArrow(_predictor(model), "key long, lang_pred string, score double")
-    kept = found.filter(F.col("lang_pred") != UNKNOWN).select(F.col("key").alias("row"))
-    return unpack(base.join(kept, "row", "left_semi"))
+    return docs.mapInArrow(_keeper(model, docs.columns.index(text_col)), docs.schema)
