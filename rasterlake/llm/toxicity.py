@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+from rasterlake.llm.jaccard_join import shingles
 from rasterlake.llm.language_id import below, held_out, not_held_out, seeded_share
 
 PER_LABEL = 1500
@@ -232,8 +233,22 @@ class Scorer:
         return _sigmoid(self.top(texts)[0])
 
 
+def distinct(sample: list[tuple[int, str]]) -> list[tuple[int, str]]:
+    """The sample without texts of which more than half of the word 5-grams stand in an earlier one: the words that near
+    copies share would else seem to mark their label."""
+    seen: set[int] = set()
+    out = []
+    for label, text in sample:
+        grams = shingles([text.lower().encode("utf-8", "surrogatepass")])[0].tolist()
+        if 2 * sum(g in seen for g in grams) <= len(grams):
+            out.append((label, text))
+            seen.update(grams)
+    return out
+
+
 def fit(sample: list[tuple[int, str]]) -> Scorer | None:
     """The scorer of (label, text) rows; None unless both labels are there."""
+    sample = distinct(sample)
     if {label for label, _ in sample} != {0, 1}:
         return None
     scorer = Scorer(_marks(sample), Network())
