@@ -145,8 +145,12 @@ def admitted(rows: DataFrame, calibrated: DataFrame) -> DataFrame:
     return rows.join(ok, "class", "left").withColumn("admitted", F.col("accepted") & F.coalesce(F.col("__ok"), F.lit(False))).drop("__ok")
 
 
-def origin_summary(rows: DataFrame, origin: str, minimum: float = 0.5, total_minimum: float = 0.8) -> DataFrame:
-    """Coverage per origin, with the per-origin and the total rule."""
+def origin_summary(rows: DataFrame, origin: str, required: list[str], source: str = "group_id", minimum: float = 0.5, total_minimum: float = 0.8) -> DataFrame:
+    """Coverage per origin, with the rule of each origin and that of all sources.
+
+    The origin rule wants exactly the ``required`` origins and the minimum in each of them. The total is the coverage of
+    sources: the share of them with an admitted row.
+    """
     d = rows.groupBy(F.col(origin).alias("origin")).agg(
         F.count("*").alias("groups_total"),
         F.count_if("accepted").alias("pipeline_accepted"),
@@ -154,14 +158,15 @@ def origin_summary(rows: DataFrame, origin: str, minimum: float = 0.5, total_min
         F.count_if(F.col("admitted") & F.col("catastrophic")).alias("catastrophic"),
     )
     overall = d.agg(
-        F.min(F.col("admitted") / F.col("groups_total")).alias("__low"),
-        (F.sum("admitted") / F.sum("groups_total")).alias("__total"),
+        F.min(F.col("admitted") / F.col("groups_total")).alias("__low"), F.count("*").alias("__n"), F.count_if(F.col("origin").isin(required)).alias("__known")
     )
-    return d.crossJoin(F.broadcast(overall)).select(  # one row
+    sources = rows.groupBy(source).agg(F.bool_or("admitted").alias("a")).agg((F.count_if("a") / F.count("*")).alias("source_coverage"))
+    complete = (F.col("__n") == len(set(required))) & (F.col("__known") == F.col("__n"))
+    return d.crossJoin(F.broadcast(overall)).crossJoin(F.broadcast(sources)).select(  # one row each
         "origin", "groups_total", "pipeline_accepted", "admitted", "catastrophic",
-        (F.col("admitted") / F.col("groups_total")).alias("coverage"),
-        (F.col("__low") >= minimum).alias("every_origin_met"),
-        (F.col("__total") >= total_minimum).alias("total_met"),
+        (F.col("admitted") / F.col("groups_total")).alias("coverage"), "source_coverage",
+        (complete & (F.col("__low") >= minimum)).alias("every_origin_met"),
+        (F.col("source_coverage") >= total_minimum).alias("total_met"),
     )
 
 

@@ -115,13 +115,14 @@ def a40(t):
     "meas1",
     f"""{CAL_SQL}, o AS (SELECT status AS origin, count(*) AS groups_total, count(*) FILTER (WHERE accepted) AS pipeline_accepted, count(*) FILTER (WHERE admitted) AS admitted,
        count(*) FILTER (WHERE admitted AND catastrophic) AS catastrophic FROM adm GROUP BY status)
-    SELECT origin, groups_total, pipeline_accepted, admitted, catastrophic, round(admitted / groups_total::DOUBLE, 6) AS coverage,
-      (SELECT min(admitted / groups_total::DOUBLE) FROM o) >= 0.5 AS every_origin_met, (SELECT sum(admitted) / sum(groups_total)::DOUBLE FROM o) >= 0.8 AS total_met FROM o""",
+    SELECT origin, groups_total, pipeline_accepted, admitted, catastrophic, round(admitted / groups_total::DOUBLE, 6) AS coverage, round(v, 6) AS source_coverage,
+      (SELECT min(admitted / groups_total::DOUBLE) FROM o) >= 0.5 AND (SELECT list_sort(list(origin)) FROM o) = ['F', 'O', 'P'] AS every_origin_met, v >= 0.8 AS total_met
+      FROM o CROSS JOIN (SELECT count(DISTINCT CASE WHEN admitted THEN group_id END) / count(DISTINCT group_id)::DOUBLE AS v FROM adm)""",
 )
 def a41(t):
     m = classed(t.meas1())
-    d = C.origin_summary(C.admitted(m, C.class_calibration(m)), "status")
-    return d.withColumn("coverage", F.round("coverage", 6))
+    d = C.origin_summary(C.admitted(m, C.class_calibration(m)), "status", ["F", "O", "P"])
+    return d.withColumns({c: F.round(c, 6) for c in ("coverage", "source_coverage")})
 
 
 @query(

@@ -115,18 +115,33 @@ def p08b(t):
 CRIT = "coalesce((i AND se_i AND NOT e_i AND NOT s_i) OR (e_i AND s_i AND NOT i AND NOT se_i), false)"
 
 
-@query(
-    "p09_saddle_labelling",
-    "px8s",
-    f"""b AS (SELECT image_id, x, y, alpha >= 0.5 AS i FROM px8s), {nb('b', 'n1', ['i'], clamp=False)}, c AS (SELECT image_id, x, y, i AS base, {CRIT} AS critical FROM n1), {nb('c', 'n2', ['critical'], clamp=False)},
-    l AS (SELECT image_id, x, y, critical, CASE WHEN critical OR coalesce(w_critical, false) OR coalesce(n_critical, false) OR coalesce(nw_critical, false) THEN true ELSE base END AS i FROM n2), {nb('l', 'n3', ['i'], clamp=False)}
-    SELECT image_id, x, y, critical, i AS inside, {CRIT} AS residual FROM n3""",
-)
-def p09(t):
-    d = W.threshold_labelling(t.px8s(), 0.5, "join_diagonal", v="alpha")
+def saddle_sql(on: str) -> str:
+    """Critical cells of the snapshot set to ``on``, and the critical cells that are left."""
+    return f"""b AS (SELECT image_id, x, y, alpha >= 0.5 AS i FROM px8s), {nb('b', 'n1', ['i'], clamp=False)}, c AS (SELECT image_id, x, y, i AS base, {CRIT} AS critical FROM n1), {nb('c', 'n2', ['critical'], clamp=False)},
+    l AS (SELECT image_id, x, y, critical, CASE WHEN critical OR coalesce(w_critical, false) OR coalesce(n_critical, false) OR coalesce(nw_critical, false) THEN {on} ELSE base END AS i FROM n2), {nb('l', 'n3', ['i'], clamp=False)}
+    SELECT image_id, x, y, critical, i AS inside, {CRIT} AS residual FROM n3"""
+
+
+def saddle(t, mode: str):
+    d = W.threshold_labelling(t.px8s(), 0.5, mode, v="alpha")
     return d.select("image_id", "x", "y", "critical", "inside", "residual")
 
 
+@query("p09_saddle_labelling", "px8s", saddle_sql("true"))
+def p09(t):
+    return saddle(t, "join_diagonal")
+
+
+@query("p09_saddle_split", "px8s", saddle_sql("false"))
+def p09_split(t):
+    return saddle(t, "split_diagonal")
+
+
+@query("p09_saddle_thresholded", "px8s", saddle_sql("base"))
+def p09_plain(t):
+    return saddle(t, "thresholded")
+
+
 @query(
     "p11_distance_transform",
     "bin8",
