@@ -109,21 +109,32 @@ def kernel_choice(px: DataFrame, v: str = "alpha") -> DataFrame:
     return out.select(*KEYS, "width", "resolved", "refusal", "e.kernel", "e.penalty")
 
 
+# Fixed value: scores of opaque readings that are this close are equal.
+SCORE_TIE = 1e-9
+
+
 def two_colour_outcome(evidence: DataFrame, max_p95: float, min_thickness: float = 2.0) -> DataFrame:
     """Outcome per image from scored hypotheses of several mixture classes.
 
-    Columns: image_id, class, id, score, p95, thickness (of a flat semi-transparent
-    interior, else NULL), palette_refusal. The best hypothesis of each class counts.
+    Columns: image_id, class, id, conditioned (whether the colour pair could be
+    separated at all), score, p95, thickness (of a flat semi-transparent interior,
+    else NULL), palette_refusal. The best hypothesis of each class counts; of
+    opaque ones (class ``opaque:...``) with equal scores that with the least id.
     """
-    best = evidence.groupBy(*KEYS, "class").agg(F.min_by(F.struct("p95", "thickness"), F.struct("score", "id")).alias("b"), F.max("palette_refusal").alias("r"))
     c = F.col
-    d = best.groupBy(*KEYS).agg(
+    low = evidence.filter("conditioned").groupBy(*KEYS, "class").agg(F.min("score").alias("__low"))
+    slack = F.when(c("class").startswith("opaque:"), SCORE_TIE).otherwise(0.0)
+    near = evidence.filter("conditioned").join(low, [*KEYS, "class"]).filter(c("score") <= c("__low") + slack)
+    best = near.groupBy(*KEYS, "class").agg(F.min_by(F.struct("p95", "thickness"), c("id")).alias("b"))
+    sums = best.groupBy(*KEYS).agg(
         F.count_if(c("b.thickness").isNull() & (c("b.p95") <= max_p95)).alias("explaining"),
         F.min(F.when(c("b.thickness").isNotNull(), F.struct("class", c("b.thickness").alias("t")))).alias("semi"),
-        F.max("r").alias("palette_refusal"),
     )
+    images = evidence.groupBy(*KEYS).agg(F.max("palette_refusal").alias("palette_refusal"), F.bool_or("conditioned").alias("__any"))
+    d = images.join(sums, KEYS, "left").na.fill(0, ["explaining"])
     outcome = (
         F.when(c("palette_refusal").isNotNull(), "unsupported_palette")
+        .when(~c("__any"), "unsupported_no_well_conditioned_pair")
         .when((c("explaining") == 0) & (c("semi.t") >= min_thickness), "unsupported_semi_transparent")
         .when((c("explaining") == 0) & c("semi").isNotNull(), "ambiguous_thin")
         .when(c("explaining") == 0, "unsupported_no_explanation")

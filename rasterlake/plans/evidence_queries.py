@@ -189,14 +189,20 @@ def a29(t):
 @query(
     "a64_two_colour_outcome",
     "meas",
-    """e AS (SELECT group_id AS image_id, class, 'h' || scene_id || '-' || cell_id || '-' || quantity || '-' || l_partkey AS id, bits_per_block AS score, p95_px * 100 AS p95, CASE WHEN quantity % 6 = 0 THEN quantity / 10.0::DOUBLE END AS th, CASE WHEN quantity = 50 THEN 'more_than_two_faces' END AS pr FROM meas),
-    b AS (SELECT image_id, class, arg_min({'p': p95, 't': th}, (score, id)) AS b, max(pr) AS pr FROM e GROUP BY ALL), g AS (SELECT image_id, count(*) FILTER (WHERE b.t IS NULL AND b.p <= 12) AS ex, arg_min(b.t, class) FILTER (WHERE b.t IS NOT NULL) AS t, max(pr) AS pr FROM b GROUP BY 1)
-    SELECT image_id, ex AS explaining, CASE WHEN pr IS NOT NULL THEN 'unsupported_palette' WHEN ex = 0 AND t >= 2 THEN 'unsupported_semi_transparent' WHEN ex = 0 AND t IS NOT NULL THEN 'ambiguous_thin' WHEN ex = 0 THEN 'unsupported_no_explanation' WHEN ex = 1 THEN 'supported' ELSE 'ambiguous' END AS outcome FROM g""",
+    """e AS (SELECT group_id AS image_id, CASE WHEN ascii(class) % 2 = 1 THEN 'opaque:' ELSE 'clear:' END || class || '-' || (cell_id % 2) AS class, 'h' || scene_id || '-' || cell_id || '-' || quantity || '-' || l_partkey AS id, quantity % 3 > 0 AS cond,
+      floor(bits_per_block) + l_partkey % 2 * 5e-10::DOUBLE AS score, p95_px * 100 AS p95, CASE WHEN quantity % 6 = 4 THEN quantity / 10.0::DOUBLE END AS th, CASE WHEN quantity = 50 THEN 'more_than_two_faces' END AS pr FROM meas),
+    lo AS (SELECT image_id, class, min(score) AS low FROM e WHERE cond GROUP BY ALL),
+    b AS (SELECT image_id, class, arg_min({'p': p95, 't': th}, id) AS b FROM e JOIN lo USING (image_id, class) WHERE cond AND score <= low + CASE WHEN class LIKE 'opaque:%' THEN 1e-9 ELSE 0 END GROUP BY ALL),
+    g AS (SELECT image_id, count(*) FILTER (WHERE b.t IS NULL AND b.p <= 12) AS ex, arg_min(b.t, class) FILTER (WHERE b.t IS NOT NULL) AS t FROM b GROUP BY 1), i AS (SELECT image_id, max(pr) AS pr, bool_or(cond) AS cond FROM e GROUP BY 1)
+    SELECT image_id, coalesce(ex, 0) AS explaining, CASE WHEN pr IS NOT NULL THEN 'unsupported_palette' WHEN NOT cond THEN 'unsupported_no_well_conditioned_pair' WHEN ex = 0 AND t >= 2 THEN 'unsupported_semi_transparent' WHEN ex = 0 AND t IS NOT NULL THEN 'ambiguous_thin' WHEN ex = 0 THEN 'unsupported_no_explanation' WHEN ex = 1 THEN 'supported' ELSE 'ambiguous' END AS outcome
+    FROM i LEFT JOIN g USING (image_id)""",
 )
 def a64(t):
     q = F.col("quantity")
+    kind = F.when(F.ascii("class") % 2 == 1, "opaque:").otherwise("clear:")
     e = t.meas().select(
-        F.col("group_id").alias("image_id"), "class", F.concat(F.lit("h"), F.concat_ws("-", "scene_id", "cell_id", "quantity", "l_partkey")).alias("id"), F.col("bits_per_block").alias("score"),
-        (F.col("p95_px") * 100).alias("p95"), F.when(q % 6 == 0, q / 10.0).alias("thickness"), F.when(q == 50, "more_than_two_faces").alias("palette_refusal"),
+        F.col("group_id").alias("image_id"), F.concat(kind, "class", F.lit("-"), F.col("cell_id") % 2).alias("class"), F.concat(F.lit("h"), F.concat_ws("-", "scene_id", "cell_id", "quantity", "l_partkey")).alias("id"),
+        (q % 3 > 0).alias("conditioned"), (F.floor("bits_per_block") + F.col("l_partkey") % 2 * 5e-10).alias("score"), (F.col("p95_px") * 100).alias("p95"),
+        F.when(q % 6 == 4, q / 10.0).alias("thickness"), F.when(q == 50, "more_than_two_faces").alias("palette_refusal"),
     )
     return V.two_colour_outcome(e, 12.0)
