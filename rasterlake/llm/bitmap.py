@@ -31,7 +31,8 @@ def holds(words: Column, i: Column) -> Column:
 def only_rows(base: DataFrame, rows: DataFrame) -> DataFrame:
     """Base rows whose ``row`` stands in ``rows`` (distinct); most others are left out before the join."""
     wanted = F.broadcast(bitmap(rows.select(bucket(F.col("row")).alias("id")), "wanted"))  # one row of fixed size
-    near = base.crossJoin(wanted).filter(holds(F.col("wanted"), bucket(F.col("row")))).drop("wanted")
+    # written, or the optimiser would join all rows first and look at the bitmap later
+    near = cut(base.crossJoin(wanted).filter(holds(F.col("wanted"), bucket(F.col("row")))).drop("wanted"))
     return near.join(rows.hint("merge"), "row", "left_semi")
 
 
@@ -40,4 +41,5 @@ def without_rows(base: DataFrame, dropped: DataFrame) -> DataFrame:
     wanted = F.broadcast(bitmap(dropped.select(bucket(F.col("row")).alias("id")), "wanted"))  # one row of fixed size
     marked = base.crossJoin(wanted).withColumn("maybe", holds(F.col("wanted"), bucket(F.col("row")))).drop("wanted")
     sure = marked.filter("not maybe").drop("maybe")
-    return sure.unionByName(marked.filter("maybe").drop("maybe").join(dropped.hint("merge"), "row", "left_anti"))
+    maybe = cut(marked.filter("maybe").drop("maybe"))  # written for the same reason as above
+    return sure.unionByName(maybe.join(dropped.hint("merge"), "row", "left_anti"))
