@@ -90,3 +90,26 @@ def test_odd_pages(spark):
     got = sorted([(r.page_id, r.text if len(r.text) < 100 else len(r.text), r.n_chars) for r in X.extract(table(spark, rows)).collect()], key=repr)
     assert got == sorted([(1, "", 0), (2, "", 0), (3, "deep", 4), (4, 50_000, 50_000), (5, "a\nb &am c", 9), (5, "a\nb &am c", 9), (None, "", 0), (6, "", 0)], key=repr)
     assert X.extract(table(spark, [])).count() == 0
+
+
+def test_constant_blocks_and_links_inside_an_article_go(spark):
+    def page(i):
+        return (
+            f"<body><div class=top>Our Site</div><article><h1>Title {i}</h1><p>Body {i} goes on and on<div class=x9>We value your privacy</div>"
+            f"<ul><li><a href=/{i}>link {i}</a></ul><p>End {i}</article><p>seen {i}</p></body>"
+        )
+
+    rows = [(i, f"http://h.example/{i}", page(i)) for i in range(6)]
+    got = {r.page_id: r.text for r in X.extract(table(spark, rows)).collect()}
+    assert got == {i: f"Title {i}\nBody {i} goes on and on\nEnd {i}" for i in range(6)}
+
+
+def test_a_body_stands_beside_an_article_teaser(spark):
+    def body(i):
+        return f"Body {i}: " + f"sentence {i} of the long text " * 20
+
+    in_main = [(i, f"http://m.example/{i}", f"<body><main><h1>Title {i}</h1><p>{body(i)}</main><article><p>Teaser {i}</article></body>") for i in range(6)]
+    plain = [(10 + i, f"http://p.example/{i}", f"<body><div><h1>Title {i}</h1><p>{body(i)}</div><div><article>Teaser {i}</article></div></body>") for i in range(6)]
+    got = {r.page_id: r.text for r in X.extract(table(spark, in_main + plain)).collect()}
+    want = {i: f"Title {i}\n{body(i).strip()}" for i in range(6)}
+    assert got == want | {10 + i: t for i, t in want.items()}
