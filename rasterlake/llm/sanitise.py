@@ -1,14 +1,16 @@
 """Personal data by pattern, and terms that give it away by corpus co-occurrence.
 
-Base spans are e-mail and IP addresses, card and phone numbers. The words near a base span are candidates: with document
-counts over the whole corpus, ``PMI(term; kind) = log2(df(term near kind) * documents / (df(term) * df(kind)))`` tells how
-many bits about the presence of a protected entity the term discloses, out of the ``-log2(df(kind) / documents)`` bits
-that there are. A term that discloses at least the share ``DISCLOSED`` of them (seen near the kind in at least ``SUPPORT``
-documents) is sensitive: its occurrences near the kind are spans of kind ``term``. ``sanitised`` generalises them to their
-shape and removes those that disclose more than ``REMOVED``.
+Base spans are e-mail and IP addresses, card and phone numbers. The words of a document with a base span, outside of all
+its spans, are candidates: with document counts over the whole corpus, ``PMI(term; kind) = log2(df(term with kind) *
+documents / (df(term) * df(kind)))`` tells how many bits about the presence of a protected entity the term discloses, out
+of the ``-log2(df(kind) / documents)`` bits that there are. A term that discloses at least the share ``DISCLOSED`` of them
+(together with the kind in at least ``SUPPORT`` documents) is sensitive: its occurrences outside of base spans, in every
+document, are spans of kind ``term``. ``sanitised`` generalises them to their shape and removes those that disclose more
+than ``REMOVED``.
 
 Every pattern is written without backtracking over long runs, with the same matches. Only words whose hash is in a bitmap
-of the candidates are counted over the corpus, so the count moves few rows; the following join makes it exact.
+of the candidates are counted over the corpus, and only those in a bitmap of the sensitive terms are placed in the texts,
+so few rows move; the following joins make both exact.
 
 Defined cases: a null text is empty (no spans; the hash of the empty string); repeated rows are documents of their own;
 an empty table gives an empty result; further columns are not looked at.
@@ -25,11 +27,11 @@ from rasterlake.llm.rows import numbered
 from rasterlake.session import cut
 
 KINDS = ("email", "ip", "card", "phone")
-NEAR = 64  # code points on either side
 DISCLOSED = 0.75
 REMOVED = 0.95
 SUPPORT = 3
 WORD = r"[\p{L}\p{N}]+"
+SPAN = "\ue000"  # stands for a span; one in a text is a space beside it
 
 _LOCAL = r"A-Za-z0-9._%+-"
 #: the patterns of the four kinds; possessive where nothing that follows could use a shorter run, and started only at
@@ -100,43 +102,65 @@ def base_spans(text: Column) -> Column:
     return F.concat(*parts)
 
 
-def _neighbourhoods(text: Column, spans: Column) -> Column:
-    """(kind, offset, text) left and right of every span, without words that the window cuts."""
+def _words(text: Column) -> Column:
+    """The distinct words of a text, in lower case."""
+    words = F.array_distinct(F.split(text, r"[^\p{L}\p{N}]+"))
+    return F.array_distinct(F.filter(F.transform(words, lambda w: F.lower(w)), lambda w: w != ""))
 
-    def around(s: Column) -> Column:
-        low = F.greatest(F.lit(0), s["start"] - NEAR)
-        left = F.substr(text, low + 1, s["start"] - low)
-        cut_left = F.when(low > 0, F.regexp_extract(left, r"^[\p{L}\p{N}]*+", 0)).otherwise("")
-        right = F.substr(text, s["end"] + 1, F.lit(NEAR))
-        cut_right = F.when(F.length(right) == NEAR, F.regexp_extract(right, r"[\p{L}\p{N}]*+$", 0)).otherwise("")
-        return F.array(
-            F.struct(s["kind"].alias("kind"), (low + F.length(cut_left)).alias("offset"), F.substr(left, F.length(cut_left) + 1).alias("near")),
-            F.struct(s["kind"].alias("kind"), s["end"].alias("offset"), F.substr(right, F.lit(1), F.length(right) - F.length(cut_right)).alias("near")),
-        )
 
-    return F.flatten(F.transform(spans, around))
+def _outside(text: Column, spans: Column) -> Column:
+    """The text without its spans and the words that reach into one."""
+    text = F.translate(text, SPAN, " ")
+    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
 
+    def step(acc: Column, s: Column) -> Column:
+        kept = F.substr(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], kept, F.lit(SPAN)).alias("out"))
 
-def _near_terms(base: DataFrame) -> DataFrame:
-    """(row, kind, term, start, end) of every word near a span and outside all spans."""
+    marked = F.aggregate(ordered, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda a: F.concat(a["out"], F.substr(text, a["at"] + 1)))
+    return F.regexp_replace(marked, rf"(?<![\p{{L}}\p{{N}}])[\p{{L}}\p{{N}}]*+(?:{SPAN}[\p{{L}}\p{{N}}]*+)++", " ")
+
+
+def _candidates(base: DataFrame) -> DataFrame:
+    """(kind, term, both): documents that hold the kind and, outside all spans, the term."""
     hit = base.filter(F.size("spans") > 0)
-    near = hit.select("row", "spans", F.explode(_neighbourhoods(F.col("text"), F.col("spans"))).alias("n"))
-    near = near.select("row", "spans", "n.kind", "n.offset", "n.near").filter("near != ''")
-    words = near.select("*", F.explode(_found(F.col("near"), WORD, lambda m: F.lit(True))).alias("w"))
-    at = words.select("row", "kind", "spans", F.lower(F.substr("near", F.col("w.start") + 1, F.col("w.end") - F.col("w.start"))).alias("term"), (F.col("offset") + F.col("w.start")).alias("start"), (F.col("offset") + F.col("w.end")).alias("end"))
-    clear = ~F.exists("spans", lambda s: (s["start"] < F.col("end")) & (F.col("start") < s["end"]))
-    return at.filter(clear).select("row", "kind", "term", "start", "end").distinct()
+    words = hit.select(_kinds(), F.explode(_words(_outside(F.col("text"), F.col("spans")))).alias("term"))
+    return words.select(F.explode("kinds").alias("kind"), "term").groupBy("kind", "term").agg(F.count(F.lit(1)).alias("both"))
+
+
+def _kinds() -> Column:
+    return F.array_distinct(F.transform("spans", lambda s: s["kind"])).alias("kinds")
+
+
+def _places(text: Column, wanted: Column) -> Column:
+    """(start, end, term) of the words of the whole text whose hash is in the bitmap."""
+    tokens = F.regexp_extract_all(text, F.lit(rf"{WORD}|[^\p{{L}}\p{{N}}]+"), F.lit(0))
+    none = F.array().cast("array<struct<start:int,end:int,term:string>>")
+
+    def step(acc: Column, t: Column) -> Column:
+        term, end = F.lower(t), acc["at"] + F.length(t)
+        place = F.struct(acc["at"].alias("start"), end.alias("end"), term.alias("term"))
+        return F.struct(end.alias("at"), F.when(holds(wanted, bucket(term)), F.array_append(acc["got"], place)).otherwise(acc["got"]).alias("got"))
+
+    return F.aggregate(tokens, F.struct(F.lit(0).alias("at"), none.alias("got")), step, lambda acc: acc["got"])
+
+
+def _occurrences(base: DataFrame, terms: DataFrame) -> DataFrame:
+    """(row, start, end, disclosed) of the sensitive terms in all texts, outside all base spans."""
+    risky = cut(terms.groupBy("term").agg(F.max("disclosed").alias("disclosed")))
+    wanted = F.broadcast(bitmap(risky.select(bucket(F.col("term")).alias("id")), "wanted"))  # one row of fixed size
+    placed = base.crossJoin(wanted).select("row", "spans", F.explode(_places(F.col("text"), F.col("wanted"))).alias("w"))
+    clear = ~F.exists("spans", lambda s: (s["start"] < F.col("w.end")) & (F.col("w.start") < s["end"]))
+    return placed.filter(clear).select("row", "w.start", "w.end", "w.term").join(risky, "term")
 
 
-def sensitive_terms(texts: DataFrame, base: DataFrame, near: DataFrame) -> DataFrame:
+def sensitive_terms(base: DataFrame) -> DataFrame:
     """(kind, term, disclosed): candidates that disclose at least ``DISCLOSED`` of what there is to know."""
-    pairs = near.select("row", "kind", "term").distinct().groupBy("kind", "term").agg(F.count(F.lit(1)).alias("both"))
-    pairs = cut(pairs.filter(F.col("both") >= SUPPORT))
+    pairs = cut(_candidates(base).filter(F.col("both") >= SUPPORT))
     wanted = F.broadcast(bitmap(pairs.select(bucket(F.col("term")).alias("id")), "wanted"))  # one row of fixed size
-    words = F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"))).alias("term")
-    counted = texts.select(words).filter("term != ''").crossJoin(wanted).filter(holds(F.col("wanted"), bucket(F.col("term"))))
+    counted = base.select(F.explode(_words(F.col("text"))).alias("term")).crossJoin(wanted).filter(holds(F.col("wanted"), bucket(F.col("term"))))
     terms = counted.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    kinds = base.select("row", F.explode(F.array_distinct(F.transform("spans", lambda s: s["kind"]))).alias("kind"))
+    kinds = base.select(_kinds()).select(F.explode("kinds").alias("kind"))
     kinds = kinds.groupBy("kind").agg(F.count(F.lit(1)).alias("of_kind"))  # one row per kind
     total = base.agg(F.count(F.lit(1)).alias("documents"))  # one row
     joined = pairs.join(terms, "term").join(F.broadcast(kinds), "kind").crossJoin(F.broadcast(total))
@@ -150,15 +174,12 @@ def _spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(row, doc_id, spans, terms) of every row; terms: array of (start, end, disclosed)."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), text.alias("text"))
-    # the text stays only where it has spans
-    base = rows.select("row", "doc_id", "text", base_spans(F.col("text")).alias("spans"))
-    base = cut(base.select("row", "doc_id", F.when(F.size("spans") > 0, F.col("text")).alias("text"), "spans"))
-    near = cut(_near_terms(base))
-    risky = sensitive_terms(docs.select(text.alias("text")), base, near)
-    hits = near.join(risky, ["kind", "term"]).groupBy("row", "start", "end").agg(F.max("disclosed").alias("disclosed"))
+    # written with the text, whose row number must not change between the passes
+    base = cut(rows.select("row", "doc_id", "text", base_spans(F.col("text")).alias("spans")))
+    hits = _occurrences(base, sensitive_terms(base))
     by_row = hits.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "end", "disclosed"))).alias("terms"))  # of one text
     none = F.array().cast("array<struct<start:int,end:int,disclosed:double>>")
-    return base.join(by_row, "row", "left").withColumn("terms", F.coalesce("terms", none))
+    return base.drop("text").join(by_row, "row", "left").withColumn("terms", F.coalesce("terms", none))
 
 
 def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -96,6 +96,23 @@ def test_disclosing_terms_are_marked(spark):
     assert "zorblax" not in clean[1001] and "<email>" in clean[1001] and clean[3] == filler[3][1] and "plain words" in clean[1001]
 
 
+def test_disclosing_terms_are_marked_in_every_whole_text(spark):
+    filler = [(i, f"some plain words number {i} about nothing") for i in range(200)]
+    far = " some plain words about nothing" * 20
+    told = [(1000 + i, f"Zorblax{far} x{i}@mail.example.com{far} Zorblax") for i in range(6)]
+    alone = [(2000, f"here{far} zorblax stands alone, as ZORBLAX does; xzorblax does not"), (2001, "zorblax@zorblax.example and 𝒳 zorblax")]
+    docs = spark.createDataFrame(filler + told + alone, "doc_id long, text string")
+    got = {r.doc_id: r.spans.split(",") for r in S.personal_data(docs).collect()}
+    for i, text in told + alone:
+        marked = [x.split(":") for x in got[i] if x.startswith("term:")]
+        want = [f"{m.start()}:{m.end()}" for m in re.finditer(r"\bzorblax\b(?![@.])", text, re.I)]
+        assert [f"{a}:{b}" for _, a, b in marked if text[int(a) : int(b)].lower() == "zorblax"] == want and len(want) == (1 if i == 2001 else 2)
+    assert got[3] == [""]
+    clean = {r.doc_id: r.text for r in S.sanitised(docs).collect()}
+    # discloses 0.96: removed
+    assert clean[2000] == re.sub(r"\bzorblax\b", "", alone[0][1], flags=re.I) and clean[3] == filler[3][1]
+
+
 def test_fingerprints(spark, edge, empty, documents):
     for docs in (documents.select("doc_id", "text"), edge.filter("doc_id is not null").dropDuplicates(["doc_id"])):
         texts = {r.doc_id: r.text or "" for r in docs.collect()}
