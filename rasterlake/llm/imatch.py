@@ -10,7 +10,8 @@ The lexicon has at most (mean distinct terms of a document) / LOW terms whatever
 as a bitmap of fixed size. The next document by falling id is found without moving a text twice: rows go once to buckets
 of neighbouring ids, and the first row of each bucket is also copied into the bucket before it.
 
-Defined cases: a null text is empty; a text without lexicon terms has a fingerprint of dashes, and two such are alike;
+Defined cases: a null text is empty; a text without lexicon terms has a fingerprint of dashes, and two such are alike only
+if their terms are the same (none at all, or the same ones outside the lexicon);
 a null id comes last; rows of one id follow by the hash of their text; of a table with one row the next document is that
 row itself; an empty table gives an empty result; further columns are not looked at.
 """
@@ -26,8 +27,9 @@ from rasterlake.llm.rows import partitions
 from rasterlake.session import cut
 
 LOW, HIGH = 0.002, 0.6
-#: (k, n): the lexicon is dealt by a seeded hash into 2**k parts, and n of them are sub-lexicons
-SUB_LEXICONS = ((4, 4), (6, 6), (8, 6))
+#: (k, n): the lexicon is dealt by a seeded hash into 2**k parts, and n of them are sub-lexicons; all 16 parts of the
+#: first split together are the lexicon, the finer ones outlast more edits
+SUB_LEXICONS = ((4, 16), (6, 6), (8, 6))
 NONE = "--------"
 
 
@@ -48,9 +50,9 @@ def lexicon_bits(texts: DataFrame, low: float = LOW, high: float = HIGH) -> Data
     return bitmap(band.select("id"), "lexicon")
 
 
-def lexicon_terms(text: Column, lexicon: Column) -> Column:
-    """The sorted distinct terms of the text that the lexicon keeps."""
-    return F.array_sort(F.filter(term_ids(text), lambda i: holds(lexicon, i)))
+def lexicon_terms(ids: Column, lexicon: Column) -> Column:
+    """The sorted distinct terms that the lexicon keeps."""
+    return F.array_sort(F.filter(ids, lambda i: holds(lexicon, i)))
 
 
 def _part(k: int, i: Column) -> Column:
@@ -76,11 +78,16 @@ def _hashes(texts: DataFrame, terms: str, name: str) -> DataFrame:
     return used.withColumn(name, hashed).drop(terms, *[f"{name}_{k}" for k, _ in SUB_LEXICONS])
 
 
-def _likeness(a: Column, b: Column) -> Column:
+def _bare(ids: Column, terms: Column) -> Column:
+    """What tells a text without lexicon terms from others: all its terms."""
+    return F.when(F.size(terms) == 0, F.sha2(F.array_join(F.array_sort(ids), ","), 256))
+
+
+def _likeness(a: Column, b: Column, bare_a: Column, bare_b: Column) -> Column:
     pairs = F.arrays_zip(a.alias("a"), b.alias("b"))
     either = F.size(F.filter(pairs, lambda p: (p["a"] != NONE) | (p["b"] != NONE)))
     same = F.size(F.filter(pairs, lambda p: (p["a"] == p["b"]) & (p["a"] != NONE)))
-    return F.when(either == 0, 1.0).otherwise(same / either)
+    return F.when(either == 0, (bare_a == bare_b).cast("double")).otherwise(same / either)
 
 
 def _buckets(docs: DataFrame) -> Column:
@@ -114,19 +121,24 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     where = F.array_compact(F.array(F.struct(F.col("bucket").alias("at"), F.lit(False).alias("ghost")), F.when(F.col("to").isNotNull(), F.struct(F.col("to").alias("at"), F.lit(True).alias("ghost")))))
     lexicon = F.broadcast(lexicon_bits(texts, low, high))  # one row of fixed size
     # the terms are a column of their own, so that they are found once and not for each sub-lexicon
-    own = both.crossJoin(lexicon).select("doc_id", "text", "h", where.alias("where"), lexicon_terms(F.col("text"), F.col("lexicon")).alias("terms"))
+    own = both.crossJoin(lexicon).select("doc_id", "text", "h", where.alias("where"), "lexicon", term_ids(F.col("text")).alias("ids"))
+    own = own.select("doc_id", "text", "h", "where", "ids", lexicon_terms(F.col("ids"), F.col("lexicon")).alias("terms"))
+    own = own.withColumn("bare", _bare(F.col("ids"), F.col("terms"))).drop("ids")
     own = _hashes(own, "terms", "mine").withColumn("w", F.explode("where"))
     w = Window.partitionBy("at").orderBy("ghost", F.desc_nulls_last("doc_id"), F.desc("h"))
-    following = own.select("doc_id", "text", "mine", "h", "w.at", "w.ghost").select(
-        "doc_id", "text", "mine", "ghost", F.lead("text").over(w).alias("next"), F.lead("mine").over(w).alias("next_mine")
+    following = own.select("doc_id", "text", "mine", "bare", "h", "w.at", "w.ghost").select(
+        "doc_id", "text", "mine", "bare", "ghost", F.lead("text").over(w).alias("next"), F.lead("mine").over(w).alias("next_mine"), F.lead("bare").over(w).alias("next_bare")
     )
     half = F.floor(F.length("text") / 2).cast("int")
     edited = F.concat(F.substr("text", F.lit(1), F.length("text") - half), F.substr("next", F.lit(1), half))
-    rows = following.filter("not ghost").select("doc_id", F.length("text").cast("long").alias("n_chars"), edited.alias("edited"), "mine", "next_mine")
-    done = rows.crossJoin(lexicon).select("*", lexicon_terms(F.col("edited"), F.col("lexicon")).alias("terms"))
+    rows = following.filter("not ghost").select("doc_id", F.length("text").cast("long").alias("n_chars"), edited.alias("edited"), "mine", "next_mine", "bare", "next_bare")
+    done = rows.crossJoin(lexicon).withColumn("ids", term_ids(F.col("edited")))
+    done = done.withColumn("terms", lexicon_terms(F.col("ids"), F.col("lexicon"))).drop("lexicon")
+    done = done.withColumn("their_bare", _bare(F.col("ids"), F.col("terms"))).drop("ids")
     done = _hashes(done, "terms", "theirs")
     return done.select(
         "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
         F.array_join("mine", "").alias("fingerprint"), F.array_join("theirs", "").alias("edited_fingerprint"),
-        _likeness(F.col("mine"), F.col("theirs")).alias("near_edited"), _likeness(F.col("mine"), F.col("next_mine")).alias("near_next"),
+        _likeness(F.col("mine"), F.col("theirs"), F.col("bare"), F.col("their_bare")).alias("near_edited"),
+        _likeness(F.col("mine"), F.col("next_mine"), F.col("bare"), F.col("next_bare")).alias("near_next"),
     )

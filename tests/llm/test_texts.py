@@ -134,6 +134,14 @@ def test_fingerprints(spark, edge, empty, documents):
     assert one.near_next == 1.0
 
 
+def test_every_lexicon_term_changes_the_fingerprint(spark):
+    rows = [(i, f"base word{i}") for i in range(300)] + [(300 + i, f"base word{i % 300}") for i in range(600)]
+    docs = spark.createDataFrame(rows + [(1001, "rare one"), (1000, "odd two"), (999, "odd two"), (998, "")], "doc_id long, text string")
+    got = {r.doc_id: r for r in imatch.fingerprints(docs, low=0.003, high=0.6).collect()}
+    assert len({got[i].fingerprint for i in range(300)}) == 300 and all(got[i].fingerprint == got[300 + i].fingerprint for i in range(300))
+    assert set(got[1000].fingerprint) == {"-"} and (got[1001].near_next, got[1000].near_next, got[999].near_next) == (0.0, 1.0, 0.0)
+
+
 def test_gradients():
     net = X.Network(seed=1)
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
