@@ -1,13 +1,13 @@
 """I-Match fingerprints.
 
-Terms are the runs of letters and digits of the lower-case text, each known by 20 bits of its hash. Document
+Terms are the runs of letters and digits of the lower-case text, each known by its 64-bit hash. Document
 frequencies are counted over all documents; the lexicon keeps the terms whose share of documents lies in a band, so of
 inverse document frequency between ``-log2(HIGH)`` and ``-log2(LOW)``. A document's distinct lexicon terms are sorted and
 hashed once for each of several randomised sub-lexicons. The fingerprint is the list of these hashes; the likeness of two
 is the share of equal entries among those that are set in either.
 
 The lexicon has at most (mean distinct terms of a document) / LOW terms whatever the number of documents, and is passed on
-as a bitmap of fixed size. The next document by falling id is found without moving a text twice: rows go once to buckets
+in one row as a table of hashes by their last bits. The next document by falling id is found without moving a text twice: rows go once to buckets
 of neighbouring ids, and the first row of each bucket is also copied into the bucket before it.
 
 Defined cases: a null text is empty; a text without lexicon terms has a fingerprint of dashes, and two such are alike only
@@ -22,7 +22,6 @@ from functools import partial
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from rasterlake.llm.bitmap import bitmap, bucket as term_id, holds
 from rasterlake.llm.rows import partitions
 from rasterlake.session import cut
 
@@ -31,28 +30,36 @@ LOW, HIGH = 0.002, 0.6
 #: first split together are the lexicon, the finer ones outlast more edits
 SUB_LEXICONS = ((4, 16), (6, 6), (8, 6))
 NONE = "--------"
+SLOTS = 14  # bits of a hash that tell where the lexicon keeps it
 
 
 def term_ids(text: Column) -> Column:
     """Distinct term ids of a text."""
     words = F.split(F.lower(text), r"[^\p{L}\p{N}]+")
-    ids = F.transform(words, lambda w: F.when(w != "", term_id(w)))
+    ids = F.transform(words, lambda w: F.when(w != "", F.xxhash64(w)))
     return F.array_compact(F.array_distinct(ids))
 
 
-def lexicon_bits(texts: DataFrame, low: float = LOW, high: float = HIGH) -> DataFrame:
-    """One row: the lexicon as an array of 64-bit words."""
+def _slot(i: Column) -> Column:
+    return i.bitwiseAND((1 << SLOTS) - 1).cast("int")
+
+
+def lexicon_table(texts: DataFrame, low: float = LOW, high: float = HIGH) -> DataFrame:
+    """One row: the lexicon as an array of the hashes of each slot (null where it has none)."""
     words = F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"))).alias("word")
-    ids = texts.select(words).filter("word != ''").select(term_id(F.col("word")).alias("id"))
+    ids = texts.select(words).filter("word != ''").select(F.xxhash64("word").alias("id"))
     counts = ids.groupBy("id").agg(F.count(F.lit(1)).alias("df"))
     share = F.col("df") / F.greatest(F.col("n"), F.lit(1))
     band = counts.crossJoin(F.broadcast(texts.agg(F.count(F.lit(1)).alias("n")))).filter((share >= low) & (share <= high))  # one row
-    return bitmap(band.select("id"), "lexicon")
+    used = cut(band.groupBy(_slot(F.col("id")).alias("slot")).agg(F.collect_list("id").alias("ids")))  # a few of the bounded lexicon
+    slots = texts.sparkSession.range(1 << SLOTS).select(F.col("id").cast("int").alias("slot"))
+    ordered = F.sort_array(F.collect_list(F.struct("slot", "ids")))  # as many entries as there are slots
+    return cut(slots.join(used, "slot", "left").agg(F.transform(ordered, lambda e: e["ids"]).alias("lexicon")))
 
 
 def lexicon_terms(ids: Column, lexicon: Column) -> Column:
     """The sorted distinct terms that the lexicon keeps."""
-    return F.array_sort(F.filter(ids, lambda i: holds(lexicon, i)))
+    return F.array_sort(F.filter(ids, lambda i: F.array_contains(F.get(lexicon, _slot(i)), i)))
 
 
 def _part(k: int, i: Column) -> Column:
@@ -119,7 +126,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     hit = (placed["bucket"] == ghosts["b"]) & placed["doc_id"].eqNullSafe(ghosts["d"]) & (placed["h"] == ghosts["g"])
     both = placed.join(F.broadcast(ghosts), hit, "left")
     where = F.array_compact(F.array(F.struct(F.col("bucket").alias("at"), F.lit(False).alias("ghost")), F.when(F.col("to").isNotNull(), F.struct(F.col("to").alias("at"), F.lit(True).alias("ghost")))))
-    lexicon = F.broadcast(lexicon_bits(texts, low, high))  # one row of fixed size
+    lexicon = F.broadcast(lexicon_table(texts, low, high))  # one row of bounded size
     # the terms are a column of their own, so that they are found once and not for each sub-lexicon
     own = both.crossJoin(lexicon).select("doc_id", "text", "h", where.alias("where"), "lexicon", term_ids(F.col("text")).alias("ids"))
     own = own.select("doc_id", "text", "h", "where", "ids", lexicon_terms(F.col("ids"), F.col("lexicon")).alias("terms"))

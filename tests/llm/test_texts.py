@@ -142,6 +142,14 @@ def test_every_lexicon_term_changes_the_fingerprint(spark):
     assert set(got[1000].fingerprint) == {"-"} and (got[1001].near_next, got[1000].near_next, got[999].near_next) == (0.0, 1.0, 0.0)
 
 
+def test_terms_whose_hashes_share_20_bits_stay_apart(spark):
+    words = spark.range(5000).select(F.concat(F.lit("w"), "id").alias("w"))
+    a, b = words.groupBy(F.xxhash64("w").bitwiseAND((1 << 20) - 1)).agg(F.sort_array(F.collect_list("w")).alias("ws")).filter("size(ws) > 1").first().ws[:2]
+    docs = spark.createDataFrame([(i, a) for i in range(5)] + [(5, b)] + [(i, f"other{i}") for i in range(6, 20)], "doc_id long, text string")
+    got = {r.doc_id: r.fingerprint for r in imatch.fingerprints(docs, low=0.2, high=0.6).collect()}
+    assert set(got[5]) == {"-"} and got[0] == got[4] != got[5]
+
+
 def test_gradients():
     net = X.Network(seed=1)
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
