@@ -1,14 +1,14 @@
 """Language of a text by string kernels.
 
 The blended-spectrum presence kernel of two texts counts the distinct character n-grams (n = 1 to 3) that both hold, over
-the square root of the product of their own counts. Letters are lower-cased and coded by an alphabet of the most frequent
-letters of the sample, everything that is no letter is one boundary sign, so every n-gram has an exact small code.
+the square root of the product of their own counts. Letters are lower-cased and each has a code of its own, whether the sample
+has it or not; everything that is no letter is one boundary sign, so every n-gram has an exact 64-bit code.
 ``LANDMARKS`` sample texts of each language span the kernel space (Nyström); one-versus-rest kernel ridge regression is
 solved in it on the sample. A batch of texts is scored by two matrix products: presence by landmark presence gives the
 kernel values, those by the regression weights the class scores.
 
-The sample is bounded: at most ``PER_LANGUAGE`` labelled texts of each language, by a seeded hash of the id, of at most
-``SAMPLE_CHARS`` code points each. Everything else reads all rows and whole texts.
+The sample is bounded: at most ``PER_LANGUAGE`` labelled texts of each language, by a seeded hash of the id, and of
+each its first ``SAMPLE_CHARS`` code points, so at most 4 times as many bytes. Everything else reads all rows and whole texts.
 
 Defined cases: a null text and a text without a letter are ``und`` with score 0, as is every text where the sample is
 empty; rows with a null language or id are not learned from; repeated rows are scored alike; an empty table gives an
@@ -31,11 +31,10 @@ from rasterlake.session import cut
 PER_LANGUAGE = 300
 SAMPLE_CHARS = 8192
 LANDMARKS = 40
-LETTERS = 62
+CODE_BITS = 18  # of a letter; Unicode has fewer than 2**18 of them
 RIDGE = 1e-3
 BATCH = 256
 UNKNOWN = "und"
-GRAMS = 64 + 64**2 + 64**3
 
 _LETTER = re.compile(r"[^\W\d_]")
 
@@ -43,31 +42,28 @@ _LETTER = re.compile(r"[^\W\d_]")
 @dataclass
 class Model:
     classes: list[str]
-    codes: np.ndarray  # of each UTF-16 unit: 0 boundary, then letters
+    codes: np.ndarray  # of each code point: 0 boundary, then letters
     grams: np.ndarray  # codes of the n-grams that a landmark holds
     landmarks: np.ndarray  # presence of each, over the root of the landmark's count
     weights: np.ndarray
 
-    def presence(self, text: str, seen: np.ndarray) -> int:
-        """Marks the n-grams of a text in ``seen`` and counts them."""
-        seen[:] = False
-        # a sign beyond the basic plane is two units, both coded as other letter
-        c = self.codes[np.frombuffer(text.lower().encode("utf-16-le", "surrogatepass"), "<u2")]
+    def presence(self, text: str) -> np.ndarray:
+        """The distinct n-grams of a text, sorted."""
+        c = self.codes[np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), "<u4")]
         c = np.concatenate([[0], c, [0]]).astype(np.int64)
         c = c[np.r_[True, (c[1:] != 0) | (c[:-1] != 0)]]
-        two = c[:-1] * 64 + c[1:]
-        seen[c] = True
-        seen[64 + two] = True
-        seen[64 + 4096 + two[:-1] * 64 + c[2:]] = True
-        return int(np.count_nonzero(seen))
+        two = (c[:-1] << CODE_BITS) | c[1:]
+        three = np.unique((two[:-1] << CODE_BITS) | c[2:])
+        two = np.unique(np.concatenate([three >> CODE_BITS, two[-1:]]))
+        one = np.unique(np.concatenate([two >> CODE_BITS, c[-1:]]))
+        return np.concatenate([three, one | (1 << 60), two | (1 << 61)])
 
     def kernel(self, texts: list[str]) -> np.ndarray:
-        seen = np.empty(GRAMS, bool)
-        x = np.empty((len(texts), len(self.grams)), np.float32)
+        x = np.zeros((len(texts), len(self.grams)), np.float32)
         for r, text in enumerate(texts):
-            n = self.presence(text, seen)
-            x[r] = seen[self.grams]
-            x[r] /= np.sqrt(n)
+            held = self.presence(text)
+            at = np.minimum(np.searchsorted(self.grams, held), len(self.grams) - 1)
+            x[r, at[self.grams[at] == held]] = 1 / np.sqrt(len(held))
         return x @ self.landmarks.T
 
     def scores(self, texts: list[str]) -> np.ndarray:
@@ -77,26 +73,21 @@ class Model:
 def fit(sample: list[tuple[str, str]]) -> Model:
     """(language, text) rows, the landmarks of a language first."""
     classes = sorted({lang for lang, _ in sample})
-    letters = Counter(ch for _, text in sample for ch in text.lower() if ch < "￿" and _LETTER.match(ch))
-    codes = np.zeros(1 << 16, np.uint8)
-    for cp in range(1 << 16):
-        if _LETTER.match(chr(cp)) or 0xD800 <= cp < 0xE000:
-            codes[cp] = 63
-    for i, (ch, _) in enumerate(sorted(letters.items(), key=lambda x: (-x[1], x[0]))[:LETTERS]):
-        codes[ord(ch)] = i + 1
+    letters = Counter(ch for _, text in sample for ch in text.lower() if _LETTER.match(ch))
+    known = sorted(letters, key=lambda ch: (-letters[ch], ch))
+    others = [ch for ch in map(chr, range(1 << 16)) if ch not in letters and _LETTER.match(ch)]
+    others += [ch for ch in map(chr, range(1 << 16, 0x110000)) if ch.isalnum() and not ch.isdecimal() and ch not in letters]
+    codes = np.zeros(0x110000, np.int32)
+    codes[[ord(ch) for ch in known + others]] = np.arange(1, len(known) + len(others) + 1)
     model = Model(classes, codes, np.empty(0, np.int64), np.empty((0, 0), np.float32), np.empty((0, 0), np.float32))
     marks, used = [], Counter()
     for lang, text in sample:
         used[lang] += 1
         if used[lang] <= LANDMARKS:
             marks.append(text)
-    seen = np.empty(GRAMS, bool)
-    held, counts = [], []
-    for text in marks:
-        counts.append(model.presence(text, seen))
-        held.append(np.flatnonzero(seen))
+    held = [model.presence(text) for text in marks]
     model.grams = np.unique(np.concatenate(held))
-    model.landmarks = np.array([np.isin(model.grams, h) / np.sqrt(n) for h, n in zip(held, counts)], np.float32)
+    model.landmarks = np.array([np.isin(model.grams, h) / np.sqrt(len(h)) for h in held], np.float32)
     k = model.kernel([text for _, text in sample]).astype(np.float64)
     inner = model.kernel(marks).astype(np.float64)
     y = np.array([[1.0 if lang == c else -1.0 for c in classes] for lang, _ in sample])
@@ -121,8 +112,8 @@ def bounded_sample(docs: DataFrame, learn: Column, label: str, id_col: str, text
 
     Labels are counted first, so that only the rows with the lowest hashes are ranked, however many there are.
     """
-    text = F.col(text_col).cast("string")
-    rows = docs.filter(learn & F.col(label).isNotNull() & F.col(id_col).isNotNull() & text.rlike(r"\p{L}") & (F.length(text) <= chars))
+    text = F.substring(F.col(text_col).cast("string"), 1, chars)
+    rows = docs.filter(learn & F.col(label).isNotNull() & F.col(id_col).isNotNull() & text.rlike(r"\p{L}"))
     rows = rows.select(F.col(label).alias("label"), text.alias("text"), F.xxhash64(F.col(id_col).cast("string"), F.lit("sample")).alias("h"), F.col(id_col).cast("string").alias("i"))
     shares = seeded_share(rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")), per_label)
     low = rows.join(shares, "label").filter(below(F.col("h"), F.col("share")))

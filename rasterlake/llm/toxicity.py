@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from rasterlake.llm.jaccard_join import shingles
 from rasterlake.llm.language_id import below, held_out, not_held_out, seeded_share
+from rasterlake.session import cut
 
 PER_LABEL = 1500
 SAMPLE_CHARS = 8192
@@ -290,15 +291,17 @@ def _score(shared):
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> list[tuple[int, str]]:
-    """At most ``PER_LABEL`` (label, text) rows of each label: ids are chosen before any text is read."""
+    """At most ``PER_LABEL`` (label, text) rows of each label: ids are chosen among those of texts that are short enough."""
     known = labels.filter(not_held_out("doc_id") & F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1))
     known = known.select(F.col("doc_id").cast("long").alias("i"), F.col("toxic").cast("int").alias("toxic"), F.xxhash64(F.col("doc_id").cast("string"), F.lit("sample")).alias("h")).distinct()
+    text = F.col(text_col).cast("string")
+    short = docs.filter(F.length(text) <= SAMPLE_CHARS).select(F.col(id_col).cast("long").alias("i"), text.alias("text"))
+    known = cut(known.join(short.select("i"), "i", "left_semi"))
     shares = F.broadcast(seeded_share(known.groupBy(F.col("toxic").alias("label")).agg(F.count(F.lit(1)).alias("n")), PER_LABEL))  # two rows
     low = known.join(shares, known["toxic"] == shares["label"]).filter(below(F.col("h"), F.col("share")))
     nth = F.row_number().over(Window.partitionBy("toxic").orderBy(F.pmod("h", F.lit(1 << 31)), "h", "i"))
     chosen = F.broadcast(low.select("i", "toxic", nth.alias("n")).filter(F.col("n") <= PER_LABEL))  # at most two times PER_LABEL rows
-    text = F.col(text_col).cast("string")
-    rows = docs.filter(F.length(text) <= SAMPLE_CHARS).select(F.col(id_col).cast("long").alias("i"), text.alias("text")).join(chosen, "i")
+    rows = short.join(chosen, "i")
     return [(r["toxic"], r["text"]) for r in sorted(rows.select("toxic", "n", "text").collect(), key=lambda r: (r["toxic"], r["n"], r["text"]))]
 
 

@@ -41,6 +41,29 @@ def test_kernel_equals_sets():
             assert abs(k[i, j] - len(x & y) / np.sqrt(len(x) * len(y))) < 1e-5
 
 
+def test_scripts_beyond_62_letters_are_told_apart():
+    rng = np.random.default_rng(0)
+    heads = {"en": (0x61, 26), "ru": (0x430, 32), "ko": (0xAC00, 200), "zh": (0x4E00, 200), "goth": (0x10330, 26)}
+
+    def text(lang, n):
+        start, size = heads[lang]
+        return " ".join("".join(chr(start + k) for k in rng.integers(0, size, 5)) for _ in range(n))
+
+    model = L.fit([(lang, text(lang, 200 if lang in ("en", "ru") else 40)) for lang in heads for _ in range(5)])
+    for lang in heads:
+        assert model.classes[int(model.scores([text(lang, 40)]).argmax())] == lang
+
+
+def test_samples_reach_long_texts_and_fill_up(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "wort " * 3000, "de") for i in range(4)] + [(i, "word", "en") for i in range(4, 8)], "doc_id long, text string, lang string")
+    sample = L.bounded_sample(docs, F.lit(True), "lang", "doc_id", "text", 3, 100)
+    assert Counter(lang for lang, _ in sample) == {"de": 3, "en": 3} and all(len(t) <= 100 for _, t in sample)
+    monkeypatch.setattr(X, "PER_LABEL", 2)
+    docs = spark.createDataFrame([(i, "a b" if i >= 160 else "a b " * 3000) for i in range(200)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(400)], "doc_id long, toxic int")
+    assert Counter(label for label, _ in X.labelled_sample(docs, labels, "doc_id", "text")) == {0: 2, 1: 2}
+
+
 def test_language_edges(edge, empty, spark):
     got = L.languages(edge).collect()
     assert len(got) == edge.count()
