@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from rasterlake.llm import exact_blocks, imatch, jaccard_join, language_id, mixing, packing, sanitise, toxicity, warc_zip, wrapper
+from rasterlake.llm import conversation_repair, exact_blocks, imatch, jaccard_join, language_id, mixing, packing, sanitise, toxicity, warc_zip, wrapper
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -72,6 +72,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+@_query
+def op13_lightest_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repaired(_table(spark, sf_dir, "conversations"))
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
 
 ORACLES |= {"op1_warc_zip": warc_zip.SQL, "op2_exact_blocks": exact_blocks.SQL, "op9_mixing": mixing.SQL}
