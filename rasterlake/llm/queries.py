@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from rasterlake.llm import conversation_repair, exact_blocks, imatch, jaccard_join, language_id, mixing, packing, sanitise, spelling, toxicity, warc_zip, wrapper
+from rasterlake.llm import conversation_repair, exact_blocks, imatch, interpolation, jaccard_join, language_id, mixing, packing, sanitise, spelling, toxicity, warc_zip, wrapper
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -77,6 +77,11 @@ def op11_position_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(_table(spark, sf_dir, "documents"))
 
 
+@_query
+def op12_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interpolation.scores(_table(spark, sf_dir, "documents"))
+
+
 @_query
 def op13_lightest_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.repaired(_table(spark, sf_dir, "conversations"))
