@@ -10,11 +10,15 @@ from rasterlake.functions.codes import median_length, student_bits
 from rasterlake.functions.color import CODE, clamp, premultiplied_delta, vec_dot, vec_mix, vec_norm, vec_sub
 from rasterlake.operators.contours import contour_summary
 from rasterlake.operators.quantiles import index_quantiles
+from rasterlake.operators.regions import region_shapes
 from rasterlake.operators.stencil import around, core, neighbours, shifted, tiled
+from rasterlake.session import cut
 
 KEYS = ["image_id"]
 CH = "rgba"
+RGB = "rgb"
 MIN_CONDITIONING = 0.02
+MAX_REGIONS = 16
 
 
 def mixture(px: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -49,6 +53,32 @@ def mixture(px: DataFrame, pairs: DataFrame) -> DataFrame:
     return core(t.withColumns({"gradient": slope, "flatness": hyp(side("w", "e"), side("n", "s"))}).drop("e", "w", "n", "s"))
 
 
+# Intermediate coverage, flatness in units of the coverage noise, least area and least thickness (px)
+# of a semi-transparent interior.
+INTERMEDIATE = (0.08, 0.92)
+FLAT_RATIO = 8.0
+MIN_FLAT_AREA = 24
+MIN_THICKNESS = 2.0
+
+
+def semi_transparent(mix: DataFrame, min_area: int = MIN_FLAT_AREA) -> DataFrame:
+    """Largest flat region of intermediate coverage of each image that has one of ``min_area`` pixels.
+
+    Of regions of equal area the first in scan order counts. Returns image_id, largest_region_px, thickness (twice the
+    area over the perimeter), regions, coverage, coverage_span and flat_px of all such regions.
+    """
+    c = F.col
+    flat = (c("alpha") > INTERMEDIATE[0]) & (c("alpha") < INTERMEDIATE[1]) & (c("flatness") <= F.greatest("alpha_quant", F.lit(1e-9)) * FLAT_RATIO)
+    px = mix.filter(c("refusal").isNull() & flat).select(*KEYS, "x", "y", F.lit(1).alias("label"), "alpha")
+    shapes = region_shapes(px, "label", "alpha").withColumn("span", c("high") - c("low"))
+    best = F.max_by(F.struct("area", "perimeter", "mean", "span"), F.struct("area", -c("region")))
+    d = shapes.groupBy(*KEYS).agg(best.alias("b"), F.count("*").alias("regions"), F.sum("area").alias("flat_px"))
+    return d.filter(c("b.area") >= min_area).select(
+        *KEYS, c("b.area").alias("largest_region_px"), (c("b.area") * 2.0 / c("b.perimeter")).alias("thickness"), "regions",
+        c("b.mean").alias("coverage"), c("b.span").alias("coverage_span"), "flat_px",
+    )
+
+
 def residual_indicators(mix: DataFrame) -> DataFrame:
     """Mean, p95 and max residual in codes, mass on mixed pixels, mean run.
 
@@ -113,7 +143,7 @@ def kernel_choice(px: DataFrame, v: str = "alpha") -> DataFrame:
 SCORE_TIE = 1e-9
 
 
-def two_colour_outcome(evidence: DataFrame, max_p95: float, min_thickness: float = 2.0) -> DataFrame:
+def two_colour_outcome(evidence: DataFrame, max_p95: float, min_thickness: float = MIN_THICKNESS) -> DataFrame:
     """Outcome per image from scored hypotheses of several mixture classes.
 
     Columns: image_id, class, id, conditioned (whether the colour pair could be
@@ -144,6 +174,27 @@ def two_colour_outcome(evidence: DataFrame, max_p95: float, min_thickness: float
     return d.select(*KEYS, "explaining", outcome.alias("outcome"))
 
 
+# Fixed value: spread of residuals of a clean reading, in codes.
+CLEAN_SIGMA = 25.57
+
+
+def mixture_evidence(px: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Scored readings for ``two_colour_outcome`` from pixels and colour pairs alone.
+
+    ``px`` as for ``mixture``; ``pairs``: image_id, class, id and the two colours. Every reading is a raster of its own,
+    keyed by (image, class, id), so all readings of all images are judged in one pass over the pixels.
+    """
+    reading = F.struct(*KEYS, "class", "id")
+    wide = px.join(pairs.select(*KEYS, "class", "id"), KEYS).withColumn("image_id", reading)
+    colours = pairs.withColumn("image_id", reading).drop("class", "id")
+    mix = cut(mixture(wide, colours))
+    facts = mix.groupBy(*KEYS).agg(F.bool_and(F.col("refusal").isNull()).alias("conditioned"))
+    residuals = residual_indicators(mix).select(*KEYS, F.col("p95_codes").alias("p95"))
+    d = facts.join(residuals, KEYS, "left").join(semi_transparent(mix).select(*KEYS, "thickness"), KEYS, "left")
+    z = F.col("p95") / CLEAN_SIGMA
+    return d.select("image_id.*", "conditioned", (z * z * 0.5).alias("score"), "p95", "thickness", F.lit(None).cast("string").alias("palette_refusal"))
+
+
 def otsu(px: DataFrame, code: str = "code") -> DataFrame:
     """Otsu threshold of a 256-bin histogram; the lowest best bin wins.
 
@@ -233,6 +284,60 @@ def transform_energy(res: DataFrame, kind: str, size: int) -> DataFrame:
     return v.agg(rms(dc).alias("dc_rms"), rms(~dc).alias("ac_rms"), F.count_if(dc).alias("blocks"))
 
 
+# Per source format the transform and its block size, the spreads of the first, of the other and of alpha
+# coefficients in codes, and the degrees of freedom.
+CODECS = {"clean": ("identity", 2, 25.57, 25.57, 25.57), "jpeg": ("cosine", 8, 32.37, 14.84, 1.0), "webp": ("hadamard", 4, 44.17, 13.45, 1.0)}
+CODEC_DOF = 4.0
+
+
+def padded(res: DataFrame, keys: list[str], block: int) -> DataFrame:
+    """Rows for blocks that are not full: the last row and column of a raster stand again beyond its sides."""
+    size = res.groupBy(*keys).agg(F.max("x").alias("__x"), F.max("y").alias("__y"))
+    more = lambda c: F.when(F.col(c) == F.col(f"__{c}"), block - 1 - F.col(c) % block).otherwise(0).cast("int")
+    spread = lambda d, c: d.withColumn(c, F.explode(F.sequence(F.col(c), F.col(c) + more(c))))
+    return spread(spread(res.join(size, keys), "x"), "y").drop("__x", "__y")
+
+
+def block_coefficients(res: DataFrame, keys: list[str], kind: str, block: int) -> DataFrame:
+    """(keys, bx, by, u, v, c*): transform of the residuals d* of all four channels, block by block.
+
+    The 1-D basis travels as a literal array; a pixel meets its row coefficients first and its column coefficients
+    second, each followed by a combining sum. Channels share both sums.
+    """
+    rows = F.array(*[F.array(*[F.lit(c) for c in r]) for r in basis(kind, block)])
+    u = F.explode(F.sequence(F.lit(0), F.lit(block - 1)))
+    at = lambda k, p: F.element_at(F.element_at(rows, F.col(k) + 1), (F.col(p) % block + 1).cast("int"))
+    place = [F.floor(F.col("x") / block).alias("bx"), F.floor(F.col("y") / block).alias("by")]
+    d = padded(res, keys, block)
+    if kind == "identity":
+        return d.select(*keys, *place, (F.col("x") % block).alias("u"), (F.col("y") % block).alias("v"), *[F.col(f"d{c}").cast("double").alias(f"c{c}") for c in CH])
+    h = d.withColumn("u", u).groupBy(*keys, *place, "y", "u").agg(*[F.sum(at("u", "x") * F.col(f"d{c}")).alias(f"h{c}") for c in CH])
+    return h.withColumn("v", u).groupBy(*keys, "bx", "by", "u", "v").agg(*[F.sum(at("v", "y") * F.col(f"h{c}")).alias(f"c{c}") for c in CH])
+
+
+def codec_bits(res: DataFrame, keys: list[str], codec: str) -> DataFrame:
+    """Code length of the residuals of all four channels under a source format: keys, blocks, coefficients, bits."""
+    kind, block, first, other, alpha = CODECS[codec]
+    d = block_coefficients(res, keys, kind, block)
+    sigma = F.when((F.col("u") == 0) & (F.col("v") == 0), first).otherwise(other)
+    bits = [student_bits((F.col(f"c{c}") / sigma) ** 2, CODEC_DOF) for c in RGB] + [student_bits((F.col("ca") / alpha) ** 2, CODEC_DOF)]
+    return d.groupBy(*keys).agg(
+        F.count_if((F.col("u") == 0) & (F.col("v") == 0)).alias("blocks"), (F.count("*") * 4).alias("coefficients"), F.sum(bits[0] + bits[1] + bits[2] + bits[3]).alias("bits")
+    )
+
+
+def codec_spread(res: DataFrame, keys: list[str], codec: str) -> DataFrame:
+    """Root mean squares of first, other and alpha coefficients under a source format: keys, dc_rms, ac_rms, alpha_rms."""
+    kind, block, *_ = CODECS[codec]
+    d = block_coefficients(res, keys, kind, block)
+    dc = (F.col("u") == 0) & (F.col("v") == 0)
+    square = F.col("cr") ** 2 + F.col("cg") ** 2 + F.col("cb") ** 2
+    rms = lambda v: F.coalesce(F.sqrt(v), F.lit(0.0))
+    return d.groupBy(*keys).agg(
+        rms(F.avg(F.when(dc, square)) / 3).alias("dc_rms"), rms(F.avg(F.when(~dc, square)) / 3).alias("ac_rms"), rms(F.avg(F.col("ca") ** 2)).alias("alpha_rms")
+    )
+
+
 def hard_paints(px: DataFrame, min_support: float) -> DataFrame:
     """Weighted mean colour of each region; weight = evidence / max(q, 1/510)^2."""
     w = F.col("weight") / F.greatest(F.col("q"), F.lit(1 / 510)) ** 2
@@ -241,6 +346,59 @@ def hard_paints(px: DataFrame, min_support: float) -> DataFrame:
     return d.select(*KEYS, "label", "support", refusal.alias("refusal"), F.when(refusal.isNull(), F.col("__p")).alias("paint"))
 
 
+def soft_paints(cover: DataFrame, px: DataFrame, min_support: float, ridge: float) -> DataFrame:
+    """Colours of regions that share pixels, by weighted least squares in each channel.
+
+    ``cover``: image_id, x, y, label, coverage, at most ``MAX_REGIONS`` labels in an image; a row may be left out where the
+    coverage is 0. ``px``: image_id, x, y, weight and, per channel, v* and q*. Sums of the normal equations combine before
+    the shuffle, label pairs of a pixel are made from its own short list; each image then solves one small system in a
+    group of its own. The ridge is relative to the largest diagonal entry, or to 1. If a region of an image has less
+    than ``min_support`` pixels the image is refused. Returns image_id, label, support, refusal, paint_r, paint_g, paint_b.
+    """
+    c = F.col
+    per_pixel = cover.groupBy(*KEYS, "x", "y").agg(F.collect_list(F.struct("label", "coverage")).alias("own"))
+    d = px.join(per_pixel, [*KEYS, "x", "y"]).withColumn("j", F.explode("own")).withColumn("k", F.explode("own"))
+    d = d.filter(c("j.label") <= c("k.label"))
+    diagonal = c("j.label") == c("k.label")
+    weight = {ch: c("weight") / F.greatest(c(f"q{ch}"), F.lit(1 / 510)) ** 2 for ch in RGB}
+    sums = [F.sum(weight[ch] * c("j.coverage") * c("k.coverage")).alias(f"n{ch}") for ch in RGB]
+    sums += [F.sum(F.when(diagonal, weight[ch] * c("j.coverage") * c(f"v{ch}"))).alias(f"t{ch}") for ch in RGB]
+    sums += [F.sum(F.when(diagonal, c("j.coverage"))).alias("support")]
+    normal = d.groupBy(*KEYS, c("j.label").alias("j"), c("k.label").alias("k")).agg(*sums)
+    kinds = {f.name: f.dataType.simpleString() for f in normal.schema}
+    schema = f"image_id {kinds['image_id']}, label {kinds['j']}, support double, refusal string, paint_r double, paint_g double, paint_b double"
+
+    def solve(rows):
+        import numpy as np
+        import pandas as pd
+
+        own = rows[rows.j == rows.k].sort_values("j")
+        labels = own.j.to_numpy()
+        if len(labels) > MAX_REGIONS:
+            raise ValueError(f"an image has {len(labels)} regions, at most {MAX_REGIONS} may share one system")
+        out = pd.DataFrame({"image_id": rows.image_id.iloc[0], "label": labels, "support": own.support.to_numpy(), "refusal": None})
+        enough = bool((own.support >= min_support).all())
+        if not enough:
+            out["refusal"] = "insufficient_support"
+        a, b = np.searchsorted(labels, rows.j), np.searchsorted(labels, rows.k)
+        for ch in RGB:
+            system = np.zeros((len(labels), len(labels)))
+            system[a, b] = system[b, a] = rows[f"n{ch}"]
+            system[np.diag_indices(len(labels))] += ridge * max(1.0, float(system.diagonal().max()))
+            out[f"paint_{ch}"] = np.linalg.solve(system, own[f"t{ch}"].to_numpy()) if enough else None
+        return out
+
+    return normal.groupBy(*KEYS).applyInPandas(solve, schema)
+
+
+def soft_paint_score(cover: DataFrame, px: DataFrame, paints: DataFrame) -> DataFrame:
+    """Sum of w * ((sum of coverage * paint - observation) / q)^2 over pixels and channels, for images that were solved."""
+    known = paints.filter("refusal is null").select(*KEYS, "label", *[f"paint_{ch}" for ch in RGB])
+    mixed = cover.join(known, [*KEYS, "label"]).groupBy(*KEYS, "x", "y").agg(*[F.sum(F.col("coverage") * F.col(f"paint_{ch}")).alias(f"m{ch}") for ch in RGB])
+    z = [(F.col(f"m{ch}") - F.col(f"v{ch}")) / F.greatest(F.col(f"q{ch}"), F.lit(1 / 510)) for ch in RGB]
+    return px.join(mixed, [*KEYS, "x", "y"]).groupBy(*KEYS).agg(F.sum(F.col("weight") * (z[0] ** 2 + z[1] ** 2 + z[2] ** 2)).alias("score"))
+
+
 def fixed_paint_score(px: DataFrame, paints: DataFrame) -> DataFrame:
     """Sum of w * ((prediction - observation) / q)^2 for given paints."""
     z = (F.col("paint") - F.col("v")) / F.greatest(F.col("q"), F.lit(1 / 510))

@@ -9,7 +9,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from rasterlake.functions.color import clamp, code_to_linear
+from rasterlake.functions.codes import coordinate_bits
+from rasterlake.functions.color import clamp, code_to_linear, linear_to_code
+from rasterlake.operators.evidence import codec_bits
+from rasterlake.session import cut
 
 KEYS = ["image_id"]
 RGB = ("r", "g", "b")
@@ -147,3 +150,106 @@ def end_colours(profiles: DataFrame) -> DataFrame:
     d = profiles.groupBy(*KEYS).agg(*aggs)
     end = lambda c, sign: clamp(F.col(c) + F.col(f"x{c}") / F.col("xx") * (0.5 * sign))
     return d.select(*KEYS, *[end(c, s).alias(f"{c}{k}") for k, s in ((0, -1), (1, 1)) for c in RGB])
+
+
+# Stop budgets by the number of pixels, bits of a stop's place and colour, parameters of a geometry.
+BUDGETS = ((1_000_000, (2, 4, 8)), (4_000_000, (2, 4)), (MAX_PIXELS, (4,)))
+STOP_BITS, COLOUR_BITS = 12.0, 24.0
+PARAMETERS = {"solid": 0, "linear": 4, "radial": 3}
+OFFSET_STEPS = 4096.0
+
+
+def _stop(offset: Column, colour: Column) -> Column:
+    return F.struct(offset.alias("offset"), *[colour[c].alias(c) for c in RGB])
+
+
+def stop_lists(profiles: DataFrame) -> DataFrame:
+    """(image_id, budget, stops) of every budget: two ends of the straight line, evenly spaced colours of the profile, or
+    with four and more stops a double stop at the first jump. Offsets are rounded to 4096ths.
+    """
+    bins = profiles.groupBy(*KEYS).agg(F.array_sort(F.collect_list(F.struct("bin", *RGB))).alias("p"))  # 64 entries
+    d = bins.join(jumps(profiles).select(*KEYS, F.get("jumps", F.lit(0)).alias("jump")), KEYS).join(end_colours(profiles), KEYS)
+    last = PROFILE_BINS - 1
+    place = lambda v: F.floor(v * OFFSET_STEPS + 0.5) / OFFSET_STEPS
+    at = lambda k: F.get("p", k if isinstance(k, Column) else F.lit(k))
+    even = lambda n: F.array(*[_stop(place(F.lit(k / (n - 1))), at(round(k * last / (n - 1)))) for k in range(n)])
+    line = F.array(*[_stop(F.lit(float(k)), F.struct(*[F.col(f"{c}{k}").alias(c) for c in RGB])) for k in (0, 1)])
+    edge = place((F.col("jump") - 0.5) / last)
+    leap = F.array(_stop(F.lit(0.0), at(0)), _stop(edge, at(F.col("jump") - 1)), _stop(edge, at(F.col("jump"))), _stop(F.lit(1.0), at(last)))
+    entry = lambda n, stops: F.struct(F.lit(n).alias("budget"), stops.alias("stops"))
+    # with a jump all budgets from four on give the same list, which is one candidate
+    lists = F.when(F.col("jump").isNull(), F.array(entry(2, line), entry(4, even(4)), entry(8, even(8)))).otherwise(F.array(entry(2, line), entry(4, leap)))
+    return d.select(*KEYS, F.inline(lists))
+
+
+def _allowed(n: Column, budget: Column) -> Column:
+    """Whether an image of ``n`` pixels tries a budget; a list with a jump is that of four, which every size tries."""
+    cases = F.lit(False)
+    for most, budgets in reversed(BUDGETS):
+        cases = F.when(n <= most, budget.isin(*budgets)).otherwise(cases)
+    return cases
+
+
+def colour_candidates(px: DataFrame) -> DataFrame:
+    """(image_id, n, side, models): per opaque image its candidates as an array of (kind, stops and axis or circle)."""
+    fit = px.join(refusals(px).filter("refusal is null").select(*KEYS), KEYS, "left_semi")
+    line, ring = cut(direction(fit)), cut(radial_centre(fit))
+    mean = _linear(fit).groupBy(*KEYS).agg(F.count("*").alias("n"), F.greatest(F.max("x") + 1, F.max("y") + 1).alias("side"), *[F.avg(c).alias(c) for c in RGB])
+    mean = cut(mean)
+    solid = mean.select(*KEYS, "n", F.lit("solid").alias("kind"), F.array(_stop(F.lit(0.0), F.struct(*RGB))).alias("stops"))
+    tried = [solid]
+    for kind, geometry, offset in (("linear", line, linear_offset()), ("radial", ring, radial_offset())):
+        lists = stop_lists(cut(profile(fit, geometry, offset))).join(mean.select(*KEYS, "n"), KEYS)
+        lists = lists.filter(_allowed(F.col("n"), F.col("budget")))
+        tried.append(lists.select(*KEYS, "n", F.lit(kind).alias("kind"), "stops"))
+    every = tried[0].unionByName(tried[1]).unionByName(tried[2])
+    models = every.groupBy(*KEYS).agg(F.collect_list(F.struct("kind", "stops")).alias("models"))  # seven at most
+    d = mean.select(*KEYS, "n", "side").join(models, KEYS).join(line.select(*KEYS, "x0", "y0", "x1", "y1"), KEYS)
+    return d.join(ring.select(*KEYS, "cx", "cy", "radius"), KEYS)
+
+
+def colour_at(stops: Column, offset: Column, channel: str) -> Column:
+    """Colour of a stop list at an offset: straight between the last stop at or before it and the next one."""
+    passed = F.size(F.filter(stops, lambda s: s["offset"] <= offset))
+    left, right = F.get(stops, passed - 1), F.get(stops, passed)
+    share = (offset - left["offset"]) / (right["offset"] - left["offset"])
+    between = left[channel] + (right[channel] - left[channel]) * share
+    return F.when(passed == 0, F.get(stops, F.lit(0))[channel]).when(passed == F.size(stops), left[channel]).otherwise(between)
+
+
+def colour_models(px: DataFrame, codec: str = "clean") -> DataFrame:
+    """Code length of every candidate of every opaque image.
+
+    Columns: image_id, kind, stop_count, discontinuities, residual_bits, geometry_bits, stop_bits, total_bits. A pixel meets
+    the few candidates of its own image as an array and finds its stops there; what is summed per candidate and block
+    combines before the shuffle.
+    """
+    d = px.join(colour_candidates(px), KEYS).withColumn("offsets", F.struct(F.lit(0.0).alias("solid"), linear_offset().alias("linear"), radial_offset().alias("radial")))
+    d = d.select(*KEYS, "x", "y", *RGB, "side", "offsets", F.posexplode("models").alias("model", "m"))
+    offset = F.when(F.col("m.kind") == "linear", F.col("offsets.linear")).when(F.col("m.kind") == "radial", F.col("offsets.radial")).otherwise(0.0)
+    d = d.withColumn("offset", offset)
+    leaps = F.size("m.stops") - F.size(F.array_distinct(F.transform("m.stops", lambda s: s["offset"])))
+    keys = [*KEYS, "side", "kind", "stop_count", "discontinuities", "model"]
+    gaps = [(F.col(c) - linear_to_code(colour_at(F.col("m.stops"), F.col("offset"), c))).alias(f"d{c}") for c in RGB]
+    res = d.select(*KEYS, "side", F.col("m.kind").alias("kind"), F.size("m.stops").alias("stop_count"), leaps.alias("discontinuities"), "model", "x", "y", *gaps, F.lit(0).alias("da"))
+    bits = codec_bits(res, keys, codec)
+    count = F.lit(0.0)
+    for kind, n in PARAMETERS.items():
+        count = F.when(F.col("kind") == kind, float(n)).otherwise(count)
+    order = F.aggregate(F.sequence(F.lit(1), F.col("stop_count")), F.lit(0.0), lambda a, k: a + F.log2(k.cast("double")))
+    stop_bits = F.when(F.col("kind") == "solid", COLOUR_BITS).otherwise(F.col("stop_count") * (STOP_BITS + COLOUR_BITS) + order)
+    out = bits.select(
+        *KEYS, "kind", "stop_count", "discontinuities", "model", F.col("bits").alias("residual_bits"), (count * coordinate_bits(F.col("side").cast("double"))).alias("geometry_bits"), stop_bits.alias("stop_bits"),
+    )
+    return out.withColumn("total_bits", F.col("residual_bits") + F.col("geometry_bits") + F.col("stop_bits") + F.log2(F.lit(3.0)))
+
+
+def colour_choice(models: DataFrame) -> DataFrame:
+    """(image_id, kind, stop_count, discontinuities, total_bits, runner_up_bits, margin_bits) of the shortest code.
+
+    Equal lengths (to six digits) are decided by kind and then by fewer stops, not by a digest.
+    """
+    simple = F.when(F.col("kind") == "solid", 0).when(F.col("kind") == "linear", 1).otherwise(2)
+    w = Window.partitionBy(*KEYS).orderBy(F.round("total_bits", 6), simple, "stop_count")  # seven rows
+    d = models.withColumns({"__k": F.row_number().over(w), "runner_up_bits": F.lead("total_bits").over(w)}).filter("__k = 1")
+    return d.select(*KEYS, "kind", "stop_count", "discontinuities", "total_bits", "runner_up_bits", (F.col("runner_up_bits") - F.col("total_bits")).alias("margin_bits"))

@@ -47,18 +47,53 @@ def with_runs(px: DataFrame, label: str) -> DataFrame:
     return d.withColumn("run", F.last("__s", True).over(w)).drop("__s", "__c")
 
 
-def run_edges(px: DataFrame, label: str, conn: int) -> DataFrame:
-    """Pairs of touching runs of one label (4- or 8-connected)."""
-    runs = px.groupBy(*KEYS, label, "y", "run").agg(F.min("x").alias("x0"), F.max("x").alias("x1"))
+def touching_runs(runs: DataFrame, label: str, conn: int) -> DataFrame:
+    """Pairs of touching runs of one label (4- or 8-connected) with the number of unit edges between them.
+
+    ``runs``: keys, label, y, run, x0, x1.
+    """
     runs = runs.withColumn("c", F.floor(F.col("x0") / TILE))
     below = runs.select(*KEYS, label, (F.col("y") - 1).alias("y"), "c", F.col("run").alias("dst"), F.col("x0").alias("u0"), F.col("x1").alias("u1"))
     stacked = runs.join(below, [*KEYS, label, "y", "c"]).filter((F.col("x0") <= F.col("u1")) & (F.col("u0") <= F.col("x1")))
+    overlap = F.least("x1", "u1") - F.greatest("x0", "u0") + 1
     starts = runs.select(*KEYS, label, "y", F.col("x0").alias("at"), F.col("run").alias("dst"))
     steps = (0,) if conn == 4 else (-1, 0, 1)
-    ends = runs.select(*KEYS, label, (F.col("x1") + 1).alias("at"), F.col("run").alias("src"), "y")
+    ends = runs.select(*KEYS, label, (F.col("x1") + 1).alias("at"), F.col("run").alias("src"), F.col("y").alias("from"), "y")
     reach = ends.withColumn("y", F.explode(F.array(*[F.col("y") + s for s in steps])))
     corner = reach.join(starts, [*KEYS, label, "y", "at"])
-    return stacked.select(*KEYS, F.col("run").alias("src"), "dst").unionByName(corner.select(*KEYS, "src", "dst"))
+    level = F.when(F.col("from") == F.col("y"), 1).otherwise(0)
+    return stacked.select(*KEYS, F.col("run").alias("src"), "dst", overlap.cast("long").alias("shared")).unionByName(
+        corner.select(*KEYS, "src", "dst", level.cast("long").alias("shared"))
+    )
+
+
+def run_edges(px: DataFrame, label: str, conn: int) -> DataFrame:
+    """Pairs of touching runs of one label (4- or 8-connected)."""
+    runs = px.groupBy(*KEYS, label, "y", "run").agg(F.min("x").alias("x0"), F.max("x").alias("x1"))
+    return touching_runs(runs, label, conn).select(*KEYS, "src", "dst")
+
+
+def region_shapes(px: DataFrame, label: str, value: str) -> DataFrame:
+    """Area, perimeter in unit edges, mean and range of ``value`` of every 4-connected region.
+
+    A run has its own outline of 2 + 2n edges; every edge that it shares with another run of the region is inside and
+    leaves two of them. Pixels are read once, all the rest is work on runs.
+    """
+    v = F.col(value)
+    marked = with_runs(px.filter(F.col(label).isNotNull()), label)
+    runs = cut(
+        marked.groupBy(*KEYS, label, "y", "run").agg(
+            F.min("x").alias("x0"), F.max("x").alias("x1"), F.count("*").alias("area"), F.sum(v).alias("total"), F.min(v).alias("low"), F.max(v).alias("high")
+        )
+    )
+    contacts = cut(touching_runs(runs, label, 4))
+    inside = contacts.groupBy(*KEYS, F.col("src").alias("run")).agg(F.sum("shared").alias("shared"))
+    roots = components(contacts.select(*KEYS, "src", "dst"), KEYS).select(*KEYS, F.col("id").alias("run"), "root")
+    d = runs.join(roots, [*KEYS, "run"], "left").join(inside, [*KEYS, "run"], "left").withColumn("region", F.coalesce("root", "run"))
+    outline = F.sum(F.col("area") * 2 + 2 - F.coalesce("shared", F.lit(0)) * 2)
+    return d.groupBy(*KEYS, label, "region").agg(
+        F.sum("area").alias("area"), outline.alias("perimeter"), (F.sum("total") / F.sum("area")).alias("mean"), F.min("low").alias("low"), F.max("high").alias("high")
+    )
 
 
 def regions(px: DataFrame, label: str = "label", conn: int = 4, exterior: int | None = None) -> DataFrame:

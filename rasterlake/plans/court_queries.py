@@ -64,7 +64,7 @@ def with_gate_counts(d):
     "meas",
     f"""r AS (SELECT *, {AT.format(g=0.25)} AS at95, {AT.format(g=0.30)} AS at99, row_number() OVER (PARTITION BY family, profile ORDER BY p95_px) - 1 AS i95,
         row_number() OVER (PARTITION BY family, profile ORDER BY p99_px) - 1 AS i99, count(*) OVER (PARTITION BY family, profile) AS n
-      FROM (SELECT * EXCLUDE samples, CASE WHEN family = 'MACHINERY' AND l_partkey = 3 THEN 0 ELSE samples END AS samples FROM meas)),
+      FROM (SELECT * EXCLUDE (samples, at95, at99), CASE WHEN family = 'MACHINERY' AND l_partkey = 3 THEN 0 ELSE samples END AS samples FROM meas)),
     s AS (SELECT family, profile, bool_and(samples > 0 AND at95 <= samples AND at99 <= samples) AS complete, sum(samples)::BIGINT AS pooled, sum(at95) AS a95, sum(at99) AS a99,
       max(max_px) AS mx, max(CASE WHEN i95 = ceil((n - 1) * 0.95) THEN p95_px END) AS q95, max(CASE WHEN i99 = ceil((n - 1) * 0.99) THEN p99_px END) AS q99 FROM r GROUP BY ALL)
     SELECT family, profile, complete, CASE WHEN complete THEN pooled END AS pooled_samples, CASE WHEN complete THEN round(mx, 6) END AS max_px,

@@ -20,14 +20,42 @@ MIX_SQL = f"""{obs_sql('rgba8')}, {PAIR_SQL}, m1 AS (SELECT ob.*, hp.* EXCLUDE (
   m3 AS (SELECT image_id, x, y, pa, al, aq, cond, sqrt(e1 * e1 + e2 * e2 + e3 * e3 + e4 * e4) AS res, (e1 * (fr - br) + e2 * (fg - bg) + e3 * (fb - bb) + e4 * (fa - ba)) / cond AS sgn FROM m2), {nb('m3', 'mx', ['al'])}"""
 
 
+FLATNESS = "sqrt(pow(least(abs(al - w_al), abs(e_al - al)), 2) + pow(least(abs(al - n_al), abs(s_al - al)), 2))"
+
+
+def interior_shapes_sql(src: str = "mx") -> str:
+    """CTE ``si``: the largest flat region of intermediate coverage of each image, by a flood over runs."""
+    return f"""fl AS (SELECT image_id, x, y, al FROM {src} WHERE al > 0.08 AND al < 0.92 AND {FLATNESS} <= 8 * greatest(aq, 1e-9)),
+  rn AS (SELECT image_id, y, min(x) AS x0, max(x) AS x1, count(*) AS n, sum(al) AS t, min(al) AS lo, max(al) AS hi, y::BIGINT * 1048576 + min(x) AS id FROM (SELECT *, x - row_number() OVER (PARTITION BY image_id, y ORDER BY x) AS gp FROM fl) GROUP BY image_id, y, gp),
+  ct AS (SELECT a.image_id, a.id AS p, b.id AS q, least(a.x1, b.x1) - greatest(a.x0, b.x0) + 1 AS shared FROM rn a JOIN rn b ON b.image_id = a.image_id AND b.y = a.y + 1 AND a.x0 <= b.x1 AND b.x0 <= a.x1),
+  lk AS (SELECT image_id, p, q FROM ct UNION ALL SELECT image_id, q, p FROM ct),
+  fd(image_id, s, id) AS (SELECT image_id, id, id FROM rn UNION SELECT fd.image_id, fd.s, lk.q FROM fd JOIN lk ON lk.image_id = fd.image_id AND lk.p = fd.id),
+  rt AS (SELECT image_id, id, min(s) AS region FROM fd GROUP BY 1, 2), sh AS (SELECT image_id, p AS id, sum(shared) AS shared FROM ct GROUP BY 1, 2),
+  rs AS (SELECT rn.image_id, region, sum(n) AS area, sum(2 * n + 2 - 2 * coalesce(shared, 0)) AS per, sum(t) / sum(n) AS mean, max(hi) - min(lo) AS span FROM rn JOIN rt USING (image_id, id) LEFT JOIN sh USING (image_id, id) GROUP BY rn.image_id, region),
+  si AS (SELECT image_id, arg_max({{'a': area, 'p': per, 'm': mean, 's': span}}, (area, -region)) AS b, count(*) AS regions, sum(area)::BIGINT AS flat_px FROM rs GROUP BY 1)"""
+
+
+def interior_sql(src: str) -> str:
+    return f"""RECURSIVE {MIX_SQL.replace("rgba8", src)}, {interior_shapes_sql()} SELECT image_id, b.a::BIGINT AS largest_region_px, round(2 * b.a / b.p::DOUBLE, 6) AS thickness, regions, round(b.m, 6) AS coverage, round(b.s, 6) AS coverage_span, flat_px FROM si WHERE b.a >= 24"""
+
+
+def interiors(px):
+    d = V.semi_transparent(mixtures_of(px))
+    return d.select("image_id", "largest_region_px", "regions", "flat_px", *[r6(F.col(c), c) for c in ("thickness", "coverage", "coverage_span")])
+
+
 def mixtures(t):
+    return mixtures_of(t.rgba8())
+
+
+def mixtures_of(px):
     even = F.col("image_id") % 2 == 0
     bg = lambda v: (F.when(even, v).otherwise(0) / 255.0)
-    pairs = t.rgba8().select("image_id").distinct().select(
+    pairs = px.select("image_id").distinct().select(
         "image_id", *[F.lit(v / 255).alias(f"f{c}") for c, v in zip("rgb", (200, 190, 30))], F.lit(1.0).alias("fa"),
         bg(40).alias("br"), bg(60).alias("bg"), bg(30).alias("bb"), F.when(even, 1.0).otherwise(0.0).alias("ba"),
     )
-    return V.mixture(W.observed(t.rgba8()), pairs)
+    return V.mixture(W.observed(px), pairs)
 
 
 @query(
@@ -206,3 +234,103 @@ def a64(t):
         F.when(q % 6 == 4, q / 10.0).alias("thickness"), F.when(q == 50, "more_than_two_faces").alias("palette_refusal"),
     )
     return V.two_colour_outcome(e, 12.0)
+
+
+@query("a62_semi_transparent", "flat32", interior_sql("flat32"))
+def a62(t):
+    return interiors(t.flat32())
+
+
+#: readings of an image: class, id, foreground, background
+READINGS = [
+    ("opaque:a", "p0", (200, 190, 30, 255), (40, 60, 30, 255)), ("opaque:b", "p1", (200, 60, 220, 255), (40, 60, 30, 255)),
+    ("clear:a", "p2", (200, 190, 30, 255), (0, 0, 0, 0)), ("opaque:a", "p3", (40, 60, 30, 255), (41, 60, 30, 255)),
+]
+READING_SQL = ", ".join(f"({k}, '{c}', '{i}', {', '.join(f'{v} / 255.0::DOUBLE' for v in (*f, *b))})" for k, (c, i, f, b) in enumerate(READINGS))
+READ_MIX = MIX_SQL[MIX_SQL.index("m1 AS") :]
+
+
+@query(
+    "a64_outcome_of_mixtures",
+    "flat32",
+    f"""RECURSIVE rd(k, class, id, fr, fg, fb, fa, br, bg, bb, ba) AS (VALUES {READING_SQL}), sc AS (SELECT image_id * 4 + k AS image_id, x, y, r, g, b, a FROM flat32 CROSS JOIN rd), {obs_sql('sc')},
+    hp AS (SELECT DISTINCT image_id, fr, fg, fb, fa, br, bg, bb, ba FROM sc JOIN rd ON k = image_id % 4), {READ_MIX}, mw AS (SELECT * FROM mx WHERE cond >= 0.02), {interior_shapes_sql('mw')},
+    q AS (SELECT image_id, res * 255 AS codes, row_number() OVER (PARTITION BY image_id ORDER BY res) - 1 AS i, count(*) OVER (PARTITION BY image_id) AS n FROM mw), p AS (SELECT image_id, max(CASE WHEN i = least(floor(n * 0.95), n - 1) THEN codes END) AS p95 FROM q GROUP BY 1),
+    e AS (SELECT hp.image_id // 4 AS image_id, class, id, p95, round(0.5 * pow(p95 / 25.57::DOUBLE, 2), 9) AS score, CASE WHEN b.a >= 24 THEN 2 * b.a / b.p::DOUBLE END AS th FROM hp JOIN rd ON k = hp.image_id % 4 JOIN p ON p.image_id = hp.image_id LEFT JOIN si ON si.image_id = hp.image_id),
+    w AS (SELECT image_id, class, arg_min({{'p': p95, 't': th}}, (score, id)) AS b FROM e GROUP BY ALL), g AS (SELECT image_id, count(*) FILTER (WHERE b.t IS NULL AND b.p <= 60) AS ex, arg_min(b.t, class) FILTER (WHERE b.t IS NOT NULL) AS t FROM w GROUP BY 1)
+    SELECT image_id, ex AS explaining, CASE WHEN ex = 0 AND t >= 2 THEN 'unsupported_semi_transparent' WHEN ex = 0 AND t IS NOT NULL THEN 'ambiguous_thin' WHEN ex = 0 THEN 'unsupported_no_explanation' WHEN ex = 1 THEN 'supported' ELSE 'ambiguous' END AS outcome FROM g""",
+)
+def a64b(t):
+    px = t.flat32()
+    colours = lambda f, b: [F.lit(v / 255).alias(f"{k}{c}") for k, vs in (("f", f), ("b", b)) for c, v in zip("rgba", vs)]
+    readings = F.array(*[F.struct(F.lit(c).alias("class"), F.lit(i).alias("id"), *colours(f, b)) for c, i, f, b in READINGS])
+    pairs = px.select("image_id").distinct().select("image_id", F.inline(readings))
+    return V.two_colour_outcome(V.mixture_evidence(W.observed(px), pairs), 60.0)
+
+
+# three regions share a pixel two at a time, as the fourth channel says
+SOFT_SQL = """sc AS (SELECT image_id, x, y, a / 255.0::DOUBLE AS u, r / 255.0::DOUBLE AS vr, g / 255.0::DOUBLE AS vg, b / 255.0::DOUBLE AS vb, 0.5 + (x % 3) / 4.0::DOUBLE AS w, greatest(0.001 * (y % 4), 1 / 510.0::DOUBLE) AS q FROM rgba8),
+  sw AS (SELECT image_id, greatest(0, 1 - 2 * u) AS c0, 1 - abs(2 * u - 1) AS c1, greatest(0, 2 * u - 1) AS c2, vr, vg, vb, w / (q * q) AS w FROM sc),
+  sn AS (SELECT image_id, sum(c0) AS s0, sum(c1) AS s1, sum(c2) AS s2, sum(w * c0 * c0) AS n00, sum(w * c0 * c1) AS n01, sum(w * c1 * c1) AS n11, sum(w * c1 * c2) AS n12, sum(w * c2 * c2) AS n22, """ + ", ".join(f"sum(w * c{k} * v{c}) AS t{k}{c}" for k in range(3) for c in "rgb") + """ FROM sw GROUP BY 1),
+  sr AS (SELECT *, least(coalesce(nullif(s0, 0), 9), coalesce(nullif(s1, 0), 9), coalesce(nullif(s2, 0), 9)) >= 4 AS ok, n00 + rr AS d0, n11 + rr AS d1, n22 + rr AS d2 FROM (SELECT *, 0.001 * greatest(1, n00, n11, n22) AS rr FROM sn)),
+  se AS (SELECT *, d1 - n01 * n01 / d0 AS e1, """ + ", ".join(f"t1{c} - n01 / d0 * t0{c} AS f1{c}" for c in "rgb") + """ FROM sr), sg AS (SELECT *, d2 - n12 * n12 / e1 AS e2, """ + ", ".join(f"t2{c} - n12 / e1 * f1{c} AS f2{c}" for c in "rgb") + """ FROM se),
+  s2 AS (SELECT *, """ + ", ".join(f"f2{c} / e2 AS x2{c}" for c in "rgb") + """ FROM sg), sh AS (SELECT *, """ + ", ".join(f"(f1{c} - n12 * x2{c}) / e1 AS x1{c}" for c in "rgb") + """ FROM s2), so AS (SELECT *, """ + ", ".join(f"(t0{c} - n01 * x1{c}) / d0 AS x0{c}" for c in "rgb") + """ FROM sh)"""
+
+
+def soft_regions(t):
+    u = F.col("a") / 255.0
+    px = t.rgba8().select("image_id", "x", "y", *[(F.col(c) / 255.0).alias(f"v{c}") for c in "rgb"], *[(F.col("y") % 4 * 0.001).alias(f"q{c}") for c in "rgb"], (F.col("x") % 3 / 4.0 + 0.5).alias("weight"), u.alias("u"))
+    parts = [F.greatest(F.lit(0.0), 1.0 - F.col("u") * 2), 1.0 - F.abs(F.col("u") * 2 - 1.0), F.greatest(F.lit(0.0), F.col("u") * 2 - 1.0)]
+    cover = px.select("image_id", "x", "y", F.posexplode(F.array(*parts)).alias("label", "coverage")).filter("coverage > 0")
+    return cover, px
+
+
+@query(
+    "a25_soft_paints",
+    "rgba8",
+    SOFT_SQL + " " + " UNION ALL ".join(f"SELECT image_id, {k} AS label, round(s{k}, 6) AS support, CASE WHEN NOT ok THEN 'insufficient_support' END AS refusal, " + ", ".join(f"CASE WHEN ok THEN round(x{k}{c}, 6) END AS paint_{c}" for c in "rgb") + f" FROM so WHERE s{k} > 0" for k in range(3)),
+)
+def a25b(t):
+    d = V.soft_paints(*soft_regions(t), 4, 0.001)
+    return d.withColumns({c: F.round(c, 6) for c in ("support", "paint_r", "paint_g", "paint_b")})
+
+
+@query(
+    "a25_soft_paint_score",
+    "rgba8",
+    SOFT_SQL + ", sp AS (SELECT sw.*, " + ", ".join(f"x{k}{c}" for k in range(3) for c in "rgb") + " FROM sw JOIN so USING (image_id) WHERE ok) SELECT image_id, round(sum(w * (" + " + ".join(f"pow(c0 * x0{c} + c1 * x1{c} + c2 * x2{c} - v{c}, 2)" for c in "rgb") + ")), 3) AS score FROM sp GROUP BY 1",
+)
+def a25c(t):
+    cover, px = soft_regions(t)
+    return V.soft_paint_score(cover, px, V.soft_paints(cover, px, 4, 0.001)).withColumn("score", F.round("score", 3))
+
+
+# rasters of 7x6 pixels, whose sides are no multiple of any block, beside the following raster as their prediction
+CODEC_SQL = "od AS (SELECT p.image_id, p.x, p.y, " + ", ".join(f"p.{c} - q.{c} AS d{c}" for c in "rgba") + " FROM rgba8 p JOIN rgba8 q ON q.image_id = p.image_id + 1 AND q.x = p.x AND q.y = p.y WHERE p.x < 7 AND p.y < 6)"
+
+
+def codec_sql(codec: str) -> str:
+    kind, block, *_ = V.CODECS[codec]
+    vals = ", ".join(f"({u}, {x}, {c!r}::DOUBLE)" for u, r in enumerate(V.basis(kind, block)) for x, c in enumerate(r))
+    wide = lambda k, m: f"(SELECT range AS {k} FROM range(0, {-(-m // block) * block}))"
+    return f"""{CODEC_SQL}, bs(u, p, c) AS (VALUES {vals}), pd AS (SELECT image_id, i AS x, j AS y, {', '.join(f'd{c}' for c in 'rgba')} FROM od JOIN {wide('i', 7)} ON od.x = least(i, 6) JOIN {wide('j', 6)} ON od.y = least(j, 5)),
+    tc AS (SELECT image_id, x // {block} AS bx, y // {block} AS by_, a.u AS u, b.u AS v, {', '.join(f'sum(a.c * b.c * d{c}) AS c{c}' for c in 'rgba')} FROM pd JOIN bs a ON a.p = x % {block} JOIN bs b ON b.p = y % {block} GROUP BY ALL)"""
+
+
+def _observed(t):
+    after = t.rgba8().select((F.col("image_id") - 1).alias("image_id"), "x", "y", *[F.col(c).alias(f"{c}2") for c in "rgba"])
+    d = t.rgba8().filter("x < 7 and y < 6").join(after, ["image_id", "x", "y"])
+    return d.select("image_id", "x", "y", *[(F.col(c) - F.col(f"{c}2")).alias(f"d{c}") for c in "rgba"])
+
+
+for _codec, (_kind, _block, _dc, _ac, _al) in V.CODECS.items():
+    _bits = lambda v, s: f"2.5 * log2(1 + pow({v} / ({s})::DOUBLE, 2) / 4)"
+    _s = f"CASE WHEN u = 0 AND v = 0 THEN {_dc} ELSE {_ac} END"
+    _sum = " + ".join([*[_bits(f"c{c}", _s) for c in "rgb"], _bits("ca", str(_al))])
+    query(f"a24_codec_bits_{_codec}", "rgba8", f"{codec_sql(_codec)} SELECT image_id, count(*) FILTER (WHERE u = 0 AND v = 0) AS blocks, count(*) * 4 AS coefficients, round(sum({_sum}), 4) AS bits FROM tc GROUP BY 1")(
+        lambda t, k=_codec: V.codec_bits(_observed(t), ["image_id"], k).withColumn("bits", F.round("bits", 4))
+    )
+    _sq = "(pow(cr, 2) + pow(cg, 2) + pow(cb, 2)) / 3"
+    query(f"a24_codec_spread_{_codec}", "rgba8", f"{codec_sql(_codec)} SELECT image_id, round(sqrt(avg({_sq}) FILTER (WHERE u = 0 AND v = 0)), 6) AS dc_rms, round(sqrt(avg({_sq}) FILTER (WHERE u > 0 OR v > 0)), 6) AS ac_rms, round(sqrt(avg(ca * ca)), 6) AS alpha_rms FROM tc GROUP BY 1")(
+        lambda t, k=_codec: V.codec_spread(_observed(t), ["image_id"], k).withColumns({c: F.round(c, 6) for c in ("dc_rms", "ac_rms", "alpha_rms")})
+    )

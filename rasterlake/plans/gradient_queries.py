@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from rasterlake.operators import gradients as G
@@ -90,3 +92,62 @@ def a19(t):
 @query("a15_gradient_refusal", "flat32", "SELECT image_id, CASE WHEN min(a) <> 255 THEN 'non_opaque_source' WHEN count(*) > 8000000 THEN 'work_limit' END AS refusal FROM flat32 GROUP BY image_id")
 def a15_refusal(t):
     return G.refusals(t.flat32())
+
+
+# ramps, rings, steps and flat images with the texture of the given rasters
+RAMP_SQL = """ramp AS (SELECT image_id, x, y, least(255, CASE image_id % 4 WHEN 0 THEN x * 30 + r // 16 WHEN 1 THEN ((x - 3) * (x - 3) + (y - 4) * (y - 4)) * 8 + r // 16 WHEN 2 THEN CASE WHEN y < 3 THEN 220 ELSE 20 END + r // 32 ELSE 90 + r // 32 END)::INT AS r,
+  least(255, CASE WHEN image_id % 4 = 0 THEN y * 25 + g // 16 ELSE 40 + g // 16 END)::INT AS g, (200 - b // 16)::INT AS b, CASE WHEN image_id % 10 = 9 AND x = 0 THEN 254 ELSE 255 END AS a FROM rgba8)"""
+
+
+def ramps(t):
+    c = F.col
+    kind = c("image_id") % 4
+    tone = lambda ch, n: F.expr(f"{ch} div {n}")
+    ring = (c("x") - 3) * (c("x") - 3) + (c("y") - 4) * (c("y") - 4)
+    red = F.when(kind == 0, c("x") * 30 + tone("r", 16)).when(kind == 1, ring * 8 + tone("r", 16)).when(kind == 2, F.when(c("y") < 3, 220).otherwise(20) + tone("r", 32)).otherwise(tone("r", 32) + 90)
+    green = F.when(kind == 0, c("y") * 25 + tone("g", 16)).otherwise(tone("g", 16) + 40)
+    top = lambda v: F.least(F.lit(255), v).cast("int")
+    clear = (c("image_id") % 10 == 9) & (c("x") == 0)
+    return t.rgba8().select("image_id", "x", "y", top(red).alias("r"), top(green).alias("g"), (F.lit(200) - tone("b", 16)).cast("int").alias("b"), F.when(clear, 254).otherwise(255).alias("a"))
+
+
+def _named(kind: str) -> str:
+    return re.sub(r"\b(bi|ev|pf|pr)\b", rf"\1_{kind}", profile_sql(kind))
+
+
+ENDS = ", ".join(f"least(1.0, greatest(0.0, avg({c}) + {s} * 0.5::DOUBLE * sum((bin / 63.0::DOUBLE - 0.5) * {c}) / sum(pow(bin / 63.0::DOUBLE - 0.5, 2)))) AS {c}{(s + 1) // 2}" for s in (-1, 1) for c in "rgb")
+AT = lambda c: f"CASE WHEN u = len(s) THEN s[u].{c} ELSE s[u].{c} + (s[u + 1].{c} - s[u].{c}) * (t - s[u].o) / (s[u + 1].o - s[u].o) END"
+ENC = lambda v: f"floor((CASE WHEN {v} <= 0.0031308 THEN {v} * 12.92 ELSE pow({v}, 1 / 2.4::DOUBLE) * 1.055 - 0.055 END) * 255 + 0.5)"
+MODEL_SQL = f"""{RAMP_SQL}, {DIR_SQL.replace('rgba8', '(SELECT * FROM ramp WHERE image_id NOT IN (SELECT image_id FROM ramp WHERE a < 255))')}, {RAD_SQL}, {_named('linear')}, {_named('radial')},
+  pp AS (SELECT 'linear' AS kind, * FROM pr_linear UNION ALL SELECT 'radial', * FROM pr_radial),
+  stp AS (SELECT kind, image_id, bin, sqrt(pow(r - lag(r) OVER w, 2) + pow(g - lag(g) OVER w, 2) + pow(b - lag(b) OVER w, 2)) AS step FROM pp WINDOW w AS (PARTITION BY kind, image_id ORDER BY bin)),
+  thr AS (SELECT kind, image_id, greatest(list_sort(list(step))[32] * 6, 0.08) AS threshold FROM stp WHERE step IS NOT NULL GROUP BY 1, 2),
+  jp AS (SELECT kind, image_id, min(bin) FILTER (WHERE step > threshold) AS jump FROM stp JOIN thr USING (kind, image_id) GROUP BY 1, 2), ec AS (SELECT kind, image_id, {ENDS} FROM pp GROUP BY 1, 2),
+  sl AS (SELECT kind, image_id, 2 AS budget, 0 AS k, 0.0::DOUBLE AS o, r0 AS r, g0 AS g, b0 AS b FROM ec UNION ALL SELECT kind, image_id, 2, 1, 1.0, r1, g1, b1 FROM ec
+    UNION ALL SELECT kind, image_id, n, k, floor(k / (n - 1)::DOUBLE * 4096 + 0.5) / 4096, r, g, b FROM pp JOIN jp USING (kind, image_id) CROSS JOIN (VALUES (4), (8)) v(n) CROSS JOIN (SELECT range AS k FROM range(0, 8)) WHERE k < n AND bin = k * 63 // (n - 1) AND jump IS NULL
+    UNION ALL SELECT kind, image_id, 4, CASE bin WHEN 0 THEN 0 WHEN 63 THEN 3 END, bin / 63, r, g, b FROM pp JOIN jp USING (kind, image_id) WHERE jump IS NOT NULL AND bin IN (0, 63)
+    UNION ALL SELECT kind, image_id, 4, 2 - (jump - bin), floor((jump - 0.5::DOUBLE) / 63 * 4096 + 0.5) / 4096, r, g, b FROM pp JOIN jp USING (kind, image_id) WHERE bin IN (jump - 1, jump)),
+  ls AS (SELECT kind, image_id, budget, list({{'o': o, 'r': r, 'g': g, 'b': b}} ORDER BY k) AS s FROM sl GROUP BY ALL UNION ALL SELECT 'solid', image_id, 1, [{{'o': 0.0::DOUBLE, 'r': avg(r), 'g': avg(g), 'b': avg(b)}}] FROM px GROUP BY image_id),
+  of AS (SELECT ramp.*, unnest(['solid', 'linear', 'radial']) AS kind, unnest([0.0, least(1.0, greatest(0.0, ((x + 0.5 - x0) * (x1 - x0) + (y + 0.5 - y0) * (y1 - y0)) / (pow(x1 - x0, 2) + pow(y1 - y0, 2)))), least(1.0, sqrt(pow(x + 0.5 - cx, 2) + pow(y + 0.5 - cy, 2)) / radius)]) AS t FROM ramp JOIN ax USING (image_id) JOIN rc USING (image_id)),
+  uc AS (SELECT o.image_id, o.kind, budget, s, t, o.r AS cr, o.g AS cg, o.b AS cb, len(list_filter(s, lambda z: z.o <= t)) AS u FROM of o JOIN ls ON ls.image_id = o.image_id AND ls.kind = o.kind),
+  cc AS (SELECT *, {', '.join(f'{AT(c)} AS v{c}' for c in 'rgb')} FROM uc),
+  rb AS (SELECT image_id, kind, budget, any_value(s) AS s, sum({' + '.join(f'2.5 * log2(1 + pow((c{c} - {ENC(f"v{c}")}) / 25.57::DOUBLE, 2) / 4)' for c in 'rgb')}) AS residual FROM cc GROUP BY image_id, kind, budget),
+  md AS (SELECT image_id, kind, len(s) AS stop_count, len(s) - len(list_distinct(list_transform(s, lambda z: z.o))) AS discontinuities, residual, CASE kind WHEN 'linear' THEN 4 WHEN 'radial' THEN 3 ELSE 0 END * 0.5 * greatest(0, 31.029146::DOUBLE + 2 * log2(8 / 16384.0::DOUBLE)) AS geometry,
+    CASE WHEN kind = 'solid' THEN 24 ELSE len(s) * 36 + log2(factorial(len(s)::INT)::DOUBLE) END AS stop FROM rb), tb AS (SELECT *, residual + geometry + stop + log2(3.0::DOUBLE) AS total FROM md)"""
+
+
+@query("a68_colour_model_bits", "rgba8", f"{MODEL_SQL} SELECT image_id, kind, stop_count, discontinuities, round(residual, 4) AS residual_bits, round(geometry, 4) AS geometry_bits, round(stop, 4) AS stop_bits, round(total, 4) AS total_bits FROM tb")
+def a68(t):
+    d = G.colour_models(ramps(t))
+    return d.select("image_id", "kind", "stop_count", "discontinuities", *[F.round(c, 4).alias(c) for c in ("residual_bits", "geometry_bits", "stop_bits", "total_bits")])
+
+
+@query(
+    "a68_colour_model_choice",
+    "rgba8",
+    f"""{MODEL_SQL}, rk AS (SELECT *, row_number() OVER w AS k, lead(total) OVER w AS nx FROM tb WINDOW w AS (PARTITION BY image_id ORDER BY round(total, 6), CASE kind WHEN 'solid' THEN 0 WHEN 'linear' THEN 1 ELSE 2 END, stop_count))
+    SELECT image_id, kind, stop_count, discontinuities, round(total, 4) AS total_bits, round(nx, 4) AS runner_up_bits, round(nx - total, 4) AS margin_bits FROM rk WHERE k = 1""",
+)
+def a68b(t):
+    d = G.colour_choice(G.colour_models(ramps(t)))
+    return d.select("image_id", "kind", "stop_count", "discontinuities", *[F.round(c, 4).alias(c) for c in ("total_bits", "runner_up_bits", "margin_bits")])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from rasterlake.plans import contour_queries, evidence_queries, field_queries, gradient_queries, region_queries  # noqa: F401 - they register first
 from rasterlake.registry import QUERIES, Query
-from rasterlake.sources.fixture_sql import widened
+from rasterlake.sources.fixture_sql import widened, with_fixtures
 from rasterlake.sources.fixtures import WideLake
 
 NAMES = [
@@ -17,3 +17,6 @@ for _name in NAMES:
     _small = QUERIES[_name]
     _build = lambda lake, small=_small: small.build(WideLake(lake.spark, lake.dir))
     QUERIES[f"{_name}_wide"] = Query(f"{_name}_wide", _build, widened(_small.sql))
+
+_interiors = widened(with_fixtures(["rgba8"], evidence_queries.interior_sql("rgba8")))
+QUERIES["a62_semi_transparent_wide"] = Query("a62_semi_transparent_wide", lambda lake: evidence_queries.interiors(WideLake(lake.spark, lake.dir).rgba8()), _interiors)
