@@ -5,7 +5,10 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from rasterlake.functions.color import CODE, clamp, observation, soft, vec_dot, vec_norm, vec_sub
 from rasterlake.operators.stencil import EIGHT, FOUR, around, core, forget, tiled
@@ -221,33 +224,83 @@ def smooth_labels(candidates: DataFrame, edge_bits: float = 0.25) -> DataFrame:
     return core(d.withColumn("smoothed", F.when(F.col("label").isNotNull(), best)).drop(*FOUR))
 
 
+LINES_ROWS = 200_000  # rows of whole columns that are worked on at once
+
+
+def lowest_parabolas(y: np.ndarray, line: np.ndarray, g: np.ndarray) -> np.ndarray:
+    """min((y - y')^2 + g'^2) over the rows y' of the same line that have a ``g``; -1 for a line without any.
+
+    Rows are sorted by line and y; ``g`` is -1 where a row has none. The row that wins does not move back as y grows, so
+    the middle row of every open stretch is decided in each step and bounds the search of both sides: all stretches of
+    all lines together, and as many steps as the longest line has binary digits.
+    """
+    out = np.full(len(y), -1, np.int64)
+    site = np.flatnonzero(g >= 0)
+    if not len(site):
+        return out
+    sy, square = y[site], g[site] ** 2
+    heads = np.flatnonzero(np.r_[True, line[1:] != line[:-1]])
+    ends = np.r_[heads[1:], len(y)]
+    first, last = np.searchsorted(site, heads), np.searchsorted(site, ends) - 1
+    some = last >= first
+    low, high, left, right = heads[some], ends[some] - 1, first[some], last[some]
+    while len(low):
+        middle = (low + high) // 2
+        size = right - left + 1
+        starts = np.cumsum(size) - size
+        at = np.arange(size.sum()) - np.repeat(starts - left, size)
+        cost = (np.repeat(y[middle], size) - sy[at]) ** 2 + square[at]
+        best = np.minimum.reduceat(cost, starts)
+        hit = np.flatnonzero(cost == np.repeat(best, size))
+        winner = at[hit[np.searchsorted(hit, starts)]]
+        out[middle] = best
+        up, down = low < middle, middle < high
+        low, high = np.r_[low[up], middle[down] + 1], np.r_[middle[up] - 1, high[down]]
+        left, right = np.r_[left[up], winner[down]], np.r_[winner[up], right[down]]
+    return out
+
+
+def _columns(batches):
+    held: list[pa.RecordBatch] = []
+
+    def solve(table: pa.Table) -> pa.Table:
+        pixels = table.select(["image_id", "x"]).to_pandas()
+        line = (pixels != pixels.shift()).any(axis=1).cumsum().to_numpy()
+        g = table["__g"].fill_null(-1).to_numpy()
+        best = lowest_parabolas(table["y"].to_numpy().astype(np.int64), line, g)
+        return table.drop_columns(["__g"]).append_column("d2", pa.array(best, pa.int64(), mask=best < 0))
+
+    def whole(table: pa.Table) -> int:
+        """Rows before the last line, which may go on in the next batch."""
+        keys = table.select(["image_id", "x"]).to_pandas()
+        return int(((keys != keys.iloc[-1]).any(axis=1)).to_numpy().nonzero()[0].max(initial=-1)) + 1
+
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= LINES_ROWS:
+            table = pa.Table.from_batches(held)
+            n = whole(table)
+            if n:
+                yield from solve(table.slice(0, n)).to_batches()
+                held = table.slice(n).to_batches()
+    if held and sum(b.num_rows for b in held):
+        yield from solve(pa.Table.from_batches(held)).to_batches()
+
+
 def distance_transform(px: DataFrame, inside: str = "inside") -> DataFrame:
-    """Exact squared distance of foreground pixels to the nearest background.
+    """Adds ``d2``: exact squared distance of a pixel to the nearest background, NULL in an image without any.
 
-    Running last/first values give the nearest background along the row and along
-    the column; a line is at most as long as the ingest limit allows. The true
-    distance is no longer than either, so only rows within the smaller of the two
-    can win, and just those are joined on (image, column). NULL without background.
+    Running last/first values give the nearest background along each row, which is at most as long as the ingest limit
+    allows. Columns then stream through tasks in order, where each takes the lower envelope of the parabolas of its rows:
+    work grows with the pixels times the digits of the height, and the rows are moved twice.
     """
-    before, after = (Window.unboundedPreceding, 0), (0, Window.unboundedFollowing)
-
-    def gap(axis: str, line: str) -> Column:
-        w = Window.partitionBy("image_id", line).orderBy(axis)
-        site = F.when(~F.col(inside), F.col(axis))
-        back, ahead = F.last(site, True).over(w.rowsBetween(*before)), F.first(site, True).over(w.rowsBetween(*after))
-        return F.least(F.col(axis) - back, ahead - F.col(axis)).cast("bigint")
-
-    d = px.withColumn("g", gap("x", "y")).withColumn("h", gap("y", "x"))
-    tall = d.groupBy("image_id").agg(F.max("y").alias("__y"))
-    want = d.filter(F.col(inside)).join(tall, "image_id")
-    reach = F.coalesce(F.least("g", "h"), F.col("__y"))
-    rows = F.sequence(F.greatest(F.col("y") - reach, F.lit(0)), F.least(F.col("y") + reach, F.col("__y")))
-    want = want.select("image_id", "x", "y", F.explode(rows).alias("yy"))
-    have = d.filter(F.col("g").isNotNull()).select("image_id", "x", F.col("y").cast("bigint").alias("yy"), "g")
-    dy = F.col("y") - F.col("yy")
-    best = want.join(have, ["image_id", "x", "yy"]).groupBy("image_id", "x", "y").agg(F.min(dy * dy + F.col("g") * F.col("g")).alias("d2"))
-    zero = d.filter(~F.col(inside)).select("image_id", "x", "y", F.lit(0).cast("bigint").alias("d2"))
-    return px.join(best.unionByName(zero), ["image_id", "x", "y"], "left")
+    w = Window.partitionBy("image_id", "y").orderBy("x")
+    site = F.when(~F.col(inside), F.col("x"))
+    back = F.last(site, True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    ahead = F.first(site, True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    gap = F.least(F.col("x") - back, ahead - F.col("x")).cast("bigint")
+    ordered = px.withColumn("__g", gap).repartition("image_id", "x").sortWithinPartitions("image_id", "x", "y")
+    return ordered.mapInArrow(_columns, StructType([*px.schema.fields, StructField("d2", LongType())]))
 
 
 def _thin_rule(d: DataFrame, phase: int) -> DataFrame:

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from rasterlake.functions.codes import LEVEL_QUANTA, finite_entropy_bound, quantize_level
-from rasterlake.operators.prefix import running
+from rasterlake.operators.prefix import dyadic, neighbour, ordered_index, running, scan
 from rasterlake.session import cut
 
 # ---- relative mass ----------------------------------------------------------
@@ -329,46 +329,82 @@ def candidate_levels(events: DataFrame, cfg: LevelConfig = LevelConfig()) -> Dat
 # ---- policy search ----------------------------------------------------------
 
 
+def _levels(cells: DataFrame, column: str) -> tuple[DataFrame, int]:
+    """(level, place) of the distinct values in order, and the number of binary digits of the largest place."""
+    levels = cut(ordered_index(cells.select(F.col(column).alias("level")).distinct(), [], ["level"], "place"))
+    top = levels.agg(F.max("place")).first()[0]
+    return levels, int((top or 0) + 1).bit_length()
+
+
 def policy_grid(rows: DataFrame, first: str, second: str, bad: str) -> DataFrame:
     """Candidate (first, second) thresholds taken from the data.
 
-    For every level of ``first``: the largest good value of ``second`` among rows
-    up to that level, and the largest good value below the first bad one.
-    Rows are first reduced to their distinct (first, second, bad) cells; the
-    number of cells depends on the resolution of the two metrics, not on the rows.
+    For every level of ``first``: the largest good value of ``second`` among rows up to that level, and the largest good
+    value below the first bad one. The extremes of a level are running folds over the levels; the value below the first
+    bad one is a running maximum in the blocks of levels that make up "up to that level". No level meets all rows.
     """
     cells = rows.filter(F.col(first).isNotNull() & F.col(second).isNotNull()).select(
         F.col(first).alias("a"), F.col(second).alias("b"), F.col(bad).alias("bad")
     ).distinct()
-    levels = cells.select(F.col("a").alias("level")).distinct()
-    upto = levels.join(cells, F.col("a") <= F.col("level"))
-    stats = upto.groupBy("level").agg(
-        F.max(F.when(~F.col("bad"), F.col("b"))).alias("full"), F.min(F.when(F.col("bad"), F.col("b"))).alias("first_bad")
-    )
-    safe = (
-        upto.join(stats.select("level", "first_bad"), "level")
-        .filter(~F.col("bad") & (F.col("b") < F.col("first_bad")))
-        .groupBy("level")
-        .agg(F.max("b").alias("b"))
+    cells = cut(cells)
+    levels, digits = _levels(cells, "a")
+    per_level = cells.groupBy(F.col("a").alias("level")).agg(
+        F.max(F.when(~F.col("bad"), F.col("b"))).alias("good"), F.min(F.when(F.col("bad"), F.col("b"))).alias("worst")
     )
+    stats = cut(scan(per_level, [], ["level"], {"full": (F.max, "good"), "first_bad": (F.min, "worst")}).join(levels, "level"))
+    points = cells.filter("not bad").join(levels, F.col("a") == F.col("level")).select("place", "b")
+    asked = stats.filter("first_bad is not null").select("level", (F.col("place") + 1).alias("below"), F.col("first_bad").alias("b"))
+    p, q = dyadic(points, asked, "place", "below", digits)
+    # at equal values a question stands before the points, because it asks for those below it
+    both = p.select("__lv", "__bk", "b", F.lit(1).alias("kind"), F.col("b").alias("v"), F.lit(None).cast(levels.schema["level"].dataType).alias("level"))
+    both = both.unionByName(q.select("__lv", "__bk", "b", F.lit(0).alias("kind"), F.lit(None).cast(both.schema["v"].dataType).alias("v"), "level"))
+    found = scan(both, ["__lv", "__bk"], ["b", "kind"], {"low": (F.max, "v")}).filter("kind = 0 and low is not null")
+    safe = found.groupBy("level").agg(F.max("low").alias("b"))
     full = stats.filter(F.col("full").isNotNull()).select("level", F.col("full").alias("b"))
     return full.unionByName(safe).distinct().select(F.col("level").alias("max_first"), F.col("b").alias("max_second"))
 
 
+def _staircase(cells: DataFrame, name: str) -> DataFrame:
+    """(a, b, name): weights whose sum over the points at or below (x, y) is the number of groups with such a cell.
+
+    A group reaches (x, y) if one of its minimal cells does. Its minimal cells count 1 each and the inner corner between
+    two that follow each other -1, so whatever number of them lies below (x, y), the sum is 1.
+    """
+    lowest = cells.groupBy("group_id", "a").agg(F.min("b").alias("b"))
+    before = scan(lowest, ["group_id"], ["a"], {"least": (F.min, "b")})
+    nth = ordered_index(before, ["group_id"], ["a"], "k")
+    last = neighbour(nth, ["group_id"], "k", ["least"], -1, "_before")
+    steps = last.filter(F.col("least_before").isNull() | (F.col("b") < F.col("least_before")))
+    plus = steps.select("a", "b", F.lit(1).alias(name))
+    corners = steps.filter("least_before is not null").select("a", F.col("least_before").alias("b"), F.lit(-1).alias(name))
+    return plus.unionByName(corners).groupBy("a", "b").agg(F.sum(name).alias(name))
+
+
 def score_policies(rows: DataFrame, grid: DataFrame, first: str, second: str, bad: str) -> DataFrame:
     """Group and render counts of accepting rows within each grid policy.
 
-    The rows are reduced to one cell per (group, first, second) before they meet
-    the grid.
+    All three counts are sums of weighted points at or below the policy: renders weigh what they are, groups their
+    staircases. The sums are running sums in the blocks of levels that make up a policy's first threshold.
     """
-    cells = rows.groupBy("group_id", F.col(first).alias("a"), F.col(second).alias("b")).agg(
-        F.count("*").alias("n"), F.bool_or(bad).alias("bad")
-    )
-    hit = grid.join(cells, (F.col("a") <= F.col("max_first")) & (F.col("b") <= F.col("max_second")))
-    groups = hit.groupBy("max_first", "max_second", "group_id").agg(F.sum("n").alias("n"), F.bool_or("bad").alias("bad"))
-    scored = groups.groupBy("max_first", "max_second").agg(
-        F.count("*").alias("groups_accepted"), F.count_if("bad").alias("groups_catastrophic"), F.sum("n").alias("renders_accepted")
-    )
+    c = F.col
+    cells = rows.filter(c(first).isNotNull() & c(second).isNotNull()).groupBy("group_id", c(first).alias("a"), c(second).alias("b"))
+    cells = cut(cells.agg(F.count("*").alias("n"), F.bool_or(bad).alias("bad")))
+    weights = ["groups_accepted", "groups_catastrophic", "renders_accepted"]
+    parts = [
+        _staircase(cells, weights[0]), _staircase(cells.filter("bad"), weights[1]), cells.groupBy("a", "b").agg(F.sum("n").alias(weights[2]))
+    ]
+    fill = lambda d: d.select("a", "b", *[(c(w) if w in d.columns else F.lit(0)).cast("long").alias(w) for w in weights])
+    points = fill(parts[0]).unionByName(fill(parts[1])).unionByName(fill(parts[2])).groupBy("a", "b").agg(*[F.sum(w).alias(w) for w in weights])
+    grid = cut(grid)
+    levels, digits = _levels(cells.select("a").unionByName(grid.select(c("max_first").alias("a"))), "a")
+    placed = points.join(levels, c("a") == c("level")).select("place", "b", *weights)
+    asked = grid.join(levels, c("max_first") == c("level")).select((c("place") + 1).alias("below"), c("max_second").alias("b"), "max_first")
+    p, q = dyadic(placed, asked, "place", "below", digits)
+    # at equal values points stand before a question, because it asks for those up to it
+    both = p.select("__lv", "__bk", "b", F.lit(0).alias("kind"), F.lit(None).cast(grid.schema["max_first"].dataType).alias("max_first"), *weights)
+    both = both.unionByName(q.select("__lv", "__bk", "b", F.lit(1).alias("kind"), "max_first", *[F.lit(0).cast("long").alias(w) for w in weights]))
+    summed = running(both, ["__lv", "__bk"], ["b", "kind"], {f"__{w}": w for w in weights}).filter("kind = 1")
+    scored = summed.groupBy("max_first", c("b").alias("max_second")).agg(*[F.sum(f"__{w}").alias(w) for w in weights]).filter("renders_accepted > 0")
     totals = rows.agg(F.countDistinct("group_id").alias("groups_total"), F.count("*").alias("renders_total"))
     return scored.crossJoin(F.broadcast(totals))  # one row
 

@@ -62,6 +62,37 @@ def running(
     return joined.drop(*drop)
 
 
+def scan(df: DataFrame, keys: list[str], order: list[str], folds: dict[str, tuple]) -> DataFrame:
+    """Add ``name = fold of the expression over the rows up to here`` for each ``name: (fold, expression)``.
+
+    ``fold`` is F.max or F.min. Rows of equal order may see each other or not, so rows that must not be seen need a later
+    place in ``order``.
+    """
+    part = sliced(df, keys, order)
+    slices = part.groupBy(*keys, SLICE).agg(*[f(F.expr(e)).alias(f"__t_{n}") for n, (f, e) in folds.items()])
+    w = Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = slices.select(*keys, SLICE, F.lag(F.lit(True)).over(Window.partitionBy(*keys).orderBy(SLICE)).alias("__late"), *[f(f"__t_{n}").over(w).alias(f"__o_{n}") for n, (f, _) in folds.items()])
+    carry = F.broadcast(earlier.filter("__late").drop("__late"))  # at most one continued group per slice
+    local = Window.partitionBy(*keys, SLICE).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = part.select("*", *[f(F.expr(e)).over(local).alias(f"__l_{n}") for n, (f, e) in folds.items()])
+    joined = rows.join(carry, [*keys, SLICE], "left")
+    pick = {F.max: F.greatest, F.min: F.least}
+    joined = joined.withColumns({n: pick[f](F.col(f"__l_{n}"), F.col(f"__o_{n}")) for n, (f, _) in folds.items()})
+    return joined.drop(SLICE, *[f"__{p}_{n}" for n in folds for p in ("l", "o")])
+
+
+def dyadic(points: DataFrame, queries: DataFrame, place: str, below: str, levels: int) -> tuple[DataFrame, DataFrame]:
+    """Meet points at integer places with queries that ask for all places below a bound, without comparing pairs.
+
+    A point stands in one block of each level (``__lv``, ``__bk``); the range below a bound is the union of at most one
+    block per level. Points become ``levels + 1`` rows, queries as many as their bound has binary ones.
+    """
+    every = F.explode(F.sequence(F.lit(0), F.lit(levels)))
+    p = points.withColumn("__lv", every).withColumn("__bk", F.expr(f"shiftright(`{place}`, __lv)")).drop(place)
+    q = queries.withColumn("__lv", every).withColumn("__bk", F.expr(f"shiftright(`{below}`, __lv)"))
+    return p, q.filter(F.col("__bk") % 2 == 1).withColumn("__bk", F.col("__bk") - 1).drop(below)
+
+
 def ordered_index(df: DataFrame, keys: list[str], order: list[str], name: str = "k") -> DataFrame:
     """Add the 0-based position of each row inside its group."""
     out = running(df, keys, order, {name: "1"}, exclusive=True)
