@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from rasterlake.functions.codes import LEVEL_QUANTA, quantize_level
-from rasterlake.operators.graphs import components, follow
+from rasterlake.operators.graphs import components, follow, rank_lists
 from rasterlake.operators.prefix import neighbour, ordered_index
 from rasterlake.operators.stencil import EIGHT, FOUR, TILE, neighbours
 from rasterlake.session import cut
@@ -663,6 +663,74 @@ def skeleton_graph(px: DataFrame, distances: DataFrame) -> tuple[DataFrame, Data
     return nodes, edges
 
 
+# neighbours in the order of their pixel ids; the one that looks back at direction d is 7 - d
+RING = [("nw", -1, -1), ("n", 0, -1), ("ne", 1, -1), ("w", -1, 0), ("e", 1, 0), ("sw", -1, 1), ("s", 0, 1), ("se", 1, 1)]
+
+
+def _skeleton_pixels(px: DataFrame) -> DataFrame:
+    """Skeleton pixels with their ``node`` (NULL on a line) and their neighbours: way, id, node.
+
+    Pixels with other than two neighbours are node pixels, touching ones one node. A closed line without any gets its
+    first pixel as a node.
+    """
+    near = neighbours(px.select(*KEYS, "x", "y", F.col("inside").cast("int").alias("m")), KEYS, ["m"], clamp=False).filter("m = 1")
+    degree = sum((F.coalesce(F.col(f"{n}.m"), F.lit(0)) for n in EIGHT), F.lit(0))
+    labelled = cut(near.select(*KEYS, "x", "y", (degree != 2).cast("int").alias("label")))
+    part = cut(regions(labelled, "label", 8).select(*KEYS, "x", "y", "label", "region"))
+    dense = px.select(*KEYS, "x", "y").join(part, [*KEYS, "x", "y"], "left")
+    side = neighbours(dense, KEYS, ["label", "region"], clamp=False).filter("label is not null")
+    ring = F.array(*[F.struct(F.lit(k).alias("way"), (pixel_id() + dy * STRIDE + dx).alias("id"), F.col(f"{n}.label").alias("label"), F.col(f"{n}.region").alias("region")) for k, (n, dx, dy) in enumerate(RING)])
+    d = cut(side.select(*KEYS, "x", "y", pixel_id().alias("id"), "label", "region", F.filter(ring, lambda e: e["label"].isNotNull()).alias("ring")))
+    open_lines = d.filter("label = 0").groupBy(*KEYS, "region").agg(F.bool_or(F.exists("ring", lambda e: e["label"] == 1)).alias("open"))
+    d = d.join(open_lines.filter("not open").select(*KEYS, "region", F.lit(True).alias("closed")), [*KEYS, "region"], "left")
+    closed = F.coalesce("closed", F.lit(False))
+    node = lambda label, i, region: F.when((label == 1) | (closed & (i == region)), region)
+    own = node(F.col("label"), F.col("id"), F.col("region")).alias("node")
+    around_it = F.transform("ring", lambda e: F.struct(e["way"].alias("way"), e["id"].alias("id"), node(e["label"], e["id"], e["region"]).alias("node")))
+    return d.select(*KEYS, "x", "y", "id", own, around_it.alias("ring"))
+
+
+def trace_skeleton(px: DataFrame, distances: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Nodes, edges and the ordered pixels of edges of a thinned foreground.
+
+    A step from a pixel to a neighbour is a link; where it enters a line pixel the next link leaves through that pixel's
+    other neighbour, which the entered pixel knows without a join. The links of all edges, each in both directions, are
+    lists that end at nodes, and list ranking gives every link its end and its distance to it in a logarithmic number of
+    rounds. An edge is its direction with the smaller first link.
+
+    Nodes: node, x, y, pixels, degree. Edges: edge, start, end, pixels (on the line), length, width (the median over all
+    its pixels, in 64ths). Points: edge, k, x, y, from the start pixel to the end pixel.
+    """
+    d = cut(_skeleton_pixels(px))
+    step = lambda way: F.when(way.isin(*[k for k, (_, dx, dy) in enumerate(RING) if dx and dy]), math.sqrt(2)).otherwise(1.0)
+    entered = d.select(*KEYS, "id", "node", "ring", F.explode("ring").alias("a"))
+    other = F.get(F.filter("ring", lambda e: e["way"] != F.col("a.way")), F.lit(0))  # a line pixel has two
+    links = entered.filter(F.col("node").isNull() | F.col("a.node").isNull()).select(
+        *KEYS, (F.col("a.id") * 8 + 7 - F.col("a.way")).alias("id"), F.when(F.col("node").isNull(), F.col("id") * 8 + other["way"]).alias("next"),
+        step(other["way"]).alias("step"), F.col("a.node").alias("from"), F.col("node").alias("into"), F.col("a.id").alias("tail_pixel"), F.col("id").alias("pixel"),
+        (F.col("id") * 8 + F.col("a.way")).alias("back"), step(F.col("a.way")).alias("first_step"),
+    )
+    links = cut(links)
+    ranked = rank_lists(links.select(*KEYS, "id", "next", "step"), KEYS)
+    known = cut(links.join(ranked, [*KEYS, "id"]).select(*KEYS, "id", "tail", "hops", "reach", "from", "into", "tail_pixel", "pixel", "back", "first_step"))
+    ends = known.filter("into is not null").select(*KEYS, F.col("id").alias("tail"), F.col("into").alias("end"), "back")
+    starts = known.filter("from is not null").drop("back", "into").join(ends, [*KEYS, "tail"]).filter(F.col("id") <= F.col("back"))
+    edges = cut(starts.select(*KEYS, F.col("id").alias("edge"), "tail", F.col("from").alias("start"), "end", F.col("hops").alias("pixels"), (F.col("reach") + F.col("first_step")).alias("length"), "tail_pixel"))
+    on = edges.select(*KEYS, "edge", "tail", F.col("pixels").alias("__n"), "tail_pixel")
+    inner = known.select(*KEYS, "tail", "hops", "pixel").join(on.drop("tail_pixel"), [*KEYS, "tail"]).select(*KEYS, "edge", (F.col("__n") - F.col("hops") + 1).alias("k"), F.col("pixel").alias("id"))
+    points = inner.unionByName(on.select(*KEYS, "edge", F.lit(0).cast("long").alias("k"), F.col("tail_pixel").alias("id")))
+    points = cut(points.select(*KEYS, "edge", "k", id_x("id").alias("x"), id_y("id").alias("y")))
+    wide = points.join(distances, [*KEYS, "x", "y"]).withColumn("w", F.greatest(F.sqrt(F.col("d2").cast("double")) - 0.5, F.lit(0.5)) * 2.0)
+    from rasterlake.operators.quantiles import index_quantiles
+
+    median = index_quantiles(wide, [*KEYS, "edge"], "w", {"width": ("floor", 0.5)}).select(*KEYS, "edge", (F.floor(F.greatest("width", F.lit(1.0)) * 64 + 0.5) / 64.0).alias("width"))
+    edges = edges.join(median, [*KEYS, "edge"]).select(*KEYS, "edge", "start", "end", "pixels", "length", "width")
+    touched = edges.select(*KEYS, F.explode(F.array("start", "end")).alias("node")).groupBy(*KEYS, "node").agg(F.count("*").alias("degree"))
+    nodes = d.filter("node is not null").groupBy(*KEYS, "node").agg((F.avg("x") + 0.5).alias("x"), (F.avg("y") + 0.5).alias("y"), F.count("*").alias("pixels"))
+    nodes = nodes.join(touched, [*KEYS, "node"], "left").na.fill(0, ["degree"])
+    return nodes, edges, points
+
+
 def roi_pixels(px: DataFrame, rois: DataFrame, halo: int) -> DataFrame:
     """Pixels inside a region of interest grown by ``halo`` and clipped.
 

@@ -326,6 +326,44 @@ def r19b(t):
     return d.withColumn("median_width", F.round("median_width", 6))
 
 
+PID = "({y}::BIGINT * 1048576 + {x})"
+WAY = "((({y} + 1) * 3 + {x} + 1) - CASE WHEN ({y} + 1) * 3 + {x} + 1 > 4 THEN 1 ELSE 0 END)"
+TRACE_SQL = f"""{{skeleton}}, cy AS (SELECT image_id, region FROM pt GROUP BY 1, 2 HAVING max(label) = 0 EXCEPT SELECT a.image_id, a.region FROM pt a JOIN pt b ON b.image_id = a.image_id AND b.label = 1 AND greatest(abs(a.x - b.x), abs(a.y - b.y)) = 1 WHERE a.label = 0),
+    sp AS (SELECT pt.image_id, x, y, {PID.format(x='x', y='y')} AS id, CASE WHEN label = 1 OR (cy.region IS NOT NULL AND {PID.format(x='x', y='y')} = pt.region) THEN pt.region END AS node FROM pt LEFT JOIN cy ON cy.image_id = pt.image_id AND cy.region = pt.region),
+    nbr AS (SELECT a.image_id, a.id AS a, b.id AS b, a.node AS an, b.node AS bn, {WAY.format(x='(b.x - a.x)', y='(b.y - a.y)')} AS way, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) AS step FROM sp a JOIN sp b ON b.image_id = a.image_id AND greatest(abs(a.x - b.x), abs(a.y - b.y)) = 1),
+    wk(image_id, edge, start, prev, cur, node, k, len) AS (SELECT image_id, a * 8 + way, an, a, b, bn, 1, step FROM nbr WHERE an IS NOT NULL AND bn IS NULL
+      UNION ALL SELECT w.image_id, w.edge, w.start, w.cur, n.b, n.bn, w.k + 1, w.len + n.step FROM wk w JOIN nbr n ON n.image_id = w.image_id AND n.a = w.cur AND n.b <> w.prev WHERE w.node IS NULL),
+    fin AS (SELECT w.*, n.a * 8 + n.way AS back FROM wk w JOIN nbr n ON n.image_id = w.image_id AND n.a = w.cur AND n.b = w.prev WHERE w.node IS NOT NULL), ed AS (SELECT * FROM fin WHERE edge <= back),
+    po AS (SELECT wk.image_id, wk.edge, wk.k, wk.cur AS id FROM wk JOIN ed USING (image_id, edge) UNION ALL SELECT image_id, edge, 0, edge // 8 FROM ed)"""
+
+
+def traced(t):
+    inside = W.distance_transform(t.bin8()).filter("inside").select("image_id", "x", "y", "d2")
+    return R.trace_skeleton(W.thin(t.bin8()), inside)
+
+
+@query("r19_traced_nodes", "bin8", f"RECURSIVE {TRACE_SQL.format(skeleton=skeleton_sql())}, dg2 AS (SELECT image_id, unnest([start, node]) AS node FROM ed), dc AS (SELECT image_id, node, count(*) AS degree FROM dg2 GROUP BY 1, 2) SELECT sp.image_id, sp.node, round(avg(x) + 0.5, 6) AS x, round(avg(y) + 0.5, 6) AS y, count(*) AS pixels, coalesce(any_value(degree), 0) AS degree FROM sp LEFT JOIN dc ON dc.image_id = sp.image_id AND dc.node = sp.node WHERE sp.node IS NOT NULL GROUP BY sp.image_id, sp.node")
+def r19c(t):
+    return traced(t)[0].withColumns({"x": F.round("x", 6), "y": F.round("y", 6)})
+
+
+@query(
+    "r19_traced_edges",
+    "bin8",
+    f"""RECURSIVE {TRACE_SQL.format(skeleton=skeleton_sql())}, dt AS (SELECT f.image_id, {PID.format(x='f.x', y='f.y')} AS id, min((f.x - b.x) * (f.x - b.x) + (f.y - b.y) * (f.y - b.y)) AS d2 FROM bin8 f JOIN bin8 b ON b.image_id = f.image_id AND NOT b.inside WHERE f.inside GROUP BY ALL),
+    wi AS (SELECT image_id, edge, 2 * greatest(sqrt(d2::DOUBLE) - 0.5, 0.5) AS w, row_number() OVER (PARTITION BY image_id, edge ORDER BY d2) - 1 AS i, count(*) OVER (PARTITION BY image_id, edge) AS n FROM po JOIN dt USING (image_id, id)),
+    md AS (SELECT image_id, edge, floor(greatest(max(CASE WHEN i = least(n // 2, n - 1) THEN w END), 1) * 64 + 0.5) / 64 AS width FROM wi GROUP BY 1, 2)
+    SELECT image_id, edge, start, node AS "end", (k - 1)::BIGINT AS pixels, round(len, 6) AS length, width FROM ed JOIN md USING (image_id, edge)""",
+)
+def r19d(t):
+    return traced(t)[1].withColumn("length", F.round("length", 6))
+
+
+@query("r19_traced_points", "bin8", f"RECURSIVE {TRACE_SQL.format(skeleton=skeleton_sql())} SELECT image_id, edge, k::BIGINT AS k, (id % 1048576)::INT AS x, (id // 1048576)::INT AS y FROM po")
+def r19e(t):
+    return traced(t)[2]
+
+
 @query(
     "r20_topology_edit",
     "bin8",

@@ -54,6 +54,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return folder
 
 
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Hand whole texts to Python in batches of at most ``rows``: a batch and its copies then stay small beside the heap.
+
+    The setting holds for the session; one that the session was started with is left alone.
+    """
+    if spark.sparkContext.getConf().get(ARROW_ROWS) is None and int(spark.conf.get(ARROW_ROWS)) > rows:
+        spark.conf.set(ARROW_ROWS, str(rows))
+
+
 def one_machine(master: str) -> bool:
     """Whether executors run in the driver's process."""
     return re.fullmatch(r"local(\[.*\])?", master) is not None

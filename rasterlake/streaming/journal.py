@@ -8,10 +8,15 @@ folder unless the caller names others.
 from __future__ import annotations
 
 import uuid
+from collections import Counter
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from rasterlake.operators.reliability import RiskTarget
+from rasterlake.operators.reliability import RiskTarget, certificate, confidence_guard, scored
 from rasterlake.session import ensure_checkpoint_dir
 
 
@@ -20,7 +25,12 @@ def new_folder(spark: SparkSession, name: str) -> str:
 
 
 def read_stream(spark: SparkSession, folder: str, schema: T.StructType, pattern: str) -> DataFrame:
-    return spark.readStream.schema(schema).option("pathGlobFilter", pattern).parquet(folder)
+    return spark.readStream.schema(schema).option("pathGlobFilter", pattern).option("recursiveFileLookup", True).parquet(folder)
+
+
+def arrive(rows: DataFrame, folder: str, part: int) -> None:
+    """Put rows into the folder of a stream."""
+    rows.write.mode("overwrite").parquet(f"{folder}/part-{part}")
 
 
 def run_available(stream: DataFrame, sink, state_folder: str, mode: str = "append") -> None:
@@ -40,39 +50,61 @@ def read_batches(spark: SparkSession, folder: str, schema: T.StructType) -> Data
     return spark.read.schema(schema.add("batch", T.LongType())).parquet(folder)
 
 
-def _store_schema() -> T.StructType:
-    return T.StructType([T.StructField("key", T.StringType()), T.StructField("payload", T.DoubleType())])
+KEPT = "key string, payload double, n long, kept boolean"
+
 
+def _judge(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Rows of one key of one batch against the payload that its state holds.
 
-def ingest(stream: DataFrame, store: str, quarantine: str, state: str) -> None:
+    Rows are counted by payload as they pass, so a key that fills a batch holds its distinct payloads only. A null payload
+    is a value like others.
+    """
+    first, counts = None, Counter()
+    for chunk in chunks:
+        payload = [None if pd.isna(v) else float(v) for v in chunk["payload"]]
+        counts.update(payload)
+        if not state.exists:
+            k = np.lexsort((chunk["id"], chunk["at"]))[0]
+            here = (chunk["at"].iloc[k], chunk["id"].iloc[k], payload[k])
+            first = here if first is None or here[:2] < first[:2] else first
+    fresh = not state.exists
+    if fresh:
+        state.update((first[2],))
+    (truth,) = state.get
+    rows = [(key[0], truth, 1, True)] if fresh else []
+    rows += [(key[0], v, n, False) for v, n in counts.items() if v != truth]
+    yield pd.DataFrame(rows, columns=["key", "payload", "n", "kept"]).astype({"payload": "float64", "n": "int64", "kept": "bool"})
+
+
+def ingest(stream: DataFrame, store: str, state: str) -> None:
     """Exactly-once rows by key from (key, payload, at, id).
 
-    The first row of a key is stored. A later identical row is ignored, a later
-    different one goes to quarantine. Keys are reduced inside the batch before
-    they meet the stored table, so a key that fills a batch costs one row.
+    The first row of a key is kept: that of the earliest batch, and in it of the least (at, id). A later identical row is
+    ignored, a later different one goes to quarantine. What is known of a key is keyed state beside the stream's
+    checkpoint, so a batch touches its own keys only, however long the journal is; a batch that runs again writes its own
+    folder again.
     """
-    # an empty batch makes a new store readable and changes nothing in an old one
-    stream.sparkSession.createDataFrame([], _store_schema()).write.mode("overwrite").parquet(f"{store}/batch=-1")
+    judged = stream.groupBy("key").applyInPandasWithState(_judge, KEPT, "payload double", "update", GroupStateTimeout.NoTimeout)
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        rows = batch.persist()
-        first = rows.groupBy("key").agg(F.min_by("payload", F.struct("at", "id")).alias("first"))
-        known = read_batches(spark, store, _store_schema()).filter(F.col("batch") != batch_id)
-        known = known.select("key", F.col("payload").alias("stored"))
-        judged = first.join(known, "key", "left")
-        fresh = judged.filter("stored is null").select("key", F.col("first").alias("payload"))
-        fresh.write.mode("overwrite").parquet(f"{store}/batch={batch_id}")
-        truth = judged.select("key", F.coalesce("stored", "first").alias("truth"))
-        bad = rows.join(truth, "key").filter(F.col("payload") != F.col("truth")).select("key", "payload")
-        bad.write.mode("overwrite").parquet(f"{quarantine}/batch={batch_id}")
-        rows.unpersist()
+        batch.write.partitionBy("kept").mode("overwrite").parquet(f"{store}/batch={batch_id}")
+
+    run_available(judged, sink, state, "update")
+
 
-    run_available(stream, sink, state)
+def _journal(spark: SparkSession, store: str) -> DataFrame:
+    return read_batches(spark, store, T.StructType.fromDDL(KEPT))
 
 
-def stored(spark: SparkSession, folder: str) -> DataFrame:
-    return read_batches(spark, folder, _store_schema())
+def stored(spark: SparkSession, store: str) -> DataFrame:
+    """(key, payload, batch) of every key."""
+    return _journal(spark, store).filter("kept").select("key", "payload", "batch")
+
+
+def quarantined(spark: SparkSession, store: str) -> DataFrame:
+    """(key, payload, batch), one row for each conflicting row."""
+    rows = _journal(spark, store).filter("not kept")
+    return rows.select("key", "payload", "batch", F.explode(F.expr("array_repeat(0, cast(n as int))"))).select("key", "payload", "batch")
 
 
 def running_verdicts(stream: DataFrame, out: str, state: str, target: RiskTarget = RiskTarget()) -> None:
@@ -104,6 +136,50 @@ def latest_verdicts(spark: SparkSession, out: str) -> DataFrame:
     return last.filter("seen = 1").select("group_id", verdict.alias("verdict"))
 
 
+COUNTS = ("groups_total", "groups_accepted", "groups_catastrophic", "renders_total", "renders_accepted")
+
+
+def _flags(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """What the rows of one group change in the counts over all groups."""
+    before = tuple(state.get) if state.exists else (False, False, False)
+    flags, renders, taken = list(before), 0, 0
+    for chunk in chunks:
+        must, accepted, bad = (chunk[c].fillna(False).astype(bool) for c in ("mandatory", "accepted", "catastrophic"))
+        for k, hit in enumerate((must, must & accepted, must & accepted & bad)):
+            flags[k] = flags[k] or bool(hit.any())
+        renders += len(chunk)
+        taken += int(accepted.sum())
+    state.update(tuple(flags))
+    change = [int(a) - int(b) for a, b in zip(flags, before)]
+    yield pd.DataFrame([(*change, renders, taken)], columns=list(COUNTS))
+
+
+def running_certificate(stream: DataFrame, out: str, state: str, target: RiskTarget = RiskTarget()) -> None:
+    """Changes of the risk-coverage counts, one row per batch.
+
+    The flags of a group are keyed state; a batch reads and writes those of its own groups and adds one row to ``out``.
+    """
+    kept = scored(stream, target).select("group_id", "mandatory", "accepted", "catastrophic")
+    schema = ", ".join(f"{c} long" for c in COUNTS)
+    changes = kept.groupBy("group_id").applyInPandasWithState(
+        _flags, schema, "seen boolean, accepted boolean, catastrophic boolean", "update", GroupStateTimeout.NoTimeout
+    )
+
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        sums = batch.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in COUNTS])
+        sums.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    run_available(changes, sink, state, "update")
+
+
+def certificates(spark: SparkSession, out: str, model: Column, calibrated: Column, target: RiskTarget = RiskTarget()) -> DataFrame:
+    """The certificate after every batch, with its exact bound. A batch is one row here."""
+    rows = read_batches(spark, out, T.StructType.fromDDL(", ".join(f"{c} long" for c in COUNTS)))
+    upto = Window.orderBy("batch").rowsBetween(Window.unboundedPreceding, 0)
+    sums = rows.select("batch", *[F.sum(c).over(upto).alias(c) for c in COUNTS])
+    return certificate(sums, target, confidence_guard(model, calibrated))
+
+
 def progress(expected: DataFrame, store: DataFrame) -> DataFrame:
     """Expected keys that have not been stored yet."""
     return expected.join(store.select("key"), "key", "left_anti")
