@@ -24,10 +24,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from rasterlake.session import cut
+from rasterlake.session import cut, small_batches
 
 ORDER = 2
-TOKENS = 2_000_000
+TOKENS = 400_000
 PART_BITS = 13  # rows of one part at most, as a power of two
 RANGE_BYTES = 8_000_000
 HELD_OUT, DELETED, KEPT = 0, 1, 2
@@ -352,6 +352,7 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", orde
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     if not 1 <= order <= 4:
         raise ValueError("orders 1 to 4 are told apart in the keys")
+    small_batches(docs.sparkSession)
     named = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = cut(named.withColumn("part", F.shiftright("row", part_bits)).withColumn("fold", fold("doc_id").cast("int")))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
