@@ -18,15 +18,16 @@ empty result; further columns are not looked at and come back unchanged from ``k
 from __future__ import annotations
 
 import math
-import re
+import unicodedata
 from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from rasterlake.session import cut
+from rasterlake.session import cut, small_batches
 
 PER_LANGUAGE = 300
 SAMPLE_CHARS = 8192
@@ -36,7 +37,7 @@ RIDGE = 1e-3
 BATCH = 256
 UNKNOWN = "und"
 
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 
 
 @dataclass
@@ -76,7 +77,7 @@ def fit(sample: list[tuple[str, str]]) -> Model:
     letters = Counter(ch for _, text in sample for ch in text.lower() if _LETTER.match(ch))
     known = sorted(letters, key=lambda ch: (-letters[ch], ch))
     others = [ch for ch in map(chr, range(1 << 16)) if ch not in letters and _LETTER.match(ch)]
-    others += [ch for ch in map(chr, range(1 << 16, 0x110000)) if ch.isalnum() and not ch.isdecimal() and ch not in letters]
+    others += [ch for ch in map(chr, range(1 << 16, 0x110000)) if unicodedata.category(ch)[0] == "L" and ch not in letters]
     codes = np.zeros(0x110000, np.int32)
     codes[[ord(ch) for ch in known + others]] = np.arange(1, len(known) + len(others) + 1)
     model = Model(classes, codes, np.empty(0, np.int64), np.empty((0, 0), np.float32), np.empty((0, 0), np.float32))
@@ -157,12 +158,15 @@ def _predictor(shared):
     return run
 
 
-def _keeper(text_at: int):
+def _keeper(shared, text_at: int):
+    def known(column: pa.Array) -> list[bool]:
+        if shared.value is None:  # nothing to learn from: a text with a letter is in some language
+            return [_LETTER.search(t or "") is not None for t in column.to_pylist()]
+        return [pred != UNKNOWN for pred in _predict(shared.value, column)[0]]
+
     def run(batches):
         for batch in batches:
-            # every text with a letter is in some language, whatever the model scores, and without a model too
-            keep = [_LETTER.search(t or "") is not None for t in batch.column(text_at).to_pylist()]
-            yield batch.filter(pa.array(keep, pa.bool_()))
+            yield batch.filter(pa.array(known(batch.column(text_at)), pa.bool_()))
 
     return run
 
@@ -182,5 +186,7 @@ def languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
 
 
 def keep_known(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows whose text has a letter, with all their columns; the scores reject nothing."""
-    return docs.mapInArrow(_keeper(docs.columns.index(text_col)), docs.schema)
+    """The rows that the model gives a language, with all their columns: ``und`` goes, a low score does not."""
+    small_batches(docs.sparkSession)
+    model = train(docs, id_col, text_col, lang_col)
+    return docs.mapInArrow(_keeper(model, docs.columns.index(text_col)), docs.schema)
