@@ -35,7 +35,7 @@ BANDS, ROWS = 30, 5
 STEP = 15
 TOLERANCE = 1e-6
 BLOCK = 128
-TEXTS_CHARS = 2_000_000
+TEXTS_CHARS = 200_000
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)  # fixed values: splitmix64
 _BASE = np.uint64(0x9E3779B97F4A7C15)
