@@ -16,7 +16,6 @@ from __future__ import annotations
 
 import zlib
 from collections import deque
-from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -24,13 +23,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from rasterlake.llm.word_ids import word_ids
+from rasterlake.session import small_batches
 
 MAX_TOKENS = 4096
 END_ID = 2
-CELL_TOKENS = 1 << 22
+CELL_TOKENS = 1 << 20
 VOCABULARY = "word_bpe_49k.json"
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
+
 def assign(lengths: list[int], capacity: int) -> list[tuple[int, int, int, int]]:
     """(document, start, length, sequence) of every piece of one cell.
 
@@ -45,30 +46,19 @@ def assign(lengths: list[int], capacity: int) -> list[tuple[int, int, int, int]]
         if n > whole:
             pieces.append((n - whole, d, whole))
     bins = -(-sum(p[0] for p in pieces) // capacity)
-    room = [capacity] * bins
-    open_bins = [(0.0, b) for b in range(bins)]  # by cost
-    heapify(open_bins)
+    room = np.full(bins, capacity)
+    cost = np.zeros(bins)
     left: list[tuple[int, int, int]] = []
-    cost_of = [n + n * n / capacity for n in range(capacity + 1)]
     for n, d, s in sorted(pieces, key=lambda p: (-p[0], p[1])):
-        aside = []
-        while open_bins:
-            c, b = heappop(open_bins)
-            if room[b] >= n:
-                out.append((d, s, n, full + b))
-                room[b] -= n
-                if room[b]:
-                    heappush(open_bins, (c + cost_of[n], b))
-                break
-            aside.append((c, b))
-            if len(aside) == 64:  # nearly full sequences; the piece is cut below
-                left.append((n, d, s))
-                break
-        else:
+        fits = np.where(room >= n, cost, np.inf)  # a cell has few sequences: all are looked at
+        b = int(fits.argmin())
+        if fits[b] == np.inf:
             left.append((n, d, s))
-        for x in aside:
-            heappush(open_bins, x)
-    rest = sorted(((r, b) for b, r in enumerate(room) if r), reverse=True)
+            continue
+        out.append((d, s, n, full + b))
+        room[b] -= n
+        cost[b] += n + n * n / capacity
+    rest = sorted(((r, b) for b, r in enumerate(room.tolist()) if r), reverse=True)
     at = 0
     for n, d, s in left:
         while n:
@@ -134,5 +124,6 @@ def pack(
     max_tokens: int = MAX_TOKENS, end_id: int = END_ID,
 ) -> DataFrame:
     """One row per piece: which ids of which document stand where in which sequence."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(_packer(vocabulary, max_tokens, end_id), SCHEMA)

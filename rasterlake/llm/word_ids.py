@@ -15,8 +15,8 @@ import unicodedata
 import numpy as np
 import regex
 
-CACHE_CHUNKS = 1_000_000
-BLOCK_CHARS = 4_000_000
+CACHE_CHUNKS = 200_000
+BLOCK_CHARS = 500_000
 NONE = np.int64(1) << 40
 
 # fixed value: the vocabulary's own pre-token pattern, plus the space between chunks
