@@ -608,6 +608,62 @@ def audit(boundaries: DataFrame, loops: DataFrame, faces: DataFrame) -> DataFram
     return out
 
 
+def arrangement(boundaries: DataFrame) -> DataFrame:
+    """Half edges with the ids of their twin and successor and the loop they lie on."""
+    h = cut(half_edges(boundaries))
+    out = h.select(*KEYS, "face", F.col("sx").alias("ex"), F.col("sy").alias("ey"), F.col("id").alias("nid"), F.col("heading").alias("nh"))
+    turn = (F.col("nh") + 4 - F.col("heading")) % 4
+    nxt = h.join(out, [*KEYS, "face", "ex", "ey"]).groupBy(*KEYS, "face", "id").agg(F.min_by("nid", F.struct(turn.alias("t"), "nid")).alias("next"))
+    twin = (F.col("ey").cast("bigint") * STRIDE + F.col("ex")) * 4 + (F.col("heading") + 2) % 4
+    full = cut(h.join(nxt, [*KEYS, "face", "id"], "left").withColumn("twin", twin))
+    roots = components(full.filter("next is not null").select(*KEYS, F.col("id").alias("src"), F.col("next").alias("dst")), KEYS)
+    owned = full.join(roots, [*KEYS, "id"], "left").withColumn("loop", F.coalesce("root", "id"))
+    return owned.select(*KEYS, "id", "sx", "sy", "ex", "ey", "face", "twin", "next", "loop")
+
+
+def audit_arrangement(h: DataFrame, faces: DataFrame) -> DataFrame:
+    """Violations of a half-edge structure by rule and image; nothing that it states is taken for granted.
+
+    ``h`` as from ``arrangement``; ``faces``: image_id, face. ``next`` must be a permutation of the half edges that goes on
+    where each ends, its orbits must be the loops, a loop lies in one face; ``twin`` must be an involution that reverses a
+    half edge and crosses to another face; every face is known and has a loop; and every component of the drawing has
+    vertices - edges + loops = 2, with the orbits counted anew.
+    """
+    h = cut(h)
+    c = F.col
+    there = h.select(*KEYS, *[c(k).alias(f"to_{k}") for k in ("id", "sx", "sy", "ex", "ey", "face", "twin")], F.lit(True).alias("known"))
+    follow_to = h.join(there.withColumn("next", c("to_id")), [*KEYS, "next"], "left")
+    cross_to = h.join(there.withColumn("twin", c("to_id")), [*KEYS, "twin"], "left")
+    entered = h.select(*KEYS, "id").join(h.groupBy(*KEYS, c("next").alias("id")).agg(F.count("*").alias("entries")), [*KEYS, "id"], "left")
+    roots = components(h.filter("next is not null").select(*KEYS, c("id").alias("src"), c("next").alias("dst")), KEYS)
+    orbit = cut(h.select(*KEYS, "id", "loop", "face", "sx", "sy", "ex", "ey").join(roots, [*KEYS, "id"], "left").withColumn("orbit", F.coalesce("root", "id")))
+    vertex = lambda x, y: c(y).cast("bigint") * STRIDE + c(x)
+    parts = components(h.select(*KEYS, vertex("sx", "sy").alias("src"), vertex("ex", "ey").alias("dst")), KEYS).withColumnRenamed("id", "v").withColumnRenamed("root", "part_of")
+    placed = orbit.withColumn("v", vertex("sx", "sy")).join(parts, [*KEYS, "v"], "left").withColumn("part", F.coalesce("part_of", "v"))
+    euler = placed.groupBy(*KEYS, "part").agg((F.countDistinct("v") * 2 - F.count("*") + F.countDistinct("orbit") * 2).alias("twice"))
+    reversed_ = (c("sx") == c("to_ex")) & (c("sy") == c("to_ey")) & (c("ex") == c("to_sx")) & (c("ey") == c("to_sy"))
+    rules = {
+        "successor_unknown": follow_to.filter("known is null"),
+        "successor_elsewhere": follow_to.filter((c("ex") != c("to_sx")) | (c("ey") != c("to_sy"))),
+        "not_entered_once": entered.filter(F.coalesce("entries", F.lit(0)) != 1),
+        "twin_unknown": cross_to.filter("known is null"),
+        "twin_no_involution": cross_to.filter((c("to_twin") != c("id")) | (c("twin") == c("id"))),
+        "twin_not_reversed": cross_to.filter(~reversed_),
+        "same_face_both_sides": cross_to.filter(c("face") == c("to_face")),
+        "loop_of_several_orbits": orbit.groupBy(*KEYS, "loop").agg(F.countDistinct("orbit").alias("n")).filter("n > 1"),
+        "orbit_of_several_loops": orbit.groupBy(*KEYS, "orbit").agg(F.countDistinct("loop").alias("n")).filter("n > 1"),
+        "loop_of_several_faces": h.groupBy(*KEYS, "loop").agg(F.countDistinct("face").alias("n")).filter("n > 1"),
+        "unknown_face": h.select(*KEYS, "face").distinct().join(faces, [*KEYS, "face"], "left_anti"),
+        "face_without_loop": faces.join(h.select(*KEYS, "face").distinct(), [*KEYS, "face"], "left_anti"),
+        "euler_identity": euler.filter("twice <> 4"),
+    }
+    out = None
+    for name, d in rules.items():
+        d = d.groupBy(*KEYS).agg(F.count("*").alias("violations")).select(*KEYS, F.lit(name).alias("rule"), "violations")
+        out = d if out is None else out.unionByName(d)
+    return out
+
+
 def rebuild_regions(boundaries: DataFrame, px: DataFrame) -> DataFrame:
     """Rebuild the region of every pixel from vertical segments and compare.
 

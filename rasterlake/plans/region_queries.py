@@ -288,6 +288,37 @@ def r17(t):
     return R.audit(bad, loops, faces)
 
 
+# each sixth image is whole, the others have one kind of damage
+AUDIT_SQL = f"""{LOOPS}, ar AS (SELECT hi.image_id, hi.id, sx, sy, ex, ey, hi.face, (ey::BIGINT * 1048576 + ex) * 4 + (hd + 2) % 4 AS twin, nid AS next, loop FROM hi JOIN nx ON nx.image_id = hi.image_id AND nx.face = hi.face AND nx.id = hi.id JOIN lp ON lp.image_id = hi.image_id AND lp.face = hi.face AND lp.id = hi.id),
+  mu AS (SELECT image_id, id, sx, sy, ex, ey, CASE WHEN image_id % 6 = 4 AND id % 31 = 0 THEN face + 1 ELSE face END AS face, CASE WHEN image_id % 6 = 2 AND id % 41 = 0 THEN id ELSE twin END AS twin, CASE WHEN image_id % 6 = 1 AND id % 37 = 0 THEN twin ELSE next END AS next, CASE WHEN image_id % 6 = 3 AND id % 29 = 0 THEN loop + 1 ELSE loop END AS loop
+    FROM ar WHERE NOT (image_id % 6 = 5 AND id % 43 = 0)),
+  fc AS (SELECT image_id, region AS face FROM rg GROUP BY ALL UNION SELECT DISTINCT image_id, -1 FROM rg),
+  fo AS (SELECT a.*, b.id AS bi, b.sx AS bsx, b.sy AS bsy FROM mu a LEFT JOIN mu b ON b.image_id = a.image_id AND b.id = a.next), cr AS (SELECT a.*, b.id AS bi, b.sx AS bsx, b.sy AS bsy, b.ex AS bex, b.ey AS bey, b.face AS bf, b.twin AS bt FROM mu a LEFT JOIN mu b ON b.image_id = a.image_id AND b.id = a.twin),
+  un AS (SELECT image_id, id AS p, next AS q FROM mu UNION SELECT image_id, next, id FROM mu), ob(image_id, id, m) AS (SELECT image_id, id, id FROM mu UNION SELECT o.image_id, un.q, o.m FROM ob o JOIN un ON un.image_id = o.image_id AND un.p = o.id AND o.m < un.q),
+  oc AS (SELECT image_id, id, min(m) AS orbit FROM (SELECT * FROM ob UNION ALL SELECT image_id, id, id FROM mu) GROUP BY 1, 2), mo AS (SELECT mu.*, orbit, sy::BIGINT * 1048576 + sx AS v, ey::BIGINT * 1048576 + ex AS w FROM mu JOIN oc USING (image_id, id)),
+  vn AS (SELECT image_id, v AS p, w AS q FROM mo UNION SELECT image_id, w, v FROM mo), vo(image_id, v, m) AS (SELECT image_id, p, p FROM vn UNION SELECT o.image_id, vn.q, o.m FROM vo o JOIN vn ON vn.image_id = o.image_id AND vn.p = o.v),
+  vc AS (SELECT image_id, v, min(m) AS part FROM vo GROUP BY 1, 2), eu AS (SELECT mo.image_id, part, 2 * count(DISTINCT mo.v) - count(*) + 2 * count(DISTINCT orbit) AS twice FROM mo JOIN vc ON vc.image_id = mo.image_id AND vc.v = mo.v GROUP BY 1, 2),
+  ru AS (SELECT image_id, 'successor_unknown' AS rule FROM fo WHERE bi IS NULL UNION ALL SELECT image_id, 'successor_elsewhere' FROM fo WHERE ex <> bsx OR ey <> bsy
+    UNION ALL SELECT a.image_id, 'not_entered_once' FROM mu a LEFT JOIN (SELECT image_id, next, count(*) AS n FROM mu GROUP BY 1, 2) b ON b.image_id = a.image_id AND b.next = a.id WHERE coalesce(n, 0) <> 1
+    UNION ALL SELECT image_id, 'twin_unknown' FROM cr WHERE bi IS NULL UNION ALL SELECT image_id, 'twin_no_involution' FROM cr WHERE bt <> id OR twin = id UNION ALL SELECT image_id, 'twin_not_reversed' FROM cr WHERE NOT (sx = bex AND sy = bey AND ex = bsx AND ey = bsy)
+    UNION ALL SELECT image_id, 'same_face_both_sides' FROM cr WHERE face = bf UNION ALL SELECT image_id, 'loop_of_several_orbits' FROM mo GROUP BY image_id, loop HAVING count(DISTINCT orbit) > 1 UNION ALL SELECT image_id, 'orbit_of_several_loops' FROM mo GROUP BY image_id, orbit HAVING count(DISTINCT loop) > 1
+    UNION ALL SELECT image_id, 'loop_of_several_faces' FROM mu GROUP BY image_id, loop HAVING count(DISTINCT face) > 1 UNION ALL SELECT image_id, 'unknown_face' FROM (SELECT DISTINCT image_id, face FROM mu) ANTI JOIN fc USING (image_id, face)
+    UNION ALL SELECT image_id, 'face_without_loop' FROM fc ANTI JOIN mu USING (image_id, face) UNION ALL SELECT image_id, 'euler_identity' FROM eu WHERE twice <> 4)"""
+
+
+@query("r17_arrangement_audit", "labels4", f"RECURSIVE {AUDIT_SQL} SELECT image_id, rule, count(*) AS violations FROM ru GROUP BY 1, 2")
+def r17b(t):
+    c = F.col
+    kind = lambda k, n: (c("image_id") % 6 == k) & (c("id") % n == 0)
+    a = R.arrangement(R.lattice_boundaries(t.labels4())).filter(~kind(5, 43))
+    damaged = a.select(
+        "image_id", "id", "sx", "sy", "ex", "ey", F.when(kind(4, 31), c("face") + 1).otherwise(c("face")).alias("face"), F.when(kind(2, 41), c("id")).otherwise(c("twin")).alias("twin"),
+        F.when(kind(1, 37), c("twin")).otherwise(c("next")).alias("next"), F.when(kind(3, 29), c("loop") + 1).otherwise(c("loop")).alias("loop"),
+    )
+    faces = R.regions(t.labels4()).select("image_id", F.col("region").alias("face")).distinct()
+    return R.audit_arrangement(damaged, faces.unionByName(faces.select("image_id").distinct().withColumn("face", F.lit(R.OUTSIDE).cast("bigint"))))
+
+
 @query(
     "r18_rebuilt_regions",
     "labels4",
