@@ -11,7 +11,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from rasterlake.functions.codes import residual_bits, rho
-from rasterlake.operators.prefix import chunked, neighbour, running
+from rasterlake.operators.prefix import chunked, neighbour, ordered_index, running
 from rasterlake.session import cut
 
 KEYS = ["chain_id"]
@@ -100,6 +100,72 @@ def side_fits(points: DataFrame, arm: int) -> DataFrame:
     return d.withColumns(out).filter("__core").select(*KEYS, "k", *out)
 
 
+MOMENTS = {"u": "u", "v": "v", "uu": "u * u", "vv": "v * v", "uv": "u * v"}
+PARALLEL = 1e-12
+
+
+def corner_proposals(points: DataFrame, cyclic: bool = False) -> DataFrame:
+    """Corner evidence of every position over all scales 1, 2, 4, ... below half of its chain.
+
+    ``points``: chain_id, k (dense from 0), px, py, halfwidth. Columns: k, turning (scale 1), persistent (least turning of
+    all scales that fit), line_rms and offset (lines through the widest scale on both sides: mean spread, distance of their
+    intersection), saliency. Positions that far away are looked up by index and sums over a side are differences of running
+    sums, so a chain may be longer than a task holds: each position becomes a logarithmic number of rows. On a cyclic
+    chain indices go around and a running sum grows by the chain's total with each turn.
+    """
+    c = F.col
+    points = cut(points.select(*KEYS, "k", "px", "py", "halfwidth"))
+    size = points.groupBy(*KEYS).agg(F.count("*").alias("n"), F.avg("px").alias("mx"), F.avg("py").alias("my"))
+    size = size.withColumn("top", F.length(F.bin(c("n") - 1)) - 2)  # exponent of the largest scale
+    d = points.join(size, KEYS).withColumns({"u": c("px") - c("mx"), "v": c("py") - c("my")})
+    at = lambda name: points.select(*KEYS, c("k").alias(name), c("px").alias(f"{name}_x"), c("py").alias(f"{name}_y"))
+    scaled = d.filter("top >= 0").withColumn("e", F.explode(F.sequence(F.lit(0), c("top")))).withColumn("s", F.expr("shiftleft(1L, e)"))
+    if cyclic:
+        scaled = scaled.withColumns({"back": F.pmod(c("k") - c("s"), c("n")), "fwd": F.pmod(c("k") + c("s"), c("n"))})
+    else:
+        scaled = scaled.withColumns({"back": c("k") - c("s"), "fwd": c("k") + c("s")}).filter("back >= 0 and fwd < n")
+    met = scaled.select(*KEYS, "k", "px", "py", "e", "back", "fwd").join(at("back"), [*KEYS, "back"]).join(at("fwd"), [*KEYS, "fwd"])
+    bx, by, fx, fy = c("px") - c("back_x"), c("py") - c("back_y"), c("fwd_x") - c("px"), c("fwd_y") - c("py")
+    angle = F.when((bx * bx + by * by > 0) & (fx * fx + fy * fy > 0), F.atan2(bx * fy - by * fx, bx * fx + by * fy))
+    turns = met.groupBy(*KEYS, "k").agg(F.max(F.when(c("e") == 0, angle)).alias("turning"), F.min(F.abs(angle)).alias("persistent")).filter("turning is not null")
+
+    named = {f"p_{m}": e for m, e in MOMENTS.items()}
+    sums = cut(running(d.select(*KEYS, "k", "u", "v"), KEYS, ["k"], named).select(*KEYS, c("k").alias("j"), *named))
+    total = d.groupBy(*KEYS).agg(*[F.sum(F.expr(e)).alias(f"t_{m}") for m, e in MOMENTS.items()])
+    arm = F.expr("shiftleft(1L, top)")
+    low, high = c("k") - arm, c("k") + arm
+    if not cyclic:
+        low, high = F.greatest(low, F.lit(0)), F.least(high, c("n") - 1)
+    places = {"low": low - 1, "here": c("k"), "before": c("k") - 1, "high": high}
+    asked = d.filter("top >= 0").select(*KEYS, "k", "n", "u", "v", (c("k") - low + 1).alias("left_n"), (high - c("k") + 1).alias("right_n"), F.explode(F.array(*[F.struct(F.lit(t).alias("tag"), p.cast("long").alias("place")) for t, p in places.items()])).alias("a"))
+    asked = asked.select("*", c("a.tag").alias("tag"), F.pmod(c("a.place"), c("n")).alias("j"), F.floor(c("a.place") / c("n")).alias("rounds")).drop("a")
+    found = asked.join(sums, [*KEYS, "j"]).join(total, KEYS)
+    value = {m: c(f"p_{m}") + c("rounds") * c(f"t_{m}") for m in MOMENTS}
+    wide = found.groupBy(*KEYS, "k", "u", "v", "left_n", "right_n").agg(*[F.max(F.when(c("tag") == t, value[m])).alias(f"{t}_{m}") for t in places for m in MOMENTS])
+    line = {}
+    for side, (a, b) in (("left", ("low", "here")), ("right", ("before", "high"))):
+        mean = {m: (c(f"{b}_{m}") - c(f"{a}_{m}")) / c(f"{side}_n") for m in MOMENTS}
+        sxx, syy, sxy = mean["uu"] - mean["u"] * mean["u"], mean["vv"] - mean["v"] * mean["v"], mean["uv"] - mean["u"] * mean["v"]
+        low_root = (sxx + syy - F.sqrt((sxx - syy) * (sxx - syy) + sxy * sxy * 4.0)) * 0.5
+        line |= {f"{side}_u": mean["u"], f"{side}_v": mean["v"], f"{side}_angle": F.atan2(sxy * 2.0, sxx - syy) * 0.5, f"{side}_rms": F.sqrt(F.greatest(low_root, F.lit(0.0)))}
+    fits = wide.select(*KEYS, "k", "u", "v", *[e.alias(n) for n, e in line.items()])
+    ax, ay, bx, by = F.cos("left_angle"), F.sin("left_angle"), F.cos("right_angle"), F.sin("right_angle")
+    det = ax * by - ay * bx
+    along = ((c("right_u") - c("left_u")) * by - (c("right_v") - c("left_v")) * bx) / F.nullif(det, F.lit(0.0))
+    ox, oy = c("left_u") + ax * along - c("u"), c("left_v") + ay * along - c("v")
+    fits = fits.select(*KEYS, "k", ((c("left_rms") + c("right_rms")) * 0.5).alias("line_rms"), F.when(F.abs(det) > PARALLEL, F.sqrt(ox * ox + oy * oy)).alias("offset"))
+    out = turns.join(fits, [*KEYS, "k"]).join(points.select(*KEYS, "k", "halfwidth"), [*KEYS, "k"])
+    fade = F.when((c("halfwidth") > 0) & c("offset").isNotNull(), F.lit(1.0) / ((c("line_rms") + c("offset")) / F.nullif(c("halfwidth"), F.lit(0.0)) + 1.0)).otherwise(0.0)
+    return out.select(*KEYS, "k", "turning", "persistent", "line_rms", "offset", (F.least(c("persistent") / math.pi, F.lit(1.0)) * fade).alias("saliency"))
+
+
+def corner_anchors(proposals: DataFrame, half: int) -> DataFrame:
+    """Positions whose saliency is above that of all proposals within ``half`` places in the list of proposals."""
+    placed = ordered_index(proposals.select(*KEYS, "k", "saliency"), KEYS, ["k"], "place")
+    top = local_maxima(placed.select(*KEYS, F.col("place").alias("k"), "saliency"), "saliency", half)
+    return top.select(*KEYS, F.col("k").alias("place"), "saliency").join(placed.drop("saliency"), [*KEYS, "place"]).select(*KEYS, "k", "saliency")
+
+
 def local_maxima(rows: DataFrame, value: str, half: int) -> DataFrame:
     """Strict maxima of a positive value within ``half`` positions either side."""
     d = chunked(rows.select(*KEYS, "k", value), KEYS, "k", half)

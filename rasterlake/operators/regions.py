@@ -354,6 +354,16 @@ def persistence_events(px: DataFrame, value: str, conn: int = 4) -> DataFrame:
     return out
 
 
+def tie_batches(px: DataFrame, value: str) -> DataFrame:
+    """(image_id, tie_batches, largest_batch_pixels): levels that more than one pixel enters at, and the most that do.
+
+    Levels of the gaps are those of the components turned around, so both trees have the same batches.
+    """
+    level = quantize_level(F.col(value)).alias("q")
+    batches = px.groupBy(*KEYS, level).agg(F.count("*").alias("n"))
+    return batches.groupBy(*KEYS).agg(F.count_if(F.col("n") > 1).alias("tie_batches"), F.max("n").alias("largest_batch_pixels"))
+
+
 # ---- R-11 -------------------------------------------------------------------
 
 

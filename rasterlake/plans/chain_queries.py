@@ -68,6 +68,53 @@ def w04(t):
     return d.select("chain_id", "k", "left_n", "right_n", F.when(F.col("left_n") > 1, F.round("left_angle", 4)).alias("left_angle"), F.round("right_rms", 3).alias("right_rms"))
 
 
+def corner_sql(cyclic: bool) -> str:
+    """CTE ``co``: corner proposals, each scale and each side of a position by a join of its own rows."""
+    at = lambda e: f"((a.k + {e} + a.n) % a.n)" if cyclic else f"a.k + {e}"
+    ang = "atan2((a.px - b.px) * (f.py - a.py) - (a.py - b.py) * (f.px - a.px), (a.px - b.px) * (f.px - a.px) + (a.py - b.py) * (f.py - a.py))"
+    side = lambda tag, lo, hi: f"""{tag} AS (SELECT a.chain_id, a.k, avg(b.px) AS mx, avg(b.py) AS my, 0.5 * atan2(2 * covar_pop(b.px, b.py), var_pop(b.px) - var_pop(b.py)) AS th,
+      sqrt(greatest(0, (var_pop(b.px) + var_pop(b.py) - sqrt(pow(var_pop(b.px) - var_pop(b.py), 2) + 4 * pow(covar_pop(b.px, b.py), 2))) / 2)) AS rms FROM cs a JOIN (SELECT *, unnest({'[-1, 0, 1]' if cyclic else '[0]'}) AS turn FROM cs) b ON b.chain_id = a.chain_id AND b.k + b.turn * a.n BETWEEN a.k + {lo} AND a.k + {hi} GROUP BY a.chain_id, a.k)"""
+    return f"""cn AS (SELECT chain_id, k, px, py, CASE WHEN k % 13 = 7 THEN 0.0 ELSE 0.35 + k % 3 END::DOUBLE AS h, count(*) OVER (PARTITION BY chain_id) AS n FROM chain), cs AS (SELECT *, 1 << (length(bin(n - 1)) - 2) AS arm FROM cn WHERE n > 2),
+      sc AS (SELECT a.chain_id, a.k, e, {ang} AS ang FROM (SELECT *, unnest(range(0, length(bin(n - 1)) - 1)) AS e FROM cs) a JOIN cs b ON b.chain_id = a.chain_id AND b.k = {at('-(1 << e)')} JOIN cs f ON f.chain_id = a.chain_id AND f.k = {at('(1 << e)')} WHERE (a.px <> b.px OR a.py <> b.py) AND (a.px <> f.px OR a.py <> f.py)),
+      tn AS (SELECT chain_id, k, max(ang) FILTER (WHERE e = 0) AS turning, min(abs(ang)) AS persistent FROM sc GROUP BY 1, 2 HAVING max(ang) FILTER (WHERE e = 0) IS NOT NULL), {side('lf', '-a.arm', '0')}, {side('rt', '0', 'a.arm')},
+      dt AS (SELECT cs.chain_id, cs.k, cs.h, turning, persistent, (lf.rms + rt.rms) / 2 AS line_rms, cos(lf.th) * sin(rt.th) - sin(lf.th) * cos(rt.th) AS det, lf.th AS ta, rt.th AS tb, lf.mx AS ax, lf.my AS ay, rt.mx AS bx, rt.my AS by_, px, py FROM tn JOIN cs USING (chain_id, k) JOIN lf USING (chain_id, k) JOIN rt USING (chain_id, k)),
+      al AS (SELECT *, ((bx - ax) * sin(tb) - (by_ - ay) * cos(tb)) / nullif(det, 0) AS t FROM dt), of AS (SELECT *, CASE WHEN abs(det) > 1e-12 THEN sqrt(pow(ax + cos(ta) * t - px, 2) + pow(ay + sin(ta) * t - py, 2)) END AS o FROM al),
+      co AS (SELECT *, least(1.0, persistent / pi()) * CASE WHEN h > 0 AND o IS NOT NULL THEN 1 / (1 + (line_rms + o) / h) ELSE 0 END AS saliency FROM of)"""
+
+
+def with_halfwidth(t):
+    return t.chain().withColumn("halfwidth", F.when(F.col("k") % 13 == 7, 0.0).otherwise(F.col("k") % 3 + 0.35))
+
+
+def _corners(t, cyclic: bool):
+    d = H.corner_proposals(with_halfwidth(t), cyclic)
+    return d.select("chain_id", "k", r6(F.col("turning"), "turning"), r6(F.col("persistent"), "persistent"), F.round("line_rms", 4).alias("line_rms"), F.round("saliency", 5).alias("saliency"))
+
+
+CORNER_OUT = "SELECT chain_id, k, round(turning, 6) AS turning, round(persistent, 6) AS persistent, round(line_rms, 4) AS line_rms, round(saliency, 5) AS saliency FROM co"
+
+
+@query("w04_corner_proposals", "chain", f"{corner_sql(False)} {CORNER_OUT}")
+def w04b(t):
+    return _corners(t, False)
+
+
+@query("w04_corner_proposals_cyclic", "chain", f"{corner_sql(True)} {CORNER_OUT}")
+def w04c(t):
+    return _corners(t, True)
+
+
+@query(
+    "w06_corner_anchors",
+    "chain",
+    f"""{corner_sql(False)}, pl AS (SELECT chain_id, k, saliency, max(saliency) OVER (PARTITION BY chain_id ORDER BY k ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AS b, max(saliency) OVER (PARTITION BY chain_id ORDER BY k ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING) AS a FROM co)
+    SELECT chain_id, k, round(saliency, 5) AS saliency FROM pl WHERE saliency > 0 AND (b IS NULL OR b < saliency) AND (a IS NULL OR a < saliency)""",
+)
+def w06b(t):
+    d = H.corner_anchors(H.corner_proposals(with_halfwidth(t)), 3)
+    return d.select("chain_id", "k", F.round("saliency", 5).alias("saliency"))
+
+
 @query(
     "w06_local_maxima",
     "chain",

@@ -116,6 +116,11 @@ def r08(t):
     return R.persistence_events(t.px8s(), "alpha", 4)
 
 
+@query("r08_tie_batches", "px8s", "b AS (SELECT image_id, floor(alpha * 512 + 0.5) AS q, count(*) AS n FROM px8s GROUP BY 1, 2) SELECT image_id, count(*) FILTER (WHERE n > 1) AS tie_batches, max(n) AS largest_batch_pixels FROM b GROUP BY 1")
+def r08b(t):
+    return R.tie_batches(t.px8s(), "alpha")
+
+
 @query(
     "r09_cost_bounds",
     "px8s",
