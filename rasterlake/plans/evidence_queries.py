@@ -247,13 +247,16 @@ READINGS = [
     ("clear:a", "p2", (200, 190, 30, 255), (0, 0, 0, 0)), ("opaque:a", "p3", (40, 60, 30, 255), (41, 60, 30, 255)),
 ]
 READING_SQL = ", ".join(f"({k}, '{c}', '{i}', {', '.join(f'{v} / 255.0::DOUBLE' for v in (*f, *b))})" for k, (c, i, f, b) in enumerate(READINGS))
+# four of five images have two colours only, every second of these no background
+DUO_SQL = """duo AS (SELECT image_id, x, y, r, CASE WHEN image_id % 5 = 0 THEN g WHEN r = 200 THEN 190 ELSE 60 END AS g, CASE WHEN image_id % 5 = 0 THEN b ELSE 30 END AS b,
+  CASE WHEN image_id % 5 = 0 THEN a WHEN image_id % 2 = 1 AND r = 40 THEN 0 ELSE 255 END AS a FROM flat32)"""
 READ_MIX = MIX_SQL[MIX_SQL.index("m1 AS") :]
 
 
 @query(
     "a64_outcome_of_mixtures",
     "flat32",
-    f"""RECURSIVE rd(k, class, id, fr, fg, fb, fa, br, bg, bb, ba) AS (VALUES {READING_SQL}), sc AS (SELECT image_id * 4 + k AS image_id, x, y, r, g, b, a FROM flat32 CROSS JOIN rd), {obs_sql('sc')},
+    f"""RECURSIVE rd(k, class, id, fr, fg, fb, fa, br, bg, bb, ba) AS (VALUES {READING_SQL}), {DUO_SQL}, sc AS (SELECT image_id * 4 + k AS image_id, x, y, r, g, b, a FROM duo CROSS JOIN rd), {obs_sql('sc')},
     hp AS (SELECT DISTINCT image_id, fr, fg, fb, fa, br, bg, bb, ba FROM sc JOIN rd ON k = image_id % 4), {READ_MIX}, mw AS (SELECT * FROM mx WHERE cond >= 0.02), {interior_shapes_sql('mw')},
     q AS (SELECT image_id, res * 255 AS codes, row_number() OVER (PARTITION BY image_id ORDER BY res) - 1 AS i, count(*) OVER (PARTITION BY image_id) AS n FROM mw), p AS (SELECT image_id, max(CASE WHEN i = least(floor(n * 0.95), n - 1) THEN codes END) AS p95 FROM q GROUP BY 1),
     e AS (SELECT hp.image_id // 4 AS image_id, class, id, p95, round(0.5 * pow(p95 / 25.57::DOUBLE, 2), 9) AS score, CASE WHEN b.a >= 24 THEN 2 * b.a / b.p::DOUBLE END AS th FROM hp JOIN rd ON k = hp.image_id % 4 JOIN p ON p.image_id = hp.image_id LEFT JOIN si ON si.image_id = hp.image_id),
@@ -261,7 +264,11 @@ READ_MIX = MIX_SQL[MIX_SQL.index("m1 AS") :]
     SELECT image_id, ex AS explaining, CASE WHEN ex = 0 AND t >= 2 THEN 'unsupported_semi_transparent' WHEN ex = 0 AND t IS NOT NULL THEN 'ambiguous_thin' WHEN ex = 0 THEN 'unsupported_no_explanation' WHEN ex = 1 THEN 'supported' ELSE 'ambiguous' END AS outcome FROM g""",
 )
 def a64b(t):
-    px = t.flat32()
+    many, inside = F.col("image_id") % 5 == 0, F.col("r") == 200
+    px = t.flat32().select(
+        "image_id", "x", "y", "r", F.when(many, F.col("g")).when(inside, 190).otherwise(60).alias("g"), F.when(many, F.col("b")).otherwise(30).alias("b"),
+        F.when(many, F.col("a")).when((F.col("image_id") % 2 == 1) & ~inside, 0).otherwise(255).alias("a"),
+    )
     colours = lambda f, b: [F.lit(v / 255).alias(f"{k}{c}") for k, vs in (("f", f), ("b", b)) for c, v in zip("rgba", vs)]
     readings = F.array(*[F.struct(F.lit(c).alias("class"), F.lit(i).alias("id"), *colours(f, b)) for c, i, f, b in READINGS])
     pairs = px.select("image_id").distinct().select("image_id", F.inline(readings))
