@@ -58,3 +58,35 @@ def test_pieces_cover_all_ids_without_gaps(edge, documents, empty):
     assert len(sequences) <= tokens / 4096 + 2
     pieces_of(edge)
     assert packing.pack(empty).count() == 0
+
+
+def by_hand(lengths, capacity):
+    """Pieces in order of falling cost to the cheapest sequence with room, all sequences looked at."""
+    out, pieces, full = [], [], 0
+    for d, n in enumerate(lengths):
+        for s in range(0, n // capacity * capacity, capacity):
+            out.append((d, s, capacity, full))
+            full += 1
+        if n % capacity:
+            pieces.append((n % capacity, d, n // capacity * capacity))
+    bins = [[0.0, b, capacity] for b in range(-(-sum(p[0] for p in pieces) // capacity))]
+    left = []
+    for n, d, s in sorted(pieces, key=lambda p: (-p[0], p[1])):
+        fits = [b for b in bins if b[2] >= n]
+        if not fits:
+            left.append((n, d, s))
+            continue
+        best = min(fits)
+        best[0] += n + n * n / capacity
+        best[2] -= n
+        out.append((d, s, n, full + best[1]))
+    return out, left
+
+
+def test_a_piece_is_cut_only_if_it_fits_nowhere():
+    rng = np.random.default_rng(0)
+    for lengths in (rng.integers(1, 4000, 1200), rng.integers(1, 4000, 300), rng.integers(1, 9000, 200), rng.integers(1, 60, 500)):
+        want, left = by_hand(lengths.tolist(), 4096)
+        got = packing.assign(lengths.tolist(), 4096)
+        assert got[: len(want)] == want
+        assert sum(n for _, _, n, _ in got) == lengths.sum() and sum(n for _, _, n, _ in got[len(want) :]) == sum(n for n, _, _ in left)

@@ -54,6 +54,15 @@ def test_scripts_beyond_62_letters_are_told_apart():
         assert model.classes[int(model.scores([text(lang, 40)]).argmax())] == lang
 
 
+def test_signs_that_are_no_letters_have_no_language(spark):
+    texts = ["½ ² 12", "Ⅷ", "① ª", "", None, "été", "_ 7"]
+    rows = [(3 * i, t, "de") for i, t in enumerate(texts)] + [(1000 + i, "der hund und die katze", "de") for i in range(9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in L.languages(docs).collect()}
+    assert [got[3 * i].lang_pred for i in range(len(texts))] == ["und", "und", "de", "und", "und", "de", "und"]
+    assert got[0].score == 0 and {r.doc_id for r in L.keep_known(docs).collect()} == {6, 15, *range(1000, 1009)}
+
+
 def test_samples_reach_long_texts_and_fill_up(spark, monkeypatch):
     docs = spark.createDataFrame([(i, "wort " * 3000, "de") for i in range(4)] + [(i, "word", "en") for i in range(4, 8)], "doc_id long, text string, lang string")
     sample = L.bounded_sample(docs, F.lit(True), "lang", "doc_id", "text", 3, 100)
