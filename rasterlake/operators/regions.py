@@ -462,60 +462,81 @@ def assign_paint(px: DataFrame, edits: DataFrame, label: str = "label", exterior
     return d.select(*KEYS, "to_label", refusal.alias("refusal"), F.when(refusal.isNull(), F.col("n")).otherwise(F.lit(0)).alias("affected_pixels"))
 
 
-def run_script(px: DataFrame, script: list[dict], label: str = "label") -> tuple[DataFrame, DataFrame]:
+def scene_digest(px: DataFrame, label: str = "label") -> DataFrame:
+    """(image_id, digest): order-free digest of the labels of an image, combined before the shuffle."""
+    h = F.xxhash64("x", "y", label)
+    parts = px.groupBy(*KEYS).agg(F.bit_xor(h).alias("a"), F.sum(F.pmod(h, F.lit((1 << 31) - 1))).alias("b"), F.count("*").alias("n"))
+    return parts.select(*KEYS, F.concat_ws("-", F.hex("a"), F.hex("b"), F.hex("n")).alias("digest"))
+
+
+def run_script(px: DataFrame, script: list[dict], label: str = "label", base: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Apply a short edit script to every image at once.
 
-    Steps: merge(keep, remove), assign(label), protect(label), restore(checkpoint),
-    all by label. Any refused step voids the whole script for that image. The
-    loop runs over the script, never over images; returns the final labels and a
-    ledger of one row per image and step.
+    Steps: merge(keep, remove), split(label, move, new_label), assign(label), protect(label), restore(checkpoint), all by
+    label; ``move`` is a condition on x and y. ``base``: image_id and the digest of the scene that the script was written
+    for; a script for another scene is refused before its first step (step -1). A refused step ends the script of that
+    image and voids it: the image keeps its first labels. The loop runs over the script, never over images. Returns
+    the final labels and a ledger of one row per image and step that ran.
     """
-    base = cut(px.select(*KEYS, "x", "y", label))
-    current, snapshots = base, [base]
-    failed: DataFrame | None = None
-    protected: list[int] = []
-    guards = [list(protected)]
-    ledger = None
+    first = cut(px.select(*KEYS, "x", "y", label))
+    images = cut(first.select(*KEYS).distinct())
+    entry = lambda rows, step, kind: rows.select(*KEYS, F.lit(step).alias("step"), F.lit(kind).alias("op"), "refusal", "changed")
+    alive, ledger = images, None
+    if base is not None:
+        meant = images.join(scene_digest(first, label), KEYS).join(base.withColumnRenamed("digest", "__meant"), KEYS, "left")
+        other = cut(meant.filter(~F.col("digest").eqNullSafe(F.col("__meant"))).select(*KEYS))
+        ledger = entry(other.withColumns({"refusal": F.lit("base_mismatch"), "changed": F.lit(0).cast("bigint")}), -1, "base")
+        alive = cut(images.join(other, KEYS, "left_anti"))
+    current = first.join(alive, KEYS, "left_semi")
+    snapshots, protected = [current], []
+    guards: list[list[int]] = [[]]
     for i, edit in enumerate(script):
         kind = edit["op"]
         before = current
-        labels = current.groupBy(*KEYS, label).agg(F.count("*").alias("n"))
-        images = current.select(*KEYS).distinct()
         named = [edit[k] for k in ("keep", "remove", "label") if k in edit]
+        guarded = any(n in protected for n in [*named, *[edit[k] for k in ("new_label",) if k in edit]])
+        refusal = F.when(F.lit(kind != "protect" and guarded), "protected_label")
+        bad = alive
         if kind == "restore":
-            current, protected = snapshots[edit["checkpoint"]], list(guards[edit["checkpoint"]])
-            bad = images.withColumn("refusal", F.lit(None).cast("string"))
+            known = 0 <= edit["checkpoint"] < len(snapshots)
+            refusal = F.when(F.lit(not known), "invalid_restore")
+            if known:
+                current, protected = snapshots[edit["checkpoint"]], list(guards[edit["checkpoint"]])
         else:
-            present = labels.filter(F.col(label).isin(named)).groupBy(*KEYS).agg(F.countDistinct(label).alias("have"))
-            bad = images.join(present, KEYS, "left")
-            refusal = F.when(F.lit(kind != "protect" and any(n in protected for n in named)), "protected_label").when(
-                F.coalesce("have", F.lit(0)) < len(set(named)), "unknown_label"
-            )
-            if kind == "merge":
-                found = cut(regions(current.filter(F.col(label).isin(named)), label))
-                per = found.groupBy(*KEYS).agg(*[F.countDistinct(F.when(F.col(label) == n, F.col("region"))).alias(f"__r{j}") for j, n in enumerate(named)])
-                side = neighbours(current, KEYS, [label], clamp=False, diagonal=False)
-                meet = (F.col(label) == edit["keep"]) & F.greatest(*[F.coalesce(F.col(f"{n}.{label}") == edit["remove"], F.lit(False)) for n in FOUR])
-                near = side.groupBy(*KEYS).agg(F.bool_or(meet).alias("__meet"))
-                bad = bad.join(per, KEYS, "left").join(near, KEYS, "left")
-                refusal = refusal.when((F.col("__r0") > 1) | (F.col("__r1") > 1), "ambiguous_label").when(~F.col("__meet"), "not_adjacent")
-                current = current.withColumn(label, F.when(F.col(label) == edit["remove"], edit["keep"]).otherwise(F.col(label)))
-            if kind == "protect":
-                protected = [*protected, edit["label"]]
-            bad = bad.select(*KEYS, refusal.alias("refusal"))
-        current, bad = cut(current), cut(bad)
+            present = before.filter(F.col(label).isin(named)).groupBy(*KEYS).agg(F.countDistinct(label).alias("have"))
+            bad = bad.join(present, KEYS, "left")
+            refusal = refusal.when(F.coalesce("have", F.lit(0)) < len(set(named)), "unknown_label")
+        if kind in ("merge", "split"):
+            found = cut(regions(before.filter(F.col(label).isin(named)), label))
+            per = found.groupBy(*KEYS).agg(*[F.countDistinct(F.when(F.col(label) == n, F.col("region"))).alias(f"__r{j}") for j, n in enumerate(named)])
+            bad = bad.join(per, KEYS, "left")
+            refusal = refusal.when(F.greatest(*[F.col(f"__r{j}") for j in range(len(named))], F.lit(0)) > 1, "ambiguous_label")
+        if kind == "merge":
+            side = neighbours(before, KEYS, [label], clamp=False, diagonal=False)
+            meet = (F.col(label) == edit["keep"]) & F.greatest(*[F.coalesce(F.col(f"{n}.{label}") == edit["remove"], F.lit(False)) for n in FOUR])
+            bad = bad.join(side.groupBy(*KEYS).agg(F.bool_or(meet).alias("__meet")), KEYS, "left")
+            refusal = refusal.when(~F.col("__meet"), "not_adjacent")
+            current = before.withColumn(label, F.when(F.col(label) == edit["remove"], edit["keep"]).otherwise(F.col(label)))
+        if kind == "split":
+            one = found.groupBy(*KEYS).agg(F.countDistinct("region").alias("__n"), F.min("region").alias("region")).filter("__n = 1").select(*KEYS, "region")
+            moves = before.filter((F.col(label) == edit["label"]) & edit["move"]).join(one, KEYS).select(*KEYS, "region", F.lit(edit["new_label"]).alias("new_label"), "x", "y")
+            current, judged = split_regions(before, moves, label)
+            bad = bad.join(judged.select(*KEYS, F.col("refusal").alias("__split"), F.lit(True).alias("__asked")), KEYS, "left")
+            refusal = refusal.when(F.col("__asked").isNull(), "nothing_moved").when(F.col("__split").isNotNull(), F.col("__split"))
+        if kind == "protect":
+            protected = [*protected, edit["label"]]
+        bad = cut(bad.select(*KEYS, refusal.alias("refusal")))
+        alive = cut(bad.filter("refusal is null").select(*KEYS))
+        current = cut(current.join(alive, KEYS, "left_semi"))
         changed = before.join(current.withColumnRenamed(label, "__after"), [*KEYS, "x", "y"]).filter(F.col(label) != F.col("__after"))
         touched = changed.groupBy(*KEYS).agg(F.count("*").alias("changed"))
-        step = bad.join(touched, KEYS, "left").select(*KEYS, F.lit(i).alias("step"), F.lit(kind).alias("op"), "refusal", F.coalesce("changed", F.lit(0)).alias("changed"))
+        step = entry(bad.join(touched, KEYS, "left").withColumn("changed", F.coalesce("changed", F.lit(0))), i, kind)
         ledger = step if ledger is None else ledger.unionByName(step)
-        ruined = bad.filter("refusal is not null").select(*KEYS)
-        failed = ruined if failed is None else failed.unionByName(ruined)
+        snapshots = [cut(s.join(alive, KEYS, "left_semi")) if any(e["op"] == "restore" for e in script[i + 1 :]) else s for s in snapshots]
         snapshots.append(current)
         guards.append(list(protected))
-    void = cut(failed.distinct())
-    final = current.join(void, KEYS, "left_anti").unionByName(base.join(void, KEYS, "left_semi"))
-    flagged = ledger.join(void.withColumn("__v", F.lit(True)), KEYS, "left").withColumn("script_applied", F.col("__v").isNull()).drop("__v")
-    return final, flagged
+    final = current.unionByName(first.join(alive, KEYS, "left_anti"))
+    return final, ledger.join(alive.withColumn("__v", F.lit(True)), KEYS, "left").withColumn("script_applied", F.col("__v").isNotNull()).drop("__v")
 
 
 # ---- R-14 ... R-18 ----------------------------------------------------------

@@ -245,6 +245,38 @@ def r13b(t):
     return R.run_script(t.bin8().select("image_id", "x", "y", label.alias("label")), SCRIPT)[1]
 
 
+# by image: a script that runs, a label in two places, labels that do not touch, a missing label, another base scene
+LAYOUT_SQL = """ly AS (SELECT image_id, x, y, image_id % 5 AS kind, CASE WHEN image_id % 5 = 1 AND x = 4 AND y = 4 THEN 1 WHEN image_id % 5 = 2 AND y = 7 THEN 1 WHEN y = 0 THEN 0 WHEN y = 1 AND image_id % 5 NOT IN (2, 3) THEN 1 WHEN y >= 6 THEN 3 ELSE 2 END AS label FROM bin8)"""
+EDITS = [
+    {"op": "protect", "label": 3}, {"op": "merge", "keep": 0, "remove": 1}, {"op": "split", "label": 2, "move": F.expr("y >= 4"), "new_label": 5}, {"op": "assign", "label": 5},
+    {"op": "restore", "checkpoint": 2}, {"op": "split", "label": 2, "move": F.expr("x < 3"), "new_label": 6},
+]
+
+
+def edited(t):
+    kind, x, y = F.col("image_id") % 5, F.col("x"), F.col("y")
+    label = F.when((kind == 1) & (x == 4) & (y == 4), 1).when((kind == 2) & (y == 7), 1).when(y == 0, 0).when((y == 1) & ~kind.isin(2, 3), 1).when(y >= 6, 3).otherwise(2)
+    px = t.bin8().select("image_id", "x", "y", label.alias("label"))
+    meant = R.scene_digest(px.withColumn("label", F.when((kind == 4) & (x == 0), 7).otherwise(F.col("label"))))
+    return R.run_script(px, EDITS, base=meant)
+
+
+@query("r13_script_pixels", "bin8", f"{LAYOUT_SQL} SELECT image_id, x, y, CASE WHEN kind <> 0 THEN label WHEN y <= 1 THEN 0 WHEN y >= 6 THEN 3 WHEN x < 3 THEN 6 ELSE 2 END AS label FROM ly")
+def r13c(t):
+    return edited(t)[0]
+
+
+@query(
+    "r13_script_ledger",
+    "bin8",
+    f"""{LAYOUT_SQL}, st(kind, step, op, refusal, changed) AS (VALUES (0, 0, 'protect', NULL, 0), (0, 1, 'merge', NULL, 8), (0, 2, 'split', NULL, 16), (0, 3, 'assign', NULL, 0), (0, 4, 'restore', NULL, 16), (0, 5, 'split', NULL, 12),
+      (1, 0, 'protect', NULL, 0), (1, 1, 'merge', 'ambiguous_label', 0), (2, 0, 'protect', NULL, 0), (2, 1, 'merge', 'not_adjacent', 0), (3, 0, 'protect', NULL, 0), (3, 1, 'merge', 'unknown_label', 0), (4, -1, 'base', 'base_mismatch', 0))
+    SELECT image_id, step, op, refusal, changed::BIGINT AS changed, kind = 0 AS script_applied FROM (SELECT DISTINCT image_id, kind FROM ly) JOIN st USING (kind)""",
+)
+def r13d(t):
+    return edited(t)[1]
+
+
 LATTICE = f"""{cc('labels4', 'rg', 'label', 4)}, lb AS (SELECT DISTINCT * FROM (
    SELECT a.image_id, a.x + 1 AS sx, a.y + 1 AS sy, a.x + 1 AS ex, a.y AS ey, b.region AS "left", a.region AS "right" FROM rg a JOIN rg b ON b.image_id = a.image_id AND b.y = a.y AND b.x = a.x + 1 AND b.region <> a.region
    UNION ALL SELECT a.image_id, a.x, a.y + 1, a.x + 1, a.y + 1, b.region, a.region FROM rg a JOIN rg b ON b.image_id = a.image_id AND b.x = a.x AND b.y = a.y + 1 AND b.region <> a.region
