@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -240,6 +241,60 @@ def block_likelihood(res: DataFrame, block: int, sigma: float, dof: float = 4.0)
     return b.groupBy(*KEYS).agg(F.sum(student_bits(F.col("e") / sigma**2, dof)).alias("pixel_bits"), F.count("*").alias("blocks"))
 
 
+@dataclass(frozen=True)
+class LikelihoodConfig:
+    sigma: tuple[float, float, float, float]
+    block: int = 4
+    dof: float = 4.0
+
+
+PRIORS = ("topology_bits", "geometry_bits", "paint_bits", "relation_bits", "formation_bits")
+
+
+def raster_likelihood(px: DataFrame, cfg: LikelihoodConfig, priors: DataFrame, rois: DataFrame | None = None) -> DataFrame:
+    """Code length of an observed raster under a prediction, over all four channels, with its diagnostics.
+
+    ``px``: image_id, x, y and, per channel, the observation p*, its quantisation q* and the prediction m*. ``priors``:
+    image_id and the bits of ``PRIORS``. ``rois``: image_id, x0, y0, x1, y1, halo; of images that have one only the blocks
+    that meet the grown region are scored, while the diagnostics always cover the whole raster. One observation is a block
+    and channel. Columns: pixel_bits, total_bits, blocks, deadzone (components without a residual), iid_bits (every
+    pixel as an observation of its own), lag_x, lag_y (pooled over the channels), length_px.
+    """
+    c = F.col
+    d = px.select(*KEYS, "x", "y", *[dead_zone(c(f"p{ch}") - c(f"m{ch}"), c(f"q{ch}")).alias(f"r{ch}") for ch in CH])
+    near = neighbours(d, KEYS, [f"r{ch}" for ch in CH], clamp=False, diagonal=False)
+    over = lambda f: sum((f(ch) for ch in CH), F.lit(0.0))
+    sums = {
+        **{f"e{ch}": c(f"r{ch}") ** 2 for ch in CH},
+        "deadzone": over(lambda ch: F.when(c(f"r{ch}") == 0, 1).otherwise(0)).cast("long"),
+        "iid_bits": over(lambda ch: student_bits((c(f"r{ch}") / cfg.sigma[CH.index(ch)]) ** 2, cfg.dof)),
+    }
+    for n, k in (("e", "x"), ("s", "y")):
+        has = c(f"{n}.ra").isNotNull()
+        sums |= {
+            f"dot_{k}": F.when(has, over(lambda ch: c(f"r{ch}") * c(f"{n}.r{ch}"))), f"own_{k}": F.when(has, over(lambda ch: c(f"r{ch}") ** 2)),
+            f"far_{k}": F.when(has, over(lambda ch: c(f"{n}.r{ch}") ** 2)),
+        }
+    low = {a: F.floor(c(a) / cfg.block) * cfg.block for a in "xy"}
+    blocks = near.groupBy(*KEYS, low["x"].alias("bx"), low["y"].alias("by")).agg(
+        F.count("*").alias("n"), (F.max("x") + 1).alias("ex"), (F.max("y") + 1).alias("ey"), *[F.sum(e).alias(k) for k, e in sums.items()]
+    )
+    scored = F.lit(True)
+    if rois is not None:
+        blocks = blocks.join(rois, KEYS, "left")
+        meets = (c("bx") < c("x1") + c("halo")) & (c("ex") > c("x0") - c("halo")) & (c("by") < c("y1") + c("halo")) & (c("ey") > c("y0") - c("halo"))
+        scored = F.coalesce(meets, F.lit(True))
+    bits = over(lambda ch: student_bits(c(f"e{ch}") / c("n") / cfg.sigma[CH.index(ch)] ** 2, cfg.dof))
+    rest = [k for k in sums if not (k[0] == "e" and len(k) == 2)]
+    s = blocks.groupBy(*KEYS).agg(F.coalesce(F.sum(F.when(scored, bits)), F.lit(0.0)).alias("pixel_bits"), F.count_if(scored).alias("blocks"), *[F.sum(k).alias(k) for k in rest])
+    rho = lambda k: F.coalesce(clamp(c(f"dot_{k}") / F.nullif(F.sqrt(c(f"own_{k}") * c(f"far_{k}")), F.lit(0.0)), -1.0, 1.0), F.lit(0.0))
+    s = s.withColumns({"lag_x": rho("x"), "lag_y": rho("y")}).join(priors, KEYS)
+    total = c("pixel_bits")
+    for name in PRIORS:
+        total = total + c(name)
+    return s.select(*KEYS, "pixel_bits", total.alias("total_bits"), "blocks", "deadzone", "iid_bits", "lag_x", "lag_y", median_length(F.greatest(F.abs("lag_x"), F.abs("lag_y"))).alias("length_px"))
+
+
 def lag_correlation(res: DataFrame) -> DataFrame:
     """Lag-1 correlation along x and y and the implied correlation length."""
     d = neighbours(res.select(*KEYS, "x", "y", "r"), KEYS, ["r"], clamp=False, diagonal=False)

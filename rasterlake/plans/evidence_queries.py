@@ -341,3 +341,34 @@ for _codec, (_kind, _block, _dc, _ac, _al) in V.CODECS.items():
     query(f"a24_codec_spread_{_codec}", "rgba8", f"{codec_sql(_codec)} SELECT image_id, round(sqrt(avg({_sq}) FILTER (WHERE u = 0 AND v = 0)), 6) AS dc_rms, round(sqrt(avg({_sq}) FILTER (WHERE u > 0 OR v > 0)), 6) AS ac_rms, round(sqrt(avg(ca * ca)), 6) AS alpha_rms FROM tc GROUP BY 1")(
         lambda t, k=_codec: V.codec_spread(_observed(t), ["image_id"], k).withColumns({c: F.round(c, 6) for c in ("dc_rms", "ac_rms", "alpha_rms")})
     )
+
+
+# every raster beside the following one as its prediction, in blocks that do not divide the sides; every third has a region
+LIKELIHOOD = V.LikelihoodConfig((0.1, 0.12, 0.14, 0.05), 3)
+_res = lambda c: f"sign(a.p{c} - b.p{c}) * greatest(abs(a.p{c} - b.p{c}) - a.q{c}, 0) AS r{c}"
+_iid = " + ".join(f"2.5 * log2(1 + pow(r{c} / {s}, 2) / 4)" for c, s in zip("rgba", LIKELIHOOD.sigma))
+_lag = lambda d, k: f"sum({' + '.join(f'r{c} * {d}_r{c}' for c in 'rgba')}) AS d{k}, sum({' + '.join(f'r{c} * r{c}' for c in 'rgba')}) FILTER (WHERE {d}_ra IS NOT NULL) AS a{k}, sum({' + '.join(f'{d}_r{c} * {d}_r{c}' for c in 'rgba')}) AS f{k}"
+_block = " + ".join(f"2.5 * log2(1 + e{c} / pow({s}, 2) / 4)" for c, s in zip("rgba", LIKELIHOOD.sigma))
+
+
+@query(
+    "a22_a23_raster_likelihood",
+    "rgba8",
+    f"""{obs_sql('rgba8')}, rz AS (SELECT a.image_id, a.x, a.y, {', '.join(_res(c) for c in 'rgba')} FROM ob a JOIN ob b ON b.image_id = a.image_id + 1 AND b.x = a.x AND b.y = a.y), {nb('rz', 'rn', ['rr', 'rg', 'rb', 'ra'], clamp=False)},
+    bk AS (SELECT image_id, x // 3 * 3 AS bx, y // 3 * 3 AS by_, max(x) + 1 AS ex, max(y) + 1 AS ey, {', '.join(f'avg(r{c} * r{c}) AS e{c}' for c in 'rgba')} FROM rz GROUP BY 1, 2, 3),
+    sb AS (SELECT image_id, coalesce(sum({_block}), 0) AS pixel_bits, count(*) AS blocks FROM bk WHERE image_id % 3 <> 0 OR (bx < 6 AND ex > 1 AND by_ < 3 AND ey > 0) GROUP BY 1),
+    dg AS (SELECT image_id, sum({' + '.join(f'(r{c} = 0)::INT' for c in 'rgba')})::BIGINT AS deadzone, sum({_iid}) AS iid_bits, {_lag('e', 'x')}, {_lag('s', 'y')} FROM rn GROUP BY 1),
+    lg AS (SELECT *, coalesce(dx / nullif(sqrt(ax * fx), 0), 0) AS lx, coalesce(dy / nullif(sqrt(ay * fy), 0), 0) AS ly FROM dg), ma AS (SELECT *, greatest(abs(lx), abs(ly)) AS m FROM lg)
+    SELECT image_id, round(pixel_bits, 5) AS pixel_bits, round(pixel_bits + image_id % 7 + 3 + 0.5 * (image_id % 2) + 1.25 + 2, 5) AS total_bits, blocks, deadzone, round(iid_bits, 4) AS iid_bits, round(lx, 6) AS lag_x, round(ly, 6) AS lag_y, round(CASE WHEN m > 0 AND m < 1 THEN greatest(-1 / ln(m), 1) ELSE 1 END, 6) AS length_px FROM sb JOIN ma USING (image_id)""",
+)
+def a22b(t):
+    i = F.col("image_id")
+    seen = W.observed(t.rgba8())
+    after = seen.select((i - 1).alias("image_id"), "x", "y", *[F.col(f"p{c}").alias(f"m{c}") for c in "rgba"])
+    images = seen.select("image_id").distinct()
+    bits = dict(zip(V.PRIORS, ((i % 7).cast("double"), F.lit(3.0), i % 2 * 0.5, F.lit(1.25), F.lit(2.0))))
+    priors = images.select("image_id", *[e.alias(k) for k, e in bits.items()])
+    rois = images.filter(i % 3 == 0).select("image_id", F.lit(2).alias("x0"), F.lit(1).alias("y0"), F.lit(5).alias("x1"), F.lit(2).alias("y1"), F.lit(1).alias("halo"))
+    d = V.raster_likelihood(seen.join(after, ["image_id", "x", "y"]), LIKELIHOOD, priors, rois)
+    digits = {"pixel_bits": 5, "total_bits": 5, "iid_bits": 4, "lag_x": 6, "lag_y": 6, "length_px": 6}
+    return d.withColumns({k: F.round(k, n) for k, n in digits.items()})
