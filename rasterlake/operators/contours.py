@@ -129,6 +129,11 @@ def chains(px: DataFrame, level: float, v: str = "v") -> DataFrame:
     return placed.withColumn("malformed_end", (F.col("deg") == 1) & ~rim).drop("width", "height", "deg")
 
 
+def malformed_images(ordered: DataFrame) -> DataFrame:
+    """(image_id, chain) of the first malformed chain of every image that has one; boundaries refuse such an image."""
+    return ordered.filter("malformed_end").groupBy(*KEYS).agg(F.min("chain").alias("chain"))
+
+
 def chain_summary(px: DataFrame, level: float, v: str = "v") -> DataFrame:
     """Number of vertices, closedness and length of every chain (unordered)."""
     seg = cut(segments(px, level, v))
@@ -163,8 +168,13 @@ def bilinear(points: DataFrame, field: DataFrame, v: str, out: str) -> DataFrame
 
 
 def boundary_observations(px: DataFrame, level: float, v: str, noise: float, step: float = 0.5) -> DataFrame:
-    """Resampled boundary points with normal, profile slope and corridor."""
+    """Resampled boundary points with normal, profile slope and corridor.
+
+    The normal is that of the field, or of the polyline where the field has no gradient. An image with a malformed chain is
+    refused as a whole: it has no observations (``malformed_images`` names it).
+    """
     ch = cut(chains(px, level, v))
+    ch = ch.join(malformed_images(ch), KEYS, "left_anti")
     n = F.greatest(F.lit(1), F.floor(F.col("length") / step + 0.5)).cast("int")
     heads = ch.groupBy(*KEYS, "chain", "length", "closed").agg(F.max("k").alias("top"))
     at = heads.select(*KEYS, "chain", "length", n.alias("n"), F.explode(F.sequence(F.lit(0), n - 1)).alias("i"))
@@ -180,12 +190,15 @@ def boundary_observations(px: DataFrame, level: float, v: str, noise: float, ste
     j = at.withColumn("__b", F.floor("s")).join(low, [*KEYS, "chain", "__b"]).filter((F.col("s0") <= F.col("s")) & (F.col("s") < F.col("s1")))
     t = (F.col("s") - F.col("s0")) / F.greatest(F.col("s1") - F.col("s0"), F.lit(1e-12))
     pid = F.struct("chain", "i").alias("pid")
-    pts = cut(j.select(*KEYS, pid, (F.col("px") + t * (F.col("x1") - F.col("px"))).alias("px"), (F.col("py") + t * (F.col("y1") - F.col("py"))).alias("py"), (F.col("length") / F.col("n")).alias("weight_ds")))
+    dx, dy = F.col("x1") - F.col("px"), F.col("y1") - F.col("py")
+    long = F.greatest(F.sqrt(dx * dx + dy * dy), F.lit(1e-12))
+    pts = cut(j.select(*KEYS, pid, (-dy / long).alias("lx"), (dx / long).alias("ly"), (F.col("px") + t * (F.col("x1") - F.col("px"))).alias("px"), (F.col("py") + t * (F.col("y1") - F.col("py"))).alias("py"), (F.col("length") / F.col("n")).alias("weight_ds")))
     near = neighbours(px.select(*KEYS, "x", "y", F.col(v).alias("v")), KEYS, ["v"], diagonal=False)
     grad = cut(near.select(*KEYS, "x", "y", "v", ((F.col("e.v") - F.col("w.v")) * 0.5).alias("gx"), ((F.col("s.v") - F.col("n.v")) * 0.5).alias("gy")))
     g = bilinear(pts, grad, "gx", "ux").join(bilinear(pts, grad, "gy", "uy"), [*KEYS, "pid"])
     d = cut(pts.join(g, [*KEYS, "pid"]).withColumn("m", F.sqrt(F.col("ux") ** 2 + F.col("uy") ** 2)))
-    d = d.filter(F.col("m") > 1e-12).withColumns({"nx": F.col("ux") / F.col("m"), "ny": F.col("uy") / F.col("m")})
+    steep = F.col("m") > 1e-12
+    d = d.withColumns({"nx": F.when(steep, F.col("ux") / F.col("m")).otherwise(F.col("lx")), "ny": F.when(steep, F.col("uy") / F.col("m")).otherwise(F.col("ly"))})
     probes = F.explode(F.array(*[F.lit(o) for o in (-1.0, -0.5, 0.0, 0.5, 1.0)])).alias("o")
     shifted = d.select(*KEYS, "pid", "px", "py", "nx", "ny", probes).select(
         *KEYS, F.struct("pid", "o").alias("pid"), (F.col("px") + F.col("o") * F.col("nx")).alias("px"), (F.col("py") + F.col("o") * F.col("ny")).alias("py")

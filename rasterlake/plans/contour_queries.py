@@ -57,9 +57,23 @@ def r03(t):
     return C.chain_summary(t.px8s(), 0.5, "alpha").withColumn("length", F.round("length", 6))
 
 
-@query("r03_ordered_chains", "px8s", None)
+@query(
+    "r03_ordered_chains",
+    "px8s",
+    f"""RECURSIVE {PX}, {segments_sql('f', 0.5)}, ed AS (SELECT image_id, ea AS u, eb AS w FROM sg UNION SELECT image_id, eb, ea FROM sg), wk(image_id, s, u) AS (SELECT image_id, u, u FROM ed UNION SELECT wk.image_id, wk.s, ed.w FROM wk JOIN ed ON ed.image_id = wk.image_id AND ed.u = wk.u),
+    ch AS (SELECT image_id, u, min(s) AS chain FROM wk GROUP BY image_id, u), dg AS (SELECT image_id, u, count(*) AS deg FROM (SELECT image_id, ea AS u FROM sg UNION ALL SELECT image_id, eb FROM sg) GROUP BY ALL),
+    vx AS (SELECT image_id, u, any_value(x) AS px, any_value(y) AS py FROM (SELECT image_id, ea AS u, xa AS x, ya AS y FROM sg UNION ALL SELECT image_id, eb, xb, yb FROM sg) GROUP BY 1, 2),
+    kd AS (SELECT ch.image_id, chain, count(*) AS vertices, min(u) FILTER (WHERE deg = 1) IS NULL AS closed, coalesce(min(u) FILTER (WHERE deg = 1), min(u)) AS start FROM ch JOIN dg USING (image_id, u) GROUP BY ch.image_id, chain),
+    s2 AS (SELECT kd.*, min(w) AS second FROM kd JOIN ed ON ed.image_id = kd.image_id AND ed.u = kd.start GROUP BY ALL),
+    st(image_id, chain, start, closed, prev, cur, k, s) AS (SELECT s2.image_id, chain, start, closed, start, second, 1, sqrt(pow(a.px - b.px, 2) + pow(a.py - b.py, 2)) FROM s2 JOIN vx a ON a.image_id = s2.image_id AND a.u = start JOIN vx b ON b.image_id = s2.image_id AND b.u = second
+      UNION ALL SELECT t.image_id, t.chain, t.start, t.closed, t.cur, e.w, t.k + 1, t.s + sqrt(pow(a.px - b.px, 2) + pow(a.py - b.py, 2)) FROM st t JOIN ed e ON e.image_id = t.image_id AND e.u = t.cur AND e.w <> t.prev JOIN vx a ON a.image_id = t.image_id AND a.u = t.cur JOIN vx b ON b.image_id = t.image_id AND b.u = e.w WHERE t.cur <> t.start),
+    pl AS (SELECT image_id, chain, start AS edge, 0 AS k, 0.0::DOUBLE AS s FROM kd UNION ALL SELECT image_id, chain, cur, k, s FROM st WHERE cur <> start), ln AS (SELECT image_id, chain, max(s) AS length FROM st GROUP BY 1, 2)
+    SELECT pl.image_id, pl.chain, closed, vertices, round(length, 6) AS length, edge, k::BIGINT AS k, round(s, 6) AS s, round(px, 6) AS px, round(py, 6) AS py, deg = 1 AND NOT (round(px, 9) IN (0.5, 7.5) OR round(py, 9) IN (0.5, 7.5)) AS malformed_end
+    FROM pl JOIN kd ON kd.image_id = pl.image_id AND kd.chain = pl.chain JOIN ln ON ln.image_id = pl.image_id AND ln.chain = pl.chain JOIN vx ON vx.image_id = pl.image_id AND vx.u = edge JOIN dg ON dg.image_id = pl.image_id AND dg.u = edge""",
+)
 def r03b(t):
-    return C.chains(t.px8s(), 0.5, "alpha")
+    d = C.chains(t.px8s(), 0.5, "alpha")
+    return d.withColumns({c: F.round(c, 6) for c in ("length", "s", "px", "py")})
 
 
 @query("r04_boundary_observations", "px8s", None)
