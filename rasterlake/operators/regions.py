@@ -473,7 +473,7 @@ def run_script(px: DataFrame, script: list[dict], label: str = "label", base: Da
     """Apply a short edit script to every image at once.
 
     Steps: merge(keep, remove), split(label, move, new_label), assign(label), protect(label), restore(checkpoint), all by
-    label; ``move`` is a condition on x and y. ``base``: image_id and the digest of the scene that the script was written
+    label; ``move`` is a condition on x and y, in SQL. ``base``: image_id and the digest of the scene that the script was written
     for; a script for another scene is refused before its first step (step -1). A refused step ends the script of that
     image and voids it: the image keeps its first labels. The loop runs over the script, never over images. Returns
     the final labels and a ledger of one row per image and step that ran.
@@ -519,7 +519,7 @@ def run_script(px: DataFrame, script: list[dict], label: str = "label", base: Da
             current = before.withColumn(label, F.when(F.col(label) == edit["remove"], edit["keep"]).otherwise(F.col(label)))
         if kind == "split":
             one = found.groupBy(*KEYS).agg(F.countDistinct("region").alias("__n"), F.min("region").alias("region")).filter("__n = 1").select(*KEYS, "region")
-            moves = before.filter((F.col(label) == edit["label"]) & edit["move"]).join(one, KEYS).select(*KEYS, "region", F.lit(edit["new_label"]).alias("new_label"), "x", "y")
+            moves = before.filter((F.col(label) == edit["label"]) & F.expr(edit["move"])).join(one, KEYS).select(*KEYS, "region", F.lit(edit["new_label"]).alias("new_label"), "x", "y")
             current, judged = split_regions(before, moves, label)
             bad = bad.join(judged.select(*KEYS, F.col("refusal").alias("__split"), F.lit(True).alias("__asked")), KEYS, "left")
             refusal = refusal.when(F.col("__asked").isNull(), "nothing_moved").when(F.col("__split").isNotNull(), F.col("__split"))

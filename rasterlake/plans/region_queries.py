@@ -248,8 +248,8 @@ def r13b(t):
 # by image: a script that runs, a label in two places, labels that do not touch, a missing label, another base scene
 LAYOUT_SQL = """ly AS (SELECT image_id, x, y, image_id % 5 AS kind, CASE WHEN image_id % 5 = 1 AND x = 4 AND y = 4 THEN 1 WHEN image_id % 5 = 2 AND y = 7 THEN 1 WHEN y = 0 THEN 0 WHEN y = 1 AND image_id % 5 NOT IN (2, 3) THEN 1 WHEN y >= 6 THEN 3 ELSE 2 END AS label FROM bin8)"""
 EDITS = [
-    {"op": "protect", "label": 3}, {"op": "merge", "keep": 0, "remove": 1}, {"op": "split", "label": 2, "move": F.expr("y >= 4"), "new_label": 5}, {"op": "assign", "label": 5},
-    {"op": "restore", "checkpoint": 2}, {"op": "split", "label": 2, "move": F.expr("x < 3"), "new_label": 6},
+    {"op": "protect", "label": 3}, {"op": "merge", "keep": 0, "remove": 1}, {"op": "split", "label": 2, "move": "y >= 4", "new_label": 5}, {"op": "assign", "label": 5},
+    {"op": "restore", "checkpoint": 2}, {"op": "split", "label": 2, "move": "x < 3", "new_label": 6},
 ]
 
 
