@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, functions as F
 from rasterlake.session import cut, small_batches
 
 ORDER = 2
-TOKENS = 400_000
+TOKENS = 200_000
 PART_BITS = 13  # rows of one part at most, as a power of two
 RANGE_BYTES = 8_000_000
 HELD_OUT, DELETED, KEPT = 0, 1, 2
