@@ -52,3 +52,15 @@ def test_certificates_of_a_stream_equal_those_of_its_rows(spark):
         (want,) = R.risk_coverage(upto.withColumn("one", F.lit(1)), ["one"], F.lit("block"), F.lit(True)).collect()
         assert {c: r[c] for c in J.COUNTS} == {c: want[c] for c in J.COUNTS} and abs(r.catastrophic_risk_upper - want.catastrophic_risk_upper) < 1e-12
     assert len(got) == 3
+
+
+def test_journal_tells_nan_from_null_and_counts_per_batch(spark):
+    folder, store, state = (J.new_folder(spark, n) for n in ("in", "store", "state"))
+    nan = float("nan")
+    batches = [[("a", None, 1, 1), ("a", nan, 2, 2), ("b", nan, 1, 1)], [("a", nan, 3, 3), ("a", nan, 4, 4), ("b", nan, 2, 2)]]
+    for k, rows in enumerate(batches):
+        J.arrive(spark.createDataFrame(rows, ROW), folder, k)
+        J.ingest(J.read_stream(spark, folder, spark.createDataFrame([], ROW).schema, "*.parquet"), store, state)
+    kept = {r.key: (r.payload is None, r.batch) for r in J.stored(spark, store).collect()}
+    assert kept == {"a": (True, 0), "b": (False, 0)}
+    assert Counter((r.key, r.batch) for r in J.quarantined(spark, store).collect()) == {("a", 0): 1, ("a", 1): 2}
