@@ -42,7 +42,8 @@ def resample(points: DataFrame, spacing: float = 0.5) -> DataFrame:
     at = total.withColumn("n", n).select(*KEYS, "length", "n", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)).alias("i"))
     at = at.withColumn("at", (F.col("i") + 0.5) * F.col("length") / F.col("n")).withColumn("__b", F.floor("at"))
     seg = d.filter(F.col("step") > 0).withColumn("__b", F.explode(F.sequence(F.floor("s"), F.floor(F.col("s") + F.col("step")))))
-    j = at.join(seg, [*KEYS, "__b"]).filter((F.col("s") <= F.col("at")) & (F.col("at") < F.col("s") + F.col("step")))
+    # both sides are lists unrolled from small rows, which their estimate does not know: neither is broadcast
+    j = at.join(seg.hint("merge"), [*KEYS, "__b"]).filter((F.col("s") <= F.col("at")) & (F.col("at") < F.col("s") + F.col("step")))
     t = (F.col("at") - F.col("s")) / F.col("step")
     return j.select(*KEYS, "i", "at", "k", (F.col("px") + t * (F.col("px_n") - F.col("px"))).alias("px"), (F.col("py") + t * (F.col("py_n") - F.col("py"))).alias("py"))
 
