@@ -660,7 +660,7 @@ def audit_arrangement(h: DataFrame, faces: DataFrame) -> DataFrame:
     half edge and crosses to another face; every face is known and has a loop; and every component of the drawing has
     vertices - edges + loops = 2, with the orbits counted anew.
     """
-    h = cut(h)
+    h, faces = cut(h), cut(faces)
     c = F.col
     there = h.select(*KEYS, *[c(k).alias(f"to_{k}") for k in ("id", "sx", "sy", "ex", "ey", "face", "twin")], F.lit(True).alias("known"))
     follow_to = h.join(there.withColumn("next", c("to_id")), [*KEYS, "next"], "left")
@@ -672,25 +672,26 @@ def audit_arrangement(h: DataFrame, faces: DataFrame) -> DataFrame:
     parts = components(h.select(*KEYS, vertex("sx", "sy").alias("src"), vertex("ex", "ey").alias("dst")), KEYS).withColumnRenamed("id", "v").withColumnRenamed("root", "part_of")
     placed = orbit.withColumn("v", vertex("sx", "sy")).join(parts, [*KEYS, "v"], "left").withColumn("part", F.coalesce("part_of", "v"))
     euler = placed.groupBy(*KEYS, "part").agg((F.countDistinct("v") * 2 - F.count("*") + F.countDistinct("orbit") * 2).alias("twice"))
+    loops = orbit.groupBy(*KEYS, "loop").agg(F.countDistinct("orbit").alias("orbits"), F.countDistinct("face").alias("faces"))
+    owned = h.select(*KEYS, "face", F.lit(True).alias("owned")).distinct().join(faces.withColumn("listed", F.lit(True)), [*KEYS, "face"], "full")
     reversed_ = (c("sx") == c("to_ex")) & (c("sy") == c("to_ey")) & (c("ex") == c("to_sx")) & (c("ey") == c("to_sy"))
-    rules = {
-        "successor_unknown": follow_to.filter("known is null"),
-        "successor_elsewhere": follow_to.filter((c("ex") != c("to_sx")) | (c("ey") != c("to_sy"))),
-        "not_entered_once": entered.filter(F.coalesce("entries", F.lit(0)) != 1),
-        "twin_unknown": cross_to.filter("known is null"),
-        "twin_no_involution": cross_to.filter((c("to_twin") != c("id")) | (c("twin") == c("id"))),
-        "twin_not_reversed": cross_to.filter(~reversed_),
-        "same_face_both_sides": cross_to.filter(c("face") == c("to_face")),
-        "loop_of_several_orbits": orbit.groupBy(*KEYS, "loop").agg(F.countDistinct("orbit").alias("n")).filter("n > 1"),
-        "orbit_of_several_loops": orbit.groupBy(*KEYS, "orbit").agg(F.countDistinct("loop").alias("n")).filter("n > 1"),
-        "loop_of_several_faces": h.groupBy(*KEYS, "loop").agg(F.countDistinct("face").alias("n")).filter("n > 1"),
-        "unknown_face": h.select(*KEYS, "face").distinct().join(faces, [*KEYS, "face"], "left_anti"),
-        "face_without_loop": faces.join(h.select(*KEYS, "face").distinct(), [*KEYS, "face"], "left_anti"),
-        "euler_identity": euler.filter("twice <> 4"),
-    }
+    # rules over the same rows are counted together, so each join runs once
+    judged = [
+        (follow_to, {"successor_unknown": c("known").isNull(), "successor_elsewhere": (c("ex") != c("to_sx")) | (c("ey") != c("to_sy"))}),
+        (entered, {"not_entered_once": F.coalesce("entries", F.lit(0)) != 1}),
+        (cross_to, {
+            "twin_unknown": c("known").isNull(), "twin_no_involution": (c("to_twin") != c("id")) | (c("twin") == c("id")),
+            "twin_not_reversed": ~reversed_, "same_face_both_sides": c("face") == c("to_face"),
+        }),
+        (loops, {"loop_of_several_orbits": c("orbits") > 1, "loop_of_several_faces": c("faces") > 1}),
+        (orbit.groupBy(*KEYS, "orbit").agg(F.countDistinct("loop").alias("n")), {"orbit_of_several_loops": c("n") > 1}),
+        (owned, {"unknown_face": c("listed").isNull(), "face_without_loop": c("owned").isNull()}),
+        (euler, {"euler_identity": c("twice") != 4}),
+    ]
     out = None
-    for name, d in rules.items():
-        d = d.groupBy(*KEYS).agg(F.count("*").alias("violations")).select(*KEYS, F.lit(name).alias("rule"), "violations")
+    for rows, rules in judged:
+        found = [F.struct(F.lit(name).alias("rule"), F.count_if(broken).alias("violations")) for name, broken in rules.items()]
+        d = rows.groupBy(*KEYS).agg(F.array(*found).alias("found")).select(*KEYS, F.inline("found")).filter("violations > 0")
         out = d if out is None else out.unionByName(d)
     return out
 
