@@ -95,8 +95,9 @@ def residual_indicators(mix: DataFrame) -> DataFrame:
         F.sum(F.when(mixed, F.col("codes")).otherwise(F.lit(0.0))).alias("__m"), (F.count("*") / F.count_if(start)).alias("mean_run_px"),
     )
     q = index_quantiles(near, KEYS, "codes", {"p95_codes": ("floor", 0.95)})
-    share = F.when(F.col("__t") > 0, F.col("__m") / F.nullif(F.col("__t"), F.lit(0.0))).otherwise(F.lit(0.0))
-    return s.join(q, KEYS).select(*KEYS, "mean_codes", "p95_codes", "max_codes", share.alias("mixed_mass"), "mean_run_px")
+    # an image without a channel has no residual and keeps its row
+    share = F.when(F.col("__t") == 0, F.lit(0.0)).otherwise(F.col("__m") / F.nullif(F.col("__t"), F.lit(0.0)))
+    return s.join(q, KEYS, "left").select(*KEYS, "mean_codes", "p95_codes", "max_codes", share.alias("mixed_mass"), "mean_run_px")
 
 
 # Kernel, transition width (px) and its spread, and the rules.
