@@ -267,7 +267,7 @@ def raster_likelihood(px: DataFrame, cfg: LikelihoodConfig, priors: DataFrame, r
     over = lambda f: sum((f(ch) for ch in CH), F.lit(0.0))
     sums = {
         **{f"e{ch}": c(f"r{ch}") ** 2 for ch in CH},
-        "deadzone": over(lambda ch: F.when(c(f"r{ch}") == 0, 1).otherwise(0)).cast("long"),
+        "deadzone": over(lambda ch: (c(f"r{ch}") == 0).cast("int")).cast("long"),
         "iid_bits": over(lambda ch: student_bits((c(f"r{ch}") / cfg.sigma[CH.index(ch)]) ** 2, cfg.dof)),
     }
     for n, k in (("e", "x"), ("s", "y")):
@@ -288,7 +288,8 @@ def raster_likelihood(px: DataFrame, cfg: LikelihoodConfig, priors: DataFrame, r
     bits = over(lambda ch: student_bits(c(f"e{ch}") / c("n") / cfg.sigma[CH.index(ch)] ** 2, cfg.dof))
     rest = [k for k in sums if not (k[0] == "e" and len(k) == 2)]
     s = blocks.groupBy(*KEYS).agg(F.coalesce(F.sum(F.when(scored, bits)), F.lit(0.0)).alias("pixel_bits"), F.count_if(scored).alias("blocks"), *[F.sum(k).alias(k) for k in rest])
-    rho = lambda k: F.coalesce(clamp(c(f"dot_{k}") / F.nullif(F.sqrt(c(f"own_{k}") * c(f"far_{k}")), F.lit(0.0)), -1.0, 1.0), F.lit(0.0))
+    # least and greatest skip NULL, so what has no correlation is 0 before it is clamped
+    rho = lambda k: clamp(F.coalesce(c(f"dot_{k}") / F.nullif(F.sqrt(c(f"own_{k}") * c(f"far_{k}")), F.lit(0.0)), F.lit(0.0)), -1.0, 1.0)
     s = s.withColumns({"lag_x": rho("x"), "lag_y": rho("y")}).join(priors, KEYS)
     total = c("pixel_bits")
     for name in PRIORS:
@@ -305,9 +306,7 @@ def lag_correlation(res: DataFrame) -> DataFrame:
         has = o.isNotNull()
         sums += [F.sum(F.col("r") * o).alias(f"d{k}"), F.sum(F.when(has, F.col("r") ** 2)).alias(f"a{k}"), F.sum(o * o).alias(f"b{k}")]
     s = d.groupBy(*KEYS).agg(*sums)
-    rho = lambda k: F.coalesce(
-        F.least(F.lit(1.0), F.greatest(F.lit(-1.0), F.col(f"d{k}") / F.nullif(F.sqrt(F.col(f"a{k}") * F.col(f"b{k}")), F.lit(0.0)))), F.lit(0.0)
-    )
+    rho = lambda k: clamp(F.coalesce(F.col(f"d{k}") / F.nullif(F.sqrt(F.col(f"a{k}") * F.col(f"b{k}")), F.lit(0.0)), F.lit(0.0)), -1.0, 1.0)
     s = s.select(*KEYS, rho("x").alias("lag_x"), rho("y").alias("lag_y"))
     return s.withColumn("length_px", median_length(F.greatest(F.abs("lag_x"), F.abs("lag_y"))))
 
