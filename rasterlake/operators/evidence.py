@@ -387,7 +387,7 @@ def codec_spread(res: DataFrame, keys: list[str], codec: str) -> DataFrame:
     d = block_coefficients(res, keys, kind, block)
     dc = (F.col("u") == 0) & (F.col("v") == 0)
     square = F.col("cr") ** 2 + F.col("cg") ** 2 + F.col("cb") ** 2
-    rms = lambda v: F.coalesce(F.sqrt(v), F.lit(0.0))
+    rms = F.sqrt  # NULL where there is no coefficient to average
     return d.groupBy(*keys).agg(
         rms(F.avg(F.when(dc, square)) / 3).alias("dc_rms"), rms(F.avg(F.when(~dc, square)) / 3).alias("ac_rms"), rms(F.avg(F.col("ca") ** 2)).alias("alpha_rms")
     )
