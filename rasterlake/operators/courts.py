@@ -175,7 +175,7 @@ def derive_gates(rows: DataFrame) -> DataFrame:
     clean = rows.filter(F.col("admitted") & ~F.col("catastrophic"))
     maxima = clean.agg(
         *[ceil_to_step(F.max(c), 0.25).alias(c) for c in ("p95_px", "p99_px", "max_px")],
-        F.coalesce(F.max("palette_delta"), F.lit(0)).alias("paint_delta_codes"),
+        F.max("palette_delta").alias("paint_delta_codes"),
         ceil_code(F.max("channel_delta"), 8, 248).alias("internal_max_channel_delta"),
         ceil_to_step(F.max("bits_per_block"), 1.0 / 256).alias("internal_mean_delta"),
     )
