@@ -305,7 +305,7 @@ def a47b(t):
     {digest_sql('src', ['group_id'], 'd', 'd')} SELECT group_id, p AS bundle FROM dg3""",
 )
 def a48(t):
-    text = F.concat_ws("/", "l_orderkey", "l_partkey", "l_linenumber", F.col("l_quantity").cast("bigint"), F.round(F.col("l_extendedprice") * 100).cast("bigint"))
+    text = F.concat_ws("/", "l_orderkey", "l_partkey", "l_linenumber", F.rint("l_quantity").cast("bigint"), F.round(F.col("l_extendedprice") * 100).cast("bigint"))
     src = t.table("lineitem").select(F.col("l_suppkey").alias("group_id"), F.sha2(text, 256).alias("d"))
     return ordered_digest(src, ["group_id"], ["d"], F.col("d"), "bundle")
 

@@ -170,7 +170,7 @@ def f11(t):
 )
 def f12(t):
     d = t.table("lineitem").groupBy(
-        F.col("l_quantity").cast("bigint").alias("n"), (F.col("l_linenumber").cast("bigint") * 3).alias("k")
+        F.rint("l_quantity").cast("bigint").alias("n"), (F.col("l_linenumber").cast("bigint") * 3).alias("k")
     ).agg(F.count("*").alias("rows"))
     bits = F.when(F.col("k") <= F.col("n"), codes.log2_binomial("n", "k"))
     return d.select("n", "k", "rows", r6(bits, "bits"), r6(codes.gap_bits(F.col("n") + 2), "gap_bits"))
@@ -218,7 +218,7 @@ def cp_sql(confidence: float) -> str:
 )
 def f14(t):
     d = t.table("lineitem").groupBy(
-        F.col("l_quantity").cast("bigint").alias("n"), F.col("l_linenumber").cast("bigint").alias("k")
+        F.rint("l_quantity").cast("bigint").alias("n"), F.col("l_linenumber").cast("bigint").alias("k")
     ).agg(F.count("*").alias("rows"))
     return d.select(
         "n", "k", "rows", r6(stats.log_gamma_column(F.col("n") + 0.5), "ln_gamma"),

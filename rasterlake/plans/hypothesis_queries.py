@@ -138,7 +138,7 @@ def envelope_rows(t):
     p = F.col("l_partkey")
     return t.table("lineitem").select(
         F.col("l_suppkey").alias("image_id"),
-        F.concat_ws("-", "l_orderkey", "l_linenumber", p, F.round(F.col("l_extendedprice") * 100).cast("bigint"), F.col("l_quantity").cast("bigint")).alias("candidate_id"),
+        F.concat_ws("-", "l_orderkey", "l_linenumber", p, F.round(F.col("l_extendedprice") * 100).cast("bigint"), F.rint("l_quantity").cast("bigint")).alias("candidate_id"),
         F.concat(F.lit("g"), p % 90).alias("digest"), (F.col("l_quantity") > 2).alias("valid"), (p % 90 + F.col("l_discount") * 40).alias("lower"),
         F.when(F.col("l_linenumber") == 7, p % 90 + 8).alias("achievable"),
         F.array(F.concat(F.lit("sig:"), "l_returnflag"), F.concat(F.lit("field:"), p % 3), F.concat(F.lit("conn:"), "l_linestatus")).alias("classes"),
