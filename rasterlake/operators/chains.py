@@ -87,13 +87,10 @@ def side_fits(points: DataFrame, arm: int) -> DataFrame:
     """Principal direction and RMS of the trailing and the leading line."""
     d = chunked(points.select(*KEYS, "k", "px", "py"), KEYS, "k", arm)
     w = chunk_window()
-    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    d = d.withColumns({"u": F.col("px") - F.first("px").over(whole), "v": F.col("py") - F.first("py").over(whole)})
     out = {}
     for side, frame in (("left", w.rowsBetween(-arm, 0)), ("right", w.rowsBetween(0, arm))):
-        m = lambda e: F.avg(e).over(frame)
-        u, v = F.col("u"), F.col("v")
-        sxx, syy, sxy = m(u * u) - m(u) * m(u), m(v * v) - m(v) * m(v), m(u * v) - m(u) * m(v)
+        # updated means: a side of equal px has a covariance of exactly 0, whose sign would turn the angle around
+        sxx, syy, sxy = F.var_pop("px").over(frame), F.var_pop("py").over(frame), F.covar_pop("px", "py").over(frame)
         out[f"{side}_n"] = F.count("*").over(frame)
         out[f"{side}_angle"] = F.atan2(sxy * 2.0, sxx - syy) * 0.5
         low = (sxx + syy - F.sqrt((sxx - syy) * (sxx - syy) + sxy * sxy * 4.0)) * 0.5
