@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from rasterlake.functions.color import CODE, clamp, observation, soft, vec_dot, vec_norm, vec_sub
-from rasterlake.operators.stencil import EIGHT, FOUR, around, core, forget, tiled
+from rasterlake.operators.stencil import EIGHT, FOUR, INNER_BITS, MARGIN, WORD, around, core, east, forget, once_and_more, tiled, west, with_margins, word_above, word_rows
 from rasterlake.session import cut
 
 KEYS = ["image_id"]
@@ -304,34 +305,51 @@ def distance_transform(px: DataFrame, inside: str = "inside") -> DataFrame:
 
 
 def _thin_rule(d: DataFrame, phase: int) -> DataFrame:
-    d = around(tiled(d, KEYS), KEYS, ["inside"], clamp=False)
-    ring = ["n", "ne", "e", "se", "s", "sw", "w", "nw"]  # clockwise from the top
-    p = [F.coalesce(F.col(f"{n}.inside"), F.lit(False)).cast("int") for n in ring]
-    count = p[0]
-    for v in p[1:]:
-        count = count + v
-    turns = F.lit(0)
-    for a, b in zip(p, p[1:] + p[:1]):
-        turns = turns + F.when((a == 0) & (b == 1), 1).otherwise(0)
-    n, e, s, w = p[0], p[2], p[4], p[6]
-    sides = ((n * e * s == 0) & (e * s * w == 0)) if phase == 0 else ((n * e * w == 0) & (n * s * w == 0))
-    gone = F.col("inside") & F.col("__inner") & (count >= 2) & (count <= 6) & (turns == 1) & sides
-    return core(forget(d.withColumns({"__gone": gone, "__left": F.col("inside") & ~gone})))
+    """One phase on words: ``gone`` are the pixels that it takes from ``inside``."""
+    d = d.withColumns({"__n": word_above("inside", KEYS, -1), "__s": word_above("inside", KEYS, 1)})
+    up, here, down = F.col("__n"), F.col("inside"), F.col("__s")
+    ring = [up, east(up), east(here), east(down), down, west(down), west(here), west(up)]  # clockwise from the top
+    _, two = once_and_more(ring)
+    _, two_empty = once_and_more([F.bitwise_not(v) for v in ring])
+    turn, turns = once_and_more([F.bitwise_not(a).bitwiseAND(b) for a, b in zip(ring, ring[1:] + ring[:1])])
+    n, e, s, w = ring[0], ring[2], ring[4], ring[6]
+    both = lambda *v: F.bitwise_not(reduce(Column.bitwiseAND, v))
+    sides = both(n, e, s).bitwiseAND(both(e, s, w)) if phase == 0 else both(n, e, w).bitwiseAND(both(n, s, w))
+    rules = [here, F.col("inner"), two, two_empty, turn, F.bitwise_not(turns), sides]
+    d = d.withColumn("gone", reduce(Column.bitwiseAND, rules))
+    return d.withColumn("inside", F.col("inside").bitwiseAND(F.bitwise_not(F.col("gone")))).drop("__n", "__s")
 
 
 def thin(px: DataFrame, max_rounds: int = 10_000) -> DataFrame:
     """Thin foreground to its centre line: two alternating parallel rules until
     neither removes a pixel. The frame is never touched, so rasters under three
-    pixels stay as they are. Each round is written out, so the plan stays short."""
-    size = px.groupBy("image_id").agg(F.max("x").alias("__mx"), F.max("y").alias("__my"))
-    inner = F.col("x").between(1, F.col("__mx") - 1) & F.col("y").between(1, F.col("__my") - 1)
-    d = cut(px.join(size, "image_id").select("image_id", "x", "y", "inside", inner.alias("__inner")))
-    for _ in range(max_rounds):
-        removed = 0
-        for phase in (0, 1):
-            t = cut(_thin_rule(d, phase))
-            removed += t.filter("__gone").limit(1).count()
-            d = t.select("image_id", "x", "y", F.col("__left").alias("inside"), "__inner")
-        if removed == 0:
-            return d.drop("__inner")
-    raise RuntimeError("thinning did not settle")
+    pixels stay as they are. Rules work on words of one bit per pixel; four rounds
+    fit into the margin of a word, then words are written out and margins renewed."""
+    flags = {"inside": F.col("inside"), "unknown": F.col("inside").isNull()}
+    words = cut(word_rows(px, KEYS, flags))
+    top = F.expr("length(bin(there)) - 1")  # place of the highest bit
+    size = words.groupBy(*KEYS).agg(F.max(F.col("c") * WORD + top).alias("__mx"), F.max("y").alias("__my"))
+    d = words.join(size, KEYS)
+    at = lambda x: F.expr(f"if(c = floor({x} / {WORD}), shiftleft(1L, cast(pmod({x}, {WORD}) as int)), 0L)")
+    frame = at("0").bitwiseOR(at("__mx"))
+    inner = F.when(F.col("y").between(1, F.col("__my") - 1) & (F.col("c") >= 0), F.col("there").bitwiseAND(F.bitwise_not(frame))).otherwise(F.lit(0).cast("bigint"))
+    cols = ["inside", "unknown", "there", "inner"]
+    d = d.select(*KEYS, "y", "c", "inside", "unknown", "there", inner.alias("inner"))
+    done, rounds = False, 0
+    while not done:
+        if rounds >= max_rounds:
+            raise RuntimeError("thinning did not settle")
+        d = with_margins(d, KEYS, cols)
+        last = []
+        for k in range(MARGIN):
+            d = _thin_rule(d, k % 2)
+            if k >= MARGIN - 2:
+                last.append(f"__g{k}")
+                d = d.withColumn(last[-1], F.col("gone").bitwiseAND(INNER_BITS) != 0)
+        core_bits = [F.shiftrightunsigned(F.col(n).bitwiseAND(INNER_BITS), MARGIN).alias(n) for n in cols]
+        d = cut(d.select(*KEYS, "y", "c", *core_bits, F.greatest(*last).alias("moved")).filter("there != 0"))
+        done = d.filter("moved").isEmpty()
+        rounds += MARGIN // 2
+    bit = lambda n: F.expr(f"shiftrightunsigned({n}, i) & 1 = 1")
+    d = d.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(WORD - 1)))).filter(bit("there"))
+    return d.select(*KEYS, (F.col("c") * WORD + F.col("i")).cast(px.schema["x"].dataType).alias("x"), "y", F.when(~bit("unknown"), bit("inside")).alias("inside"))

@@ -85,3 +85,58 @@ def shifted(df: DataFrame, keys: list[str], col: str, offset: int, axis: str) ->
     w = row_window(keys) if axis == "x" else column_window(keys)
     there = F.lead(axis, offset).over(w) == F.col(axis) + offset
     return F.when(there, F.lead(col, offset).over(w))
+
+
+# ---- one bit per pixel ------------------------------------------------------
+
+WORD, MARGIN = 48, 8  # core pixels of a word and copies of pixels on either side: 64 bits
+INNER_BITS = ((1 << WORD) - 1) << MARGIN
+
+
+def word_rows(px: DataFrame, keys: list[str], flags: dict[str, Column]) -> DataFrame:
+    """Pack flags into words: one row per (keys, y, word ``c``), bit i of a flag is pixel ``x = c * WORD + i``.
+
+    Adds ``there`` for the pixels that are in the table. Words are combined before the shuffle, so a table whose raster
+    rows lie together moves 1/48 of its rows.
+    """
+    bit = F.expr(f"shiftleft(1L, cast(pmod(x, {WORD}) as int))")
+    packed = [F.bit_or(F.when(v, bit).otherwise(F.lit(0).cast("bigint"))).alias(n) for n, v in flags.items()]
+    return px.groupBy(*keys, "y", F.floor(F.col("x") / WORD).alias("c")).agg(*packed, F.bit_or(bit).alias("there"))
+
+
+def with_margins(words: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:
+    """Shift words up by ``MARGIN`` bits and fill both ends from the words beside them.
+
+    The result is partitioned by (keys, c), so chains of up to ``MARGIN`` stencils over a column of words (at most as many
+    rows as the raster) need no further exchange.
+    """
+    own = F.struct("c", *[F.shiftleft(F.col(n), MARGIN).alias(n) for n in cols])
+    left = F.struct((F.col("c") - 1).alias("c"), *[F.shiftleft(F.col(n), WORD + MARGIN).alias(n) for n in cols])
+    right = F.struct((F.col("c") + 1).alias("c"), *[F.shiftrightunsigned(F.col(n), WORD - MARGIN).alias(n) for n in cols])
+    held = lambda e: F.greatest(*[e[n] != 0 for n in cols])
+    sent = F.concat(F.array(own), F.filter(F.array(left, right), held))
+    d = words.select(*keys, "y", F.explode(sent).alias("w")).select(*keys, "y", "w.*").repartition(*keys, "c")
+    return d.groupBy(*keys, "c", "y").agg(*[F.bit_or(n).alias(n) for n in cols])
+
+
+def word_above(col: str, keys: list[str], step: int) -> Column:
+    """The word ``step`` raster rows below (1) or above (-1), 0 where there is none."""
+    w = Window.partitionBy(*keys, "c").orderBy("y")
+    fn = F.lead if step > 0 else F.lag
+    return F.when(fn("y").over(w) == F.col("y") + step, fn(col).over(w)).otherwise(F.lit(0).cast("bigint"))
+
+
+def west(v: Column) -> Column:
+    return F.shiftleft(v, 1)
+
+
+def east(v: Column) -> Column:
+    return F.shiftrightunsigned(v, 1)
+
+
+def once_and_more(bits: list[Column]) -> tuple[Column, Column]:
+    """Words of the places that at least one and at least two of ``bits`` hold."""
+    if len(bits) == 1:
+        return bits[0], F.lit(0).cast("bigint")
+    (a, a2), (b, b2) = (once_and_more(h) for h in (bits[: len(bits) // 2], bits[len(bits) // 2 :]))
+    return a.bitwiseOR(b), a2.bitwiseOR(b2).bitwiseOR(a.bitwiseAND(b))
