@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from rasterlake.functions.codes import LEVEL_QUANTA, quantize_level
 from rasterlake.operators.graphs import components, follow, rank_lists
 from rasterlake.operators.prefix import neighbour, ordered_index
-from rasterlake.operators.stencil import EIGHT, FOUR, TILE, neighbours
+from rasterlake.operators.stencil import EIGHT, FOUR, INNER_BITS, TILE, east, neighbours, with_margins, word_above, word_rows
 from rasterlake.session import cut
 
 KEYS = ["image_id"]
@@ -235,11 +236,27 @@ def euler_number(px: DataFrame, conn: int = 4, inside: str = "inside") -> DataFr
 
 
 def euler_curve(px: DataFrame, value: str, levels: list[int], conn: int = 4) -> DataFrame:
-    """Euler number of the superlevel set at each quantised level."""
-    at = F.explode(F.array(*[F.lit(q) for q in levels])).alias("level")
-    d = px.select(*KEYS, "x", "y", quantize_level(F.col(value)).alias("q"), at)
-    d = d.select(F.struct("image_id", "level").alias("image_id"), "x", "y", (F.col("q") >= F.col("level")).alias("inside"))
-    return euler_number(d, conn).select("image_id.image_id", "image_id.level", "euler")
+    """Euler number of the superlevel set at each quantised level.
+
+    Every level is one bit per pixel; pixels, edges and squares are counted by words. With 8 neighbours every square with
+    two pixels across counts one less than with 4.
+    """
+    q = px.select(*KEYS, "x", "y", quantize_level(F.col(value)).alias("q"))
+    names = {f"l{k}": F.col("q") >= level for k, level in enumerate(levels)}
+    words = with_margins(word_rows(q, KEYS, names | {"known": F.col("q").isNotNull()}), KEYS, [*names, "known"])
+    d = words.withColumns({f"s{n}": word_above(n, KEYS, 1) for n in names})
+    both = lambda *v: F.bit_count(reduce(Column.bitwiseAND, v, F.lit(INNER_BITS))).cast("bigint")
+
+    def local(n: str) -> Column:
+        v, s = F.col(n), F.col(f"s{n}")
+        e, se = east(v), east(s)
+        out = both(v) - both(v, e) - both(v, s) + both(v, e, s, se)
+        empty = [F.bitwise_not(c) for c in (v, e, s, se)]
+        return out if conn == 4 else out - both(v, se, empty[1], empty[2]) - both(e, s, empty[0], empty[3])
+
+    d = d.groupBy(*KEYS).agg(F.max(F.col("known") != 0).alias("known"), *[F.sum(local(n)).alias(n) for n in names])
+    rows = F.explode(F.array(*[F.struct(F.lit(level).alias("level"), F.col(n).alias("euler")) for n, level in zip(names, levels)])).alias("r")
+    return d.select(*KEYS, "known", rows).select(*KEYS, "r.level", F.when(F.col("known"), F.col("r.euler")).alias("euler"))
 
 
 def cost_bounds(px: DataFrame, level: float, inside: str = "inside", alpha: str = "alpha", predicted: str | None = None) -> DataFrame:

@@ -6,7 +6,7 @@ import random
 
 import pyspark.sql.functions as F
 
-from rasterlake.operators import fields as W
+from rasterlake.operators import fields as W, regions as R
 from rasterlake.operators.stencil import word_rows
 from rasterlake.sources.fixtures import Lake
 
@@ -58,6 +58,19 @@ def test_thinning_moves_words(spark):
     assert word_rows(df, ["image_id"], {"inside": F.col("inside")}).count() == 3 * 17 + 30 + 2 * 40
 
 
+def test_euler_curve_moves_words(spark):
+    rnd = random.Random(3)
+    rows = [(k, x, y, rnd.random()) for k in range(3) for x in range(100) for y in range(20)]
+    df = spark.createDataFrame(rows, f"{PX}, v double").repartition(1)
+    for conn in (4, 8):
+        d = R.euler_curve(df, "v", [100, 256], conn)
+        got = {(r.image_id, r.level): r.euler for r in d.collect()}
+        for level in (100, 256):
+            px = df.withColumn("inside", F.floor(F.col("v") * 512 + 0.5) >= level)
+            assert {(r.image_id, level): r.euler for r in R.euler_number(px, conn).collect()}.items() <= got.items()
+        assert moved(d) < 1000 + len(rows)  # the levels do not multiply the pixels
+
+
 def test_grid_moves_cells(spark, tmp_path):
     line = [(k, 3 * k, 1 + k % 2, 0.05) for k in range(40)] + [(None, 1, 1, 0.05), (1, None, 1, 0.05), (1, 1, None, 0.05)]
     spark.createDataFrame(line, "l_orderkey long, l_partkey long, l_suppkey long, l_discount double").write.parquet(f"{tmp_path}/lineitem.parquet")
