@@ -12,6 +12,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from rasterlake.session import small_tasks
+
 TILE = 64
 TX, TY, CORE = "__tx", "__ty", "__core"
 FOUR = ("e", "w", "s", "n")
@@ -25,6 +27,7 @@ def tiled(px: DataFrame, keys: list[str], halo: int = 1, tile: int = TILE) -> Da
         low = F.floor((F.col(c) - halo) / tile)
         return F.sequence(F.greatest(low, F.lit(0)), F.floor((F.col(c) + halo) / tile))
 
+    small_tasks(px.sparkSession)
     d = px.withColumn(TY, F.explode(spans("y"))).withColumn(TX, F.explode(spans("x")))
     own = (F.col(TX) == F.floor(F.col("x") / tile)) & (F.col(TY) == F.floor(F.col("y") / tile))
     return d.withColumn(CORE, own).repartition(*keys, TY, TX)
@@ -63,9 +66,12 @@ def around(df: DataFrame, keys: list[str], cols: list[str], prefix: str = "", cl
     d = d.withColumns({"__w": fill(F.col("__w"), F.col("__v")), "__e": fill(F.col("__e"), F.col("__v"))})
     line = F.struct(F.col("__w").alias("w"), F.col("__v").alias("v"), F.col("__e").alias("e")) if diagonal else F.struct(F.col("__v").alias("v"))
     d = d.withColumn("__l", line)
+    if diagonal:  # the line holds both sides: they are not sorted twice
+        d = d.drop("__w", "__e")
     d = d.withColumns({"__n": side(F.lag, F.col("__l"), "y", -1, wc), "__s": side(F.lead, F.col("__l"), "y", 1, wc)})
     d = d.withColumns({"__n": fill(F.col("__n"), F.col("__l")), "__s": fill(F.col("__s"), F.col("__l"))})
-    out = {f"{prefix}w": F.col("__w"), f"{prefix}e": F.col("__e"), f"{prefix}n": F.col("__n.v"), f"{prefix}s": F.col("__s.v")}
+    beside = (F.col("__l.w"), F.col("__l.e")) if diagonal else (F.col("__w"), F.col("__e"))
+    out = {f"{prefix}w": beside[0], f"{prefix}e": beside[1], f"{prefix}n": F.col("__n.v"), f"{prefix}s": F.col("__s.v")}
     if diagonal:
         out |= {f"{prefix}{v}{h}": F.col(f"__{v}.{h}") for v in ("n", "s") for h in ("w", "e")}
     return d.withColumns(out).drop("__v", "__w", "__e", "__l", "__n", "__s")

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import random
+import re
 
 import pyspark.sql.functions as F
 
 from rasterlake.operators import fields as W, regions as R
-from rasterlake.operators.stencil import word_rows
+from rasterlake.operators.stencil import neighbours, word_rows
 from rasterlake.sources.fixtures import Lake
 
 PX = "image_id long, x int, y int"
@@ -79,3 +80,11 @@ def test_grid_moves_cells(spark, tmp_path):
     assert len(got) == 3 * 4096 and len({(r.image_id, r.x, r.y) for r in got}) == len(got)
     assert {(r.x, r.y) for r in got if r.image_id == 2 and r.v > 0} == {(3 * k % 64, k % 64) for k in range(1, 40, 2)}
     assert moved(d) < 4096
+
+
+def test_stencils_are_dealt_into_many_small_partitions(spark):
+    df = spark.createDataFrame([(1, x, 0, x) for x in range(9)], f"{PX}, v int")
+    near = neighbours(df, ["image_id"], ["v"])
+    assert re.search(r"hashpartitioning\(image_id#\d+L, __ty#\d+L, __tx#\d+L, (\d+)\)", near._jdf.queryExecution().executedPlan().toString())[1] == "1024"
+    assert spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes") == "8MB"
+    assert near.count() == 9
