@@ -33,7 +33,7 @@ def r01b(t):
 @query("r01_region_sizes", "grid", None)
 def r01c(t):
     px = t.grid().withColumn("label", F.floor(F.col("v") * 4).cast("int"))
-    return R.regions(px, "label", 4).groupBy("image_id", "label", "region").agg(F.count("*").alias("pixels"))
+    return R.region_sizes(px, "label", 4)
 
 
 RIM = "(x = 0)::INT + (y = 0)::INT + (x = 7)::INT + (y = 7)::INT"

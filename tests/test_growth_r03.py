@@ -88,3 +88,12 @@ def test_stencils_are_dealt_into_many_small_partitions(spark):
     assert re.search(r"hashpartitioning\(image_id#\d+L, __ty#\d+L, __tx#\d+L, (\d+)\)", near._jdf.queryExecution().executedPlan().toString())[1] == "1024"
     assert spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes") == "8MB"
     assert near.count() == 9
+
+
+def test_region_sizes_are_sums_of_runs(spark):
+    rnd = random.Random(5)
+    rows = [(k, x, y, rnd.choice([0, 1, None])) for k in range(2) for x in range(90) for y in range(12)]
+    df = spark.createDataFrame(rows, f"{PX}, label int")
+    for conn in (4, 8):
+        want = {(r.image_id, r.label, r.region): r.n for r in R.regions(df, "label", conn).groupBy("image_id", "label", "region").agg(F.count("*").alias("n")).collect()}
+        assert {(r.image_id, r.label, r.region): r.pixels for r in R.region_sizes(df, "label", conn).collect()} == want
