@@ -1,8 +1,9 @@
 """Token ids of many texts by a word-end BPE vocabulary of the ``tokenizers`` library.
 
 White space never lies inside a pre-token, so a text is the concatenation of its chunks between white space. Chunks are
-encoded once per worker and kept; all new chunks of a block of texts are encoded together with numpy: in each step every
-chunk merges its pair of lowest rank, as the library does one chunk at a time. Texts with rarer characters, which the two
+encoded once per worker and kept, and so are the pre-tokens they consist of, because a word stands in many chunks, with and
+without a mark. All new pre-tokens of a block of texts are encoded together with numpy: in each step every pre-token merges
+its pair of lowest rank, as the library does one pre-token at a time. Texts with rarer characters, which the two
 lower case rules or Unicode tables may treat differently, or with a special token go to the library as they are.
 """
 
@@ -11,11 +12,14 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
+from collections import defaultdict
+from itertools import count, islice
 
 import numpy as np
 import regex
 
 CACHE_CHUNKS = 200_000
+CACHE_PIECES = 400_000
 BLOCK_CHARS = 500_000
 NONE = np.int64(1) << 40
 
@@ -25,6 +29,42 @@ _PRE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+
 _ODD = re.compile("[\x1c-\x1fΣİ]|<\\||[^\\x00-\u02ff\u0370-\u052f\u2010-\u2060\u20a0-\u20bf\u3001-\u30ff\u4e00-\u9fff\uac00-\ud7a3]")
 
 
+def _odd(text: str) -> bool:
+    if text.isascii():
+        return "<|" in text or any(c in text for c in "\x1c\x1d\x1e\x1f")
+    return _ODD.search(text) is not None
+
+
+class Ids:
+    """Ids of strings: those of string ``s`` are ``flat[begin[place[s]] : begin[place[s] + 1]]``."""
+
+    def __init__(self):
+        self._forget()
+
+    def _forget(self) -> None:
+        self.place: defaultdict[str, int] = defaultdict(count().__next__)
+        self.flat, self.begin = np.zeros(0, "<u4"), np.zeros(1, np.int64)
+
+    def places(self, strings: list[str], most: int) -> tuple[np.ndarray, list[str]]:
+        """Places of ``strings`` and the new ones among them, whose ids are to be added next; a full table is forgotten."""
+        if len(self.place) > most:
+            self._forget()
+        old = len(self.place)
+        at = np.fromiter(map(self.place.__getitem__, strings), np.int64, len(strings))
+        new = list(islice(reversed(self.place), len(self.place) - old))
+        return at, new[::-1]
+
+    def add(self, ids: np.ndarray, size: np.ndarray) -> None:
+        self.begin = np.concatenate([self.begin, np.cumsum(size) + len(self.flat)])
+        self.flat = np.concatenate([self.flat, ids.astype("<u4")])
+
+    def get(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the strings at these places one after the other, and the number of each."""
+        first = self.begin[at]
+        size = self.begin[at + 1] - first
+        return self.flat[np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())], size
+
+
 class WordIds:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -44,7 +84,7 @@ class WordIds:
         order = np.argsort(keys)
         self.keys, self.rank = keys[order], order.astype(np.int64)
         self.made = np.array([vocab[a + b] for a, b in merges], np.int64)
-        self.known: dict[str, bytes] = {}
+        self.chunks, self.pieces = Ids(), Ids()
 
     def _merge(self, ids: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Merge until no pair of any word has a rank; ``word`` is the rising word number of each id."""
@@ -74,41 +114,42 @@ class WordIds:
         order = np.argsort(all_words, kind="stable")
         return all_ids[order], all_words[order]
 
-    def learn(self, chunks: list[str]) -> None:
-        if not chunks:
-            return
-        pieces = _PRE.findall(unicodedata.normalize("NFC", " ".join(chunks)))
+    def _learn_pieces(self, pieces: list[str]) -> None:
         raw = [p.encode() for p in pieces]
-        gap = np.array([p == " " for p in pieces], bool)
         size = np.array([len(r) for r in raw], np.int64)
-        chunk = np.cumsum(gap)[~gap]
-        size = size[~gap]
-        data = np.frombuffer(b"".join([r for r, g in zip(raw, gap) if not g]), np.uint8)
+        data = np.frombuffer(b"".join(raw), np.uint8)
         ids = self.inner[data]
         ends = np.cumsum(size) - 1
         ids[ends] = self.final[data[ends]]
-        ids, word = self._merge(ids, np.repeat(np.arange(len(size)), size))
-        bounds = np.searchsorted(chunk[word], np.arange(len(chunks) + 1)) * 4
-        out = ids.astype("<u4").tobytes()
-        b = bounds.tolist()
-        self.known.update(zip(chunks, [out[i:j] for i, j in zip(b, b[1:])]))
+        gap = [i for i, p in enumerate(pieces) if p == " "]
+        word = np.repeat(np.arange(len(size)), size)
+        if gap:  # the space between chunks has no ids
+            ids, word = ids[word != gap[0]], word[word != gap[0]]
+        if len(ids):
+            ids, word = self._merge(ids, word)
+        self.pieces.add(ids, np.bincount(word, minlength=len(pieces)))
+
+    def learn(self, chunks: list[str]) -> None:
+        found = _PRE.findall(unicodedata.normalize("NFC", " ".join(chunks)) + " ")
+        at, new = self.pieces.places(found, CACHE_PIECES)
+        if new:
+            self._learn_pieces(new)
+        ids, size = self.pieces.get(at)
+        stop = np.cumsum(size)[at == self.pieces.place[" "]]
+        self.chunks.add(ids, np.diff(stop, prepend=0))
 
     def block(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text of a block."""
-        split = [None if _ODD.search(t) else t.lower().split() for t in texts]
-        new = set()
-        for words in split:
-            if words:
-                new |= set(words).difference(self.known)
-        if len(self.known) + len(new) > CACHE_CHUNKS:
-            self.known.clear()
-            new = {w for words in split if words for w in words}
-        self.learn(list(new))
-        get = self.known.__getitem__
+        split = [None if _odd(t) else t.lower().split() for t in texts]
+        at, new = self.chunks.places([w for words in split if words for w in words], CACHE_CHUNKS)
+        if new:
+            self.learn(new)
+        ids, size = self.chunks.get(at)
+        stop = np.r_[0, np.cumsum(size)]
+        stop = stop[np.cumsum([0, *(len(words or ()) for words in split)])].tolist()
         return [
-            np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4") if words is None
-            else np.frombuffer(b"".join(map(get, words)), "<u4")
-            for t, words in zip(texts, split)
+            np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4") if words is None else ids[i:j]
+            for t, words, i, j in zip(texts, split, stop, stop[1:])
         ]
 
     def stream(self, texts):
