@@ -185,43 +185,98 @@ class BeamConfig:
     max_bytes: int = 120
 
 
+#: images of at most so many hypotheses are scanned as one list each, larger ones in rounds over the table
+LISTED_ROWS = 256
+
+
 def diverse_beam(hyp: DataFrame, cfg: BeamConfig = BeamConfig()) -> DataFrame:
     """Status of every hypothesis after beam selection.
 
-    Deliveries are collapsed to their best member (a combining min), then the
-    budgets are scanned. Everything after that works on at most
-    ``max_candidates`` rows per image.
+    Deliveries are collapsed to their best member, the budgets are scanned in order, and the beam is chosen from at most
+    ``max_candidates`` rows per image. Hypotheses move once, by image; images of more than ``LISTED_ROWS`` hypotheses
+    go another way (``memory_scan``) that collects none of them.
     """
-    order = ["total_bits", "hypothesis_id"]
-    best = F.min(F.struct(*order, "topology_class", "formation_class", "memory_bytes"))
-    unique = hyp.groupBy("image_id", "delivery").agg(best.alias("b")).select("image_id", "delivery", "b.*")
-    scanned = memory_scan(unique, "image_id", order, "memory_bytes", cfg.max_bytes, cfg.max_candidates)
-    w = Window.partitionBy("image_id").orderBy(*order)
-    considered = scanned.filter("scan = 'considered'")
-    eligible = considered.withColumn("__best", F.first("total_bits").over(w)).withColumn(
-        "__ok", F.col("total_bits") <= F.col("__best") + cfg.within_best_bits
-    )
-    e = eligible.filter("__ok")
+    large = cut(hyp.groupBy("image_id").agg(F.count("*").alias("__n")).filter(F.col("__n") > LISTED_ROWS).select("image_id").filter("image_id is not null"))
+    named = hyp.filter("image_id is not null")
+    nameless = hyp.filter("image_id is null").withColumn("status", F.lit("delivery_equivalent"))
+    if large.isEmpty():
+        return _listed_beam(named, cfg).unionByName(nameless)
+    small = _listed_beam(named.join(large, "image_id", "left_anti"), cfg)
+    return small.unionByName(_scanned_beam(named.join(large, "image_id", "left_semi"), cfg)).unionByName(nameless)
+
+
+def _chosen(e: DataFrame, keys: list[str], order: list[str], cfg: BeamConfig) -> DataFrame:
+    """Add ``__keep`` to the eligible rows of each key: first classes of topology, then of formation, then the best."""
+    w = Window.partitionBy(*keys).orderBy(*order)
     for name, col in (("t", "topology_class"), ("f", "formation_class")):
-        first = F.row_number().over(Window.partitionBy("image_id", col).orderBy(*order)) == 1
+        first = F.row_number().over(Window.partitionBy(*keys, col).orderBy(*order)) == 1
         e = e.withColumn(f"__first_{name}", first)
         e = e.withColumn(f"__nth_{name}", F.sum(F.col(f"__first_{name}").cast("int")).over(w))
     e = e.withColumn("__t", F.col("__first_t") & (F.col("__nth_t") <= min(cfg.min_topology_classes, cfg.width)))
     # formation firsts are taken in order while the beam has room left
     fresh = F.col("__first_f") & (F.col("__nth_f") <= cfg.min_formation_classes)
-    e = e.withColumn("__nt", F.sum(F.col("__t").cast("int")).over(Window.partitionBy("image_id")))
+    e = e.withColumn("__nt", F.sum(F.col("__t").cast("int")).over(Window.partitionBy(*keys)))
     e = e.withColumn("__new", F.sum((fresh & ~F.col("__t")).cast("int")).over(w))
     e = e.withColumn("__f", fresh & (F.col("__t") | (F.col("__nt") + F.col("__new") <= cfg.width)))
     e = e.withColumn("__sel", F.col("__t") | F.col("__f"))
-    e = e.withColumn("__ns", F.sum(F.col("__sel").cast("int")).over(Window.partitionBy("image_id")))
+    e = e.withColumn("__ns", F.sum(F.col("__sel").cast("int")).over(Window.partitionBy(*keys)))
     e = e.withColumn("__fill", F.sum((~F.col("__sel")).cast("int")).over(w))
-    keep = F.col("__sel") | (F.col("__ns") + F.col("__fill") <= cfg.width)
-    chosen = e.select("image_id", "hypothesis_id", F.when(keep, "kept").otherwise("beam_width").alias("status"))
+    return e.withColumn("__keep", F.col("__sel") | (F.col("__ns") + F.col("__fill") <= cfg.width))
+
+
+def _listed_beam(hyp: DataFrame, cfg: BeamConfig) -> DataFrame:
+    """``diverse_beam`` of images whose hypotheses fit a list: every step works where the image's rows lie."""
+    order = ["total_bits", "hypothesis_id"]
+    tied = ["topology_class", "formation_class", "memory_bytes"]
+    fields = ["delivery", *order, *tied]
+    fields += [c for c in hyp.columns if c not in fields and c != "image_id"]
+    lists = hyp.repartition("image_id").groupBy("image_id").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("__h"))
+    best = lambda x, i: (i == 0) | ~x["delivery"].eqNullSafe(F.get("__h", i - 1)["delivery"])
+    d = lists.withColumn("__h", F.transform("__h", lambda x, i: F.struct(*[x[c].alias(c) for c in [*order, *tied, "delivery", *fields[6:]]], best(x, i).alias("__best"))))
+    bytes_of = lambda x: x["memory_bytes"].cast("bigint")
+
+    def admit(state: Column, x: Column) -> Column:
+        open_ = state["taken"] < cfg.max_candidates
+        fits = F.coalesce(open_ & (state["used"] + bytes_of(x) <= cfg.max_bytes), F.lit(False))
+        scan = F.when(fits, "considered").when(open_, "memory_budget").otherwise("candidate_budget")
+        used = state["used"] + F.when(fits, bytes_of(x)).otherwise(0)
+        return F.struct(used.alias("used"), (state["taken"] + fits.cast("int")).alias("taken"), F.concat(state["scans"], F.array(scan)).alias("scans"))
+
+    d = d.withColumn("__u", F.sort_array(F.filter("__h", lambda x: x["__best"])))
+    start = F.struct(F.lit(0).cast("bigint").alias("used"), F.lit(0).alias("taken"), F.array().cast("array<string>").alias("scans"))
+    d = d.withColumn("__s", F.aggregate("__u", start, admit)["scans"])
+    with_scan = lambda x, scan: F.struct(*[x[c].alias(c) for c in fields], scan.alias("scan"))
+    scanned = F.transform("__u", lambda x, i: with_scan(x, F.get("__s", i)))
+    others = F.transform(F.filter("__h", lambda x: ~x["__best"]), lambda x: with_scan(x, F.lit(None).cast("string")))
+    d = d.select("image_id", F.inline(F.concat(scanned, others)))
+    lead = F.first("total_bits").over(Window.partitionBy("image_id", "scan").orderBy(*order))
+    eligible = (F.col("scan") == "considered") & (F.col("total_bits") <= lead + cfg.within_best_bits)
+    e = _chosen(d.withColumn("__ok", F.coalesce(eligible, F.lit(False))), ["image_id", "__ok"], order, cfg)
+    own = F.when(F.col("__ok"), F.when(F.col("__keep"), "kept").otherwise("beam_width")).when(F.col("scan") == "considered", "bit_margin").otherwise(F.col("scan"))
+    # a further row of the same hypothesis shares its status
+    known = F.max(own).over(Window.partitionBy("image_id", "hypothesis_id"))
+    status = F.coalesce(F.when(F.col("hypothesis_id").isNotNull(), known), F.lit("delivery_equivalent"))
+    return e.withColumn("status", status).select(*hyp.columns, "status")
+
+
+def _scanned_beam(hyp: DataFrame, cfg: BeamConfig) -> DataFrame:
+    """``diverse_beam`` of images of any size."""
+    order = ["total_bits", "hypothesis_id"]
+    best = F.min(F.struct(*order, "topology_class", "formation_class", "memory_bytes"))
+    unique = hyp.groupBy("image_id", "delivery").agg(best.alias("b")).select("image_id", "delivery", "b.*")
+    scanned = memory_scan(unique, "image_id", order, "memory_bytes", cfg.max_bytes, cfg.max_candidates)
+    w = Window.partitionBy("image_id").orderBy(*order)
+    considered = scanned.filter("scan = 'considered'")
+    eligible = considered.withColumn("__best", F.first("total_bits").over(w)).withColumn(
+        "__ok", F.col("total_bits") <= F.col("__best") + cfg.within_best_bits
+    )
+    chosen = _chosen(eligible.filter("__ok"), ["image_id"], order, cfg)
+    chosen = chosen.select("image_id", "hypothesis_id", F.when(F.col("__keep"), "kept").otherwise("beam_width").alias("status"))
     outside = eligible.filter("not __ok").select("image_id", "hypothesis_id", F.lit("bit_margin").alias("status"))
     budget = scanned.filter("scan != 'considered'").select("image_id", "hypothesis_id", F.col("scan").alias("status"))
     known = chosen.unionByName(outside).unionByName(budget)
     d = hyp.join(known, ["image_id", "hypothesis_id"], "left")
-    return d.withColumn("status", F.coalesce("status", F.lit("delivery_equivalent")))
+    return d.withColumn("status", F.coalesce("status", F.lit("delivery_equivalent"))).select(*hyp.columns, "status")
 
 
 def status_ledger(rows: DataFrame, key: str, statuses: list[str]) -> DataFrame:
