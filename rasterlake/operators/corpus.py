@@ -51,9 +51,13 @@ def job_list(groups: DataFrame, cells: DataFrame, split: str, shard: int, shards
 
 
 def key_completeness(expected: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
-    """One row per problematic key: ``missing``, ``unexpected`` or ``duplicate``."""
+    """One row per problematic key: ``missing``, ``unexpected`` or ``duplicate``.
+
+    Expected keys are mostly products of few rows, so hardly any are equal: they move first and are made distinct in
+    partitions of bounded size, not in the task that multiplies them.
+    """
     seen = rows.groupBy(*keys).agg(F.count("*").alias("__n"))
-    d = expected.select(*keys, F.lit(True).alias("__e")).distinct().join(seen, keys, "full")
+    d = expected.select(*keys, F.lit(True).alias("__e")).repartition(*keys).distinct().join(seen, keys, "full")
     problem = (
         F.when(F.col("__n").isNull(), "missing")
         .when(F.col("__e").isNull(), "unexpected")
