@@ -83,14 +83,53 @@ def turning(points: DataFrame, scales: list[int], cyclic: bool = False) -> DataF
     return d.select(*KEYS, "k", angle(scales[0]).alias("turning"), least.alias("persistent"))
 
 
+def _with(value: Column, use) -> Column:
+    """``use`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _fused(a: Column, b: Column, c: Column) -> Column:
+    """a * b + c rounded once: the rounding errors of product (in halves of 26 bits) and sum are added at the end."""
+    high = lambda v: v * 134217729.0 - (v * 134217729.0 - v)
+    halves = _with(F.struct(a.alias("a"), b.alias("b"), c.alias("c"), high(a).alias("ha"), high(b).alias("hb"), (a * b).alias("p")), _parts)
+    return _with(halves, lambda s: s["sum"] + (((s["p"] - (s["sum"] - s["bb"])) + (s["c"] - s["bb"])) + s["low"]))
+
+
+def _parts(h: Column) -> Column:
+    la, lb, total = h["a"] - h["ha"], h["b"] - h["hb"], h["p"] + h["c"]
+    low = ((h["ha"] * h["hb"] - h["p"]) + h["ha"] * lb + la * h["hb"]) + la * lb
+    return F.struct(h["p"].alias("p"), h["c"].alias("c"), total.alias("sum"), (total - h["p"]).alias("bb"), low.alias("low"))
+
+
+def _covariance(rows: Column) -> Column:
+    """Covariance of (px, py) in the order of the rows, by updated means, each product added with one rounding."""
+
+    def add(s: Column, r: Column) -> Column:
+        dx, dy, n = r["py"] - s["x"], r["px"] - s["y"], s["n"] + 1.0
+        y = s["y"] + dy / n
+        return F.struct(n.alias("n"), (s["x"] + dx / n).alias("x"), y.alias("y"), _fused(dx, r["px"] - y, s["c"]).alias("c"))
+
+    zero = F.struct(*[F.lit(0.0).alias(c) for c in ("n", "x", "y", "c")])
+    return F.aggregate(rows, zero, add, lambda s: s["c"] / s["n"])
+
+
+UNCERTAIN = 1e-12
+
+
 def side_fits(points: DataFrame, arm: int) -> DataFrame:
-    """Principal direction and RMS of the trailing and the leading line."""
+    """Principal direction and RMS of the trailing and the leading line.
+
+    A side that is wider along py and whose covariance is 0 points up or down by the sign of a rounding error. Where the
+    covariance is that small it is therefore taken from the rows in their order, as the SQL has it.
+    """
     d = chunked(points.select(*KEYS, "k", "px", "py"), KEYS, "k", arm)
     w = chunk_window()
     out = {}
     for side, frame in (("left", w.rowsBetween(-arm, 0)), ("right", w.rowsBetween(0, arm))):
         # updated means: a side of equal px has a covariance of exactly 0, whose sign would turn the angle around
         sxx, syy, sxy = F.var_pop("px").over(frame), F.var_pop("py").over(frame), F.covar_pop("px", "py").over(frame)
+        small = (F.abs(sxy) <= (sxx + syy) * UNCERTAIN) & (sxx > 0) & (syy > 0)
+        sxy = F.when(small, _covariance(F.collect_list(F.when(F.col("px").isNotNull(), F.struct("px", "py"))).over(frame))).otherwise(sxy)
         out[f"{side}_n"] = F.count("*").over(frame)
         out[f"{side}_angle"] = F.atan2(sxy * 2.0, sxx - syy) * 0.5
         low = (sxx + syy - F.sqrt((sxx - syy) * (sxx - syy) + sxy * sxy * 4.0)) * 0.5
