@@ -113,3 +113,24 @@ def test_a_body_stands_beside_an_article_teaser(spark):
     got = {r.page_id: r.text for r in X.extract(table(spark, in_main + plain)).collect()}
     want = {i: f"Title {i}\n{body(i).strip()}" for i in range(6)}
     assert got == want | {10 + i: t for i, t in want.items()}
+
+
+def test_elements_with_names_of_their_own_on_every_page_are_one_slot(spark):
+    a, b = X.tree(["/b/div.u/p", "/b/div.v/h1", "/b/ul/li"]), X.tree(["/b/div.x/h1", "/b/div.x/p", "/b/ul/li", "/b/div.v2"])
+    assert dict(X.match(a, b)[1]) == {"/b": "/b", "/b/div.v": "/b/div.x", "/b/div.v/h1": "/b/div.x/h1", "/b/ul": "/b/ul", "/b/ul/li": "/b/ul/li"}
+
+    def page(i):
+        own = "abcdef"[i] * 3
+        return f"<body><div class=n{own}>We value your privacy<i>!</i></div><div class=c{own}><h1>Title {i}</h1><p>Body {i} goes on</div><p>Made by us</body>"
+
+    rows = [(i, f"http://h.example/{i}", page(i)) for i in range(6)]
+    got = {r.page_id: r.text for r in X.extract(table(spark, rows)).collect()}
+    assert got == {i: f"Title {i}\nBody {i} goes on" for i in range(6)}
+
+
+def test_elements_that_differ_in_their_fifth_name_are_two_slots():
+    assert len({X._label("div", f'class="a b c d {n}"')[0] for n in ("e", "f")}) == 2
+
+
+def test_a_long_attribute_is_no_text():
+    assert [b.text for b in X.blocks(f'<body><div data-x="{"y" * 5000}">text</div></body>')] == ["text"]
