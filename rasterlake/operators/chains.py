@@ -16,6 +16,7 @@ from rasterlake.session import cut
 
 KEYS = ["chain_id"]
 CELL = 4.0
+SLACK = 1e-9  # of a cell: what touches a side counts on both
 
 
 def chunk_window() -> Window:
@@ -269,12 +270,11 @@ def segment_distance() -> Column:
 
 def _touched(px: Column, py: Column, dx: Column, dy: Column, pieces: Column, cell: Column) -> Column:
     """Cells met by the line from (px, py) by (dx, dy): those of the box of each of ``pieces`` equal parts."""
-    slack = 1e-9
 
     def part(i: Column) -> Column:
         ax, ay = px + dx * (i / pieces), py + dy * (i / pieces)
         bx, by = px + dx * ((i + 1) / pieces), py + dy * ((i + 1) / pieces)
-        span = lambda u, v: F.sequence(F.floor(F.least(u, v) / cell - slack), F.floor(F.greatest(u, v) / cell + slack))
+        span = lambda u, v: F.sequence(F.floor(F.least(u, v) / cell - SLACK), F.floor(F.greatest(u, v) / cell + SLACK))
         return F.flatten(F.transform(span(ax, bx), lambda cx: F.transform(span(ay, by), lambda cy: F.struct(cx.alias("cx"), cy.alias("cy")))))
 
     return F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(0), pieces - 1), part)))
@@ -296,17 +296,18 @@ def nearest_segment(points: DataFrame, segs: DataFrame, cell: float = CELL, ends
     ``value``, interpolated at the closest place, and of equally close segments
     that with the least value wins.
 
-    A point looks at its own cell and the eight around it; a candidate within one
-    cell is final. Cells double for the points that are left, and the segments are
-    laid out anew in them, so a level never looks at more than nine cells.
+    A point looks for segments up to ``cell`` away, in a grid twice as wide: the square around it meets at most four cells
+    (nine where it touches their sides). What is found within ``cell`` is final. Cells double for the points that are left,
+    and the segments are laid out anew in them.
     """
+    segs = cut(segs.select(*KEYS, "sid", "x1", "y1", "x2", "y2", *(ends or ())))
     left = cut(points.select(*KEYS, "k", "px", "py").join(segs.select(*KEYS).distinct(), KEYS, "left_semi"))
     out = None
-    near = F.sequence(F.lit(-1), F.lit(1))
     while True:
-        q = left.withColumn("__dx", F.explode(near)).withColumn("__dy", F.explode(near))
-        q = q.withColumns({"cx": F.floor(F.col("px") / cell) + F.col("__dx"), "cy": F.floor(F.col("py") / cell) + F.col("__dy")})
-        cand = q.join(_segment_cells(segs, cell, ends or ()), [*KEYS, "cx", "cy"]).withColumn("d", segment_distance())
+        grid = 2 * cell
+        span = lambda c: F.explode(F.sequence(F.floor((F.col(c) - cell) / grid - SLACK), F.floor((F.col(c) + cell) / grid + SLACK)))
+        q = left.withColumn("cx", span("px")).withColumn("cy", span("py"))
+        cand = q.join(_segment_cells(segs, grid, ends or ()), [*KEYS, "cx", "cy"]).withColumn("d", segment_distance())
         value = F.lit(None).cast("double") if ends is None else F.col(ends[0]) + projection() * (F.col(ends[1]) - F.col(ends[0]))
         best = cand.withColumn("v", value).groupBy(*KEYS, "k").agg(F.min(F.struct("d", "v", "sid")).alias("b"))
         got = cut(left.join(best, [*KEYS, "k"], "left").withColumn("__ok", F.coalesce(F.col("b.d") <= cell, F.lit(False))))
@@ -324,9 +325,10 @@ def normal_crossing(points: DataFrame, segs: DataFrame, reach: float = CELL) ->
 
     The normal line runs both ways without end; ``t`` is NULL where it meets no
     segment. A crossing within ``reach`` lies in a cell that both the line and the
-    segment run through; reach and cells double for the points that are left,
-    until a line has left the box of its chain.
+    segment run through; cells are as wide as the line is long, so either is in few. Reach and
+    cells double for the points that are left, until a line has left the box of its chain.
     """
+    segs = cut(segs.select(*KEYS, "sid", "x1", "y1", "x2", "y2"))
     box = segs.groupBy(*KEYS).agg(
         *[f(f"{a}{i}").alias(f"__{n}{a}{i}") for a in "xy" for i in (1, 2) for f, n in ((F.min, "lo"), (F.max, "hi"))]
     )
@@ -342,7 +344,7 @@ def normal_crossing(points: DataFrame, segs: DataFrame, reach: float = CELL) ->
     at = (c("nx") * my - c("ny") * mx) / F.nullif(det, F.lit(0.0))
     t = ((c("x2") - c("x1")) * my - (c("y2") - c("y1")) * mx) / F.nullif(det, F.lit(0.0))
     while True:
-        cell = reach / 4
+        cell = reach * 2
         ray = _touched(c("px") - c("nx") * reach, c("py") - c("ny") * reach, c("nx") * (2 * reach), c("ny") * (2 * reach), F.lit(8), F.lit(cell))
         q = left.withColumn("__c", F.explode(ray)).withColumns({"cx": c("__c.cx"), "cy": c("__c.cy")})
         cand = q.join(_segment_cells(segs, cell), [*KEYS, "cx", "cy"]).withColumns({"s": at, "t": t}).filter("s between 0 and 1 and t is not null")
@@ -389,6 +391,7 @@ def residual_code(points: DataFrame, segs: DataFrame) -> DataFrame:
     nothing. A correlation length that is not positive, or a negative arclength,
     makes the code infinite.
     """
+    points, segs = cut(points), cut(segs)
     d = points.select(*KEYS, "k", "halfwidth", "weight_ds", "corr_length").join(normal_crossing(points, segs).select(*KEYS, "k", "t"), [*KEYS, "k"], "left")
     d = d.join(nearest_segment(points, segs).select(*KEYS, "k", "distance"), [*KEYS, "k"], "left")
     off = F.coalesce(F.abs("t"), F.col("distance"))
