@@ -167,6 +167,37 @@ def bilinear(points: DataFrame, field: DataFrame, v: str, out: str) -> DataFrame
     return got.groupBy(*KEYS, "pid").agg(F.sum(F.col("w") * F.col("__v")).alias(out))
 
 
+PATCH, ROW = 16, 19  # pixels of a patch, and with one before and two after
+
+
+def patches(field: DataFrame, values: list[str]) -> DataFrame:
+    """(image_id, __tx, __ty, width, height, values): a raster in patches, each value as an array in rows of ``ROW`` pixels.
+
+    A patch holds the pixels around every point that lies up to 1 away from its own, whose first is (__tx, __ty) * PATCH.
+    """
+    span = lambda c: F.explode(F.sequence(F.floor((F.col(c) - 2) / PATCH), F.floor((F.col(c) + 1) / PATCH))).alias(f"__t{c}")
+    d = field.select(*KEYS, "x", "y", *values, span("x")).select("*", span("y"))
+    spot = (F.col("y") - F.col("__ty") * PATCH + 1) * ROW + F.col("x") - F.col("__tx") * PATCH + 1
+    d = d.groupBy(*KEYS, "__tx", "__ty").agg(F.map_from_entries(F.collect_list(F.struct(spot.cast("int"), F.struct(*values)))).alias("m"))
+    places = F.sequence(F.lit(0), F.lit(ROW * ROW - 1))
+    d = d.withColumn("a", F.transform(places, lambda k: F.try_element_at("m", k)))
+    d = d.select(*KEYS, "__tx", "__ty", *[F.transform("a", lambda e: e[v]).alias(f"__{v}") for v in values])
+    return d.join(raster_size(field), KEYS)
+
+
+def in_patch(px: Column, py: Column, v: str) -> Column:
+    """Value at (px, py) between the centres of the four pixels around it, as ``bilinear`` has it."""
+    fx = F.least(F.greatest(px - 0.5, F.lit(0.0)), (F.col("width") - 1).cast("double"))
+    fy = F.least(F.greatest(py - 0.5, F.lit(0.0)), (F.col("height") - 1).cast("double"))
+    i, j = F.floor(fx), F.floor(fy)
+    tx, ty = fx - i, fy - j
+    i1, j1 = F.least(i + 1, F.col("width") - 1), F.least(j + 1, F.col("height") - 1)
+    at = lambda a, b: F.get(f"__{v}", ((b - F.col("__ty") * PATCH + 1) * ROW + a - F.col("__tx") * PATCH + 1).cast("int"))
+    parts = [at(i, j) * (1 - tx) * (1 - ty), at(i1, j) * tx * (1 - ty), at(i, j1) * (1 - tx) * ty, at(i1, j1) * tx * ty]
+    some = F.coalesce(*parts).isNotNull()
+    return F.when(some, sum((F.coalesce(e, F.lit(0.0)) for e in parts[1:]), F.coalesce(parts[0], F.lit(0.0))))
+
+
 def boundary_observations(px: DataFrame, level: float, v: str, noise: float, step: float = 0.5) -> DataFrame:
     """Resampled boundary points with normal, profile slope and corridor.
 
@@ -194,18 +225,16 @@ def boundary_observations(px: DataFrame, level: float, v: str, noise: float, ste
     long = F.greatest(F.sqrt(dx * dx + dy * dy), F.lit(1e-12))
     pts = cut(j.select(*KEYS, pid, (-dy / long).alias("lx"), (dx / long).alias("ly"), (F.col("px") + t * (F.col("x1") - F.col("px"))).alias("px"), (F.col("py") + t * (F.col("y1") - F.col("py"))).alias("py"), (F.col("length") / F.col("n")).alias("weight_ds")))
     near = neighbours(px.select(*KEYS, "x", "y", F.col(v).alias("v")), KEYS, ["v"], diagonal=False)
-    grad = cut(near.select(*KEYS, "x", "y", "v", ((F.col("e.v") - F.col("w.v")) * 0.5).alias("gx"), ((F.col("s.v") - F.col("n.v")) * 0.5).alias("gy")))
-    g = bilinear(pts, grad, "gx", "ux").join(bilinear(pts, grad, "gy", "uy"), [*KEYS, "pid"])
-    d = cut(pts.join(g, [*KEYS, "pid"]).withColumn("m", F.sqrt(F.col("ux") ** 2 + F.col("uy") ** 2)))
+    grad = near.select(*KEYS, "x", "y", "v", ((F.col("e.v") - F.col("w.v")) * 0.5).alias("gx"), ((F.col("s.v") - F.col("n.v")) * 0.5).alias("gy"))
+    # a point and all its probes lie in one patch of pixels, so it moves once
+    at = lambda c: F.floor(F.greatest(F.col(c) - 0.5, F.lit(0.0)) / PATCH).alias(f"__t{c[1]}")
+    d = pts.select("*", at("px"), at("py")).join(patches(grad, ["v", "gx", "gy"]), [*KEYS, "__tx", "__ty"])
+    d = d.withColumns({"ux": in_patch(F.col("px"), F.col("py"), "gx"), "uy": in_patch(F.col("px"), F.col("py"), "gy")})
+    d = d.withColumn("m", F.sqrt(F.col("ux") ** 2 + F.col("uy") ** 2))
     steep = F.col("m") > 1e-12
     d = d.withColumns({"nx": F.when(steep, F.col("ux") / F.col("m")).otherwise(F.col("lx")), "ny": F.when(steep, F.col("uy") / F.col("m")).otherwise(F.col("ly"))})
-    probes = F.explode(F.array(*[F.lit(o) for o in (-1.0, -0.5, 0.0, 0.5, 1.0)])).alias("o")
-    shifted = d.select(*KEYS, "pid", "px", "py", "nx", "ny", probes).select(
-        *KEYS, F.struct("pid", "o").alias("pid"), (F.col("px") + F.col("o") * F.col("nx")).alias("px"), (F.col("py") + F.col("o") * F.col("ny")).alias("py")
-    )
-    seen = bilinear(shifted, grad, "v", "a")
-    pick = lambda o: F.max(F.when(F.col("pid.o") == o, F.col("a")))
-    prof = seen.groupBy(*KEYS, F.col("pid.pid").alias("pid")).agg((pick(0.5) - pick(-0.5)).alias("slope"), (pick(1.0) - pick(0.0) * 2 + pick(-1.0)).alias("bend"))
+    probe = lambda o: in_patch(F.col("px") + F.col("nx") * o, F.col("py") + F.col("ny") * o, "v")
+    d = d.withColumns({f"a{k}": probe(o) for k, o in enumerate((-1.0, -0.5, 0.0, 0.5, 1.0))})
+    out = d.withColumns({"slope": F.col("a3") - F.col("a1"), "bend": F.col("a4") - F.col("a2") * 2 + F.col("a0")})
     u = position_uncertainty(F.lit(0.5 / 255), F.lit(0.0), F.lit(noise), F.col("slope"), F.col("bend"), F.lit(Z_TABLE[0.95]))
-    out = d.join(prof, [*KEYS, "pid"])
     return out.select(*KEYS, "pid.chain", "pid.i", "px", "py", "nx", "ny", "weight_ds", *[u[n].alias(n) for n in ("halfwidth", "capped", "confidence")])
